@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, media
+from . import chat, common, decontaminate, langid, media, packing, toxicity, warc
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +13,49 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_media": op1_media}
-ORACLE_SQL: dict[str, str] = {}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    labels = common.table(spark, sf_dir, "labels").where(common.crc_mod("doc_id", 3) != 1)
+    p = toxicity.Params()
+    out = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels, params=p))
+    return out.select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(common.crc_mod("doc_id", 3) != 1))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return packing.pack(common.table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return warc.pages_to_warc(common.table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(common.table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    "op1_media": op1_media,
+    "op4_toxicity": op4_toxicity,
+    "op5_langid": op5_langid,
+    "op7_packing": op7_packing,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_warc": op9_warc,
+    "op10_chat": op10_chat,
+}
+ORACLE_SQL: dict[str, str] = {"op10_chat": chat.ORACLE_SQL}
