@@ -156,8 +156,14 @@ def binary_array(values: list) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+#: Rows of whole texts in one Arrow batch: bounds the buffers on both sides of a Python worker.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it isn't on their path already."""
+    """Bounds Arrow batches, and lets Python workers import this package when it isn't on their
+    path already."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     seen = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()]]
     if os.path.realpath(root) in seen or getattr(spark.sparkContext, "_tidemark_shipped", False):

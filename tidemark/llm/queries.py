@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, langid, media, packing, toxicity, warc
+from . import chat, common, decontaminate, langid, media, packing, simhash, suffix, toxicity, warc
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,11 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(common.table(spark, sf_dir, "documents"))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return suffix.repeats(common.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ship(spark)
     docs = common.table(spark, sf_dir, "documents")
@@ -30,6 +35,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return simhash.simhash_components(common.table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ship(spark)
     return packing.pack(common.table(spark, sf_dir, "documents"))
@@ -51,8 +61,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_suffix": op2_suffix,
     "op4_toxicity": op4_toxicity,
     "op5_langid": op5_langid,
+    "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
