@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, langid, media, packing, simhash, suffix, toxicity, warc
+from . import chat, common, decontaminate, langid, langmodel, media, packing, simhash, suffix, toxicity, warc
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(common.table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_langmodel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    held = common.crc_mod("doc_id", 10) == 0
+    weights = langmodel.train(docs.where(~held))
+    return langmodel.score(docs, weights, held)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ship(spark)
     docs = common.table(spark, sf_dir, "documents")
@@ -62,6 +70,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media": op1_media,
     "op2_suffix": op2_suffix,
+    "op3_langmodel": op3_langmodel,
     "op4_toxicity": op4_toxicity,
     "op5_langid": op5_langid,
     "op6_simhash": op6_simhash,

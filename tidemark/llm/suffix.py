@@ -305,7 +305,7 @@ def open_contexts(joined: DataFrame, shards: int, p: Params) -> DataFrame:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             held = []
-            for doc_id, z, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc_id, z, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(batch.num_columns - 1), strict=True):
                 if not marks.is_valid:
                     continue
                 m = marks.values.to_numpy()
@@ -316,7 +316,8 @@ def open_contexts(joined: DataFrame, shards: int, p: Params) -> DataFrame:
                 cols = list(zip(*batch_rows(*(np.concatenate(x) for x in zip(*held, strict=True))), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), common.binary_array(list(cols[1]))], names=["shard", "blob"])
 
-    return joined.select("doc_id", "z", "marks").mapInArrow(run, "shard int, blob binary")
+    # all columns are read here as in the last step, so that both share one exchange of the texts
+    return joined.mapInArrow(run, "shard int, blob binary")
 
 
 def window_verdicts(contexts: DataFrame, p: Params) -> DataFrame:
