@@ -164,6 +164,7 @@ def ship(spark: SparkSession) -> None:
     """Bounds Arrow batches, and lets Python workers import this package when it isn't on their
     path already."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     seen = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()]]
     if os.path.realpath(root) in seen or getattr(spark.sparkContext, "_tidemark_shipped", False):
