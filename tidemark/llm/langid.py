@@ -109,7 +109,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", params:
 
     # at most max_rows ids are broadcast, at most max_rows sparse rows reach the driver
     sample = src.join(F.broadcast(few), "id").orderBy(F.xxhash64("id"), "id").limit(2 * p.max_rows).select("text", "lang")
-    got = [(r.lang, np.frombuffer(r.tf, np.float32).reshape(2, -1)) for r in sample.mapInArrow(run, "lang string, tf binary").toLocalIterator()]
+    got = [(r.lang, np.frombuffer(r.tf, np.float32).reshape(2, -1)) for r in sample.mapInArrow(run, "lang string, tf binary").collect()]
     got = [(lang, tf) for lang, tf in got if tf.shape[1]]
     langs = tuple(sorted({g[0] for g in got}))
     if not langs:
