@@ -112,11 +112,12 @@ def to_bits(a: Column, shape: Shape = PRODUCTION) -> Column:
 
 def from_indices(index_array: Column, shape: Shape = PRODUCTION) -> Column:
     """Packs an array of bit indices; duplicates are harmless."""
-    words = []
-    for w in range(shape.words):
-        mine = F.filter(index_array, lambda k, w=w: F.floor(k / shape.bits) == w)
-        words.append(F.aggregate(mine, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(shape.bits)).cast("int")))))
-    return F.array(*words)
+
+    def word(w: int) -> Column:
+        mine = F.filter(index_array, lambda k: F.floor(k / shape.bits) == w)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(shape.bits)).cast("int"))))
+
+    return F.array(*map(word, range(shape.words)))
 
 
 def permute(a: Column, shift: int, shape: Shape = PRODUCTION) -> Column:
