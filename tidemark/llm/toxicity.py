@@ -28,8 +28,8 @@ class Params:
     orders: tuple[int, ...] = (4, 5, 6)
     bits: int = 18
     max_rows: int = 20_000  # bound of the labelled rows that the fit reads
-    features: int = 8192
-    min_docs: int = 3
+    features: int = 2048
+    min_docs: int = 5
     l2: float = 1e-4
     rounds: int = 300
     threshold: float = 0.7
