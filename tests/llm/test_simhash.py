@@ -122,3 +122,15 @@ def test_near_groups(spark):
     want |= {2000: 2000, 2001: 2000, 2002: 2002, 2003: 2002}
     got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_lists_may_span_batches():
+    keys, ids = np.repeat([1, 2, 3], [4, 1, 9]), np.arange(14)
+    whole = sorted(map(tuple, simhash._pairs(keys, ids).tolist()))
+    got, hk, hi = [], np.zeros(0, int), np.zeros(0, int)
+    for a in range(0, 14, 3):
+        k, i = np.r_[hk, keys[a : a + 3]], np.r_[hi, ids[a : a + 3]]
+        got += map(tuple, simhash._pairs(k, i, len(hk)).tolist())
+        ends = [int(np.searchsorted(k, k[-1])), len(k) - 1]
+        hk, hi = k[ends], i[ends]
+    assert sorted(got) == whole

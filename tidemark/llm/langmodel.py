@@ -45,7 +45,7 @@ class Params:
     batch: int = 16_384  # tokens of one gradient step
     passes: int = 1
     smooth: float = 0.1
-    block: int = 8 << 20  # bytes of text that ask for counts together
+    block: int = 4 << 20  # bytes of text that ask for counts together
 
 
 def tokens(buf: np.ndarray, off: np.ndarray, i: int, j: int, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -238,14 +238,16 @@ def _similar(a: np.ndarray, na: int, b: np.ndarray, nb: int, p: NearParams) -> b
     return bool(shared.sum() >= p.similarity * len(both))
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """(id, leader) of sorted posting lists: every member with the list's first one, and with the
-    member before it, so that lists of any length give two rows a member."""
+def _pairs(keys: np.ndarray, ids: np.ndarray, carried: int = 0) -> np.ndarray:
+    """(id, partner) of sorted posting lists: every member with the list's first one, and with the
+    member before it, so that lists of any length give two rows a member. The first `carried`
+    rows stand for a list that has begun before; they give no rows of their own."""
     new = np.r_[True, keys[1:] != keys[:-1]]
     first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
     at = np.flatnonzero(~new)
+    at = at[at >= carried]
     one = np.stack([ids[at], ids[first[at]]], 1)
-    two = np.stack([ids[at], ids[at - 1]], 1)[at - 1 != first[at]]
+    two = np.stack([ids[at], ids[at - 1]], 1)[ids[at - 1] != ids[first[at]]]
     return np.concatenate([one, two])
 
 
@@ -260,18 +262,17 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
     posting = reps.select("doc_id", F.explode("keys").alias("key"))
 
     def run(batches):
-        held_k, held_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held_k, held_i = np.zeros(0, np.int64), np.zeros(0, np.int64)  # first and last of the open list
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = len(held_k)
             key, ids = np.r_[held_k, batch.column(0).to_numpy()], np.r_[held_i, batch.column(1).to_numpy()]
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            yield out(key[:last], ids[:last])
-            held_k, held_i = key[last:], ids[last:]
-        yield out(held_k, held_i)
-
-    def out(key, ids):
-        v = _pairs(key, ids) if len(key) else np.zeros((0, 2), np.int64)
-        v = v[v[:, 0] != v[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(v.max(1, initial=-(1 << 63))), pa.array(v.min(1, initial=(1 << 63) - 1))], names=["a", "b"])
+            v = _pairs(key, ids, n)
+            v = v[v[:, 0] != v[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(v.max(1, initial=-(1 << 63))), pa.array(v.min(1, initial=(1 << 63) - 1))], names=["a", "b"])
+            ends = [int(np.searchsorted(key, key[-1])), len(key) - 1]
+            held_k, held_i = key[ends], ids[ends]
 
     dealt = posting.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "doc_id").select("key", "doc_id")
     tallied = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= p.shared)

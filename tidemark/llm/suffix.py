@@ -14,7 +14,8 @@ these alone are compared window by window, by the bytes themselves hashed at 64
 
 A shard's k-mer that has very many contexts (a common passage with different surroundings) is
 not compared in one place: its windows are dealt out by their own hash. Copies within a
-block are settled before anything is shuffled, so a hot passage sends one entry a block.
+block of documents are settled before anything is shuffled, of entries and of such windows, so
+a hot passage sends one entry a block.
 
 Defined cases: null and empty texts and texts shorter than `length` lose nothing; equal texts
 lose all but the one of the smallest id; rows that repeat a doc_id are taken to hold the same
@@ -38,6 +39,7 @@ from . import common
 
 U64 = np.uint64
 _MAX = U64(2**64 - 1)
+_SETTLED = 255  # in place of the bytes to the left: the window starts in a smaller document of its batch
 
 
 @dataclass(frozen=True)
@@ -274,8 +276,14 @@ def open_contexts(joined: DataFrame, shards: int, p: Params) -> DataFrame:
     window if hot)."""
     reach, width = p.window - 1, p.context
 
-    def batch_rows(doc_id, pos, left, right, key, ctx):
+    def batch_rows(doc_id, pos, left, right, key, ctx, hot):
         shard = (key % U64(shards)).astype(np.int64)
+        if hot.any():
+            at = np.flatnonzero(hot)
+            at = at[np.lexsort((doc_id[at], key[at]))]
+            first = np.maximum.accumulate(np.where(np.r_[True, key[at][1:] != key[at][:-1]], np.arange(len(at)), 0))
+            gone = at[doc_id[at] > doc_id[at[first]]]
+            left[gone], ctx[gone], shard[gone] = _SETTLED, 0, doc_id[gone] % shards
         order = np.lexsort((pos, doc_id, shard))
         doc_id, pos, left, right, ctx, shard = doc_id[order], pos[order], left[order], right[order], ctx[order], shard[order]
         cut = np.searchsorted(shard, np.arange(shards + 1))
@@ -292,14 +300,14 @@ def open_contexts(joined: DataFrame, shards: int, p: Params) -> DataFrame:
         kind, pos = marks & 3, marks >> 2
         at = np.unique(pos[kind == 1])
         left, right = np.minimum(at, reach), np.minimum(len(text) - at, p.length)
-        key = hasher(at, at + p.kmer)
+        key, n = hasher(at, at + p.kmer), len(at)
         if (kind == 2).any():
             j = np.unique((pos[kind == 2][:, None] - np.arange(p.window)).ravel())
             j = j[(j >= 0) & (j <= len(text) - p.length)]
             at, left, right = np.r_[at, j], np.r_[left, np.zeros(len(j), np.int64)], np.r_[right, np.full(len(j), p.length)]
             key = np.r_[key, hasher(j, j + p.length)]
         ctx = wide[(at + width - reach)[:, None] + np.arange(width)]
-        return np.full(len(at), doc_id, np.int64), at, left.astype(np.uint8), right.astype(np.uint8), key, ctx
+        return np.full(len(at), doc_id, np.int64), at, left.astype(np.uint8), right.astype(np.uint8), key, ctx, np.arange(len(at)) >= n
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -336,7 +344,7 @@ def window_verdicts(contexts: DataFrame, p: Params) -> DataFrame:
         row = np.arange(len(doc)) * width + reach
         keys, rows, bits = [], [], []
         for k in range(p.window):
-            ok = np.flatnonzero((left >= k) & (right.astype(np.int64) >= p.length - k))
+            ok = np.flatnonzero((left >= k) & (left != _SETTLED) & (right.astype(np.int64) >= p.length - k))
             keys.append(hasher(row[ok] - k, row[ok] - k + p.length))
             rows.append(ok)
             bits.append(np.full(len(ok), k, np.int64))
@@ -347,6 +355,7 @@ def window_verdicts(contexts: DataFrame, p: Params) -> DataFrame:
         least = d[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else d
         hit = order[d[order] > least]
         mask = np.bincount(rows[hit], np.ldexp(1.0, bits[hit]), minlength=len(doc)).astype(np.int64)
+        mask[left == _SETTLED] = 1
         at = np.flatnonzero(mask)
         return pa.table({"doc_id": doc[at], "mask": (pos[at] << p.window) | mask[at]})
 
