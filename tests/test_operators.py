@@ -11,9 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import codebooks, hv
-from tidemark.operators import events, features, graph, hmm, labels, learner, metrics, splits, strategy
-from tidemark.plans import fx_graph, vector_queries
+from tidemark.functions import arrays, codebooks, hv
+from tidemark.operators import baselines, clauses, events, features, graph, hmm, labels, learner, metrics, splits, strategy
+from tidemark.plans import flows, fx_graph
+from tidemark.sources import synthetic
 
 HOUR = dt.timedelta(hours=1)
 T0 = dt.datetime(2017, 10, 10, 12)
@@ -246,7 +247,7 @@ def test_two_layers_gate():
 
 
 def test_search_beats_majority(spark):
-    df = vector_queries.three_integers(spark, 500)
+    df = synthetic.three_integers(spark, 500)
     r = learner.best(learner.search(spark, df, learner.grid(clauses=[80], threshold=[25], epochs=[4], seed=[1, 2]), 3, learner.Layout(96))).first()
     test = df.where("split = 'test'").groupBy("label").count().collect()
     assert r.accuracy > max(t["count"] for t in test) / sum(t["count"] for t in test)
@@ -280,3 +281,68 @@ def test_snapshots(spark):
     got = {(r.node_id, r.time): r.label for r in states.collect()}
     assert got[2, 2] == 6 and got[2, 3] == 7 and (2, 1) not in got and got[1, 3] == 5
     assert sorted(r.time for r in links.collect()) == [2, 3]
+
+
+def test_co_sort(spark):
+    df = spark.createDataFrame([([3, 1, 3, 2], ["a", "b", "c", "d"]), ([], [])], "k array<int>, v array<string>")
+    got = [r[0] for r in df.select(arrays.co_sort(F.col("k"), F.col("v"))).collect()]
+    assert got[0].keys == [1, 2, 3, 3] and got[0]["values"] == ["b", "d", "a", "c"] and got[1].keys == []
+    assert [tuple(r) for r in arrays.by_count(spark.createDataFrame([("x",), ("y",), ("y",)], "c string"), "c").collect()] == [("y", 2), ("x", 1)]
+
+
+def test_decode_undoes_a_role(spark):
+    book = codebooks.table(spark, codebooks.interval_levels(6))
+    role = codebooks._words(codebooks.roles(1)[0], hv.PRODUCTION)
+    bound = book.select(F.col("level").alias("want"), hv.bind(F.col("code"), F.array(*[F.lit(w).cast("long") for w in role])).alias("hv"))
+    got = hv.decode(bound, book, role).collect()
+    assert all(r.level == r.want and r.similarity == 1.0 for r in got)
+
+
+def test_top_literals(spark):
+    counts = spark.createDataFrame([(1, 5, 3), (1, 2, 3), (1, 9, 7)], "sample int, literal int, total int")
+    got = {(r.sample, r.literal) for r in clauses.top_literals(counts, 2).collect()}
+    assert got == {(1, 9), (1, 2)}
+
+
+def test_importance_vectors(spark):
+    v, e = graph.importance_vectors(fx_graph.vertices(spark), fx_graph.edges(spark))
+    assert v.count() == 11 and e.count() == 16 and set(v.columns) == {"vertex", "hv"}
+
+
+def _market(spark, n=260):
+    """Assembled rows of generated prices."""
+    h = synthetic.hours(spark, T0, n)
+    names = ("MAIN", "EUR", "EURJPY", "AUDJPY", "IEF", "JGB", "WTI")
+    wide = h.select("ts", *[(F.col("price") * (1 + k / 10) + F.cos(F.hour("ts") * (k + 1.0))).alias(s) for k, s in enumerate(names)])
+    return features.assemble(wide, features.Roles(main="MAIN"))
+
+
+def test_own_model_end_to_end(spark):
+    df = flows.label_rows(_market(spark), labels.Params(volatility=0.3, efficiency=0.2))
+    known = df.where("label >= 0")
+    assert known.count() == df.count() - 20 - 72
+    lv = fx_graph.levels(df)
+    assert lv.count() == 11 * df.count()
+    layer = fx_graph.encode(lv, fx_graph.codes(spark))
+    assert layer.where(F.size("hv") == 25).count() == lv.count()
+    split = splits.chronological(df, params=splits.Params(0, 4, 4))
+    r = flows.fx_search(spark, split, [learner.Config(clauses=10, epochs=1, threshold=10)], max_rows=1000).first()
+    assert r.n_test > 0 and 0 <= r.accuracy <= 1
+
+
+def test_baselines(spark):
+    df = synthetic.one_integer(spark, 300)
+    from pyspark.ml.functions import array_to_vector
+
+    data = df.select(array_to_vector(F.col("bits").cast("array<double>")).alias("features"), "label", "split")
+    model = baselines.boosted_trees(data.where("split = 'train'"), trees=2, depth=2)
+    out = model.transform(data.where("split = 'test'"))
+    assert out.where("prediction = label").count() == out.count()
+    row = features.feature_vector(spark.createDataFrame([(1.0, 2.0, 1)], "a double, b double, label int"), ["a", "b"]).first()
+    assert row.features.toArray().tolist() == [1.0, 2.0]
+
+
+def test_label_file(spark, tmp_path):
+    p = tmp_path / "d.csv"
+    p.write_text("timestamp,usdjpy_price\n" + "".join(f"{(T0 + k * HOUR).isoformat()},{0.1 if k % 2 else -0.1}\n" for k in range(100)))
+    assert flows.label_file(spark, str(p)).where("label >= 0").count() == 100 - 20 - 72

@@ -8,6 +8,7 @@ higher-order functions, so it stays in the JVM and needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -217,3 +218,9 @@ def nearest(df: DataFrame, codebook: DataFrame, hv: str = "hv", level: str = "le
     rows = sorted((r[0], list(r[1])) for r in codebook.select(level, code).collect())
     best = F.least(*[F.struct(hamming(F.col(hv), F.array(*[F.lit(int(x)).cast("long") for x in words])).alias("distance"), F.lit(int(k)).alias(level)) for k, words in rows])
     return df.withColumn("_best", best).withColumns({level: F.col(f"_best.{level}"), "distance": F.col("_best.distance")}).drop("_best")
+
+
+def decode(df: DataFrame, codebook: DataFrame, role: Sequence[int], hv: str = "hv", level: str = "level", shape: Shape = PRODUCTION) -> DataFrame:
+    """Unbinds a role and adds the level of the nearest code and its similarity."""
+    free = df.withColumn(hv, bind(F.col(hv), F.array(*[F.lit(int(w)).cast("long") for w in role])))
+    return nearest(free, codebook, hv, level).withColumn("similarity", 1.0 - F.col("distance") / shape.size)

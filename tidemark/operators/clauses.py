@@ -94,6 +94,12 @@ def literal_counts(fired: DataFrame, weights: DataFrame, clauses: DataFrame, top
     return w.join(included_literals(clauses, shape), "clause").groupBy(*keys, "literal").agg(F.sum("weight").alias("total"))
 
 
+def top_literals(counts: DataFrame, top: int = 160, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """The literals of each key with the largest totals, ties to the lowest."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("total"), "literal")
+    return counts.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).drop("_k")
+
+
 def feature_strength(clauses: DataFrame, weights: DataFrame, class_id: int, shape: hv.Shape) -> DataFrame:
     """(literal, strength) of one class: negated literals have indices of their own."""
     return included_literals(clauses, shape).join(weights.where(F.col("class") == class_id), "clause").groupBy("literal").agg(F.sum("weight").alias("strength"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hv
+from ..functions import codebooks, hv
 
 # Editing -----------------------------------------------------------------------------------
 
@@ -152,6 +152,17 @@ def nearest_edges(edge_rows: DataFrame, target: Sequence[int], top: int) -> Data
     return edge_rows.withColumn("distance", hv.hamming(F.col("hv"), t)).orderBy("distance", "src", "dst").limit(top)
 
 
+def importance_vectors(vertices: DataFrame, edges: DataFrame, low: float = 0.0, high: float = 2.0, edge_levels: int = 10, vertex_levels: int = 40, seed: int = 34) -> tuple[DataFrame, DataFrame]:
+    """(vertex, hv) and (src, dst, edge_hv): vectors of importances, from independent codes for
+    vertices and a linear codebook for edges."""
+    spark = vertices.sparkSession
+    out = []
+    for df, keys, n, book, name in ((vertices, ["vertex"], vertex_levels, codebooks.interval_levels, "hv"), (edges, ["src", "dst"], edge_levels, codebooks.linear_levels, "edge_hv")):
+        codes = codebooks.table(spark, book(n, seed))  # n rows
+        out.append(df.withColumn("level", codebooks.bucket(F.col("importance"), low, high, n)).join(F.broadcast(codes), "level").select(*keys, F.col("code").alias(name)))
+    return out[0], out[1]
+
+
 # Time --------------------------------------------------------------------------------------
 
 

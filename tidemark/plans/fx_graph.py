@@ -74,3 +74,12 @@ def codes(spark: SparkSession, seed: int = 34) -> DataFrame:
             known[spec] = codebooks.fixed_levels(spec[3], seed + k) if spec[0] == "fixed" else codebooks.linear_levels(spec[3], seed + k)
         tables.append(codebooks.table(spark, known[spec], vertex=v))
     return reduce(DataFrame.unionByName, tables)
+
+
+def encode(levels_table: DataFrame, code_table: DataFrame) -> DataFrame:
+    """(sample, vertex, layer, hv): layer-0 vectors by a lookup of (vertex, level). The codebooks
+    have a few hundred rows and are broadcast."""
+    from pyspark.sql import functions as F
+
+    found = levels_table.join(F.broadcast(code_table), ["vertex", "level"])
+    return found.select("sample", "vertex", F.lit(0).alias("layer"), F.col("code").alias("hv"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codebooks, hv
-from ..operators import clauses, learner, splits
+from ..operators import clauses, learner
+from ..sources import synthetic
 from .base import Registry, r, table
 
 _R = Registry()
@@ -252,34 +251,13 @@ def composite_clauses(spark, sf_dir):
 # Learners: results are checked by properties -------------------------------------------------
 
 
-def three_integers(spark, n: int = 900, seed: int = 5) -> DataFrame:
-    """(key, label, split, bits): three numbers under 20 from a hash of the key, each as a
-    thermometer of 32 bits; the class is by their sum: under 20, under 40, or more."""
-    ids = spark.range(n).withColumnRenamed("id", "key")
-    xs = [F.pmod(F.xxhash64("key", F.lit(seed), F.lit(k)), F.lit(20)).cast("int") for k in range(3)]
-
-    def thermometer(x):
-        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: (b < x).cast("int"))
-
-    bits = F.concat(*map(thermometer, xs))
-    total = reduce(lambda a, b: a + b, xs)
-    df = ids.select("key", F.when(total < 20, 0).when(total < 40, 1).otherwise(2).alias("label"), bits.alias("bits"))
-    return splits.shuffled(df, "key")
-
-
 @_R.add()
 def learner_accuracy(spark, sf_dir):
     configs = learner.grid(clauses=[60], threshold=[20], epochs=[3], seed=[1, 2])
-    return learner.search(spark, three_integers(spark), configs, 3, learner.Layout(96)).select("config", "clauses", "threshold", "specificity", "n_test", "accuracy")
+    return learner.search(spark, synthetic.three_integers(spark), configs, 3, learner.Layout(96)).select("config", "clauses", "threshold", "specificity", "n_test", "accuracy")
 
 
 @_R.add()
 def letter_sequences(spark, sf_dir):
     """Strings of A and B, labelled by whether they hold AAA, balanced."""
-    return _letters(spark, 500, 8)
-
-
-def _letters(spark, n: int, length: int) -> DataFrame:
-    ids = spark.range(4 * n).select(F.col("id").alias("key"), F.concat(*[F.when(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0, "A").otherwise("B") for k in range(length)]).alias("text"))
-    df = ids.withColumn("label", F.col("text").contains("AAA").cast("int"))
-    return splits.balanced_rounds(df, "label", "key", rounds=n).drop("round")
+    return synthetic.letters(spark)
