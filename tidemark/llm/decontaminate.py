@@ -41,7 +41,7 @@ class Params:
     match: int = 2
     mismatch: int = -1
     gap: int = -1
-    threshold: float = 0.55
+    threshold: float = 0.5
 
 
 def word_stream(column: pa.Array, limit: int = 1 << 20):
