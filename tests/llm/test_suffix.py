@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 import pytest
 
+from tests.compare import check
 from tidemark.llm import queries, suffix
 
 
@@ -80,3 +81,7 @@ def test_family_merges_levels():
     assert [x is not None for x in f.levels] == [True, True, False, True]
     m = f.merged()
     assert sorted((int(a), int(b), int(c)) for a, b, c, _ in rows) == list(zip(*(x.tolist() for x in m[:3])))
+
+
+def test_matches_sql(spark, sf_dir):
+    assert check(queries.QUERIES["op2_suffix"], queries.ORACLE_SQL["op2_suffix"], spark, sf_dir) is None

@@ -7,6 +7,7 @@ import hashlib
 
 import pytest
 
+from tests.compare import check
 from tidemark.llm import queries, warc
 
 
@@ -60,3 +61,7 @@ def test_record_ids_carry_the_page():
 def test_warc_is_checked():
     rec = warc.warc_record(1, "u", "20240101000000", b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\n", b"x", warc.base32_sha1(b"x"), None)
     assert [b for _, b in warc.read_warc(rec + rec)] == [b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nx"] * 2
+
+
+def test_matches_sql(spark, sf_dir):
+    assert check(queries.QUERIES["op9_warc"], queries.ORACLE_SQL["op9_warc"], spark, sf_dir) is None

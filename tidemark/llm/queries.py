@@ -79,4 +79,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
 }
-ORACLE_SQL: dict[str, str] = {"op10_chat": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix": suffix.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}

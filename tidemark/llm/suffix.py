@@ -431,3 +431,17 @@ def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest",
     if output == "text":
         return full.mapInArrow(finish, f"doc_id long, text string{more}")
     return full.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+
+
+#: All strings of 50 bytes as hexadecimal digits, cut from pieces so that each cut is short.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+q AS (SELECT doc_id, n, j * 256 AS o, substr(h, j * 512 + 1, 512 + 98) AS part FROM (SELECT *, unnest(range(0, (n + 255) // 256)) AS j FROM d)),
+b AS (SELECT doc_id, o + k AS i, CASE WHEN o + k + 50 <= n THEN substr(part, 2 * k + 1, 100) END AS w, substr(part, 2 * k + 1, 2) AS c FROM (SELECT *, unnest(range(0, least(256, n - o))) AS k FROM q)),
+s AS (SELECT w, min(doc_id) AS low FROM b WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT DISTINCT b.doc_id, unnest(range(b.i, b.i + 50)) AS i FROM b JOIN s ON s.w = b.w AND s.low < b.doc_id),
+g AS (SELECT b.doc_id, b.i, b.c, CASE WHEN f.i IS NULL THEN 0 ELSE 1 END AS gone FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.i = b.i),
+e AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS begins FROM g),
+a AS (SELECT doc_id, sum(gone) AS r, sum(begins) AS s, coalesce(string_agg(c, '' ORDER BY i) FILTER (gone = 0), '') AS kept FROM e GROUP BY 1)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(a.r, 0) AS BIGINT) AS n_removed, CAST(coalesce(a.s, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(a.kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""

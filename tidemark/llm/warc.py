@@ -246,3 +246,15 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def pages_to_warc(pages: DataFrame, version: int = 1, min_bytes: int = 0) -> DataFrame:
     """pages -> ARC -> WARC archives in the shared folder -> records read back."""
     return read_archives(common.materialize(convert(to_arc(pages, version), min_bytes), "warc", "uncompressed"))
+
+
+#: Base32 of a digest's bits, five at a time.
+ORACLE_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s, max(page_id) OVER (PARTITION BY sha1(b), octet_length(b)) AS best FROM p),
+t AS (SELECT *, CAST(CAST(unhex(s) AS BIT) AS VARCHAR) AS bits FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) AS INTEGER) << CAST(4 - j AS INTEGER))) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < best THEN best END AS refers_to FROM t
+"""
