@@ -13,7 +13,7 @@ from . import common
 _PAD = 16
 
 
-def code_points(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def code_points(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of documents: (first, last + 1, lower-cased code points, starts, ends). A text
     longer than `limit` is a run of its own; it is never cut."""
     buf, off = common.flat_text(column)
@@ -38,7 +38,7 @@ def buckets(cps: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tup
         if k in orders:
             x = h ^ (h >> np.uint32(15))
             x *= np.uint32((0x2C1B3C6D + 2 * k * 0x1F123BB5) & 0xFFFFFFFF | 1)
-            yield k, (x ^ (x >> np.uint32(16))) >> np.uint32(32 - bits) if bits == 32 else x >> np.uint32(32 - bits)
+            yield k, x >> np.uint32(32 - bits)
 
 
 def owners(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:

@@ -140,18 +140,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 def _logistic(cols: np.ndarray, lens: np.ndarray, y: np.ndarray, r: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression on present features scaled by r (Nesterov steps)."""
     n, m = len(lens), len(r)
-    order = np.argsort(np.repeat(np.arange(n), lens), kind="stable")
-    rows = np.repeat(np.arange(n), lens)[order]
-    cols = cols[order]
+    full = np.flatnonzero(lens)  # rows with a feature; the others only meet the intercept
+    starts = (np.cumsum(lens) - lens)[full]
+    r = r.astype(np.float32)
     x = r[cols]
-    scale = np.maximum(np.sqrt(np.bincount(rows, x * x, minlength=n)), 1e-9)
-    step = 4.0 / (np.mean(scale**2) + 1.0)
+
+    def rows_sum(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(full):
+            out[full] = np.add.reduceat(v, starts)
+        return out
+
+    step = 4.0 / (np.mean(rows_sum(x * x)) + 1.0)
     w, b = np.zeros(m), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
     vw, vb = w.copy(), b
     for t in range(p.rounds):
-        z = np.bincount(rows, x * vw[cols], minlength=n) + vb
+        z = rows_sum((r * vw).astype(np.float32)[cols]) + vb
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gw = np.bincount(cols, x * g[rows], minlength=m) / n + p.l2 * vw
+        gw = r * np.bincount(cols, np.repeat(g, lens), minlength=m) / n + p.l2 * vw
         nw, nb = vw - step * gw, vb - step * g.mean()
         k = t / (t + 3.0)
         vw, vb = nw + k * (nw - w), nb + k * (nb - b)
