@@ -6,6 +6,7 @@ numpy on arrays and memory is bounded by the chunk size rather than by the parti
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -152,6 +153,40 @@ def padded(buf: np.ndarray, off: np.ndarray, i: int, j: int, pad: int, fill: int
     return out, starts, starts + lens
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: an idle Python worker would keep it otherwise, beside
+    the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def tidy(run):
+    """A function over Arrow batches that trims its worker when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def tidy_group(run):
+    """A function of one group that trims its worker afterwards."""
+
+    def tidied(table):
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return tidied
+
+
 def binary_array(values: list) -> pa.Array:
     return pa.array(values, pa.binary())
 

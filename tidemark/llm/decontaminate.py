@@ -163,7 +163,7 @@ def document_frequency(docs: DataFrame, seeds: Seeds) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], names=["seed", "n"])
 
     # one row for each seed of the block at most: bounded by block_chars
-    got = docs.select(F.col("text").cast("string")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+    got = docs.select(F.col("text").cast("string")).mapInArrow(common.tidy(run), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(len(seeds.key), np.int64), 0
     for r in got:
         if r.seed < 0:
@@ -245,4 +245,4 @@ def _block(src: DataFrame, benchmark: DataFrame, item_col: str, b: int, blocks:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_seeds", "score", "similarity"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(common.tidy(run), schema)

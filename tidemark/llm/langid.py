@@ -76,7 +76,7 @@ def idf(docs: DataFrame, params: Params) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], names=["bucket", "n"])
 
     # summed by bucket in the JVM: the driver gets at most 2**bits + 1 small rows
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(common.tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(size), 0
     for r in rows:
         if r.bucket < 0:
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", params:
 
     # at most max_rows ids are broadcast, at most max_rows sparse rows reach the driver
     sample = src.join(F.broadcast(few), "id").orderBy(F.xxhash64("id"), "id").limit(2 * p.max_rows).select("text", "lang")
-    got = [(r.lang, np.frombuffer(r.tf, np.float32).reshape(2, -1)) for r in sample.mapInArrow(run, "lang string, tf binary").collect()]
+    got = [(r.lang, np.frombuffer(r.tf, np.float32).reshape(2, -1)) for r in sample.mapInArrow(common.tidy(run), "lang string, tf binary").collect()]
     got = [(lang, tf) for lang, tf in got if tf.shape[1]]
     langs = tuple(sorted({g[0] for g in got}))
     if not langs:
@@ -196,4 +196,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(s)], names=[*names, "lang_pred", "score"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{out}, lang_pred string, score double")
+    return docs.mapInArrow(common.tidy(run), f"{out}, lang_pred string, score double")

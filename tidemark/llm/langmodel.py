@@ -129,7 +129,7 @@ def train(docs: DataFrame, params: Params = Params()) -> np.ndarray:
                 total, n = total + k * np.frombuffer(b, np.float32, offset=8).astype(np.float64), n + k
             return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "table": common.binary_array([(total / n).astype(np.float32).tobytes()])})
 
-        got = src.mapInArrow(run, "part int, table binary").groupBy("part").applyInArrow(average, "part int, table binary").collect()
+        got = src.mapInArrow(common.tidy(run), "part int, table binary").groupBy("part").applyInArrow(common.tidy_group(average), "part int, table binary").collect()
         w = w.copy()
         for r in got:
             w[edges[r.part] : edges[r.part + 1]] = np.frombuffer(r.table, np.float32).reshape(-1, p.classes)
@@ -167,7 +167,7 @@ def blocks(docs: DataFrame, held_out: Column, p: Params) -> DataFrame:
             yield out()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held"), F.spark_partition_id().alias("part"))
-    return src.mapInArrow(run, "block long, ids array<long>, held array<boolean>, lens array<long>, z binary")
+    return src.mapInArrow(common.tidy(run), "block long, ids array<long>, held array<boolean>, lens array<long>, z binary")
 
 
 def _open_block(row: dict, p: Params):
@@ -211,7 +211,7 @@ def asked(packed: DataFrame, shards: int, p: Params) -> DataFrame:
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["shard", "block", "hashes", "n", "class"])
 
-    return packed.mapInArrow(run, "shard int, block long, hashes binary, n binary, class binary")
+    return packed.mapInArrow(common.tidy(run), "shard int, block long, hashes binary, n binary, class binary")
 
 
 def answered(questions: DataFrame, p: Params) -> DataFrame:
@@ -235,7 +235,7 @@ def answered(questions: DataFrame, p: Params) -> DataFrame:
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["shard", "block", "n", "class_n", "class_v"])
 
-    return questions.groupBy("shard").applyInArrow(run, "shard int, block long, n binary, class_n array<long>, class_v array<long>")
+    return questions.groupBy("shard").applyInArrow(common.tidy_group(run), "shard int, block long, n binary, class_n array<long>, class_v array<long>")
 
 
 def score(docs: DataFrame, weights: np.ndarray, held_out: Column, params: Params = Params()) -> DataFrame:
@@ -277,4 +277,4 @@ def score(docs: DataFrame, weights: np.ndarray, held_out: Column, params: Params
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     joined = packed.join(replies, "block").select("ids", "held", "lens", "z", "replies")
-    return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined.mapInArrow(common.tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

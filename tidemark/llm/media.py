@@ -173,7 +173,7 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, html string, media_digest string, media binary, n_bytes long")
+    return src.mapInArrow(common.tidy(run), "id long, html string, media_digest string, media binary, n_bytes long")
 
 
 def parse_sequences(pages: DataFrame, id_col: str = "id", html_col: str = "html") -> DataFrame:
@@ -186,7 +186,7 @@ def parse_sequences(pages: DataFrame, id_col: str = "id", html_col: str = "html"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, kind)], names=["id", "sequence"])
 
     src = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
-    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, sequence {SEQUENCE}")
+    return src.mapInArrow(common.tidy(run), f"id {dict(src.dtypes)['id']}, sequence {SEQUENCE}")
 
 
 def read_media(store: DataFrame, digest_col: str = "media_digest", media_col: str = "media", with_payload: bool = False) -> DataFrame:
@@ -208,7 +208,7 @@ def read_media(store: DataFrame, digest_col: str = "media_digest", media_col: st
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["media_digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature", "payload"])
 
     src = store.select(F.col(digest_col).alias("media_digest"), F.col(media_col).alias("media"))
-    return src.mapInArrow(run, "media_digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string, payload binary")
+    return src.mapInArrow(common.tidy(run), "media_digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string, payload binary")
 
 
 def resolve(sequences: DataFrame, objects: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ is cut; equal rows are packed separately; a null doc_id stays null. Extra column
 from __future__ import annotations
 
 import os
+from array import array
 from collections import deque
 
 import numpy as np
@@ -33,7 +34,7 @@ STRIDE = 16  # tokens between cut points inside a sentence
 FLUSH = 1 << 20  # tokens held before finished sequences are emitted
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the tokenizer's own pattern
 _SIMPLE = regex.compile(r"[\x21-\x7e¡-ɏ]+")
-_MAX_WORDS = 500_000
+_MAX_WORDS = 350_000  # words that a worker remembers; then it starts again
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,7 +69,7 @@ class WordIds(dict):
 
     def reset(self):
         self.clear()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.fresh: list[bytes] = []
         self.flat = np.array([self.end_id], np.uint32)
         self.starts, self.lens = np.zeros(1, np.int64), np.ones(1, np.int64)
@@ -80,24 +81,26 @@ class WordIds(dict):
         self.fresh.append(word)
         return k
 
-    def _ids(self, word: bytes) -> list[int]:
+    def _ids(self, word: bytes) -> bytes:
+        """The word's ids as 32-bit numbers."""
         s = word.decode()
         if not _SIMPLE.fullmatch(s) or "<|" in s:
-            return self.tokenizer.encode(s, add_special_tokens=False).ids
-        out: list[int] = []
+            return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+        out = []
         for piece in _PIECE.findall(s.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            out += ids
-        return out
+                found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+                ids = self.pieces[piece] = array("I", [t.id for t in found]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def learn(self):
         """Tokenises the words met since the last call."""
         if self.fresh:
             ids = [self._ids(w) for w in self.fresh]
-            lens = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((t for x in ids for t in x), np.uint32, int(lens.sum()))
+            lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), np.uint32)
             starts = len(self.flat) + np.cumsum(lens) - lens
             stops = np.array([w.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?") for w in self.fresh], bool)
             self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
@@ -251,4 +254,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    return src.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return src.mapInArrow(common.tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

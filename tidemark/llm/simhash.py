@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(common.tidy(run), "doc_id long, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             yield links(held_k, held_f)
 
     parts = posting.repartition(common.partitions(distinct.sparkSession), "key").sortWithinPartitions("key").select("key", "fp")
-    return parts.mapInArrow(run, "a long, b long").distinct()
+    return parts.mapInArrow(common.tidy(run), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -224,7 +224,7 @@ def sketches(docs: DataFrame, p: NearParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), common.binary_array(cols[2])], names=["doc_id", "digest", "keys", "sketch"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, digest long, keys array<long>, sketch binary")
+    return src.mapInArrow(common.tidy(run), "doc_id long, digest long, keys array<long>, sketch binary")
 
 
 def _similar(a: np.ndarray, na: int, b: np.ndarray, nb: int, p: NearParams) -> bool:
@@ -275,7 +275,7 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
             held_k, held_i = key[ends], ids[ends]
 
     dealt = posting.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "doc_id").select("key", "doc_id")
-    tallied = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= p.shared)
+    tallied = dealt.mapInArrow(common.tidy(run), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= p.shared)
 
     def verify(batches):
         for batch in batches:
@@ -288,7 +288,7 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
 
     s = sk.select("doc_id", "sketch")
     pairs = tallied.join(s.withColumnsRenamed({"doc_id": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sketch": "sb"}), "b")
-    links = pairs.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    links = pairs.select("a", "b", "sa", "sb").mapInArrow(common.tidy(verify), "a long, b long")
     comp = connected(links).withColumnRenamed("node", "rep")
     by_digest = same.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return sk.select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "component_id")

@@ -46,8 +46,8 @@ _SETTLED = 255  # in place of the bytes to the left: the window starts in a smal
 class Params:
     length: int = 50
     kmer: int = 26
-    chunk: int = 1 << 20  # bytes scanned at once
-    block: int = 2_000_000  # entries of one batch of the family
+    chunk: int = 1 << 18  # bytes scanned at once
+    block: int = 400_000  # entries of one batch of the family
     hot: int = 50_000  # contexts of one k-mer beyond which its windows are dealt out singly
 
     @property
@@ -195,7 +195,7 @@ def index_entries(docs: DataFrame, shards: int, p: Params) -> DataFrame:
         if held:
             yield blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "shard int, kind int, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), "shard int, kind int, blob binary")
 
 
 class SuffixFamily:
@@ -268,7 +268,7 @@ def shard_verdicts(entries: DataFrame, p: Params) -> DataFrame:
             marks.append(pos * 4 + np.where((kind == 1) & (classes > p.hot), 2, kind))
         return pa.table({"doc_id": np.concatenate(docs), "mark": np.concatenate(marks)})
 
-    return entries.groupBy("shard").applyInArrow(run, "doc_id long, mark long")
+    return entries.groupBy("shard").applyInArrow(common.tidy_group(run), "doc_id long, mark long")
 
 
 def open_contexts(joined: DataFrame, shards: int, p: Params) -> DataFrame:
@@ -325,7 +325,7 @@ def open_contexts(joined: DataFrame, shards: int, p: Params) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), common.binary_array(list(cols[1]))], names=["shard", "blob"])
 
     # all columns are read here as in the last step, so that both share one exchange of the texts
-    return joined.mapInArrow(run, "shard int, blob binary")
+    return joined.mapInArrow(common.tidy(run), "shard int, blob binary")
 
 
 def window_verdicts(contexts: DataFrame, p: Params) -> DataFrame:
@@ -359,7 +359,7 @@ def window_verdicts(contexts: DataFrame, p: Params) -> DataFrame:
         at = np.flatnonzero(mask)
         return pa.table({"doc_id": doc[at], "mask": (pos[at] << p.window) | mask[at]})
 
-    return contexts.groupBy("shard").applyInArrow(run, "doc_id long, mask long")
+    return contexts.groupBy("shard").applyInArrow(common.tidy_group(run), "doc_id long, mask long")
 
 
 def covered(size: int, marks: np.ndarray | None, masks: np.ndarray | None, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -389,7 +389,7 @@ def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest",
     columns, which need distinct doc_ids."""
     p = params
     spark = docs.sparkSession
-    shards = 2 * common.partitions(spark)
+    shards = 4 * common.partitions(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     marks = shard_verdicts(index_entries(src.where("doc_id is not null"), shards, p), p)
     marks = marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
@@ -403,7 +403,7 @@ def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest",
 
     kinds = dict(src.dtypes)
     more = "".join(f", `{c}` {kinds[c]}" for c in extra)
-    packed = src.mapInArrow(squeeze, f"doc_id long, z binary, present boolean{more}")
+    packed = src.mapInArrow(common.tidy(squeeze), f"doc_id long, z binary, present boolean{more}")
     joined = packed.join(marks, "doc_id", "left")
     masks = window_verdicts(open_contexts(joined, shards, p), p).groupBy("doc_id").agg(F.collect_list("mask").alias("masks"))
     full = joined.join(masks, "doc_id", "left").select("doc_id", "z", "present", "marks", "masks", *extra)
@@ -429,8 +429,8 @@ def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest",
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     if output == "text":
-        return full.mapInArrow(finish, f"doc_id long, text string{more}")
-    return full.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+        return full.mapInArrow(common.tidy(finish), f"doc_id long, text string{more}")
+    return full.mapInArrow(common.tidy(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
 #: All strings of 50 bytes as hexadecimal digits, cut from pieces so that each cut is short.

@@ -86,7 +86,7 @@ def _counts(sample: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([common.binary_array([seen.tobytes()]), common.binary_array([total.tobytes()])], names=["seen", "total"])
 
     seen, total = np.zeros((2, 1 << p.bits), np.int64), np.zeros(2, np.int64)
-    for r in sample.mapInArrow(run, "seen binary, total binary").collect():
+    for r in sample.mapInArrow(common.tidy(run), "seen binary, total binary").collect():
         seen += np.frombuffer(r.seen, np.int32).reshape(2, -1)
         total += np.frombuffer(r.total, np.int64)
     return seen, total
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
                     out[i + k] = slot[f[cut[k] : cut[k + 1]]].astype(np.int32).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), common.binary_array(out)], names=["label", "slots"])
 
-    got = [(min(1, max(0, r.label)), np.frombuffer(r.slots, np.int32)) for r in spark_sample.mapInArrow(rows_of, "label int, slots binary").collect()]
+    got = [(min(1, max(0, r.label)), np.frombuffer(r.slots, np.int32)) for r in spark_sample.mapInArrow(common.tidy(rows_of), "label int, slots binary").collect()]
     y = np.array([g[0] for g in got], np.float64)
     lens = np.array([len(g[1]) for g in got])
     cols = np.concatenate([g[1] for g in got]).astype(np.int64)
@@ -182,4 +182,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*names, score_col])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.mapInArrow(run, f"{out}, `{score_col}` double")
+    return docs.mapInArrow(common.tidy(run), f"{out}, `{score_col}` double")

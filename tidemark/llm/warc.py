@@ -153,7 +153,7 @@ def to_arc(pages: DataFrame, version: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([common.binary_array([write_arc(held, version)])], names=["arc"])
 
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return src.mapInArrow(run, "arc binary")
+    return src.mapInArrow(common.tidy(run), "arc binary")
 
 
 _RECORD = "page_id long, url string, stamp string, digest string, body binary"
@@ -174,7 +174,7 @@ def arc_records(arcs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["page_id", "url", "stamp", "digest", "body"])
 
-    return arcs.mapInArrow(run, _RECORD)
+    return arcs.mapInArrow(common.tidy(run), _RECORD)
 
 
 def originals(arcs: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -192,7 +192,7 @@ def originals(arcs: DataFrame, min_bytes: int = 0) -> DataFrame:
                         digests.append(base32_sha1(payload))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string())], names=["page_id", "digest"])
 
-    ids = arcs.mapInArrow(run, "page_id long, digest string")
+    ids = arcs.mapInArrow(common.tidy(run), "page_id long, digest string")
     return ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").select("digest", "refers_to")
 
 
@@ -218,7 +218,7 @@ def convert(arcs: DataFrame, min_bytes: int = 0) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([common.binary_array([b"".join(held)])], names=["archive"])
 
-    return joined.mapInArrow(run, "archive binary")
+    return joined.mapInArrow(common.tidy(run), "archive binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"])
 
-    return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string")
+    return archives.mapInArrow(common.tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string")
 
 
 def pages_to_warc(pages: DataFrame, version: int = 1, min_bytes: int = 0) -> DataFrame:
