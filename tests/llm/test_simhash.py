@@ -134,3 +134,43 @@ def test_lists_may_span_batches():
         ends = [int(np.searchsorted(k, k[-1])), len(k) - 1]
         hk, hi = k[ends], i[ends]
     assert sorted(got) == whole
+
+
+def shingle_set(text, width=5):
+    w = text.lower().split()
+    return {" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+
+
+def brute_groups(texts, similarity=0.8):
+    """{doc_id: text} -> {doc_id: smallest doc_id that similar pairs reach}."""
+    sets, parent = {d: shingle_set(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        shared = len(sets[a] & sets[b])
+        if 1e9 * shared >= 1e9 * similarity * len(sets[a] | sets[b]) - 1:
+            ra, rb = root(a), root(b)
+            parent[max(ra, rb)] = min(ra, rb)
+    return {d: root(d) for d in texts}
+
+
+def near(spark, texts):
+    return {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+
+def test_near_groups_of_short_texts(spark):
+    """From 1 shingle up: one more word (4 shingles and 5 are similar at 0.8), and an edit at an end."""
+    rng = np.random.default_rng(8)
+    texts = {}
+    for n in range(1, 41):
+        for c in range(4):
+            w = [f"w{x}" for x in rng.integers(0, 1 << 40, n + 4)]
+            for v in (w, [*w, "more"], ["edited", *w[1:]], w[:-1]):
+                texts[len(texts)] = " ".join(v)
+    want = brute_groups(texts)
+    assert len(set(want.values())) < len(want) / 2
+    assert near(spark, texts) == want

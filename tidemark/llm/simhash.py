@@ -7,9 +7,10 @@ posting lists short, a list is keyed by four bytes at four positions; the 22 pos
 are such that any 5 shared positions contain one of them, so no pair is lost.
 
 `near_groups` finds documents whose sets of word shingles are similar (0.8 by default), which
-a single fingerprint of 64 bits can't separate: such pairs differ in about 10 bits. There the
-shingles are dealt by hash into small bins, each bin has its own SimHash, and the positional
-bytes of these binned fingerprints are indexed; pairs are verified on a sketch of the sets.
+a single fingerprint of 64 bits can't separate: such pairs differ in about 10 bits. There no
+fingerprints are used: sets are indexed by their first shingles in one common order (prefix
+filtering), of which similar sets of any size share one; pairs are verified on a sketch of the
+sets.
 
 Equal fingerprints are one index entry, however many documents have them. Within a posting
 list fingerprints are linked to earlier ones by blocks, and only a spanning forest of the
@@ -183,48 +184,83 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
 class NearParams:
     width: int = 5
     similarity: float = 0.8
-    bins: int = 16  # binned fingerprints indexed at each of two levels
-    shared: int = 2  # bins that a pair has to share
     sketch: int = 128  # smallest shingle hashes kept to verify a pair
+    heavy: int = 1 << 17  # shingles at most that are known to be common and indexed last
+    heavy_count: int = 32  # documents at least that hold a common shingle
 
 
-def bin_keys(hashes: np.ndarray, p: NearParams) -> np.ndarray:
-    """Index keys of a set of shingle hashes: for two levels, the SimHash of each of the first
-    bins, mixed with the level and the bin. Sets of similar size share a level."""
+#: Shingle hashes counted at once to find common ones, and the count there from which it is passed on.
+_COUNTED, _SEVERAL = 2_000_000, 3
+
+
+def _at_least(x):
+    """The smallest whole number not below x, up to rounding."""
+    return np.ceil(x - 1e-9).astype(np.int64)
+
+
+def prefix_keys(hashes: np.ndarray, heavy: np.ndarray, p: NearParams) -> np.ndarray:
+    """Index keys of a set of shingle hashes (sorted, distinct). All sets are put in one order,
+    common shingles (sorted, in `heavy`) last; two sets of the wanted similarity share at least
+    one of their first n - ceil(similarity * n) + 1. Which ones count as common decides the
+    length of the lists only."""
     n = len(hashes)
-    level = max(0, int(np.floor(np.log2(max(n, 1) / 3.0))))
-    keys = []
-    spread = common.mix(hashes.copy())
-    for lv in (level, level + 1):
-        b = (spread & U64((1 << lv) - 1)).astype(np.int64)
-        at = np.flatnonzero(b < p.bins)
-        at = at[np.lexsort((hashes[at], b[at]))]
-        if not len(at):
-            continue
-        cut = np.flatnonzero(np.r_[True, np.diff(b[at]) != 0])
-        size = np.diff(np.r_[cut, len(at)])
-        bits = 2 * bit_counts(hashes[at], cut) > size[:, None]
-        fp = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-        keys.append(common.mix(fp ^ common.mix((b[at][cut].astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(lv))))
-    return np.concatenate(keys)
+    last = np.isin(hashes, heavy, assume_unique=True)
+    return np.concatenate([hashes[~last], hashes[last]])[: n - _at_least(p.similarity * n) + 1] if n else hashes
+
+
+def _shingle_sets(column: pa.Array, p: NearParams):
+    buf, off = common.flat_text(column)
+    for k in range(len(column)):
+        yield np.unique(shingle_hashes(buf[off[k] : off[k + 1]].tobytes(), p.width))
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
 def sketches(docs: DataFrame, p: NearParams) -> DataFrame:
-    """(doc_id, digest, keys, sketch): of each document's set of shingles."""
+    """(doc_id, digest, sketch): of each document's set of shingles. Rows without a doc_id are of
+    shingles that several documents of a task hold: digest is the shingle, n their number."""
+
+    def counted(seen):
+        h, n = np.unique(np.concatenate(seen), return_counts=True)
+        h, n = h[n >= _SEVERAL], n[n >= _SEVERAL]
+        none = pa.nulls(len(h), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(h.view(np.int64)), pa.nulls(len(h), pa.binary()), pa.array(n)], names=["doc_id", "digest", "sketch", "n"])
 
     def run(batches):
+        seen, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            buf, off = common.flat_text(batch.column(1))
-            cols: list[list] = [[], [], []]
-            for k in range(batch.num_rows):
-                h = np.unique(shingle_hashes(buf[off[k] : off[k + 1]].tobytes(), p.width))
-                cols[0].append(int(np.bitwise_xor.reduce(common.mix(h.copy()), initial=U64(len(h))).view(np.int64)))
-                cols[1].append(bin_keys(h, p).view(np.int64) if len(h) else np.zeros(0, np.int64))
-                cols[2].append(h[: p.sketch].tobytes() + len(h).to_bytes(8, "little"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), common.binary_array(cols[2])], names=["doc_id", "digest", "keys", "sketch"])
+            digests, kept = [], []
+            for h in _shingle_sets(batch.column(1), p):
+                digests.append(int(np.bitwise_xor.reduce(common.mix(h.copy()), initial=U64(len(h))).view(np.int64)))
+                kept.append(h[: p.sketch].tobytes() + len(h).to_bytes(8, "little"))
+                seen.append(h)
+                held += len(h)
+                if held > _COUNTED:
+                    yield counted(seen)
+                    seen, held = [np.zeros(0, np.uint64)], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), common.binary_array(kept), pa.nulls(batch.num_rows, pa.int64())], names=["doc_id", "digest", "sketch", "n"])
+        yield counted(seen)
+
+    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, digest long, sketch binary, n long")
+
+
+def _heavy(sk: DataFrame, p: NearParams) -> np.ndarray:
+    """The most common shingles, sorted; at most p.heavy of them."""
+    total = sk.where("doc_id is null").groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") >= p.heavy_count)
+    return np.sort(total.orderBy(F.desc("n"), "digest").limit(p.heavy).select("digest").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def prefixes(docs: DataFrame, heavy: np.ndarray, p: NearParams) -> DataFrame:
+    """(doc_id, keys): the index keys of each document."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [prefix_keys(h, heavy, p).view(np.int64) for h in _shingle_sets(batch.column(1), p)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(common.tidy(run), "doc_id long, digest long, keys array<long>, sketch binary")
+    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, keys array<long>")
 
 
 def _similar(a: np.ndarray, na: int, b: np.ndarray, nb: int, p: NearParams) -> bool:
@@ -256,9 +292,10 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
     linked through them share a component, named by its smallest doc_id."""
     p = params
     spark = docs.sparkSession
-    sk = common.materialize(sketches(docs.where("doc_id is not null"), p), "sketches")
+    both = common.materialize(sketches(docs, p), "sketches")
+    sk = both.where("doc_id is not null").drop("n")
     same = sk.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = sk.select("doc_id", "keys", "sketch").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = prefixes(docs, _heavy(both, p), p).join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     posting = reps.select("doc_id", F.explode("keys").alias("key"))
 
     def run(batches):
@@ -275,7 +312,7 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
             held_k, held_i = key[ends], ids[ends]
 
     dealt = posting.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "doc_id").select("key", "doc_id")
-    tallied = dealt.mapInArrow(common.tidy(run), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= p.shared)
+    found = dealt.mapInArrow(common.tidy(run), "a long, b long").distinct()
 
     def verify(batches):
         for batch in batches:
@@ -287,7 +324,7 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     s = sk.select("doc_id", "sketch")
-    pairs = tallied.join(s.withColumnsRenamed({"doc_id": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sketch": "sb"}), "b")
+    pairs = found.join(s.withColumnsRenamed({"doc_id": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sketch": "sb"}), "b")
     links = pairs.select("a", "b", "sa", "sb").mapInArrow(common.tidy(verify), "a long, b long")
     comp = connected(links).withColumnRenamed("node", "rep")
     by_digest = same.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
