@@ -174,3 +174,16 @@ def test_near_groups_of_short_texts(spark):
     want = brute_groups(texts)
     assert len(set(want.values())) < len(want) / 2
     assert near(spark, texts) == want
+
+
+def test_near_groups_at_the_threshold(spark):
+    """Long texts: 400 shingles and 500 are similar at exactly 0.8, 400 and 501 are not."""
+    rng = np.random.default_rng(9)
+    texts = {}
+    for more in (80, 90, 95, 99, 100, 101, 102, 105, 110) * 4:
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, 404 + more)]
+        texts[len(texts)] = " ".join(w[:404])
+        texts[len(texts)] = " ".join(w)
+    want = brute_groups(texts)
+    assert len(texts) - len(set(want.values())) == 20
+    assert near(spark, texts) == want

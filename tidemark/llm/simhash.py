@@ -9,8 +9,7 @@ are such that any 5 shared positions contain one of them, so no pair is lost.
 `near_groups` finds documents whose sets of word shingles are similar (0.8 by default), which
 a single fingerprint of 64 bits can't separate: such pairs differ in about 10 bits. There no
 fingerprints are used: sets are indexed by their first shingles in one common order (prefix
-filtering), of which similar sets of any size share one; pairs are verified on a sketch of the
-sets.
+filtering), of which similar sets of any size share one; pairs are verified on the whole sets.
 
 Equal fingerprints are one index entry, however many documents have them. Within a posting
 list fingerprints are linked to earlier ones by blocks, and only a spanning forest of the
@@ -184,7 +183,6 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
 class NearParams:
     width: int = 5
     similarity: float = 0.8
-    sketch: int = 128  # smallest shingle hashes kept to verify a pair
     heavy: int = 1 << 17  # shingles at most that are known to be common and indexed last
     heavy_count: int = 32  # documents at least that hold a common shingle
 
@@ -218,32 +216,30 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
-def sketches(docs: DataFrame, p: NearParams) -> DataFrame:
-    """(doc_id, digest, sketch): of each document's set of shingles. Rows without a doc_id are of
+def digests(docs: DataFrame, p: NearParams) -> DataFrame:
+    """(doc_id, digest): of each document's set of shingles. Rows without a doc_id are of
     shingles that several documents of a task hold: digest is the shingle, n their number."""
 
     def counted(seen):
         h, n = np.unique(np.concatenate(seen), return_counts=True)
         h, n = h[n >= _SEVERAL], n[n >= _SEVERAL]
-        none = pa.nulls(len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(h.view(np.int64)), pa.nulls(len(h), pa.binary()), pa.array(n)], names=["doc_id", "digest", "sketch", "n"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n)], names=["doc_id", "digest", "n"])
 
     def run(batches):
         seen, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            digests, kept = [], []
+            found = []
             for h in _shingle_sets(batch.column(1), p):
-                digests.append(int(np.bitwise_xor.reduce(common.mix(h.copy()), initial=U64(len(h))).view(np.int64)))
-                kept.append(h[: p.sketch].tobytes() + len(h).to_bytes(8, "little"))
+                found.append(int(np.bitwise_xor.reduce(common.mix(h.copy()), initial=U64(len(h))).view(np.int64)))
                 seen.append(h)
                 held += len(h)
                 if held > _COUNTED:
                     yield counted(seen)
                     seen, held = [np.zeros(0, np.uint64)], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), common.binary_array(kept), pa.nulls(batch.num_rows, pa.int64())], names=["doc_id", "digest", "sketch", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.nulls(batch.num_rows, pa.int64())], names=["doc_id", "digest", "n"])
         yield counted(seen)
 
-    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, digest long, sketch binary, n long")
+    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, digest long, n long")
 
 
 def _heavy(sk: DataFrame, p: NearParams) -> np.ndarray:
@@ -263,15 +259,24 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, p: NearParams) -> DataFrame:
     return _source(docs).mapInArrow(common.tidy(run), "doc_id long, keys array<long>")
 
 
-def _similar(a: np.ndarray, na: int, b: np.ndarray, nb: int, p: NearParams) -> bool:
-    """Whether two sets are similar, by their sketches (exact for sets no larger than a sketch)."""
-    if min(na, nb) < p.similarity * max(na, nb):
+def shingle_sets(docs: DataFrame, p: NearParams) -> DataFrame:
+    """(doc_id, shingles): the whole set of each document, as sorted 64-bit hashes."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), common.binary_array([h.tobytes() for h in _shingle_sets(batch.column(1), p)])], names=["doc_id", "shingles"])
+
+    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, shingles binary")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, p: NearParams) -> bool:
+    """Whether two whole sets (sorted) are similar."""
+    na, nb = len(a), len(b)
+    if min(na, nb) < _at_least(p.similarity * max(na, nb)):
         return False
-    both = np.union1d(a, b)
-    if max(na, nb) > p.sketch:
-        both = both[: p.sketch]
-    shared = np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)
-    return bool(shared.sum() >= p.similarity * len(both))
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return bool(shared >= _at_least(p.similarity * (na + nb - shared)))
 
 
 def _pairs(keys: np.ndarray, ids: np.ndarray, carried: int = 0) -> np.ndarray:
@@ -287,12 +292,25 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, carried: int = 0) -> np.ndarray:
     return np.concatenate([one, two])
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are similar."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            ok = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(common.tidy(run), "a long, b long")
+
+
 def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """(doc_id, component_id) of every document with a non-null id; similar documents and those
     linked through them share a component, named by its smallest doc_id."""
     p = params
     spark = docs.sparkSession
-    both = common.materialize(sketches(docs, p), "sketches")
+    both = common.materialize(digests(docs, p), "digests")
     sk = both.where("doc_id is not null").drop("n")
     same = sk.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = prefixes(docs, _heavy(both, p), p).join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -312,20 +330,11 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
             held_k, held_i = key[ends], ids[ends]
 
     dealt = posting.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "doc_id").select("key", "doc_id")
-    found = dealt.mapInArrow(common.tidy(run), "a long, b long").distinct()
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.as_py(), y.as_py()
-                keep.append(_similar(np.frombuffer(x[:-8], np.uint64), int.from_bytes(x[-8:], "little"), np.frombuffer(y[:-8], np.uint64), int.from_bytes(y[-8:], "little"), p))
-            ok = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
-
-    s = sk.select("doc_id", "sketch")
-    pairs = found.join(s.withColumnsRenamed({"doc_id": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sketch": "sb"}), "b")
-    links = pairs.select("a", "b", "sa", "sb").mapInArrow(common.tidy(verify), "a long, b long")
+    found = common.materialize(dealt.mapInArrow(common.tidy(run), "a long, b long").distinct(), "candidates")
+    # whole sets of those documents only that are in a pair, written once
+    wanted = found.select(F.col("a").alias("doc_id")).union(found.select(F.col("b").alias("doc_id"))).distinct()
+    sets = common.materialize(shingle_sets(docs.select("doc_id", "text").join(common.materialize(wanted, "wanted"), "doc_id", "left_semi"), p), "sets")
+    links = _verified(found, sets, p)
     comp = connected(links).withColumnRenamed("node", "rep")
     by_digest = same.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return sk.select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "component_id")
