@@ -187,3 +187,20 @@ def test_near_groups_at_the_threshold(spark):
     want = brute_groups(texts)
     assert len(texts) - len(set(want.values())) == 20
     assert near(spark, texts) == want
+
+
+def test_near_groups_of_families(spark):
+    """Copies of one text with different edits, about half of the pairs similar; the smallest ids
+    are of copies that are similar to few others, so that lists begin with them."""
+    rng = np.random.default_rng(10)
+    texts = {}
+    for g in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 204)]
+        for c in range(40):
+            w = list(base)
+            for k in rng.choice(200, 5 if c < 15 else 3 if c < 30 else 2, replace=False):
+                w[k] = f"e{c}"
+            texts[len(texts)] = " ".join(w)
+    want = brute_groups(texts)
+    assert 20 < len(set(want.values())) < 220
+    assert near(spark, texts) == want

@@ -9,7 +9,8 @@ are such that any 5 shared positions contain one of them, so no pair is lost.
 `near_groups` finds documents whose sets of word shingles are similar (0.8 by default), which
 a single fingerprint of 64 bits can't separate: such pairs differ in about 10 bits. There no
 fingerprints are used: sets are indexed by their first shingles in one common order (prefix
-filtering), of which similar sets of any size share one; pairs are verified on the whole sets.
+filtering), of which similar sets of any size share one; pairs are verified on the whole sets. Each member of a list is first paired with two others;
+lists whose members are then in different components have all pairs across components settled.
 
 Equal fingerprints are one index entry, however many documents have them. Within a posting
 list fingerprints are linked to earlier ones by blocks, and only a spanning forest of the
@@ -189,6 +190,8 @@ class NearParams:
 
 #: Shingle hashes counted at once to find common ones, and the count there from which it is passed on.
 _COUNTED, _SEVERAL = 2_000_000, 3
+#: Parity bits kept of a set.
+_PARITY = 1024
 
 
 def _at_least(x):
@@ -216,30 +219,40 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bit k: whether an odd number of the hashes have bucket k. Bits of two sets differ in at most
+    as many places as the sets have elements that the other one lacks."""
+    odd = np.bincount((common.mix(hashes.copy()) & U64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
 def digests(docs: DataFrame, p: NearParams) -> DataFrame:
-    """(doc_id, digest): of each document's set of shingles. Rows without a doc_id are of
-    shingles that several documents of a task hold: digest is the shingle, n their number."""
+    """(doc_id, digest, n, bits): of each document's set of shingles, n their number and bits their
+    parity. Rows without a doc_id are of shingles that several documents of a task hold:
+    digest is the shingle, n their number."""
 
     def counted(seen):
         h, n = np.unique(np.concatenate(seen), return_counts=True)
         h, n = h[n >= _SEVERAL], n[n >= _SEVERAL]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n)], names=["doc_id", "digest", "n"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary())], names=["doc_id", "digest", "n", "bits"])
 
     def run(batches):
         seen, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            found = []
+            found, sizes, bits = [], [], []
             for h in _shingle_sets(batch.column(1), p):
                 found.append(int(np.bitwise_xor.reduce(common.mix(h.copy()), initial=U64(len(h))).view(np.int64)))
+                sizes.append(len(h))
+                bits.append(parity(h).tobytes())
                 seen.append(h)
                 held += len(h)
                 if held > _COUNTED:
                     yield counted(seen)
                     seen, held = [np.zeros(0, np.uint64)], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.nulls(batch.num_rows, pa.int64())], names=["doc_id", "digest", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), common.binary_array(bits)], names=["doc_id", "digest", "n", "bits"])
         yield counted(seen)
 
-    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, digest long, n long")
+    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, digest long, n long, bits binary")
 
 
 def _heavy(sk: DataFrame, p: NearParams) -> np.ndarray:
@@ -269,6 +282,18 @@ def shingle_sets(docs: DataFrame, p: NearParams) -> DataFrame:
     return _source(docs).mapInArrow(common.tidy(run), "doc_id long, shingles binary")
 
 
+def _words(column: pa.Array) -> np.ndarray:
+    """Rows of parity bits as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _possible(na: np.ndarray, nb: np.ndarray, far: np.ndarray, p: NearParams) -> np.ndarray:
+    """Whether sets of these sizes and this many unlike parity bits may be similar: no similar pair is
+    ruled out, as it has at most `spare` elements that are in one set only."""
+    spare = na + nb - 2 * _at_least(p.similarity / (1 + p.similarity) * (na + nb))
+    return (far <= spare) & (np.abs(na - nb) <= spare)
+
+
 def _similar(a: np.ndarray, b: np.ndarray, p: NearParams) -> bool:
     """Whether two whole sets (sorted) are similar."""
     na, nb = len(a), len(b)
@@ -279,21 +304,119 @@ def _similar(a: np.ndarray, b: np.ndarray, p: NearParams) -> bool:
     return bool(shared >= _at_least(p.similarity * (na + nb - shared)))
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, carried: int = 0) -> np.ndarray:
-    """(id, partner) of sorted posting lists: every member with the list's first one, and with the
-    member before it, so that lists of any length give two rows a member. The first `carried`
-    rows stand for a list that has begun before; they give no rows of their own."""
+def _partners(keys: np.ndarray, carried: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of sorted posting lists that aren't their list's first, and the rows of that first one
+    and of the member before. The first `carried` rows stand for a list that has begun before."""
     new = np.r_[True, keys[1:] != keys[:-1]]
     first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
     at = np.flatnonzero(~new)
     at = at[at >= carried]
-    one = np.stack([ids[at], ids[first[at]]], 1)
-    two = np.stack([ids[at], ids[at - 1]], 1)[ids[at - 1] != ids[first[at]]]
+    return at, first[at], at - 1
+
+
+def _pairs(keys: np.ndarray, ids: np.ndarray, carried: int = 0) -> np.ndarray:
+    """(id, partner) of sorted posting lists: every member with the list's first one, and with the
+    member before it, so that lists of any length give two rows a member. The first `carried`
+    rows stand for a list that has begun before; they give no rows of their own."""
+    at, first, before = _partners(keys, carried)
+    one = np.stack([ids[at], ids[first]], 1)
+    two = np.stack([ids[at], ids[before]], 1)[ids[before] != ids[first]]
     return np.concatenate([one, two])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar."""
+def _cross(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: np.ndarray, nearest: bool, p: NearParams, block: int = 512):
+    """(id, partner) of the pairs of one posting list that are in different components and may be
+    similar by their parity bits, which rule out no similar pair. `nearest`: only the likeliest
+    partner of each member outside of the largest component."""
+    kinds, n = np.unique(comp, return_counts=True)
+    minor = np.flatnonzero(comp != kinds[n.argmax()])
+    for i in range(0, len(minor), block):
+        x = minor[i : i + block]
+        best, who = np.full(len(x), _PARITY + 1), np.zeros(len(x), np.int64)
+        for j in range(0, len(ids), block):
+            y = np.arange(j, min(j + block, len(ids)))
+            far = np.zeros((len(x), len(y)), np.int64)
+            for w in range(bits.shape[1]):
+                far += popcount(bits[x, w][:, None] ^ bits[y, w][None])
+            ok = (comp[x][:, None] != comp[y][None]) & _possible(size[x][:, None], size[y][None], far, p)
+            if nearest:
+                far = np.where(ok, far, _PARITY + 1)
+                k = far.argmin(1)
+                low = far[np.arange(len(x)), k]
+                who, best = np.where(low < best, y[k], who), np.minimum(best, low)
+            else:
+                r, c = np.nonzero(ok)
+                yield np.stack([ids[x[r]], ids[y[c]]], 1)
+        if nearest:
+            yield np.stack([ids[x], ids[who]], 1)[best <= _PARITY]
+
+
+def _whole_lists(batches):
+    """The columns of each posting list (key, id, component, size, bits) of batches sorted by key."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in range(4)]
+        cols.append(_words(batch.column(4)))
+        if held and held[0][0][0] == cols[0][-1]:
+            held.append(cols)
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, cols, strict=True)]
+        cut = np.r_[0, np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1]
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield [c[a:b] for c in cols]
+        held = [[c[cut[-1] :] for c in cols]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _across(members: DataFrame, comp: DataFrame, known: DataFrame, nearest: bool, p: NearParams) -> DataFrame:
+    """(a, b) of members of one posting list whose components differ; see _cross()."""
+    placed = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+
+    def run(batches):
+        rows, n = [np.zeros((0, 2), np.int64)], 0
+
+        def out():
+            v = np.unique(np.concatenate(rows), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(v.max(1, initial=-(1 << 63))), pa.array(v.min(1, initial=(1 << 63) - 1))], names=["a", "b"])
+
+        for _, *cols in _whole_lists(batches):
+            for v in _cross(*cols, nearest, p):
+                rows.append(v)
+                n += len(v)
+                if n > 200_000:
+                    yield out()
+                    rows, n = [np.zeros((0, 2), np.int64)], 0
+        yield out()
+
+    dealt = placed.join(mixed, "key", "left_semi").join(known, "doc_id").repartition(common.partitions(members.sparkSession), "key").sortWithinPartitions("key", "doc_id")
+    return dealt.select("key", "doc_id", "component", "n", "bits").mapInArrow(common.tidy(run), "a long, b long").where("a <> b").distinct()
+
+
+def _beside(pairs: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
+    """Pairs (a, b) with these columns of both."""
+    for x in "ab":
+        pairs = pairs.join(known.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols)), x)
+    return pairs.select("a", "b", *(f"{c}_{x}" for c in cols for x in "ab"))
+
+
+def _plausible(pairs: DataFrame, known: DataFrame, p: NearParams) -> DataFrame:
+    """Those pairs (a, b) that sizes and parity bits don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            far = popcount(_words(batch.column(4)) ^ _words(batch.column(5))).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            ok = pa.array(_possible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), far, p))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return _beside(pairs, known, "n", "bits").mapInArrow(common.tidy(run), "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are similar. Sets are written once, of the documents in pairs."""
 
     def run(batches):
         for batch in batches:
@@ -301,8 +424,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
             ok = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(common.tidy(run), "a long, b long")
+    wanted = common.materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    sets = common.materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), p), "sets")
+    links = common.materialize(_beside(pairs, sets, "shingles").mapInArrow(common.tidy(run), "a long, b long"), "links")
+    common.forget(sets)
+    return links
 
 
 def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -311,7 +437,8 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
     p = params
     spark = docs.sparkSession
     both = common.materialize(digests(docs, p), "digests")
-    sk = both.where("doc_id is not null").drop("n")
+    sk = both.where("doc_id is not null")
+    known = sk.select("doc_id", "n", "bits")
     same = sk.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = prefixes(docs, _heavy(both, p), p).join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     posting = reps.select("doc_id", F.explode("keys").alias("key"))
@@ -323,18 +450,29 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
                 continue
             n = len(held_k)
             key, ids = np.r_[held_k, batch.column(0).to_numpy()], np.r_[held_i, batch.column(1).to_numpy()]
-            v = _pairs(key, ids, n)
-            v = v[v[:, 0] != v[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(v.max(1, initial=-(1 << 63))), pa.array(v.min(1, initial=(1 << 63) - 1))], names=["a", "b"])
+            at, first, before = _partners(key, n)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ids[at]), pa.array(ids[first]), pa.array(ids[before])], names=["key", "doc_id", "first", "before"])
             ends = [int(np.searchsorted(key, key[-1])), len(key) - 1]
             held_k, held_i = key[ends], ids[ends]
 
     dealt = posting.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "doc_id").select("key", "doc_id")
-    found = common.materialize(dealt.mapInArrow(common.tidy(run), "a long, b long").distinct(), "candidates")
-    # whole sets of those documents only that are in a pair, written once
-    wanted = found.select(F.col("a").alias("doc_id")).union(found.select(F.col("b").alias("doc_id"))).distinct()
-    sets = common.materialize(shingle_sets(docs.select("doc_id", "text").join(common.materialize(wanted, "wanted"), "doc_id", "left_semi"), p), "sets")
-    links = _verified(found, sets, p)
-    comp = connected(links).withColumnRenamed("node", "rep")
+    lists = common.materialize(dealt.mapInArrow(common.tidy(run), "key long, doc_id long, first long, before long"), "lists")
+    members = lists.select("key", "doc_id").union(lists.select("key", F.col("first").alias("doc_id"))).distinct()
+    # two partners a member at first: they link most of a large group
+    two = lists.select("doc_id", F.explode(F.array("first", "before")).alias("other")).where("doc_id <> other")
+    two = two.select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
+    found = common.materialize(_plausible(two, known, p), "candidates")
+    links = _verified(found, docs, p)
+    comp = common.materialize(connected(links), "components")
+    # lists whose members are still apart: first the nearest of each, then every pair that is left
+    for nearest in (True, False):
+        more = common.materialize(_across(members, comp, known, nearest, p).join(found, ["a", "b"], "left_anti"), "candidates")
+        if more.isEmpty():
+            continue
+        found, new = found.union(more), _verified(more, docs, p)
+        if not new.isEmpty():
+            links = links.union(new)
+            comp = common.materialize(connected(links), "components")
+    comp = comp.withColumnRenamed("node", "rep")
     by_digest = same.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return sk.select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "component_id")
