@@ -68,3 +68,44 @@ def test_alignment_scores(seed):
     q = [rng.integers(2, 6, rng.integers(1, 12)).astype(np.uint64) for _ in range(40)]
     s = [rng.integers(2, 6, rng.integers(1, 20)).astype(np.uint64) for _ in range(40)]
     assert decontaminate.align(q, s, p).tolist() == [smith_waterman(a, b, p) for a, b in zip(q, s)]
+
+
+def test_every_alignment_is_found(spark):
+    """Against the alignment of all pairs: common items, halves, and edits that leave no three words."""
+    rng = np.random.default_rng(6)
+    items = [prose(rng, n) for n in (3, 4, 5, 12, 20, 36, 60, 61)]
+    docs = []
+
+    def plant(w):
+        d = prose(rng, 150)
+        d[70:70] = w
+        docs.append(d)
+
+    for item in items:
+        m = len(item)
+        third = ["edited" if k % 3 == 2 else w for k, w in enumerate(item)]
+        for _ in range(8):
+            plant(item)
+            plant(item[m // 2 :])
+            plant(third[: m // 2] + item[m // 2 :])
+        plant(third)
+        plant([w for k, w in enumerate(item) if k % 3 < 2])
+        plant([w for x in item for w in (x, "more")][:-1])
+        plant(item[: m // 2] + prose(rng, m // 4) + item[m // 2 :])
+        for share in (0.2, 0.3, 0.4):
+            plant([w if rng.random() > share else "edited" for w in item])
+            plant([w for w in item if rng.random() > share])
+    docs.append(items[3] * 20)
+    p = decontaminate.Params()
+    hashed = decontaminate._item_words([" ".join(w) for w in items + docs])
+    q, s = hashed[: len(items)], hashed[len(items) :]
+    want = {}
+    for i, x in enumerate(q):
+        for d, score in enumerate(decontaminate.align([x] * len(s), s, p).tolist()):
+            if score >= p.threshold * p.match * len(x):
+                want[d, i] = score
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert len(want) > 200
+    for p in (p, decontaminate.Params(min_seeds=1)):
+        assert {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(df, bench, params=p).collect()} == want

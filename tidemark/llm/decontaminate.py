@@ -1,14 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is the query set, taken in blocks of bounded size; every block is run against
-all documents. Word n-grams of its items are counted over all documents; each item's rarer
-seeds then pick candidate passages, and a local alignment of words scores each against the
-whole item, so edited or paraphrased copies score high and chance seeds score low.
+all documents. A seed is a pair of words with at most one word between them, at a position of
+an item; its hits are the same two words with at most one between them. Seeds are counted over
+all documents; passages with enough hits of an item's rarer seeds are candidates, and a local
+alignment of words scores each against the whole item, so edited or paraphrased copies score
+high and chance seeds score low.
+
+No alignment at or above the threshold is lost: of M matches and E errors in an item of m words,
+2 M - E >= 2 t m, and M <= m, so at least M - 1 - E / 2 >= t m - 1 of the steps between matches have
+at most one error, and each is a hit at another position of the item (default scores; needed_hits() has
+the general bound). A passage needs hits at so many positions, less those passed over.
 
 Defined cases: null and empty texts or items match nothing; an item of fewer than n words is
 its own seed; equal items are reported each; repeated documents each match; an empty
-benchmark gives no rows. A seed too common to help is passed over only where its item has
-rarer ones, of which at least `min_seeds` always stay. Extra columns are ignored.
+benchmark gives no rows. Seeds too common to help are passed over only at so many positions of
+an item that half of the needed ones, and at least `min_seeds`, are left. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ for _b in range(256):
 
 @dataclass(frozen=True)
 class Params:
-    n: int = 3
+    n: int = 3  # items of fewer words are their own seed
     block_chars: int = 4_000_000  # benchmark text handled at once
     min_seeds: int = 8
     rare_share: float = 1e-4  # seeds in at most this share of documents are rare
@@ -44,6 +51,18 @@ class Params:
     threshold: float = 0.5
 
 
+def most_errors(lens: np.ndarray, p: Params) -> np.ndarray:
+    """How many mismatches and gaps an alignment at the threshold can have."""
+    return p.match * lens * (1 - p.threshold) / min(-p.mismatch, -p.gap)
+
+
+def needed_hits(lens: np.ndarray, p: Params) -> np.ndarray:
+    """At how many positions of an item any alignment at the threshold has a hit: the fewest of the
+    shortest and the longest possible run of matches, as the bound is linear in it."""
+    least = np.minimum(p.threshold * lens - 1, lens - 1 - most_errors(lens, p) / 2)
+    return np.where(lens < p.n, 1, np.maximum(1, np.ceil(least - 1e-9))).astype(np.int64)
+
+
 def word_stream(column: pa.Array, limit: int = 1 << 20):
     """For runs of documents: (first, last + 1, hash of each word, its document)."""
     buf, off = common.flat_text(column)
@@ -66,21 +85,35 @@ def word_grams(h: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return common.mix(g[at]), at
 
 
+def word_pairs(h: np.ndarray, own: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word and the one `step` words on in the same document, whatever the step,
+    and the index of the first."""
+    m = max(0, len(h) - step)
+    at = np.flatnonzero(own[:m] == own[step:])
+    return common.mix((h[at] * _STEP[0]) ^ (h[at + step] * _STEP[1])), at
+
+
 class Seeds:
-    """Sorted seed hashes with their postings (item, position), and a small filter before them."""
+    """Sorted seed hashes with their postings (item, position), and a small filter before them.
+    `need`: how many positions of each item have a hit in any passage that reaches the threshold."""
 
-    def __init__(self, items: list[np.ndarray], n: int):
+    def __init__(self, items: list[np.ndarray], n: int, p: Params = Params()):
         self.items = items
-        rows = []
+        cols: list[list[np.ndarray]] = [[], [], [], []]
         for k, h in enumerate(items):
-            m = min(n, len(h))
-            if m:
-                g, at = word_grams(h, np.zeros(len(h), np.int64), m)
-                rows += [(int(x), m, k, int(p)) for x, p in zip(g, at, strict=True)]
-        rows.sort()
-        self.item = np.array([r[2] for r in rows], np.int64)
-        self.position = np.array([r[3] for r in rows], np.int64)
-        self._index(np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64))
+            own = np.zeros(len(h), np.int64)
+            if len(h) < n:
+                got = [(len(h), word_grams(h, own, len(h)))] if len(h) else []
+            else:
+                got = [(0, word_pairs(h, own, 1)), (0, word_pairs(h, own, 2))]
+            for m, (g, at) in got:
+                for c, x in zip(cols, (g, np.full(len(g), m), np.full(len(g), k), at), strict=True):
+                    c.append(x)
+        key, size, item, position = (np.concatenate([np.zeros(0, t), *c]).astype(t) for c, t in zip(cols, (np.uint64, np.int64, np.int64, np.int64), strict=True))
+        order = np.lexsort((position, item, size, key))
+        self.item, self.position = item[order], position[order]
+        self.need = needed_hits(np.array([len(x) for x in items], np.int64), p)
+        self._index(key[order], size[order])
 
     def _index(self, key: np.ndarray, size: np.ndarray):
         self.posting_key, self.size = key, size
@@ -89,17 +122,16 @@ class Seeds:
         self.filter = np.zeros(1 << 18, bool)
         self.filter[(self.key & U64((1 << 18) - 1)).astype(np.int64)] = True
 
-    def only(self, keep: np.ndarray) -> Seeds:
+    def only(self, keep: np.ndarray, need: np.ndarray) -> Seeds:
         out = object.__new__(Seeds)
-        out.items, out.item, out.position = self.items, self.item[keep], self.position[keep]
+        out.items, out.need, out.item, out.position = self.items, need, self.item[keep], self.position[keep]
         out._index(self.posting_key[keep], self.size[keep])
         return out
 
     def hits(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(seed, index of its first word) of all seeds in a word stream."""
         seeds, ats = [], []
-        for n in self.sizes:
-            g, at = word_grams(h, own, n)
+        for g, at in [x for n in self.sizes for x in ([word_grams(h, own, n)] if n else [word_pairs(h, own, 1), word_pairs(h, own, 2)])]:
             ok = np.flatnonzero(self.filter[(g & U64((1 << 18) - 1)).astype(np.int64)])
             k = np.minimum(np.searchsorted(self.key, g[ok]), len(self.key) - 1)
             good = self.key[k] == g[ok]
@@ -174,40 +206,68 @@ def document_frequency(docs: DataFrame, seeds: Seeds) -> tuple[np.ndarray, int]:
 
 
 def rare(seeds: Seeds, df: np.ndarray, n_docs: int, p: Params) -> Seeds:
-    """Each item's rarer half of seeds, at least min_seeds, and all that are rare outright."""
+    """Passes over the most common positions of each item that aren't rare outright: of the needed
+    positions at most half, and so many that min_seeds are still needed."""
     d = df[np.searchsorted(seeds.key, seeds.posting_key)]
-    order = np.lexsort((seeds.position, d, seeds.item))
-    items = seeds.item[order]
-    first = np.searchsorted(items, items)
-    rank = np.arange(len(items)) - first
-    total = np.bincount(items, minlength=len(seeds.items))[items]
-    keep = np.zeros(len(items), bool)
-    keep[order] = (rank < np.maximum(p.min_seeds, total // 2)) | (d[order] <= max(5, p.rare_share * n_docs))
-    return seeds.only(keep)
+    # a position has two seeds; it is as common as both together
+    place = seeds.item * (1 + seeds.position.max(initial=0)) + seeds.position
+    _, first, at = np.unique(place, return_index=True, return_inverse=True)
+    total, item = np.bincount(at, d, len(first)), seeds.item[first]
+    order = np.lexsort((-total, item))
+    rank = np.empty(len(first), np.int64)
+    rank[order] = np.arange(len(first)) - np.searchsorted(item[order], item[order])
+    most = np.maximum(0, np.minimum(seeds.need // 2, seeds.need - p.min_seeds))
+    out = (rank < most[item]) & (total > max(5, p.rare_share * n_docs))
+    return seeds.only(~out[at], seeds.need - np.bincount(item[out], minlength=len(seeds.items)))
+
 
+#: Hits times items handled at once.
+_POSTINGS = 2_000_000
 
-def _candidates(seeds: Seeds, h: np.ndarray, own: np.ndarray):
+
+def _candidates(seeds: Seeds, h: np.ndarray, own: np.ndarray, p: Params):
     """(document, item, first word, last word + 1, hits) of passages to align."""
     k, at = seeds.hits(h, own)
-    if not len(k):
-        return []
+    order = np.argsort(at, kind="stable")
+    k, at = k[order], at[order]
+    doc = own[at]
+    load = np.cumsum(seeds.count[k]) if len(k) else np.zeros(0, np.int64)
+    out, a = [], 0
+    while a < len(k):
+        # whole documents, so many that their postings fit
+        b = int(np.searchsorted(load, (load[a - 1] if a else 0) + _POSTINGS, "right"))
+        b = int(np.searchsorted(doc, doc[b])) if b < len(k) else b
+        b = b if b > a else int(np.searchsorted(doc, doc[a], "right"))
+        out += _passages(seeds, k[a:b], at[a:b], own, p)
+        a = b
+    return out
+
+
+def _passages(seeds: Seeds, k: np.ndarray, at: np.ndarray, own: np.ndarray, p: Params):
     n = seeds.count[k]
     post = np.repeat(seeds.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    at = np.repeat(at, n)
-    item = seeds.item[post]
-    lens = np.array([len(x) for x in seeds.items], np.int64)[item]
-    diag = at - seeds.position[post]
-    doc = own[at]
-    cell = np.floor_divide(diag, np.maximum(lens, 1))
-    order = np.lexsort((diag, cell, item, doc))
-    doc, item, cell, diag, lens = doc[order], item[order], cell[order], diag[order], lens[order]
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])])
-    last = np.r_[new[1:], len(doc)] - 1
-    slack = np.maximum(4, lens[new] // 4)
-    d_from, d_to = np.searchsorted(own, doc[new]), np.searchsorted(own, doc[new], "right")
-    lo = np.maximum(diag[new] - slack, d_from)
-    hi = np.minimum(diag[last] + lens[new] + slack, d_to)
-    return list(zip(doc[new].tolist(), item[new].tolist(), lo.tolist(), hi.tolist(), (last - new + 1).tolist(), strict=True))
+    item, at = seeds.item[post], np.repeat(at, n)
+    place = own[at] * len(seeds.items) + item
+    order = np.lexsort((at, place))
+    place, at, item, position = place[order], at[order], item[order], seeds.position[post][order]
+    lens = np.array([len(x) for x in seeds.items], np.int64)
+    # an alignment has at most `lens` matches and this many errors
+    reach = lens + np.ceil(most_errors(lens, p)).astype(np.int64)
+    # hits from which as many as needed follow within reach; one position may count repeatedly
+    last = np.arange(len(place)) + seeds.need[item] - 1
+    good = last < len(place)
+    last = np.minimum(last, len(place) - 1)
+    start = np.flatnonzero(good & (place[last] == place) & (at[last] - at < reach[item]))
+    if not len(start):
+        return []
+    last, where, what = last[start], place[start], item[start]
+    lo, hi = at[last] - reach[what], at[start] + reach[what] + 1  # holds every alignment with all of these hits
+    new = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (lo[1:] > at[last][:-1] + 2)])
+    ends = np.r_[new[1:], len(start)] - 1
+    doc = where[new] // len(seeds.items)
+    lo = np.maximum(lo[new], np.searchsorted(own, doc))
+    hi = np.minimum(hi[ends], np.searchsorted(own, doc, "right"))
+    return list(zip(doc.tolist(), what[new].tolist(), lo.tolist(), hi.tolist(), (last[ends] - start[new] + 1).tolist(), strict=True))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", params: Params = Params()) -> DataFrame:
@@ -224,7 +284,7 @@ def _block(src: DataFrame, benchmark: DataFrame, item_col: str, b: int, blocks:
     chosen = benchmark.where(F.pmod(F.coalesce(F.xxhash64(item_col, "text"), F.lit(0)), F.lit(blocks)) == b)
     rows = chosen.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).collect()  # about block_chars
     ids = [r.item_id for r in rows]
-    seeds = Seeds(_item_words([r.text for r in rows]), p.n)
+    seeds = Seeds(_item_words([r.text for r in rows]), p.n, p)
     schema = "doc_id long, item_id long, n_seeds int, score int, similarity double"
     if not len(seeds.key):
         return src.sparkSession.createDataFrame([], schema)
@@ -234,7 +294,7 @@ def _block(src: DataFrame, benchmark: DataFrame, item_col: str, b: int, blocks:
         for batch in batches:
             out: dict[tuple[int, int], tuple[int, int]] = {}
             for i, j, h, own in word_stream(batch.column(1)):
-                cands = _candidates(seeds, h, own)
+                cands = _candidates(seeds, h, own, p)
                 got = align([seeds.items[c[1]] for c in cands], [h[c[2] : c[3]] for c in cands], p)
                 for (d, item, _, _, n), s in zip(cands, got.tolist(), strict=True):
                     if s >= p.threshold * p.match * len(seeds.items[item]):
