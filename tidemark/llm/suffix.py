@@ -7,8 +7,8 @@ anchors at equal offsets. An entry is ordered by the hash of its k-mer and the h
 context (all bytes that any window with this anchor can reach), then by document.
 
 Entries are dealt to shards by k-mer. Within a shard every block of documents is a new batch:
-it gets its own sorted array, is merge-scanned against the levels that are there, and levels
-of equal size merge geometrically. The scan settles most entries: where the whole context
+it gets its own sorted array, and levels of equal size merge geometrically. One scan over all
+levels, merged into one run at the end, settles most entries: where the whole context
 starts in a smaller document, all its bytes go. Left open are k-mers with several contexts;
 these alone are compared window by window, by the bytes themselves hashed at 64 bits.
 
@@ -199,8 +199,8 @@ def index_entries(docs: DataFrame, shards: int, p: Params) -> DataFrame:
 
 
 class SuffixFamily:
-    """The levels of one shard. Level k holds 2**k batches; two equal levels are merged, and the
-    merge scans them side by side."""
+    """The levels of one shard. Level k holds 2**k batches; two equal levels are merged. Matching is
+    left to scan(), over the merged run."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, ...] | None] = []
