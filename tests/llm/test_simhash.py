@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from itertools import combinations
 
 import numpy as np
@@ -65,10 +66,11 @@ def test_links_connect_what_pairs_connect(spark):
     assert all(len(v) == 1 for v in groups.values()) and len(groups) == len(set(want.values()))
 
 
-def test_long_lists_are_cut_by_more_bytes():
+@pytest.mark.parametrize("pairwise", [2, 16, 64, 4096])
+def test_long_lists_are_cut_by_more_bytes(pairwise):
     rng = np.random.default_rng(5)
     fps = np.unique(rng.integers(0, 1 << 32, 700, dtype=np.uint64) & np.uint64(0xFF00FFFF))
-    links = simhash._link(fps, 3, (4, 5, 6, 7), block=64)
+    links = simhash._link(fps, 3, (4, 5, 6, 7), block=64, pairwise=pairwise)
     want = brute_components({k: int(x) for k, x in enumerate(fps)})
     got, at = {k: k for k in range(len(fps))}, {int(x): k for k, x in enumerate(fps)}
     for a, b in links:
@@ -95,6 +97,23 @@ def test_cases(spark):
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
+def test_a_crowded_list_is_not_compared_in_pairs():
+    """Many fingerprints that share five bytes: labels spread over the cube of their bits."""
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 20, 3000, dtype=np.uint64) * np.uint64(2))
+    a, b = simhash._cube_labels(fps, 3), simhash._pair_labels(fps, 3, 512)
+    assert (a == b).all()
+    many = np.unique(rng.integers(0, 1 << 24, 100_000, dtype=np.uint64))
+    began = time.perf_counter()
+    assert len(simhash._link(many, 3, (3, 4, 5, 6, 7))) >= len(many) - 20
+    assert time.perf_counter() - began < 60
+
+
+def test_the_tally_counts_shared_bytes():
+    x = np.array([0, 1, 0x8000000000000000, 0xFF00FF, 0x0101010101010101, 2**64 - 1], np.uint64)
+    assert simhash.shared_bytes(x).tolist() == [8, 7, 7, 6, 0, 0]
+
+
 @pytest.mark.parametrize("n", [1, 7, 40])
 def test_components_of_a_chain(spark, n):
     df = spark.createDataFrame([(k + 1, k) for k in range(n)] + [(100, 101), (101, 100), (7000, 7000)], "a long, b long")
@@ -124,16 +143,48 @@ def test_near_groups(spark):
     assert got == want
 
 
-def test_lists_may_span_batches():
-    keys, ids = np.repeat([1, 2, 3], [4, 1, 9]), np.arange(14)
-    whole = sorted(map(tuple, simhash._pairs(keys, ids).tolist()))
-    got, hk, hi = [], np.zeros(0, int), np.zeros(0, int)
-    for a in range(0, 14, 3):
-        k, i = np.r_[hk, keys[a : a + 3]], np.r_[hi, ids[a : a + 3]]
-        got += map(tuple, simhash._pairs(k, i, len(hk)).tolist())
-        ends = [int(np.searchsorted(k, k[-1])), len(k) - 1]
-        hk, hi = k[ends], i[ends]
-    assert sorted(got) == whole
+def plain_lists(keys, nodes, short):
+    pairs, members = set(), set()
+    for k in sorted(set(keys)):
+        m = sorted({int(n) for kk, n in zip(keys, nodes) if kk == k})
+        if len(m) <= short:
+            pairs |= {(b, a) for a, b in combinations(m, 2)}
+        else:
+            pairs |= {(b, m[0]) for b in m[1:]} | set(zip(m[1:], m[:-1]))
+            members |= {(int(k), n) for n in m}
+    return pairs, members
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 5, 100])
+def test_lists_may_span_batches(step):
+    rng = np.random.default_rng(step)
+    keys = np.sort(rng.choice([1, 2, 3, 4, 9, 9, 9], 60))
+    nodes = rng.integers(-9, 9, 60)
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    lists, pairs, members = simhash.ListPairs(short=4), [], []
+    for a in range(0, 60, step):
+        lists.add(keys[a : a + step], nodes[a : a + step])
+        if a % 4 == 0:
+            got = lists.take().to_pylist()
+            pairs += [(r["a"], r["b"]) for r in got if r["key"] is None]
+            members += [(r["key"], r["a"]) for r in got if r["key"] is not None]
+    lists.end()
+    got = lists.take().to_pylist()
+    pairs += [(r["a"], r["b"]) for r in got if r["key"] is None]
+    members += [(r["key"], r["a"]) for r in got if r["key"] is not None]
+    want = plain_lists(keys, nodes, 4)
+    assert (set(pairs), set(members)) == want and len(members) == len(set(members)) and want[0] and want[1]
+
+
+def test_positional_bytes_are_a_lower_bound():
+    rng = np.random.default_rng(1)
+    for d in (0, 1, 5, 40, 200):
+        a = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
+        b = np.unique(np.r_[a[d // 2 :], rng.integers(0, 1 << 63, d - d // 2, dtype=np.uint64)])
+        assert (simhash.positional_bytes(a) == simhash.positional_bytes(b)).sum() >= 256 - d
+    x = simhash._unpack_set(simhash._pack_set(a))
+    assert (x >> np.uint64(16) == a >> np.uint64(16)).all()
 
 
 def shingle_set(text, width=5):
@@ -204,3 +255,23 @@ def test_near_groups_of_families(spark):
     want = brute_groups(texts)
     assert 20 < len(set(want.values())) < 220
     assert near(spark, texts) == want
+
+
+def test_near_groups_of_long_lists(spark):
+    """One common line in many short texts and a crowd of near copies: lists beyond those whose
+    pairs are all tallied at once, in which some members are similar to few others."""
+    rng = np.random.default_rng(12)
+    line = " ".join(f"line{k}" for k in range(12))
+    texts = {}
+    for _ in range(150):
+        texts[len(texts)] = line + " " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, int(rng.integers(0, 6))))
+    for x in (line + " tail", "head " + line, line):
+        texts[len(texts)] = x
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 90)]
+    for c in range(120):
+        w = list(base)
+        for k in rng.choice(88, 1 + c % 4, replace=False):
+            w[k] = f"e{c}"
+        texts[len(texts)] = " ".join(w)
+    want = brute_groups(texts)
+    assert near(spark, texts) == want

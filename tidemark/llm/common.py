@@ -6,12 +6,15 @@ numpy on arrays and memory is bounded by the chunk size rather than by the parti
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,33 +37,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, which shares every folder with itself."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is
-    unset (local tests) is a temporary folder made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
+    temporary folder is made and set on a local master (tests); on a cluster, whose machines
+    don't share such a folder, it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+_OPEN: list[list[str]] = []  # tables made within the scratch() blocks that are open
+
+
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path  # noqa: SLF001
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by materialize() that no later plan reads."""
-    spark, path = df.sparkSession, df._tidemark_path  # noqa: SLF001
+def _delete(spark: SparkSession, path: str) -> None:
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes a table made by materialize() that no later plan reads."""
+    _delete(df.sparkSession, df._tidemark_path)  # noqa: SLF001
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables that are materialized inside of the block when it ends, but for those
+    made by the function that it gives, which takes the arguments of materialize(). Shuffle
+    files of plans that are gone are released too."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        kept.append(materialize(df, label))
+        return kept[-1]
+
+    _OPEN.append([])
+    try:
+        yield keep
+    finally:
+        paths, mine = _OPEN.pop(), {k._tidemark_path for k in kept}  # noqa: SLF001
+        for path in paths:
+            if path not in mine:
+                _delete(spark, path)
+        if _OPEN:
+            _OPEN[-1] += sorted(mine)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more; it
+    learns of them by garbage collection on the driver only."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -196,15 +246,17 @@ BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Bounds Arrow batches, and lets Python workers import this package when it isn't on their
-    path already."""
+    """Bounds Arrow batches (a setting that stays, as plans read it when they run), and on a cluster
+    sends this package to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    seen = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()]]
-    if os.path.realpath(root) in seen or getattr(spark.sparkContext, "_tidemark_shipped", False):
+    if local(spark):  # workers inherit the driver's path
+        seen = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]]
+        if os.path.realpath(root) in seen:
+            return
+    if getattr(spark.sparkContext, "_tidemark_shipped", False):
         return
-    import shutil
-
+    # executors fetch the file from the driver, which keeps it
     spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tidemark", "zip", root, "tidemark"))
     spark.sparkContext._tidemark_shipped = True  # noqa: SLF001

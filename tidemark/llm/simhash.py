@@ -7,14 +7,19 @@ posting lists short, a list is keyed by four bytes at four positions; the 22 pos
 are such that any 5 shared positions contain one of them, so no pair is lost.
 
 `near_groups` finds documents whose sets of word shingles are similar (0.8 by default), which
-a single fingerprint of 64 bits can't separate: such pairs differ in about 10 bits. There no
-fingerprints are used: sets are indexed by their first shingles in one common order (prefix
-filtering), of which similar sets of any size share one; pairs are verified on the whole sets. Each member of a list is first paired with two others;
-lists whose members are then in different components have all pairs across components settled.
+one fingerprint of 64 bits can't separate: such pairs differ in about 10 bits. There a
+fingerprint has a byte for each of 256 positions: a shingle's hash picks a position, whose
+byte is the exclusive or of what falls there, so that sets that differ in d shingles share at least
+256 - d positional bytes. Posting lists are keyed by each set's first shingles in one common
+order, rarest first (prefix filtering; similar sets of any size meet in one), since lists
+keyed by bytes of so many positions would be no shorter. The shared positional bytes of each
+pair of a list are tallied, pairs below the guaranteed minimum drop out, and the rest are
+verified on whole sets.
 
 Equal fingerprints are one index entry, however many documents have them. Within a posting
 list fingerprints are linked to earlier ones by blocks, and only a spanning forest of the
-links leaves the task, so a large group of near copies yields as many rows as members.
+links leaves the task, so a large group of near copies yields as many rows as members. A very
+long list is not compared in pairs: labels are spread over the cube of the bits that vary in it.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer
 words than a shingle are one shingle; equal rows link; a null doc_id is kept and takes part
@@ -95,13 +100,76 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _link(fps: np.ndarray, radius: int, used: tuple[int, ...], block: int = 1024) -> list[tuple[int, int]]:
-    """Links within one posting list: a spanning forest of the pairs within the radius.
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """How many of the 8 bytes of each exclusive or are zero: shared positional bytes of a pair."""
+    y = x | (x >> U64(4))
+    y |= y >> U64(2)
+    y |= y >> U64(1)
+    return 8 - popcount(y & U64(0x0101010101010101))
+
+
+#: Fingerprints of a list that are compared in pairs at most; a longer one shares five bytes, so that at
+#: most 24 bits vary in it.
+_PAIRWISE = 2048
+
+
+def _cube_labels(fps: np.ndarray, radius: int) -> np.ndarray:
+    """The smallest row that links reach from each row: labels spread over the cube of the varying
+    bits by `radius` steps along every axis, and again until none changes. Its time and memory
+    depend on the number of bits only, not on the square of the rows."""
+    mixed = fps ^ fps[0]
+    vary = np.flatnonzero([(mixed >> U64(b) & U64(1)).any() for b in range(64)])
+    place = np.zeros(len(fps), np.int64)
+    for k, b in enumerate(vary.tolist()):
+        place |= (fps >> U64(b) & U64(1)).astype(np.int64) << k
+    none = np.int32(np.iinfo(np.int32).max)
+    label = np.arange(len(fps), dtype=np.int32)
+    while True:
+        cube = np.full(1 << len(vary), none, np.int32)
+        np.minimum.at(cube, place, label)
+        for _ in range(radius):
+            low = cube.copy()
+            for k in range(len(vary)):
+                a, b = cube.reshape(-1, 2, 1 << k), low.reshape(-1, 2, 1 << k)
+                np.minimum(b, a[:, ::-1], out=b)
+            cube = low
+        low = cube[place]
+        low = low[low]
+        if (low == label).all():
+            return label.astype(np.int64)
+        label = low
+
 
-    Lists longer than a block are first cut by one more shared byte, which every wanted pair
-    has, and blocks of such a list are compared with each other."""
+def _pair_labels(fps: np.ndarray, radius: int, block: int) -> np.ndarray:
+    """The smallest row that links reach from each row, by all pairs: the tally of shared bytes
+    keeps a pair, then its distance is taken."""
     n = len(fps)
-    if n > 4 * block and len(used) == 4:
+    label, changed = np.arange(n), True
+    links = []
+    for i in range(0, n, block):
+        for j in range(0, i + block, block):
+            x = fps[i : i + block, None] ^ fps[None, j : j + block]
+            r, c = np.nonzero(shared_bytes(x) >= 8 - radius)
+            near = popcount(x[r, c]) <= radius
+            links.append(np.stack([r[near] + i, c[near] + j]))
+    a, b = np.concatenate(links, axis=1)
+    while changed:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        changed = bool((low != label).any())
+        label = low
+    return label
+
+
+def _link(fps: np.ndarray, radius: int, used: tuple[int, ...], block: int = 512, pairwise: int = _PAIRWISE) -> list[tuple[int, int]]:
+    """Links within one posting list, whose fingerprints share the bytes at the positions `used`: a
+    spanning forest of the pairs within the radius.
+
+    A long list is first cut by one more shared byte, which every wanted pair has."""
+    n = len(fps)
+    if n > pairwise and len(used) == 4:
         out = []
         b = fps.view(np.uint8).reshape(-1, 8)
         for pos in set(range(8)) - set(used):
@@ -109,21 +177,9 @@ def _link(fps: np.ndarray, radius: int, used: tuple[int, ...], block: int = 1024
             cuts = np.flatnonzero(np.diff(b[order, pos])) + 1
             for part in np.split(order, cuts):
                 if len(part) > 1:
-                    out += _link(fps[part], radius, (*used, pos), block)
+                    out += _link(fps[part], radius, (*used, pos), block, pairwise)
         return out
-    label, changed = np.arange(n), True
-    while changed:
-        low = label.copy()
-        for i in range(0, n, block):
-            for j in range(0, n, block):
-                x = fps[i : i + block, None] ^ fps[None, j : j + block]
-                near = popcount(x) <= radius
-                if n <= 64:  # the tally of shared bytes; in long lists the distance decides, which implies it
-                    near &= (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(2) >= 8 - radius
-                low[i : i + block] = np.minimum(low[i : i + block], np.where(near, label[None, j : j + block], n).min(1))
-        low = low[low]
-        changed = bool((low != label).any())
-        label = low
+    label = _cube_labels(fps, radius) if n > pairwise else _pair_labels(fps, radius, block)
     return [(int(fps[k]), int(fps[label[k]])) for k in np.flatnonzero(label != np.arange(n)).tolist()]
 
 
@@ -169,15 +225,16 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document: its fingerprint in hex and the
-    smallest doc_id that links reach."""
-    fps = common.materialize(fingerprints(docs, width), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    comp = connected(fingerprint_links(distinct.select("fp"), radius))
-    # components are named by fingerprints until here; now by their smallest document
-    named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(smallest, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest doc_id that links reach. The result is a table of the shared folder."""
+    with common.scratch(docs.sparkSession) as keep:
+        fps = common.materialize(fingerprints(docs, width), "fingerprints")
+        distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+        comp = connected(fingerprint_links(distinct.select("fp"), radius))
+        # components are named by fingerprints until here; now by their smallest document
+        named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+        smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+        by_fp = named.join(smallest, "component").select("fp", "component_id")
+        return keep(fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "components")
 
 
 @dataclass(frozen=True)
@@ -188,10 +245,14 @@ class NearParams:
     heavy_count: int = 32  # documents at least that hold a common shingle
 
 
+#: Positions of a set's fingerprint.
+_POSITIONS = 256
 #: Shingle hashes counted at once to find common ones, and the count there from which it is passed on.
 _COUNTED, _SEVERAL = 2_000_000, 3
-#: Parity bits kept of a set.
-_PARITY = 1024
+#: Members of a posting list up to which all of its pairs are tallied at once; longer lists are
+#: linked by two partners a member first.
+_SHORT = 64
+_STEP = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
 
 def _at_least(x):
@@ -199,6 +260,46 @@ def _at_least(x):
     return np.ceil(x - 1e-9).astype(np.int64)
 
 
+def word_shingles(column: pa.Array, width: int, limit: int = 1 << 19):
+    """For each text its distinct shingle hashes, sorted. Fewer words than a shingle are one
+    shingle, no words none. Words are hashed, and shingles from the hashes of their words."""
+    buf, off = common.flat_text(column)
+    for i, j in common.spans(off, limit):
+        text, starts, _ = common.padded(buf, off, i, j, 1, 32)
+        text = common.LOWER[text]
+        s, e = common.words_of(text)
+        h = common.Hasher(text)(s, e)
+        own = np.searchsorted(starts, s, "right") - 1
+        first = np.searchsorted(own, np.arange(j - i + 1)).tolist()
+        m = max(0, len(h) - width + 1)
+        g = np.full(m, U64(width), np.uint64)
+        for k in range(width):
+            g = (g ^ h[k : k + m]) * _STEP[k % 3]
+            g ^= g >> U64(29)
+        g = common.mix(g)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if b - a >= width:
+                yield np.unique(g[a : b - width + 1])
+            else:
+                x = np.full(min(1, b - a), U64(b - a), np.uint64)
+                for k in range(a, b):
+                    x = (x ^ h[k]) * _STEP[(k - a) % 3]
+                    x ^= x >> U64(29)
+                yield common.mix(x)
+
+
+def positional_bytes(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set: each hash picks a position and changes its byte."""
+    out = np.zeros(_POSITIONS, np.uint8)
+    np.bitwise_xor.at(out, (hashes & U64(_POSITIONS - 1)).astype(np.int64), (hashes >> U64(56)).astype(np.uint8))
+    return out
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of the whole set."""
+    return int(np.bitwise_xor.reduce(common.mix(hashes.copy()), initial=U64(len(hashes))).view(np.int64))
+
+
 def prefix_keys(hashes: np.ndarray, heavy: np.ndarray, p: NearParams) -> np.ndarray:
     """Index keys of a set of shingle hashes (sorted, distinct). All sets are put in one order,
     common shingles (sorted, in `heavy`) last; two sets of the wanted similarity share at least
@@ -209,156 +310,238 @@ def prefix_keys(hashes: np.ndarray, heavy: np.ndarray, p: NearParams) -> np.ndar
     return np.concatenate([hashes[~last], hashes[last]])[: n - _at_least(p.similarity * n) + 1] if n else hashes
 
 
-def _shingle_sets(column: pa.Array, p: NearParams):
-    buf, off = common.flat_text(column)
-    for k in range(len(column)):
-        yield np.unique(shingle_hashes(buf[off[k] : off[k + 1]].tobytes(), p.width))
-
-
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """Bit k: whether an odd number of the hashes have bucket k. Bits of two sets differ in at most
-    as many places as the sets have elements that the other one lacks."""
-    odd = np.bincount((common.mix(hashes.copy()) & U64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little")
-
-
-def digests(docs: DataFrame, p: NearParams) -> DataFrame:
-    """(doc_id, digest, n, bits): of each document's set of shingles, n their number and bits their
-    parity. Rows without a doc_id are of shingles that several documents of a task hold:
-    digest is the shingle, n their number."""
+def sketches(docs: DataFrame, p: NearParams) -> DataFrame:
+    """(doc_id, node, n, bytes): of each document's set of shingles its name, size and positional
+    bytes. Rows without a doc_id are of shingles that several documents of a task hold: node is
+    the shingle, n their number."""
 
     def counted(seen):
         h, n = np.unique(np.concatenate(seen), return_counts=True)
         h, n = h[n >= _SEVERAL], n[n >= _SEVERAL]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary())], names=["doc_id", "digest", "n", "bits"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary())], names=["doc_id", "node", "n", "bytes"])
 
     def run(batches):
         seen, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            found, sizes, bits = [], [], []
-            for h in _shingle_sets(batch.column(1), p):
-                found.append(int(np.bitwise_xor.reduce(common.mix(h.copy()), initial=U64(len(h))).view(np.int64)))
+            found, sizes, marks = [], [], []
+            for h in word_shingles(batch.column(1), p.width):
+                found.append(set_name(h))
                 sizes.append(len(h))
-                bits.append(parity(h).tobytes())
+                marks.append(positional_bytes(h).tobytes())
                 seen.append(h)
                 held += len(h)
                 if held > _COUNTED:
                     yield counted(seen)
                     seen, held = [np.zeros(0, np.uint64)], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), common.binary_array(bits)], names=["doc_id", "digest", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), common.binary_array(marks)], names=["doc_id", "node", "n", "bytes"])
         yield counted(seen)
 
-    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, digest long, n long, bits binary")
+    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, node long, n long, bytes binary")
 
 
-def _heavy(sk: DataFrame, p: NearParams) -> np.ndarray:
+def _heavy(rows: DataFrame, p: NearParams) -> np.ndarray:
     """The most common shingles, sorted; at most p.heavy of them."""
-    total = sk.where("doc_id is null").groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") >= p.heavy_count)
-    return np.sort(total.orderBy(F.desc("n"), "digest").limit(p.heavy).select("digest").toArrow().column(0).to_numpy().view(np.uint64))
-
+    total = rows.where("doc_id is null").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= p.heavy_count)
+    return np.sort(total.orderBy(F.desc("n"), "node").limit(p.heavy).select("node").toArrow().column(0).to_numpy().view(np.uint64))
 
-def prefixes(docs: DataFrame, heavy: np.ndarray, p: NearParams) -> DataFrame:
-    """(doc_id, keys): the index keys of each document."""
-
-    def run(batches):
-        for batch in batches:
-            keys = [prefix_keys(h, heavy, p).view(np.int64) for h in _shingle_sets(batch.column(1), p)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
 
-    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, keys array<long>")
+#: Names of sets that a task remembers, so that it posts the copies of a large group once.
+_REMEMBERED = 1 << 18
 
 
-def shingle_sets(docs: DataFrame, p: NearParams) -> DataFrame:
-    """(doc_id, shingles): the whole set of each document, as sorted 64-bit hashes."""
+def postings(docs: DataFrame, heavy: np.ndarray, p: NearParams) -> DataFrame:
+    """(key, node): the index keys of each set; equal sets of one task are posted once."""
 
     def run(batches):
+        known: set[int] = set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), common.binary_array([h.tobytes() for h in _shingle_sets(batch.column(1), p)])], names=["doc_id", "shingles"])
+            keys, nodes, sizes = [np.zeros(0, np.uint64)], [], []
+            for h in word_shingles(batch.column(1), p.width):
+                node = set_name(h)
+                if node not in known:
+                    if len(known) >= _REMEMBERED:
+                        known.clear()
+                    known.add(node)
+                    keys.append(prefix_keys(h, heavy, p))
+                    nodes.append(node)
+                    sizes.append(len(keys[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), np.array(sizes, np.int64)))], names=["key", "node"])
+
+    return _source(docs).mapInArrow(common.tidy(run), "key long, node long")
+
+
+class ListPairs:
+    """Turns posting lists (rows ordered by key and node, in batches of any size) into rows
+    (key, a, b). Without a key they are pairs a > b: all of a short list; of a longer one each
+    member with the list's first and with the member before it, and then a row (key, a) for each
+    member too, since its other pairs are still open. What is held is bounded."""
+
+    def __init__(self, short: int = _SHORT):
+        self.short = short
+        self.key, self.node, self.begun = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        self.pairs: list[np.ndarray] = []
+        self.members: list[np.ndarray] = []
+        self.size = 0
+
+    def _emit(self, x: np.ndarray, y: np.ndarray):
+        self.pairs.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
+        self.size += len(x)
+
+    def _long(self, key: np.ndarray, node: np.ndarray, carried: int):
+        at = np.arange(max(1, carried), len(node))
+        self._emit(node[at], np.full(len(at), node[0]))
+        other = node[at - 1] != node[0]
+        self._emit(node[at][other], node[at - 1][other])
+        self.members.append(np.stack([key[carried:], node[carried:]], 1))
+        self.size += len(node)
+
+    def add(self, key: np.ndarray, node: np.ndarray):
+        key, node, carried = np.r_[self.key, key], np.r_[self.node, node], len(self.key) if self.begun else 0
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # rows of equal sets are one member
+        key, node = key[new], node[new]
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[cut, len(key)])
+        self._lists(key, node, cut[:-1], size[:-1], carried)
+        a, begun = cut[-1], self.begun and len(cut) == 1
+        if begun or size[-1] > self.short:
+            self._long(key[a:], node[a:], carried if begun else 0)
+            key, node, a, begun = key[[a, -1]], node[[a, -1]], 0, True
+        self.key, self.node, self.begun = key[a:], node[a:], begun
+
+    def _lists(self, key, node, cut, size, carried):
+        for s in np.unique(size[size > 1]).tolist():
+            at = cut[size == s]
+            if carried and len(at) and at[0] == 0:  # a long list that ends here
+                self._long(key[:s], node[:s], carried)
+                at = at[1:]
+            if s > self.short:
+                for a in at.tolist():
+                    self._long(key[a : a + s], node[a : a + s], 0)
+            else:
+                x, y = np.triu_indices(s, 1)
+                rows = max(1, 1_000_000 // len(x))
+                for k in range(0, len(at), rows):
+                    m = node[at[k : k + rows, None] + np.arange(s)]
+                    self._emit(m[:, x].ravel(), m[:, y].ravel())
+                    if self.size > 4_000_000:
+                        self._shrink()
+
+    def _shrink(self):
+        v = np.concatenate(self.pairs)
+        v = v[np.lexsort((v[:, 1], v[:, 0]))]
+        v = v[np.r_[True, (v[1:] != v[:-1]).any(1)]] if len(v) else v
+        self.pairs, self.size = [v], len(v) + sum(map(len, self.members))
+
+    def take(self) -> pa.RecordBatch:
+        """The rows so far; equal pairs of several lists are one."""
+        if self.pairs:
+            self._shrink()
+        v = self.pairs[0] if self.pairs else np.zeros((0, 2), np.int64)
+        m = np.concatenate(self.members) if self.members else np.zeros((0, 2), np.int64)
+        self.pairs, self.members, self.size = [], [], 0
+        key = pa.concat_arrays([pa.nulls(len(v), pa.int64()), pa.array(m[:, 0])])
+        a = pa.array(np.r_[v[:, 0], m[:, 1]])
+        return pa.RecordBatch.from_arrays([key, a, pa.concat_arrays([pa.array(v[:, 1]), pa.nulls(len(m), pa.int64())])], names=["key", "a", "b"])
+
+    def end(self):
+        if len(self.key) and not self.begun:
+            self._lists(self.key, self.node, np.zeros(1, np.int64), np.array([len(self.key)]), 0)
+        self.key, self.node, self.begun = self.key[:0], self.node[:0], False
+
+
+def list_pairs(posted: DataFrame) -> DataFrame:
+    """(key, a, b): see ListPairs."""
 
-    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, shingles binary")
+    def run(batches):
+        lists = ListPairs()
+        for batch in batches:
+            if batch.num_rows:
+                lists.add(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+                if lists.size > 500_000:
+                    lists._shrink()
+                    if lists.size > 400_000:
+                        yield lists.take()
+        lists.end()
+        yield lists.take()
+
+    dealt = posted.repartition(common.partitions(posted.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(common.tidy(run), "key long, a long, b long")
+
+
+def _spare(na: np.ndarray, nb: np.ndarray, p: NearParams) -> np.ndarray:
+    """How many elements similar sets of these sizes have at most that are in one of them only;
+    negative if they can't be similar."""
+    spare = na + nb - 2 * _at_least(p.similarity / (1 + p.similarity) * (na + nb))
+    return np.where(np.abs(na - nb) <= spare, spare, -1)
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    """Rows of parity bits as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+def _enough(na: np.ndarray, nb: np.ndarray, shared: np.ndarray, p: NearParams) -> np.ndarray:
+    """Whether the tally of shared positional bytes reaches the minimum that similar sets of these
+    sizes have for certain."""
+    spare = _spare(na, nb, p)
+    return (spare >= 0) & (shared >= _POSITIONS - spare)
 
 
-def _possible(na: np.ndarray, nb: np.ndarray, far: np.ndarray, p: NearParams) -> np.ndarray:
-    """Whether sets of these sizes and this many unlike parity bits may be similar: no similar pair is
-    ruled out, as it has at most `spare` elements that are in one set only."""
-    spare = na + nb - 2 * _at_least(p.similarity / (1 + p.similarity) * (na + nb))
-    return (far <= spare) & (np.abs(na - nb) <= spare)
+def _byte_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), _POSITIONS)
 
 
-def _similar(a: np.ndarray, b: np.ndarray, p: NearParams) -> bool:
-    """Whether two whole sets (sorted) are similar."""
-    na, nb = len(a), len(b)
-    if min(na, nb) < _at_least(p.similarity * max(na, nb)):
-        return False
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return bool(shared >= _at_least(p.similarity * (na + nb - shared)))
+def _beside(pairs: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
+    """Pairs (a, b) with these columns of both."""
+    for x in "ab":
+        pairs = pairs.join(known.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols)), x)
+    return pairs.select("a", "b", *(f"{c}_{x}" for c in cols for x in "ab"))
 
 
-def _partners(keys: np.ndarray, carried: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of sorted posting lists that aren't their list's first, and the rows of that first one
-    and of the member before. The first `carried` rows stand for a list that has begun before."""
-    new = np.r_[True, keys[1:] != keys[:-1]]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
-    at = np.flatnonzero(~new)
-    at = at[at >= carried]
-    return at, first[at], at - 1
+def tallied(pairs: DataFrame, known: DataFrame, p: NearParams) -> DataFrame:
+    """(a, b, shared): pairs whose tally of shared positional bytes reaches the guaranteed minimum."""
 
+    def run(batches):
+        for batch in batches:
+            shared = (_byte_rows(batch.column(4)) == _byte_rows(batch.column(5))).sum(1, dtype=np.int64)
+            ok = pa.array(_enough(batch.column(2).to_numpy(), batch.column(3).to_numpy(), shared, p))
+            yield pa.RecordBatch.from_arrays([x.filter(ok) for x in (batch.column(0), batch.column(1), pa.array(shared))], names=["a", "b", "shared"])
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, carried: int = 0) -> np.ndarray:
-    """(id, partner) of sorted posting lists: every member with the list's first one, and with the
-    member before it, so that lists of any length give two rows a member. The first `carried`
-    rows stand for a list that has begun before; they give no rows of their own."""
-    at, first, before = _partners(keys, carried)
-    one = np.stack([ids[at], ids[first]], 1)
-    two = np.stack([ids[at], ids[before]], 1)[ids[before] != ids[first]]
-    return np.concatenate([one, two])
+    return _beside(pairs, known, "n", "bytes").mapInArrow(common.tidy(run), "a long, b long, shared long")
 
 
-def _cross(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: np.ndarray, nearest: bool, p: NearParams, block: int = 512):
-    """(id, partner) of the pairs of one posting list that are in different components and may be
-    similar by their parity bits, which rule out no similar pair. `nearest`: only the likeliest
-    partner of each member outside of the largest component."""
+def _cross(node: np.ndarray, comp: np.ndarray, size: np.ndarray, marks: np.ndarray, nearest: bool, p: NearParams, block: int = 128):
+    """(a, b) of the pairs of one posting list that are in different components and share enough
+    positional bytes. `nearest`: only the likeliest partner of each member outside of the largest
+    component."""
     kinds, n = np.unique(comp, return_counts=True)
     minor = np.flatnonzero(comp != kinds[n.argmax()])
     for i in range(0, len(minor), block):
         x = minor[i : i + block]
-        best, who = np.full(len(x), _PARITY + 1), np.zeros(len(x), np.int64)
-        for j in range(0, len(ids), block):
-            y = np.arange(j, min(j + block, len(ids)))
-            far = np.zeros((len(x), len(y)), np.int64)
-            for w in range(bits.shape[1]):
-                far += popcount(bits[x, w][:, None] ^ bits[y, w][None])
-            ok = (comp[x][:, None] != comp[y][None]) & _possible(size[x][:, None], size[y][None], far, p)
+        best, who = np.full(len(x), -1), np.zeros(len(x), np.int64)
+        for j in range(0, len(node), block):
+            y = np.arange(j, min(j + block, len(node)))
+            shared = (marks[x][:, None] == marks[y][None]).sum(2)
+            ok = (comp[x][:, None] != comp[y][None]) & _enough(size[x][:, None], size[y][None], shared, p)
             if nearest:
-                far = np.where(ok, far, _PARITY + 1)
-                k = far.argmin(1)
-                low = far[np.arange(len(x)), k]
-                who, best = np.where(low < best, y[k], who), np.minimum(best, low)
+                shared = np.where(ok, shared, -1)
+                k = shared.argmax(1)
+                top = shared[np.arange(len(x)), k]
+                who, best = np.where(top > best, y[k], who), np.maximum(best, top)
             else:
                 r, c = np.nonzero(ok)
-                yield np.stack([ids[x[r]], ids[y[c]]], 1)
+                yield np.stack([node[x[r]], node[y[c]]], 1)
         if nearest:
-            yield np.stack([ids[x], ids[who]], 1)[best <= _PARITY]
+            yield np.stack([node[x], node[who]], 1)[best >= 0]
 
 
 def _whole_lists(batches):
-    """The columns of each posting list (key, id, component, size, bits) of batches sorted by key."""
+    """The columns of each posting list (key, node, component, n, bytes) of batches sorted by key."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(k).to_numpy() for k in range(4)]
-        cols.append(_words(batch.column(4)))
+        cols.append(_byte_rows(batch.column(4)))
         if held and held[0][0][0] == cols[0][-1]:
             held.append(cols)
             continue
@@ -371,9 +554,15 @@ def _whole_lists(batches):
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+def _placed(rows: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
+    """Rows with the component of the node in a column, by default the node itself."""
+    found = comp.select(F.col("node").alias(col), F.col("component").alias(name))
+    return rows.join(found, col, "left").withColumn(name, F.coalesce(name, col))
+
+
 def _across(members: DataFrame, comp: DataFrame, known: DataFrame, nearest: bool, p: NearParams) -> DataFrame:
-    """(a, b) of members of one posting list whose components differ; see _cross()."""
-    placed = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    """(a, b) of members of one long posting list whose components differ; see _cross()."""
+    placed = _placed(members, comp, "node", "component")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
 
     def run(batches):
@@ -392,87 +581,93 @@ def _across(members: DataFrame, comp: DataFrame, known: DataFrame, nearest: bool
                     rows, n = [np.zeros((0, 2), np.int64)], 0
         yield out()
 
-    dealt = placed.join(mixed, "key", "left_semi").join(known, "doc_id").repartition(common.partitions(members.sparkSession), "key").sortWithinPartitions("key", "doc_id")
-    return dealt.select("key", "doc_id", "component", "n", "bits").mapInArrow(common.tidy(run), "a long, b long").where("a <> b").distinct()
+    dealt = placed.join(mixed, "key", "left_semi").join(known, "node").repartition(common.partitions(members.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.select("key", "node", "component", "n", "bytes").mapInArrow(common.tidy(run), "a long, b long").where("a <> b").distinct()
 
 
-def _beside(pairs: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
-    """Pairs (a, b) with these columns of both."""
-    for x in "ab":
-        pairs = pairs.join(known.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols)), x)
-    return pairs.select("a", "b", *(f"{c}_{x}" for c in cols for x in "ab"))
+def _similar(a: np.ndarray, b: np.ndarray, p: NearParams) -> bool:
+    """Whether two whole sets (sorted) are similar."""
+    na, nb = len(a), len(b)
+    if min(na, nb) < _at_least(p.similarity * max(na, nb)):
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return bool(shared >= _at_least(p.similarity * (na + nb - shared)))
 
 
-def _plausible(pairs: DataFrame, known: DataFrame, p: NearParams) -> DataFrame:
-    """Those pairs (a, b) that sizes and parity bits don't rule out."""
+def _pack_set(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, which keep the order."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def shingle_sets(docs: DataFrame, p: NearParams) -> DataFrame:
+    """(node, shingles): the whole set of each document, 48 bits a shingle."""
 
     def run(batches):
         for batch in batches:
-            far = popcount(_words(batch.column(4)) ^ _words(batch.column(5))).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
-            ok = pa.array(_possible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), far, p))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            found = [(set_name(h), _pack_set(h)) for h in word_shingles(batch.column(1), p.width)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), common.binary_array([x[1] for x in found])], names=["node", "shingles"])
 
-    return _beside(pairs, known, "n", "bits").mapInArrow(common.tidy(run), "a long, b long").distinct()
+    return _source(docs).mapInArrow(common.tidy(run), "node long, shingles binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar. Sets are written once, of the documents in pairs."""
+def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are similar. Sets are made of one document for each node
+    in a pair, and written once."""
 
     def run(batches):
         for batch in batches:
-            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [_similar(_unpack_set(x.as_py()), _unpack_set(y.as_py()), p) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             ok = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    wanted = common.materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = common.materialize(known.join(nodes, "node").select(F.col("first").alias("doc_id")).distinct(), "wanted")
     sets = common.materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), p), "sets")
-    links = common.materialize(_beside(pairs, sets, "shingles").mapInArrow(common.tidy(run), "a long, b long"), "links")
+    # the rows of a repeated doc_id may give a node twice, hence distinct
+    links = common.materialize(_beside(pairs, sets, "shingles").mapInArrow(common.tidy(run), "a long, b long").distinct(), "links")
     common.forget(sets)
+    common.forget(wanted)
     return links
 
 
 def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """(doc_id, component_id) of every document with a non-null id; similar documents and those
-    linked through them share a component, named by its smallest doc_id."""
+    """(doc_id, component_id) of every row with a non-null id; similar documents and those linked
+    through them share a component, named by its smallest doc_id. Rows that repeat a doc_id with
+    another text are placed each. The result is a table of the shared folder."""
     p = params
-    spark = docs.sparkSession
-    both = common.materialize(digests(docs, p), "digests")
-    sk = both.where("doc_id is not null")
-    known = sk.select("doc_id", "n", "bits")
-    same = sk.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = prefixes(docs, _heavy(both, p), p).join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    posting = reps.select("doc_id", F.explode("keys").alias("key"))
-
-    def run(batches):
-        held_k, held_i = np.zeros(0, np.int64), np.zeros(0, np.int64)  # first and last of the open list
-        for batch in batches:
-            if not batch.num_rows:
+    with common.scratch(docs.sparkSession) as keep:
+        rows = common.materialize(sketches(docs, p), "sketches")
+        placed = rows.where("doc_id is not null")
+        known = common.materialize(placed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bytes").alias("bytes")), "nodes")
+        lists = common.materialize(list_pairs(postings(docs, _heavy(rows, p), p)), "lists")
+        members = lists.where("key is not null").select("key", F.col("a").alias("node"))
+        marked = known.select("node", "n", "bytes")
+        found = common.materialize(tallied(lists.where("key is null").select("a", "b").distinct(), known, p), "candidates")
+        # the likeliest partner of each set links most of a large group
+        best = found.groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("a", "b"))).alias("b"))
+        links = verified(best, known, docs, p)
+        comp = common.materialize(connected(links), "joined")
+        tried = common.materialize(best, "tried")
+        for nearest in (True, False):
+            # pairs whose ends are still apart: first with the nearest of each long list, then all
+            apart = _placed(_placed(found.select("a", "b"), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
+            more = apart.union(_across(members, comp, marked, nearest, p)).distinct().join(tried, ["a", "b"], "left_anti")
+            more = common.materialize(more.select("a", "b"), "more")
+            if more.isEmpty():
                 continue
-            n = len(held_k)
-            key, ids = np.r_[held_k, batch.column(0).to_numpy()], np.r_[held_i, batch.column(1).to_numpy()]
-            at, first, before = _partners(key, n)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ids[at]), pa.array(ids[first]), pa.array(ids[before])], names=["key", "doc_id", "first", "before"])
-            ends = [int(np.searchsorted(key, key[-1])), len(key) - 1]
-            held_k, held_i = key[ends], ids[ends]
-
-    dealt = posting.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "doc_id").select("key", "doc_id")
-    lists = common.materialize(dealt.mapInArrow(common.tidy(run), "key long, doc_id long, first long, before long"), "lists")
-    members = lists.select("key", "doc_id").union(lists.select("key", F.col("first").alias("doc_id"))).distinct()
-    # two partners a member at first: they link most of a large group
-    two = lists.select("doc_id", F.explode(F.array("first", "before")).alias("other")).where("doc_id <> other")
-    two = two.select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
-    found = common.materialize(_plausible(two, known, p), "candidates")
-    links = _verified(found, docs, p)
-    comp = common.materialize(connected(links), "components")
-    # lists whose members are still apart: first the nearest of each, then every pair that is left
-    for nearest in (True, False):
-        more = common.materialize(_across(members, comp, known, nearest, p).join(found, ["a", "b"], "left_anti"), "candidates")
-        if more.isEmpty():
-            continue
-        found, new = found.union(more), _verified(more, docs, p)
-        if not new.isEmpty():
-            links = links.union(new)
-            comp = common.materialize(connected(links), "components")
-    comp = comp.withColumnRenamed("node", "rep")
-    by_digest = same.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return sk.select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "component_id")
+            new = verified(more, known, docs, p)
+            tried = tried.union(more)
+            if not new.isEmpty():
+                links = links.union(new)
+                comp = common.materialize(connected(links), "joined")
+        by_node = _placed(known.select("node", "first"), comp, "node", "component")
+        smallest = by_node.groupBy("component").agg(F.min("first").alias("component_id"))
+        by_node = by_node.join(smallest, "component").select("node", "component_id")
+        return keep(placed.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id"), "groups")
