@@ -32,9 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps the document of the smallest id of each group of copies and near copies (five-word
     shingles, similarity 0.8). Documents without an id are kept."""
     common.ship(spark)
-    # written first, so that its size decides whether the join below broadcasts it
-    groups = common.materialize(simhash.near_groups(docs).where("component_id < doc_id").select("doc_id"), "near-copies")
-    return _documents(docs.join(groups, "doc_id", "left_anti"))
+    with common.scratch(spark) as keep:
+        # written first, so that its size decides whether the join below broadcasts it
+        copies = keep(simhash.near_groups(docs).where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
+    return _documents(docs.join(copies, "doc_id", "left_anti"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
