@@ -70,17 +70,57 @@ def test_text_output(spark):
     assert got == {1: ("x " + p, "en"), 2: (" tail", "fr"), 3: (None, None)}
 
 
-def test_family_merges_levels():
+def test_family_scans_levels():
+    """Each batch meets the levels that are there: what it settles equals a plain search, and a
+    batch that shares nothing is compared with nothing."""
     f, rng = suffix.SuffixFamily(), np.random.default_rng(0)
     rows = []
-    for _ in range(11):
-        h, c = rng.integers(0, 20, 30).astype(np.uint32), rng.integers(0, 3, 30).astype(np.uint64)
-        d, p = rng.integers(0, 50, 30), rng.integers(0, 9, 30)
-        rows += list(zip(h, c, d, p))
+    for k in range(11):
+        h, c = rng.integers(0, 20, 30).astype(np.uint32), rng.integers(0, 3, 30).astype(np.uint64) << np.uint64(int(rng.integers(0, 2)) * 20)
+        d, p = rng.integers(0, 50, 30), np.arange(30) + 30 * k
+        rows += list(zip(h.tolist(), c.tolist(), d.tolist(), p.tolist()))
+        before = f.compared
         f.add(h, c, d, p)
+        assert (f.compared > before) == (k > 0)
     assert [x is not None for x in f.levels] == [True, True, False, True]
-    m = f.merged()
-    assert sorted((int(a), int(b), int(c)) for a, b, c, _ in rows) == list(zip(*(x.tolist() for x in m[:3])))
+    least, contexts = {}, {}
+    for h, c, d, _ in rows:
+        least[h, c] = min(least.get((h, c), d), d)
+        contexts.setdefault(h, set()).add(c)
+    want = {(d, p): 0 if d > least[h, c] else len(contexts[h]) for h, c, d, p in rows}
+    got = {(d, p): n for d, p, n in zip(*(x.tolist() for x in f.verdicts()))}
+    assert got == {k: n for k, n in want.items() if n != 1}
+    at = f.compared
+    f.add(np.arange(100, 130).astype(np.uint32), np.zeros(30, np.uint64), np.arange(30), np.arange(30))
+    assert f.compared == at
+
+
+@pytest.mark.parametrize("params", [suffix.Params(), suffix.Params(block=50, hot=1)])
+def test_repeated_ids(spark, params):
+    """Rows of one doc_id, with equal and with other texts, have results of their own and don't remove
+    each other."""
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcde "), n))
+    p, q = word(90), word(70)
+    rows = [(1, word(20) + p), (1, word(200) + q), (1, None), (2, p + word(30)), (2, word(300) + q + word(50) + p), (2, "short"), (3, q), (3, q), (3, p + q), (0, q[:60])]
+    want = []
+    for d, t in rows:
+        b = (t or "").encode()
+        low = {x[j : j + 50] for e, u in rows if e < d for x in [(u or "").encode()] for j in range(len(x) - 49)}
+        cov = np.zeros(len(b) + 1, bool)
+        for j in range(len(b) - 49):
+            if b[j : j + 50] in low:
+                cov[j : j + 50] = True
+        want.append((d, len(b), int(cov.sum()), hashlib.sha256(bytes(x for x, c in zip(b, cov) if not c)).hexdigest()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.repeats(df, params).collect())
+    assert got == sorted(want) and any(w[2] for w in want)
+
+
+def test_shards_follow_the_bytes(spark):
+    rows = cases()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(suffix.repeats(df, suffix.Params(shard=100))) == brute(rows)
 
 
 def test_matches_sql(spark, sf_dir):

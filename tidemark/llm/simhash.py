@@ -8,9 +8,9 @@ are such that any 5 shared positions contain one of them, so no pair is lost.
 
 `near_groups` finds documents whose sets of word shingles are similar (0.8 by default), which
 one fingerprint of 64 bits can't separate: such pairs differ in about 10 bits. There a
-fingerprint has a byte for each of 256 positions: a shingle's hash picks a position, whose
-byte is the exclusive or of what falls there, so that sets that differ in d shingles share at least
-256 - d positional bytes. Posting lists are keyed by each set's first shingles in one common
+fingerprint has a byte for each of 256 positions: a shingle's hash picks a position and turns
+one bit of its byte, so that sets that differ in d shingles share at least 256 - d positional
+bytes and differ in d bits at most. Posting lists are keyed by each set's first shingles in one common
 order, rarest first (prefix filtering; similar sets of any size meet in one), since lists
 keyed by bytes of so many positions would be no shorter. The shared positional bytes of each
 pair of a list are tallied, pairs below the guaranteed minimum drop out, and the rest are
@@ -289,9 +289,9 @@ def word_shingles(column: pa.Array, width: int, limit: int = 1 << 19):
 
 
 def positional_bytes(hashes: np.ndarray) -> np.ndarray:
-    """The fingerprint of a set: each hash picks a position and changes its byte."""
+    """The fingerprint of a set: each hash picks a position and turns one bit of its byte."""
     out = np.zeros(_POSITIONS, np.uint8)
-    np.bitwise_xor.at(out, (hashes & U64(_POSITIONS - 1)).astype(np.int64), (hashes >> U64(56)).astype(np.uint8))
+    np.bitwise_xor.at(out, (hashes & U64(_POSITIONS - 1)).astype(np.int64), (U64(1) << (hashes >> U64(61))).astype(np.uint8))
     return out
 
 
@@ -479,11 +479,13 @@ def _spare(na: np.ndarray, nb: np.ndarray, p: NearParams) -> np.ndarray:
     return np.where(np.abs(na - nb) <= spare, spare, -1)
 
 
-def _enough(na: np.ndarray, nb: np.ndarray, shared: np.ndarray, p: NearParams) -> np.ndarray:
-    """Whether the tally of shared positional bytes reaches the minimum that similar sets of these
-    sizes have for certain."""
+def _near(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray, p: NearParams) -> tuple[np.ndarray, np.ndarray]:
+    """The tally of shared positional bytes of pairs of fingerprints, and whether it reaches the
+    minimum that similar sets of these sizes have for certain, and their bits too."""
+    mixed = x ^ y
+    shared = (mixed == 0).sum(-1, dtype=np.int64)
     spare = _spare(na, nb, p)
-    return (spare >= 0) & (shared >= _POSITIONS - spare)
+    return shared, (spare >= 0) & (shared >= _POSITIONS - spare) & (popcount(mixed).sum(-1, dtype=np.int64) <= spare)
 
 
 def _byte_rows(column: pa.Array) -> np.ndarray:
@@ -498,15 +500,18 @@ def _beside(pairs: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
 
 
 def tallied(pairs: DataFrame, known: DataFrame, p: NearParams) -> DataFrame:
-    """(a, b, shared): pairs whose tally of shared positional bytes reaches the guaranteed minimum."""
+    """(a, b, shared): pairs whose tally of shared positional bytes reaches the guaranteed minimum.
+    Pairs that their sizes rule out don't meet the bytes."""
 
     def run(batches):
         for batch in batches:
-            shared = (_byte_rows(batch.column(4)) == _byte_rows(batch.column(5))).sum(1, dtype=np.int64)
-            ok = pa.array(_enough(batch.column(2).to_numpy(), batch.column(3).to_numpy(), shared, p))
+            shared, ok = _near(_byte_rows(batch.column(4)), _byte_rows(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy(), p)
+            ok = pa.array(ok)
             yield pa.RecordBatch.from_arrays([x.filter(ok) for x in (batch.column(0), batch.column(1), pa.array(shared))], names=["a", "b", "shared"])
 
-    return _beside(pairs, known, "n", "bytes").mapInArrow(common.tidy(run), "a long, b long, shared long")
+    share = p.similarity / (1 + p.similarity)
+    sized = _beside(pairs, known, "n").where(f"abs(n_a - n_b) <= n_a + n_b - 2 * ceil({share!r}D * (n_a + n_b) - 1e-9D)").select("a", "b")
+    return _beside(sized, known, "n", "bytes").mapInArrow(common.tidy(run), "a long, b long, shared long")
 
 
 def _cross(node: np.ndarray, comp: np.ndarray, size: np.ndarray, marks: np.ndarray, nearest: bool, p: NearParams, block: int = 128):
@@ -520,8 +525,8 @@ def _cross(node: np.ndarray, comp: np.ndarray, size: np.ndarray, marks: np.ndarr
         best, who = np.full(len(x), -1), np.zeros(len(x), np.int64)
         for j in range(0, len(node), block):
             y = np.arange(j, min(j + block, len(node)))
-            shared = (marks[x][:, None] == marks[y][None]).sum(2)
-            ok = (comp[x][:, None] != comp[y][None]) & _enough(size[x][:, None], size[y][None], shared, p)
+            shared, ok = _near(marks[x][:, None], marks[y][None], size[x][:, None], size[y][None], p)
+            ok &= comp[x][:, None] != comp[y][None]
             if nearest:
                 shared = np.where(ok, shared, -1)
                 k = shared.argmax(1)
@@ -634,6 +639,7 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, p: NearParams)
     links = common.materialize(_beside(pairs, sets, "shingles").mapInArrow(common.tidy(run), "a long, b long").distinct(), "links")
     common.forget(sets)
     common.forget(wanted)
+    common.release(docs.sparkSession)  # sets are the largest rows that are shuffled here
     return links
 
 

@@ -6,21 +6,26 @@ smallest hash of a k-mer in every window of `length` bytes, so that equal window
 anchors at equal offsets. An entry is ordered by the hash of its k-mer and the hash of its
 context (all bytes that any window with this anchor can reach), then by document.
 
-Entries are dealt to shards by k-mer. Within a shard every block of documents is a new batch:
-it gets its own sorted array, and levels of equal size merge geometrically. One scan over all
-levels, merged into one run at the end, settles most entries: where the whole context
-starts in a smaller document, all its bytes go. Left open are k-mers with several contexts;
-these alone are compared window by window, by the bytes themselves hashed at 64 bits.
+Entries are dealt to shards by k-mer. Within a shard every block of documents is a new batch: it
+gets its own sorted array and is merge-scanned against the levels that are there. Where an
+entry's whole context starts in a smaller document, all its bytes go; such entries, of the batch
+and of the levels, are settled and leave the family. Then the batch becomes a level, and levels
+of equal size merge geometrically. What is left open at the end are k-mers with several
+contexts; these alone are looked at window by window.
+
+Strings are told apart by hashes of their bytes (a k-mer by 32 bits within its shard, a context by
+48, a window by 64); the bytes themselves are not compared.
 
 A shard's k-mer that has very many contexts (a common passage with different surroundings) is
 not compared in one place: its windows are dealt out by their own hash. Copies within a
 block of documents are settled before anything is shuffled, of entries and of such windows, so
-a hot passage sends one entry a block.
+a hot passage sends one entry a block. The number of shards follows the bytes of text, which
+bounds what one holds.
 
 Defined cases: null and empty texts and texts shorter than `length` lose nothing; equal texts
-lose all but the one of the smallest id; rows that repeat a doc_id are taken to hold the same
-text and don't remove each other; rows with a null doc_id neither lose nor remove anything.
-Extra columns are kept by `remove_repeats` and ignored by `repeats`.
+lose all but the one of the smallest id; rows that repeat a doc_id don't remove each other, and
+each has its own result, whether their texts are equal or not; rows with a null doc_id neither
+lose nor remove anything. Extra columns are kept by the text output and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -49,6 +55,7 @@ class Params:
     chunk: int = 1 << 18  # bytes scanned at once
     block: int = 400_000  # entries of one batch of the family
     hot: int = 50_000  # contexts of one k-mer beyond which its windows are dealt out singly
+    shard: int = 8 << 20  # bytes of text for each shard at most, on average
 
     @property
     def window(self) -> int:  # k-mers in one string of `length` bytes
@@ -170,11 +177,10 @@ def index_entries(docs: DataFrame, shards: int, p: Params) -> DataFrame:
         shard = (h[keep] % U64(shards)).astype(np.int64)
         keep = keep[np.lexsort((pos[keep], doc[keep], shard))]
         shard = (h[keep] % U64(shards)).astype(np.int64)
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        for s in range(shards):
-            at = keep[cut[s] : cut[s + 1]]
-            if len(at):
-                rows.append((s, 0, _pack(doc[at], pos[at], ((h[at] // U64(shards)).astype(np.uint32), 4), (c[at], 6))))
+        cut = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            at = keep[a:b]
+            rows.append((int(shard[a]), 0, _pack(doc[at], pos[at], ((h[at] // U64(shards)).astype(np.uint32), 4), (c[at], 6))))
         at = np.flatnonzero(copy)
         at = at[np.lexsort((pos[at], doc[at]))]
         for part in np.array_split(at, -(-len(at) // 200_000)) if len(at) else []:
@@ -185,9 +191,9 @@ def index_entries(docs: DataFrame, shards: int, p: Params) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, base = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for d, pos, h, c in anchors(*common.flat_text(batch.column(1)), p):
-                held.append((ids[d], pos.astype(np.uint32), h, c))
+                held.append((ids[d], (pos + base[d]).astype(np.uint32), h, c))
                 size += len(d)
                 if size >= p.block:
                     yield blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -195,57 +201,99 @@ def index_entries(docs: DataFrame, shards: int, p: Params) -> DataFrame:
         if held:
             yield blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), "shard int, kind int, blob binary")
+    return docs.select("doc_id", "text", "base").mapInArrow(common.tidy(run), "shard int, kind int, blob binary")
 
 
 class SuffixFamily:
-    """The levels of one shard. Level k holds 2**k batches; two equal levels are merged. Matching is
-    left to scan(), over the merged run."""
+    """The levels of one shard. A level is sorted by k-mer, context and document; level k holds what
+    is open of 2**k batches. `settled` are the entries whose context starts in a smaller document."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, ...] | None] = []
+        self.settled: list[tuple[np.ndarray, np.ndarray]] = []
+        self.compared = 0  # entries of levels that scans have met
 
     def add(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray):
-        order = np.lexsort((doc, c, h))
-        run, k = tuple(x[order] for x in (h, c, doc, pos)), 0
+        # a sort key of the k-mer and the top of the context, and the rest of the context
+        key, rest = h.astype(np.uint64) << U64(32) | c >> U64(16), (c & U64(0xFFFF)).astype(np.uint16)
+        order = np.lexsort((doc, rest, key))
+        run = tuple(x[order] for x in (key, rest, doc, pos))
+        new = self._classes(run)
+        least = run[2][np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        run = self._settle(run, run[2] > least)
+        for k, level in enumerate(self.levels):
+            if level is not None and len(run[0]):
+                gone, below = self._scan(level, run)
+                self.levels[k], run = self._settle(level, below), self._settle(run, gone)
+        k = 0
         while k < len(self.levels) and self.levels[k] is not None:
             run, self.levels[k] = self._merge(self.levels[k], run), None
             k += 1
         self.levels += [None] * (k + 1 - len(self.levels))
         self.levels[k] = run
 
+    @staticmethod
+    def _classes(run) -> np.ndarray:
+        """Where another k-mer or context begins."""
+        return np.r_[True, (run[0][1:] != run[0][:-1]) | (run[1][1:] != run[1][:-1])][: len(run[0])]
+
+    def _settle(self, run, gone: np.ndarray):
+        if not gone.any():
+            return run
+        self.settled.append((run[2][gone], run[3][gone]))
+        return tuple(x[~gone] for x in run)
+
+    def _scan(self, level, run) -> tuple[np.ndarray, np.ndarray]:
+        """Merge-scans a new run against a level: which entries of each start, with their whole
+        context, in a smaller document of the other."""
+        gone, below = np.zeros(len(run[0]), bool), np.zeros(len(level[0]), bool)
+        first = np.flatnonzero(self._classes(run))  # the least document of each context
+        lo = np.searchsorted(level[0], run[0][first])
+        hi = np.searchsorted(level[0], run[0][first], "right")
+        met = np.flatnonzero(hi > lo)
+        if not len(met):
+            return gone, below
+        n = (hi - lo)[met]
+        self.compared += int(n.sum())
+        at = np.repeat(lo[met] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        same = level[1][at] == np.repeat(run[1][first[met]], n)
+        below[at[same & (level[2][at] > np.repeat(run[2][first[met]], n))]] = True
+        least = np.minimum.reduceat(np.where(same, level[2][at], np.iinfo(np.int64).max), np.cumsum(n) - n)
+        ends = np.r_[first[1:], len(run[0])]
+        size = (ends - first)[met]
+        mine = np.repeat(first[met] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        gone[mine] = run[2][mine] > np.repeat(least, size)
+        return gone, below
+
     @staticmethod
     def _merge(a, b):
-        """Merges two sorted levels by a linear merge of their sort keys."""
-        h, c = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        # the k-mer hash and the top of the context hash order almost all; ties are sorted again
-        order = np.argsort(h.astype(np.uint64) << U64(32) | c >> U64(16), kind="stable")
-        h, c, doc, pos = h[order], c[order], np.concatenate([a[2], b[2]])[order], np.concatenate([a[3], b[3]])[order]
-        bad = np.flatnonzero((h[1:] == h[:-1]) & ((c[1:] < c[:-1]) | (c[1:] == c[:-1]) & (doc[1:] < doc[:-1])))
-        if len(bad):
-            order = np.lexsort((doc, c, h))
-            h, c, doc, pos = h[order], c[order], doc[order], pos[order]
-        return h, c, doc, pos
+        """Merges two sorted levels by a linear merge of their sort keys; ties are sorted again."""
+        key = np.concatenate([a[0], b[0]])
+        order = np.argsort(key, kind="stable")
+        key, rest, doc, pos = key[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:], strict=True))
+        if ((key[1:] == key[:-1]) & ((rest[1:] < rest[:-1]) | (rest[1:] == rest[:-1]) & (doc[1:] < doc[:-1]))).any():
+            order = np.lexsort((doc, rest, key))
+            key, rest, doc, pos = key[order], rest[order], doc[order], pos[order]
+        return key, rest, doc, pos
 
     def merged(self):
-        run = None
+        run = tuple(np.zeros(0, t) for t in (np.uint64, np.uint16, np.int64, np.int64))
         for level in self.levels:
             if level is not None:
-                run = level if run is None else self._merge(level, run)
+                run = self._merge(level, run)
         return run
 
-    def scan(self) -> tuple[np.ndarray, ...]:
-        """(document, position, kind) of settled (0) and open (1, hot 2) entries."""
-        h, c, doc, pos, hot = *self.merged(), None
-        new_h = np.r_[True, h[1:] != h[:-1]]
-        new_c = new_h | np.r_[True, c[1:] != c[:-1]]
-        least = doc[np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))]
-        group = np.cumsum(new_h) - 1
-        classes = np.bincount(group, new_c)[group]
-        settled = doc > least
-        open_ = ~settled & (classes > 1)
-        at = np.flatnonzero(settled | open_)
-        return doc[at], pos[at], np.where(settled, 0, 1)[at], classes[at]
+    def verdicts(self) -> tuple[np.ndarray, ...]:
+        """(document, position, contexts): of each entry, 0 if it is settled, else how many contexts
+        its k-mer has, if it has several."""
+        run = self.merged()
+        new_c = self._classes(run)
+        kmer = run[0] >> U64(32)
+        group = np.cumsum(np.r_[True, kmer[1:] != kmer[:-1]][: len(kmer)]) - 1
+        classes = np.bincount(group, new_c, minlength=1)[group].astype(np.int64)
+        at = np.flatnonzero(classes > 1)
+        parts = [*((d, p, np.zeros(len(d), np.int64)) for d, p in self.settled), (run[2][at], run[3][at], classes[at])]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def shard_verdicts(entries: DataFrame, p: Params) -> DataFrame:
@@ -262,15 +310,21 @@ def shard_verdicts(entries: DataFrame, p: Params) -> DataFrame:
             else:
                 doc, pos, h, c = _unpack(blob.as_py(), (4, np.uint32), (6, np.uint64))
                 family.add(h, c, doc, pos)
-        if family.levels:
-            doc, pos, kind, classes = family.scan()
-            docs.append(doc)
-            marks.append(pos * 4 + np.where((kind == 1) & (classes > p.hot), 2, kind))
+        doc, pos, contexts = family.verdicts()
+        docs.append(doc)
+        marks.append(pos * 4 + np.where(contexts > p.hot, 2, np.minimum(contexts, 1)))
         return pa.table({"doc_id": np.concatenate(docs), "mark": np.concatenate(marks)})
 
     return entries.groupBy("shard").applyInArrow(common.tidy_group(run), "doc_id long, mark long")
 
 
+def _own(marks: np.ndarray, shift: int, base: int, size: int) -> np.ndarray:
+    """Those marks of a doc_id (position above `shift` bits) that are of the row whose text of `size`
+    bytes begins at `base`, with positions in that text."""
+    at = (marks >> shift) - base
+    return marks[(at >= 0) & (at < size)] - (base << shift)
+
+
 def open_contexts(joined: DataFrame, shards: int, p: Params) -> DataFrame:
     """(shard, blob): the context bytes of open entries, by the shard of their k-mer (of their
     window if hot)."""
@@ -286,14 +340,13 @@ def open_contexts(joined: DataFrame, shards: int, p: Params) -> DataFrame:
             left[gone], ctx[gone], shard[gone] = _SETTLED, 0, doc_id[gone] % shards
         order = np.lexsort((pos, doc_id, shard))
         doc_id, pos, left, right, ctx, shard = doc_id[order], pos[order], left[order], right[order], ctx[order], shard[order]
-        cut = np.searchsorted(shard, np.arange(shards + 1))
+        cut = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
         out = []
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            a, b = cut[s], cut[s + 1]
-            out.append((s, _pack(doc_id[a:b], pos[a:b], (left[a:b], 1), (right[a:b], 1)) + ctx[a:b].tobytes()))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            out.append((int(shard[a]), _pack(doc_id[a:b], pos[a:b], (left[a:b], 1), (right[a:b], 1)) + ctx[a:b].tobytes()))
         return out
 
-    def one(doc_id: int, text: np.ndarray, marks: np.ndarray):
+    def one(doc_id: int, base: int, text: np.ndarray, marks: np.ndarray):
         wide = np.zeros(len(text) + 2 * width, np.uint8)
         wide[width : width + len(text)] = text
         hasher = common.Hasher(text)
@@ -307,19 +360,23 @@ def open_contexts(joined: DataFrame, shards: int, p: Params) -> DataFrame:
             at, left, right = np.r_[at, j], np.r_[left, np.zeros(len(j), np.int64)], np.r_[right, np.full(len(j), p.length)]
             key = np.r_[key, hasher(j, j + p.length)]
         ctx = wide[(at + width - reach)[:, None] + np.arange(width)]
-        return np.full(len(at), doc_id, np.int64), at, left.astype(np.uint8), right.astype(np.uint8), key, ctx, np.arange(len(at)) >= n
+        return np.full(len(at), doc_id, np.int64), at + base, left.astype(np.uint8), right.astype(np.uint8), key, ctx, np.arange(len(at)) >= n
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             held = []
-            for doc_id, z, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(batch.num_columns - 1), strict=True):
+            for doc_id, z, base, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 if not marks.is_valid:
                     continue
                 m = marks.values.to_numpy()
-                if not (m & 3).any():
+                m = m[(m & 3) > 0]
+                if not len(m):
                     continue
-                held.append(one(doc_id, np.frombuffer(unzip.decompress(z.as_py()), np.uint8), m[(m & 3) > 0]))
+                text = np.frombuffer(unzip.decompress(z.as_py()), np.uint8)
+                m = _own(m, 2, base, len(text))
+                if len(m):
+                    held.append(one(doc_id, base, text, m))
             if held:
                 cols = list(zip(*batch_rows(*(np.concatenate(x) for x in zip(*held, strict=True))), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), common.binary_array(list(cols[1]))], names=["shard", "blob"])
@@ -383,14 +440,30 @@ def covered(size: int, marks: np.ndarray | None, masks: np.ndarray | None, p: Pa
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _based(src: DataFrame) -> DataFrame:
+    """Adds `base`: where a row's positions begin. That is 0 but for doc_ids that several rows have:
+    their different texts are given ranges of positions of their own, one after the other."""
+    again = common.materialize(src.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        common.forget(again)
+        return src.withColumn("base", F.lit(0).cast("long"))
+    kind = F.xxhash64("text")
+    texts = src.select("doc_id", kind.alias("kind"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).join(again, "doc_id", "left_semi").distinct()
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("kind", "n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = common.materialize(texts.select("doc_id", "kind", before.alias("base")), "bases")
+    return src.withColumn("kind", kind).join(bases, ["doc_id", "kind"], "left").withColumn("base", F.coalesce("base", F.lit(0).cast("long"))).drop("kind")
+
+
 def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest", extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per document. output "digest": doc_id, n_bytes, n_removed, n_spans, kept_sha256 and
     spans; "text": doc_id, text (kept bytes; a character that was cut is left out) and the extra
-    columns, which need distinct doc_ids."""
+    columns, which can't be named as this module's own (base, kind, marks, masks, present, z)."""
     p = params
     spark = docs.sparkSession
-    shards = 4 * common.partitions(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    shards = max(4 * common.partitions(spark), -(-size // p.shard))
+    src = _based(src)
     marks = shard_verdicts(index_entries(src.where("doc_id is not null"), shards, p), p)
     marks = marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
@@ -399,22 +472,23 @@ def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest",
         for batch in batches:
             buf, off = common.flat_text(batch.column(1))
             z = [zip_.compress(buf[off[k] : off[k + 1]].tobytes()) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), common.binary_array(z), batch.column(1).is_valid(), *batch.columns[2:]], names=["doc_id", "z", "present", *extra])
+            yield pa.RecordBatch.from_arrays([batch.column(0), common.binary_array(z), batch.column(1).is_valid(), *batch.columns[2:]], names=["doc_id", "z", "present", "base", *extra])
 
     kinds = dict(src.dtypes)
     more = "".join(f", `{c}` {kinds[c]}" for c in extra)
-    packed = src.mapInArrow(common.tidy(squeeze), f"doc_id long, z binary, present boolean{more}")
+    packed = src.select("doc_id", "text", "base", *extra).mapInArrow(common.tidy(squeeze), f"doc_id long, z binary, present boolean, base long{more}")
     joined = packed.join(marks, "doc_id", "left")
     masks = window_verdicts(open_contexts(joined, shards, p), p).groupBy("doc_id").agg(F.collect_list("mask").alias("masks"))
-    full = joined.join(masks, "doc_id", "left").select("doc_id", "z", "present", "marks", "masks", *extra)
+    full = joined.join(masks, "doc_id", "left").select("doc_id", "z", "present", "base", "marks", "masks", *extra)
 
     def finish(batches):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for z, present, m, w in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
+            for z, present, base, m, w in zip(*(batch.column(k) for k in range(1, 6)), strict=True):
                 text = unzip.decompress(z.as_py())
-                a, b = covered(len(text), m.values.to_numpy() if m.is_valid else None, w.values.to_numpy() if w.is_valid else None, p)
+                m, w = (_own(x.values.to_numpy(), shift, base.as_py(), len(text)) if x.is_valid else None for x, shift in ((m, 2), (w, p.window)))
+                a, b = covered(len(text), m, w, p)
                 kept = text if not len(a) else b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True))
                 if output == "text":
                     cols[0].append(kept.decode("utf-8", "ignore") if present.as_py() else None)
@@ -423,7 +497,7 @@ def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest",
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
             if output == "text":
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), *batch.columns[5:]], names=["doc_id", "text", *extra])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), *batch.columns[6:]], names=["doc_id", "text", *extra])
             else:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
