@@ -68,3 +68,32 @@ def test_cuts_are_the_best(seed):
     got = packing.best_cuts(pos, pen, cap)
     cost = lambda cuts: sum(cap - (b - a) + int(pen[list(pos).index(b)]) for a, b in zip([0, *cuts], cuts))
     assert cost(got) == best[int(pos[-1])][0] and got[-1] == pos[-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flushes_change_nothing(seed):
+    """Many small flushes give the rows of one pass, and those are the best with a free end."""
+    rng = np.random.default_rng(seed)
+    batches = []
+    for k in range(60):
+        ends = np.cumsum(rng.integers(1, 90 if k % 9 else 700, 5))
+        sentences = np.unique(rng.integers(1, ends[-1], 12)) if k % 7 else np.zeros(0, int)
+        batches.append(([5 * k + x for x in range(5)], rng.integers(0, 99, ends[-1]).astype(np.uint32), ends, sentences))
+    results = []
+    for flush in (1, 300, 2000, 1 << 30):
+        p = packing._Packer(0, 128, flush)
+        for b in batches:
+            p.add(*b)
+            if len(p.ids) >= p.due:
+                p.settle(False)
+        p.settle(True)
+        results.append(p.rows)
+    assert all(r == results[0] for r in results) and len({r[5] for r in results[0]}) > 50
+
+
+def test_the_end_is_free():
+    zero = np.zeros(3, int)
+    assert packing.final_cuts(np.array([7]), zero[:1], 11) == []
+    assert packing.best_cuts(np.array([3, 10, 19]), zero, 11) == [10, 19] and packing.final_cuts(np.array([3, 10, 19]), zero, 11) == [10]
+    assert packing.final_cuts(np.array([3, 10, 21]), zero, 11) == [10, 21]  # a full sequence is as good as a free end
+    assert packing.final_cuts(zero[:0], zero[:0], 11) == []

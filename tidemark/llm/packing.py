@@ -7,10 +7,13 @@ padding plus penalties; as padding is linear in a sequence's length, the best pr
 each cut is the minimum of a sliding window, kept in a monotone queue.
 
 Each partition is packed by itself, so nothing is shuffled and a lost task is repeated alone;
-a partition's rest is split into powers of two, which need no padding.
+a partition's rest, wherever it is best begun, is split into powers of two, which need no padding.
+Sequences are emitted while a partition is read, but only up to a cut that the best cuts for
+every possible continuation share. The result is that of one pass over the whole partition.
 
 Defined cases: a null or empty text is the end token alone; a document longer than a sequence
-is cut; equal rows are packed separately; a null doc_id stays null. Extra columns are ignored.
+is cut; equal rows are packed separately; a null doc_id stays null; of equally good cuts the
+latest is taken. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ CAPACITY = 4096
 SENTENCE_PENALTY = 2
 BREAK_PENALTY = 12
 STRIDE = 16  # tokens between cut points inside a sentence
-FLUSH = 1 << 20  # tokens held before finished sequences are emitted
+FLUSH = 1 << 20  # tokens held before settled sequences are emitted; it changes no result
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the tokenizer's own pattern
 _SIMPLE = regex.compile(r"[\x21-\x7e¡-ɏ]+")
 _MAX_WORDS = 350_000  # words that a worker remembers; then it starts again
@@ -150,8 +153,9 @@ def cut_points(ends: np.ndarray, sentences: np.ndarray, stride: int = STRIDE) ->
     return pos, pen
 
 
-def best_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> list[int]:
-    """Cut positions, the last of pos included, that minimise padding plus penalties.
+def best_tables(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
+    """For each cut (0 is the beginning) its position, the least g of cuts that end there, and the cut
+    before it.
 
     cost(i) = pen(i) + capacity - (pos(i) - pos(j)) + cost(j) over the cuts j within capacity;
     with g(j) = cost(j) + pos(j) it is g(i) = pen(i) + capacity + min g(j)."""
@@ -168,13 +172,49 @@ def best_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> lis
         while queue and g[queue[-1]] >= v:
             queue.pop()
         queue.append(i)
-    out, i = [], len(p) - 1
+    return p, g, back
+
+
+def _path(p: list[int], back: list[int], i: int) -> list[int]:
+    """The positions of cut i and those before it."""
+    out = []
     while i:
         out.append(p[i])
         i = back[i]
     return out[::-1]
 
 
+def best_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> list[int]:
+    """Cut positions, the last of pos included, that minimise padding plus penalties."""
+    p, _, back = best_tables(pos, pen, capacity)
+    return _path(p, back, len(p) - 1)
+
+
+def settled_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> list[int]:
+    """The cuts that stay, whatever follows: the next cut to come is preceded by one that lies within
+    capacity of the end, and all of those have these before them."""
+    p, _, back = best_tables(pos, pen, capacity)
+    active = [x > p[-1] - capacity for x in p]
+    left, i = sum(active), len(p) - 1
+    while left > 1:
+        if active[i]:
+            left -= 1
+            if not active[back[i]]:
+                active[back[i]] = True
+                left += 1
+        i -= 1
+    while not active[i]:
+        i -= 1
+    return _path(p, back, i)
+
+
+def final_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> list[int]:
+    """The best cuts if what follows the last one, a sequence's capacity at most, needs no padding."""
+    p, g, back = best_tables(pos, pen, capacity)
+    i = len(p) - 1
+    return _path(p, back, min((k for k in range(len(p)) if p[-1] - p[k] <= capacity), key=lambda k: (g[k] - p[k], -k)) if i else 0)
+
+
 def _powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
@@ -182,8 +222,8 @@ def _powers(n: int) -> list[int]:
 class _Packer:
     """Packs one partition; holds the documents whose sequences aren't settled yet."""
 
-    def __init__(self, first_sequence: int, capacity: int):
-        self.next, self.capacity = first_sequence, capacity
+    def __init__(self, first_sequence: int, capacity: int, flush: int = FLUSH):
+        self.next, self.capacity, self.flush, self.due = first_sequence, capacity, flush, flush
         self.ids = np.zeros(0, np.uint32)
         self.sentences = np.zeros(0, np.int64)
         self.ends = np.zeros(0, np.int64)
@@ -203,14 +243,15 @@ class _Packer:
     def settle(self, last: bool):
         if not len(self.ids):
             return
-        cuts = best_cuts(*cut_points(self.ends, self.sentences), self.capacity)
+        points = cut_points(self.ends, self.sentences)
         if last:
-            head = cuts[-2] if len(cuts) > 1 else 0
-            for n in _powers(cuts.pop() - head):
+            cuts = final_cuts(*points, self.capacity)
+            head = cuts[-1] if cuts else 0
+            for n in _powers(len(self.ids) - head):
                 cuts.append(head + n)
                 head += n
         else:
-            cuts = cuts[:-2]  # the last sequences still depend on what follows
+            cuts = settled_cuts(*points, self.capacity)
         a, k, done = 0, 0, self.begun
         for cut in cuts:
             offset = 0
@@ -225,6 +266,7 @@ class _Packer:
         self.ids = self.ids[a:]
         self.ends = self.ends[self.ends > a] - a
         self.sentences = self.sentences[self.sentences > a] - a
+        self.due = max(self.flush, 2 * len(self.ids))  # texts without a settled cut are not tried again and again
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
@@ -240,7 +282,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             for i, j in common.spans(off, 1 << 20):
                 texts = [buf[off[k] : off[k + 1]].tobytes() for k in range(i, j)]
                 packer.add(batch.column(0).slice(i, j - i).to_pylist(), *word_ids(where, end_id).encode(texts))
-                if len(packer.ids) >= FLUSH:
+                if len(packer.ids) >= packer.due:
                     packer.settle(False)
                     yield from emit(packer)
         if packer is not None:
