@@ -8,8 +8,9 @@ each cut is the minimum of a sliding window, kept in a monotone queue.
 
 Each partition is packed by itself, so nothing is shuffled and a lost task is repeated alone;
 a partition's rest, wherever it is best begun, is split into powers of two, which need no padding.
-Sequences are emitted while a partition is read, but only up to a cut that the best cuts for
-every possible continuation share. The result is that of one pass over the whole partition.
+A partition is read in stretches of `FLUSH` tokens. The last cut of a stretch is free: it lies
+where it is best, within a sequence of the stretch's end, and what follows it begins the next one,
+so that stretches force no padding.
 
 Defined cases: a null or empty text is the end token alone; a document longer than a sequence
 is cut; equal rows are packed separately; a null doc_id stays null; of equally good cuts the
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from bisect import bisect_left
 from collections import deque
 
 import numpy as np
@@ -34,7 +36,7 @@ CAPACITY = 4096
 SENTENCE_PENALTY = 2
 BREAK_PENALTY = 12
 STRIDE = 16  # tokens between cut points inside a sentence
-FLUSH = 1 << 20  # tokens held before settled sequences are emitted; it changes no result
+FLUSH = 1 << 20  # tokens of a stretch, which bounds what is held
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the tokenizer's own pattern
 _SIMPLE = regex.compile(r"[\x21-\x7e¡-ɏ]+")
 _MAX_WORDS = 350_000  # words that a worker remembers; then it starts again
@@ -153,66 +155,61 @@ def cut_points(ends: np.ndarray, sentences: np.ndarray, stride: int = STRIDE) ->
     return pos, pen
 
 
-def best_tables(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
-    """For each cut (0 is the beginning) its position, the least g of cuts that end there, and the cut
-    before it.
+class Cuts:
+    """The best cuts of a growing stream, by dynamic programming with a monotone queue.
 
     cost(i) = pen(i) + capacity - (pos(i) - pos(j)) + cost(j) over the cuts j within capacity;
-    with g(j) = cost(j) + pos(j) it is g(i) = pen(i) + capacity + min g(j)."""
-    p, c = [0, *pos.tolist()], [0, *pen.tolist()]
-    g, back = [0] * len(p), [0] * len(p)
-    queue = deque([0])
-    for i in range(1, len(p)):
-        at = p[i]
-        while at - p[queue[0]] > capacity:
-            queue.popleft()
-        j = queue[0]
-        back[i] = j
-        v = g[i] = g[j] + c[i] + capacity
-        while queue and g[queue[-1]] >= v:
-            queue.pop()
-        queue.append(i)
-    return p, g, back
-
-
-def _path(p: list[int], back: list[int], i: int) -> list[int]:
-    """The positions of cut i and those before it."""
-    out = []
-    while i:
-        out.append(p[i])
-        i = back[i]
-    return out[::-1]
+    with g(j) = cost(j) + pos(j) it is g(i) = pen(i) + capacity + min g(j). Cut 0 is the beginning."""
+
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity = capacity
+        self._begin(0)
+
+    def _begin(self, at: int):
+        self.pos, self.pen, self.g, self.back = array("q", [at]), array("q", [0]), array("q", [at]), array("q", [0])
+        self.queue = deque([0])
+
+    def extend(self, pos: np.ndarray, pen: np.ndarray):
+        """Positions, in order and after those before, where a sequence may end, and their penalties."""
+        p, g, back, queue, capacity = self.pos, self.g, self.back, self.queue, self.capacity
+        self.pen.extend(pen.tolist())
+        for i, (at, c) in enumerate(zip(pos.tolist(), pen.tolist(), strict=True), len(p)):
+            while at - p[queue[0]] > capacity:
+                queue.popleft()
+            j = queue[0]
+            v = g[j] + c + capacity
+            p.append(at)
+            g.append(v)
+            back.append(j)
+            while queue and g[queue[-1]] >= v:
+                queue.pop()
+            queue.append(i)
+
+    def path(self, i: int) -> list[int]:
+        """The positions of cut i and those before it."""
+        out = []
+        while i:
+            out.append(self.pos[i])
+            i = self.back[i]
+        return out[::-1]
+
+    def final(self) -> int:
+        """The best last cut if what follows it, a sequence's capacity at most, costs nothing."""
+        first = bisect_left(self.pos, self.pos[-1] - self.capacity)
+        return min(range(first, len(self.pos)), key=lambda k: (self.g[k] - self.pos[k], -k))
+
+    def drop(self, i: int):
+        """Makes cut i the beginning; the cuts after it start from there."""
+        pos, pen = np.array(self.pos[i + 1 :], np.int64), np.array(self.pen[i + 1 :], np.int64)
+        self._begin(self.pos[i])
+        self.extend(pos, pen)
 
 
 def best_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> list[int]:
     """Cut positions, the last of pos included, that minimise padding plus penalties."""
-    p, _, back = best_tables(pos, pen, capacity)
-    return _path(p, back, len(p) - 1)
-
-
-def settled_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> list[int]:
-    """The cuts that stay, whatever follows: the next cut to come is preceded by one that lies within
-    capacity of the end, and all of those have these before them."""
-    p, _, back = best_tables(pos, pen, capacity)
-    active = [x > p[-1] - capacity for x in p]
-    left, i = sum(active), len(p) - 1
-    while left > 1:
-        if active[i]:
-            left -= 1
-            if not active[back[i]]:
-                active[back[i]] = True
-                left += 1
-        i -= 1
-    while not active[i]:
-        i -= 1
-    return _path(p, back, i)
-
-
-def final_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int = CAPACITY) -> list[int]:
-    """The best cuts if what follows the last one, a sequence's capacity at most, needs no padding."""
-    p, g, back = best_tables(pos, pen, capacity)
-    i = len(p) - 1
-    return _path(p, back, min((k for k in range(len(p)) if p[-1] - p[k] <= capacity), key=lambda k: (g[k] - p[k], -k)) if i else 0)
+    cuts = Cuts(capacity)
+    cuts.extend(pos, pen)
+    return cuts.path(len(cuts.pos) - 1)
 
 
 def _powers(n: int) -> list[int]:
@@ -223,50 +220,48 @@ class _Packer:
     """Packs one partition; holds the documents whose sequences aren't settled yet."""
 
     def __init__(self, first_sequence: int, capacity: int, flush: int = FLUSH):
-        self.next, self.capacity, self.flush, self.due = first_sequence, capacity, flush, flush
-        self.ids = np.zeros(0, np.uint32)
-        self.sentences = np.zeros(0, np.int64)
-        self.ends = np.zeros(0, np.int64)
+        self.next, self.flush = first_sequence, flush
+        self.cuts = Cuts(capacity)
+        self.ids = [np.zeros(0, np.uint16)]
+        self.begin, self.end = 0, 0  # tokens before the held ones, and with them
         self.docs: list = []
         self.sizes: list[int] = []  # tokens of each held document
         self.begun = 0  # tokens of the first held document that are already out
         self.rows: list[tuple] = []
 
     def add(self, docs: list, ids: np.ndarray, ends: np.ndarray, sentences: np.ndarray):
-        at = len(self.ids)
-        self.ids = np.concatenate([self.ids, ids])
-        self.ends = np.concatenate([self.ends, ends + at])
-        self.sentences = np.concatenate([self.sentences, sentences + at])
+        self.ids.append(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids)
+        pos, pen = cut_points(ends, sentences)
+        self.cuts.extend(pos + self.end, pen)
+        self.end += len(ids)
         self.docs += docs
         self.sizes += np.diff(ends, prepend=0).tolist()
 
     def settle(self, last: bool):
-        if not len(self.ids):
+        if self.end == self.begin:
             return
-        points = cut_points(self.ends, self.sentences)
+        i = self.cuts.final()
+        cuts = self.cuts.path(i)
         if last:
-            cuts = final_cuts(*points, self.capacity)
-            head = cuts[-1] if cuts else 0
-            for n in _powers(len(self.ids) - head):
+            head = cuts[-1] if cuts else self.begin
+            for n in _powers(self.end - head):
                 cuts.append(head + n)
                 head += n
         else:
-            cuts = settled_cuts(*points, self.capacity)
+            self.cuts.drop(i)
+        ids = np.concatenate(self.ids)
         a, k, done = 0, 0, self.begun
         for cut in cuts:
-            offset = 0
+            offset, cut = 0, cut - self.begin
             while a < cut:
                 n = min(cut - a, self.sizes[k] - done)
-                self.rows.append((self.docs[k], done, n, common.crc32(self.ids[a : a + n].tobytes()), self.sizes[k], self.next, offset))
+                self.rows.append((self.docs[k], done, n, common.crc32(ids[a : a + n].astype("<u4").tobytes()), self.sizes[k], self.next, offset))
                 a, done, offset = a + n, done + n, offset + n
                 if done == self.sizes[k]:
                     k, done = k + 1, 0
             self.next += 1
         self.docs, self.sizes, self.begun = self.docs[k:], self.sizes[k:], done
-        self.ids = self.ids[a:]
-        self.ends = self.ends[self.ends > a] - a
-        self.sentences = self.sentences[self.sentences > a] - a
-        self.due = max(self.flush, 2 * len(self.ids))  # texts without a settled cut are not tried again and again
+        self.ids, self.begin = [ids[a:].copy()], self.begin + a
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
@@ -282,7 +277,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             for i, j in common.spans(off, 1 << 20):
                 texts = [buf[off[k] : off[k + 1]].tobytes() for k in range(i, j)]
                 packer.add(batch.column(0).slice(i, j - i).to_pylist(), *word_ids(where, end_id).encode(texts))
-                if len(packer.ids) >= packer.due:
+                if packer.end - packer.begin >= packer.flush:
                     packer.settle(False)
                     yield from emit(packer)
         if packer is not None:
