@@ -72,3 +72,77 @@ def test_temperature_lowers_loss():
     z = rng.normal(0, 1, (500, 3))
     z[np.arange(500), y] += 1.5
     assert langid._temperature(z * 10, y) > 3
+
+
+def _buckets(text, orders, bits):
+    """The n-grams of a text and their buckets, one at a time."""
+    cps = [ord(c) for c in (text or "").lower()]
+    for n in orders:
+        mult = (0x2C1B3C6D + 2 * n * 0x1F123BB5) & 0xFFFFFFFF | 1
+        for a in range(len(cps) - n + 1):
+            h = 0x811C9DC5
+            for c in cps[a : a + n]:
+                h = (h * 0x01000193 + c * 0x9E3779B1) & 0xFFFFFFFF
+            yield ((h ^ (h >> 15)) * mult & 0xFFFFFFFF) >> (32 - bits)
+
+
+def _sample_texts(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    return [*(t[:3000] if t else t for t in texts), None, "", "İß ﬁ", texts[3], texts[3]]
+
+
+def test_toxicity_scores_against_a_plain_scorer(spark):
+    """The score of every text, from the fitted weights, with Python numbers only."""
+    texts = _sample_texts(spark)
+    model = toxicity.fit(*_labelled(spark))
+    df = spark.createDataFrame([(k, (t or "") + (" zzyzx" if k % 5 == 0 else "") if t is not None else None, "clash") for k, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = toxicity.score(df, model)
+    assert got.columns == ["doc_id", "text", "score"]
+    for r in got.collect():
+        z = model.bias + sum(float(model.weights[b]) for b in set(_buckets(r.text, model.params.orders, model.params.bits)) if abs(model.weights[b]) > 1e-7)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-min(30, max(-30, z)))), rel=1e-6)
+
+
+def test_toxicity_features_are_count_ratios(spark):
+    """Counts by class against a plain count."""
+    docs, labels = _labelled(spark)
+    rows = docs.join(labels, "doc_id").select(F.col("toxic").alias("label"), "text")
+    p = toxicity.Params()
+    seen, total = toxicity._counts(rows, p)
+    want = np.zeros((2, 1 << p.bits), np.int64)
+    for r in rows.collect():
+        want[r.label, list(set(_buckets(r.text, p.orders, p.bits)))] += 1
+    assert (seen == want).all() and total.tolist() == [100, 50]
+
+
+def test_language_scores_against_a_plain_scorer(spark):
+    texts = _sample_texts(spark)
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score int")
+    got = langid.predict(df, model)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    for r in got.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        b = list(_buckets(r.text, model.params.orders, model.params.bits))
+        z = (np.array([sum(float(model.weights[x, c]) for x in b) for c in range(len(model.langs))]) / len(b) + model.bias) / model.temperature
+        e = np.exp(z - z.max())
+        assert r.lang_pred == model.langs[int(np.argmax(z))] and r.score == pytest.approx(e.max() / e.sum(), rel=1e-5)
+
+
+def test_document_frequencies_are_of_all_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    p = langid.Params()
+    df = np.zeros(1 << p.bits)
+    rows = docs.collect()
+    for r in rows:
+        df[list(set(_buckets(r.text, p.orders, p.bits)))] += 1
+    assert langid.idf(docs.repartition(3), p) == pytest.approx(np.log((1 + len(rows)) / (1 + df)) + 1)
+
+
+def test_repeated_rows_are_learnt_from(spark):
+    docs = spark.createDataFrame([(k // 2, "abc def ghi " * 5, "aa") if k % 4 < 2 else (k // 2, "xyz uvw rst " * 5, "bb") for k in range(80)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, params=langid.Params(max_rows=10))
+    got = langid.predict(docs.limit(8), model).collect()
+    assert [r.lang_pred for r in got] == [r.lang for r in got]

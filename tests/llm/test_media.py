@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import media, queries
@@ -16,12 +18,61 @@ def expected(text):
     return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])
 
 
+def stored(text):
+    """Digest, size and feature of the stored image, from the samples alone."""
+    raw = (text or "").encode()
+    x = np.frombuffer(raw + b"\xff" * ((-len(raw) % 576) or (0 if raw else 576)), np.uint8).reshape(-1, 24)
+    image = media.encode_image(x.tobytes())
+    cells = [np.mean([x[r, 3 * c : 3 * c + 3].mean() for r in range(len(x) * k // 8, len(x) * (k + 1) // 8)]) for k in range(8) for c in range(8)]
+    bits = sum(1 << (63 - k) for k, v in enumerate(cells) if v > np.mean(cells) + 1e-9)
+    return hashlib.sha256(image).hexdigest(), len(image), f"m{x.mean():.3f};s{x.std():.3f};a{bits:016x}"
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = queries.op1_media(spark, sf_dir).collect()
     assert len(got) == len(docs)
     for r in got:
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == expected(docs[r.doc_id])
+        assert (r.media_sha256, r.media_bytes, r.feature) == stored(docs[r.doc_id])
+
+
+def test_pages_table(spark, sf_dir):
+    """Every word that stands in a page's plain paragraphs is in its sequence, in order."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), "html").collect()
+    got = {r.id: r.sequence for r in media.parse_sequences(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").collect()}
+    assert set(got) == {r.id for r in pages} and sum(bool(x) for x in got.values()) > len(pages) / 2
+    for r in pages:
+        text = " ".join(x.text for x in got[r.id] if x.kind == "text")
+        plain = re.sub(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", " ", r.html or "")
+        at = 0
+        for p in re.findall(r"(?is)<p>([^<&]*)</p>", plain):
+            at = text.find(" ".join(p.split()), at)
+            assert at >= 0
+        assert [x.position for x in got[r.id]] == list(range(len(got[r.id])))
+
+
+def simple(html):
+    return [(x["kind"], x["text"] or x["ref"], x["caption"]) for x in media.interleave(html)]
+
+
+def test_unclosed_elements_lose_nothing():
+    assert simple("<figure><img src=a><figcaption>cap<p>rest</p><p>more</p>") == [("media", "a", "cap"), ("text", "rest", None), ("text", "more", None)]
+    assert simple("<figure><img src=a><figcaption>cap</figure><p>more</p>") == [("media", "a", "cap"), ("text", "more", None)]
+    assert simple("<figure><figcaption>Cap</figcaption><img src=x></figure>") == [("media", "x", "Cap")]
+    assert simple("<figure><figcaption><p>A</p><p>B</p></figcaption><img src=x><img src=y alt=z></figure>t") == [("media", "x", "A B"), ("media", "y", "A B"), ("text", "t", None)]
+    assert simple("a<template>b<p>c</p>") == [("text", "a", None), ("text", "b", None), ("text", "c", None)]
+    assert simple("a<noscript><img src=x>b</noscript>c<template>d</template>") == [("text", "a", None), ("text", "c", None)]
+    assert simple("<figure><figure><img src=i><figcaption>in</figcaption></figure><img src=o><figcaption>out</figcaption></figure>") == [("media", "i", "out"), ("media", "o", "out")]
+    assert simple("<figure><figcaption>no media</figcaption></figure><figcaption>stray</figcaption>x</figure></template>") == [("text", "no media", None), ("text", "stray", None), ("text", "x", None)]
+    assert simple("<p>a<script>b") == [("text", "a", None)]
+
+
+def test_hot_digests_are_not_shuffled(spark):
+    pages = spark.createDataFrame([(k, f"<img src={'hot' if k % 3 else 'gone' if k % 2 else k}>") for k in range(300)], "id long, html string")
+    objects = spark.createDataFrame([("hot", 1), *((str(k), k) for k in range(300))], "media_digest string, n int")
+    got = {r.id: (r.ref, r.n) for r in media.resolve(media.parse_sequences(pages), objects).collect()}
+    assert got == {k: ("hot", 1) if k % 3 else ("gone", None) if k % 2 else (str(k), k) for k in range(300)}
 
 
 def test_cases(spark):

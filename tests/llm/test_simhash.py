@@ -183,6 +183,10 @@ def test_positional_bytes_are_a_lower_bound():
         a = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
         b = np.unique(np.r_[a[d // 2 :], rng.integers(0, 1 << 63, d - d // 2, dtype=np.uint64)])
         assert (simhash.positional_bytes(a) == simhash.positional_bytes(b)).sum() >= 256 - d
+    for n in (1, 1024, 1025, 5000):
+        h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        x = simhash.long_bytes(h)
+        assert (x is None) == (n <= 1024) and (x is None or (simhash.folded(np.frombuffer(x, np.uint8), 256) == simhash.positional_bytes(h)).all())
     x = simhash._unpack_set(simhash._pack_set(a))
     assert (x >> np.uint64(16) == a >> np.uint64(16)).all()
 

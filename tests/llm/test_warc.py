@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import uuid
 
 import pytest
+import zstandard
 
 from tests.compare import check
 from tidemark.llm import queries, warc
@@ -55,12 +58,47 @@ def test_arc_versions_and_damage():
 
 def test_record_ids_carry_the_page():
     for p in (0, 1, -1, 2**63 - 1, -(2**63)):
-        assert warc.page_of(warc.record_id(p)) == p
+        assert warc.page_of(warc.record_id(p, "a/1")) == p
+    ids = [warc.record_id(p, f"{a}/{k}") for p in (None, 7) for a in range(40) for k in range(40)]
+    assert len(set(ids)) == len(ids) and all(uuid.UUID(x).version == 8 and uuid.UUID(x).variant == uuid.RFC_4122 for x in ids)
+
+
+def test_record_ids_are_unique(spark):
+    df = spark.createDataFrame([(p, f"http://h/{k}", f"text {k % 3}") for k, p in enumerate([1, 1, 1, None, None, None, 2, 3])], "page_id long, url string, html string").repartition(3)
+    rows = warc.pages_to_warc(df).collect()
+    assert len({r.record_id for r in rows}) == len(rows) == 8
+
+
+def test_odd_records(spark):
+    """What real archives hold: names and URLs with spaces, other protocols, bare newlines, header lines
+    without a colon, no header end, short dates, compressed files."""
+    recs = [
+        ("http://a/x y", b"HTTP/1.0 200 OK\nContent-Type: text/html\n\nbare\nnewlines"), ("dns:a.org", b"20240101\na.org. 300 IN A 1.2.3.4"), ("http://b", b"HTTP/1.1 200 OK\r\nodd line\r\nA:b\r\n\r\nx"),
+        ("http://c", b"HTTP/1.1 204 No Content"), ("http://d", b""), ("http://e", b"HTTP/1.1 200 OK\r\nX-Page-Id: 5\r\nContent-Length: many\r\n\r\nsame"), ("http://f", b"HTTP/1.1 200 OK\r\nX-Page-Id: 6\r\n\r\nsame"),
+    ]
+    data = warc.write_arc(recs).replace(b"http://a/xy ", b"http://a/x y ")
+    members = b"".join(gzip.compress(data[a:b]) for a, b in ((0, 300), (300, len(data))))
+    want = [(r["URL"], r["body"]) for r in warc.read_arc(data)]
+    assert want == recs == [(r["URL"], r["body"]) for r in warc.read_arc(members)] == [(r["URL"], r["body"]) for r in warc.read_arc(zstandard.compress(data))]
+    df = spark.createDataFrame([(3, bytearray(members))], "arc long, data binary")
+    archive = bytes(warc.convert(df).first().archive)
+    got = list(warc.read_warc(archive))
+    assert [f["WARC-Type"] for f, _ in got] == ["warcinfo", "response", "resource", "response", "response", "resource", "revisit", "response"]
+    assert [b for f, b in got if f["WARC-Type"] in ("response", "resource")] == [b for k, (_, b) in enumerate(recs) if k != 5]
+    assert got[2][0]["Content-Type"] == "text/html" and got[1][0]["WARC-Target-URI"] == "http://a/x y" and got[1][0]["WARC-IP-Address"] == "0.0.0.0"
+    rows = warc.read_archives(warc.convert(df)).collect()
+    assert [(r.page_id, r.payload_bytes, r.refers_to) for r in rows] == [(None, 13, None), (None, 32, None), (None, 1, None), (None, 0, None), (None, 0, None), (5, None, 6), (6, 4, None)]
+    assert warc.split_http(recs[0][1])[2] == b"bare\nnewlines" and warc.split_http(recs[2][1])[0] == {"a": "b"}
+    assert [warc.warc_date(x) for x in ("20240203040506", "202402030405", "2024", "never")] == ["2024-02-03T04:05:06Z", "2024-02-03T04:05:00Z", "2024-01-01T00:00:00Z", "1970-01-01T00:00:00Z"]
 
 
 def test_warc_is_checked():
-    rec = warc.warc_record(1, "u", "20240101000000", b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\n", b"x", warc.base32_sha1(b"x"), None)
-    assert [b for _, b in warc.read_warc(rec + rec)] == [b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nx"] * 2
+    record = {"URL": "u", "IP-address": "-", "Archive-date": "20240101000000", "Content-type": "text/html", "body": b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nx"}
+    rec = warc.warc_record(record, warc.record_id(1, "0/0"))
+    assert [b for _, b in warc.read_warc(rec + rec)] == [record["body"]] * 2
+    damaged = gzip.compress(gzip.decompress(rec).replace(b"\r\n\r\nx", b"\r\n\r\ny"))
+    with pytest.raises(ValueError):
+        list(warc.read_warc(damaged))
 
 
 def test_matches_sql(spark, sf_dir):

@@ -5,9 +5,14 @@ found and rendered once as the prompt; what follows in each is rendered as a com
 a loss mask, given as run lengths in characters (`12x0,40x1,1x0`: skip 12, train on 40, skip
 1). Only assistant turns are trained on.
 
-Defined cases: a null role is `unknown` and a null text is empty; rows with a null conv_id
-are dropped; repeated rows are repeated turns, in the order (turn, role, text); conversations
-without turns give empty strings; a pair that is equal throughout has empty completions.
+No text can forge a turn: in texts `<|` is written `<\\|` (and `<\\|` gets one more backslash, so that
+the original can be told), and in roles all but letters, digits, `_` and `-` become `_`. Lengths in
+masks are those of the written form.
+
+Defined cases: a null or empty role is `unknown` and a null text is empty, in both functions; rows with
+a null conv_id are dropped; repeated rows are repeated turns, in the order (turn, role, text);
+conversations without turns give empty strings, null ones too; a pair that is equal throughout has
+empty completions; a null turn differs from any other but a null one.
 Extra columns are ignored. A conversation is one row of the result, so its turns meet in one
 task; nothing else is gathered.
 """
@@ -20,18 +25,27 @@ from pyspark.sql import functions as F
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
+def _role(c: Column) -> Column:
+    clean = F.regexp_replace(c.cast("string"), "[^A-Za-z0-9_-]", "_")
+    return F.when(F.length(clean) > 0, clean).otherwise(F.lit("unknown"))
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def gather(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns): each conversation's turns in order."""
-    row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    row = F.struct(F.col("turn").cast("long").alias("turn"), _role(F.col("role")).alias("role"), _text(F.col("text")).alias("text"))
     return conversations.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
 
 def header(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"))
+    return F.concat(F.lit("<|"), _role(turn["role"]), F.lit("|>\n"))
 
 
 def body(turn: Column) -> Column:
-    return F.concat(turn["text"], F.lit("<|end|>"))
+    return F.concat(F.regexp_replace(_text(turn["text"]), r"<(\\*)\|", r"<\\$1|"), F.lit("<|end|>"))
 
 
 def render(turns: Column) -> Column:
@@ -52,14 +66,14 @@ def trained(turns: Column) -> Column:
 def common_prefix(a: Column, b: Column) -> Column:
     """Number of leading turns with the same role and text."""
     n = F.least(F.size(a), F.size(b))
-    same = F.transform(F.sequence(F.lit(1), n), lambda k: (F.element_at(a, k)["role"] == F.element_at(b, k)["role"]) & (F.element_at(a, k)["text"] == F.element_at(b, k)["text"]))
+    same = F.transform(F.sequence(F.lit(1), n), lambda k: (_role(F.element_at(a, k)["role"]) == _role(F.element_at(b, k)["role"])) & (_text(F.element_at(a, k)["text"]) == _text(F.element_at(b, k)["text"])))
     first = F.array_position(same, False)
     return F.when(n == 0, 0).when(first == 0, n).otherwise((first - 1).cast("int")).cast("int")
 
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Adds the prompt, the completions and their masks; drops the two turn arrays."""
-    a, b = F.col(chosen), F.col(rejected)
+    a, b = (F.coalesce(F.col(c), F.array().cast(dict(pairs.dtypes)[c])) for c in (chosen, rejected))
     rest = lambda x: F.slice(x, F.col("prompt_turns") + 1, F.greatest(F.size(x) - F.col("prompt_turns"), F.lit(0)))
     df = pairs.withColumn("prompt_turns", common_prefix(a, b)).withColumn("prompt", render(F.slice(a, 1, F.col("prompt_turns"))))
     df = df.withColumn("_c", rest(a)).withColumn("_r", rest(b))
@@ -90,8 +104,8 @@ def preferences(conversations: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH g AS (
-  SELECT conv_id, list({'turn': CAST(turn AS BIGINT), 'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS turns
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  SELECT conv_id, list({'turn': CAST(turn AS BIGINT), 'role': clean, 'text': regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g')} ORDER BY turn NULLS FIRST, clean, coalesce(text, '')) AS turns
+  FROM (SELECT *, coalesce(nullif(regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g'), ''), 'unknown') AS clean FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
 own AS (
   SELECT conv_id, xor(conv_id, 1) AS partner_id, turns,
     coalesce(list_max(list_transform(range(1, len(turns) + 1), lambda k: CASE WHEN turns[k].role = 'assistant' THEN k ELSE 0 END)), 0) AS last FROM g),

@@ -81,14 +81,14 @@ def forget(df: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """Deletes the tables that are materialized inside of the block when it ends, but for those
     made by the function that it gives, which takes the arguments of materialize(). Shuffle
     files of plans that are gone are released too."""
     kept: list[DataFrame] = []
 
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        kept.append(materialize(df, label))
+    def keep(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+        kept.append(materialize(df, label, compression))
         return kept[-1]
 
     _OPEN.append([])

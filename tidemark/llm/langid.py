@@ -7,7 +7,8 @@ fitted on at most `max_rows` of them (a documented bound, chosen by a hash of do
 
 Defined cases: null texts and texts without a letter are `und` with score 0; null languages
 are not learnt from; if nothing can be learnt, every prediction is `und`. Rows repeat
-independently; extra columns are kept as they are.
+independently; extra columns are kept as they are, but for columns named as the results, which
+are replaced. Of equally likely languages the first by name is predicted.
 """
 
 from __future__ import annotations
@@ -103,19 +104,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", params:
                 cut = np.searchsorted(key, np.arange(j - i + 1) * size)
                 for k in range(j - i):
                     a, b = cut[k], cut[k + 1]
-                    pair = np.stack([(key[a:b] % size).astype(np.float32), n[a:b].astype(np.float32)])
-                    out[i + k] = pair.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(1), common.binary_array(out)], names=["lang", "tf"])
-
-    # at most max_rows ids are broadcast, at most max_rows sparse rows reach the driver
-    sample = src.join(F.broadcast(few), "id").orderBy(F.xxhash64("id"), "id").limit(2 * p.max_rows).select("text", "lang")
-    got = [(r.lang, np.frombuffer(r.tf, np.float32).reshape(2, -1)) for r in sample.mapInArrow(common.tidy(run), "lang string, tf binary").collect()]
-    got = [(lang, tf) for lang, tf in got if tf.shape[1]]
+                    out[i + k] = (key[a:b] % size).astype(np.uint16).tobytes() + n[a:b].astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), common.binary_array(out)], names=["id", "lang", "tf"])
+
+    # at most max_rows ids are broadcast; texts become features where they are, and at most twice
+    # max_rows sparse rows (an id may have several) reach the driver
+    kind = dict(src.dtypes)["id"]
+    sample = src.join(F.broadcast(few), "id").select("text", "id", "lang").mapInArrow(common.tidy(run), f"id {kind}, lang string, tf binary")
+    sample = sample.orderBy(F.xxhash64("id"), "id", "lang", "tf").limit(2 * p.max_rows).select("lang", "tf").toArrow()
+    got = []
+    for lang, tf in zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), strict=True):
+        if n := len(tf) // 6:
+            got.append((lang, (np.frombuffer(tf, np.uint16, n).astype(np.int64), np.frombuffer(tf, np.float32, offset=2 * n))))
     langs = tuple(sorted({g[0] for g in got}))
     if not langs:
         return Model(p, (), np.zeros((size, 0), np.float32), np.zeros(0), 1.0)
     y = np.array([langs.index(g[0]) for g in got])
-    rows = [(tf[0].astype(np.int64), tf[1] / tf[1].sum() * weight[tf[0].astype(np.int64)] * 30) for _, tf in got]
+    rows = [(tf[0], tf[1] / tf[1].sum() * weight[tf[0]] * 30) for _, tf in got]
     held = np.arange(len(y)) % 5 == 4
     w, b = _ftrl(rows, y, np.flatnonzero(~held) if held.any() else np.arange(len(y)), len(langs), size, p)
     z = np.array([v @ w[c] + b for (c, v), h in zip(rows, held, strict=True) if h]).reshape(-1, len(langs))
@@ -171,6 +176,7 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Every column of docs, lang_pred and score of its whole text; nothing is shuffled."""
+    docs = docs.drop("lang_pred", "score")
     p, names, k = model.params, docs.columns, len(model.langs)
     at = names.index(text_col)
     tables = [np.ascontiguousarray(model.weights[:, c]) for c in range(k)]

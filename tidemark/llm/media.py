@@ -7,8 +7,8 @@ Payloads are stored as 8-bit grey images, whose samples are exactly the payload'
 
 Defined cases: a null or empty text is an empty payload, padded to one block; repeated
 payloads are stored once each time but resolve to one object; references without an object
-keep null payload columns; null html yields an empty sequence; extra columns of the input
-are ignored by the parser.
+keep null payload columns; null html yields an empty sequence; elements that are never closed
+lose no text (scripts and styles do); extra columns of the input are ignored by the parser.
 """
 
 from __future__ import annotations
@@ -34,60 +34,97 @@ _PNG = b"\x89PNG\r\n\x1a\n"
 
 
 class _Interleaver(HTMLParser):
-    """Collects text and media references in document order."""
+    """Collects text and media references in document order.
 
-    SKIP = frozenset({"script", "style", "noscript", "template"})
-    BREAK = frozenset({"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "figure"})
+    A caption belongs to all media of its figure, whether it stands before or after them. A caption
+    that is never closed ends with its figure; without an end of that either it is its first block, and
+    what follows is text. Hidden elements (template, noscript) that are never closed hide nothing."""
+
+    HIDDEN = frozenset({"noscript", "template"})
+    RAW = frozenset({"script", "style"})
+    BREAK = frozenset({"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "figure", "figcaption"})
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.parts, self.skipping = [], [], 0
-        self.caption: list[str] | None = None
-        self.open_figure: list[int] | None = None
+        self.items: list[dict] = []
+        self.parts: list[str] = []
+        self.raw = 0
+        self.hidden: list[int] = []  # items before each open hidden element
+        self.figures: list[int] = []  # items before each open figure
+        self.caption: int | None = None  # items before the open caption
 
     def _flush(self):
         if text := " ".join("".join(self.parts).split()):
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
         self.parts = []
 
+    def _end_caption(self):
+        """Turns the texts since the caption began into the caption of the figure."""
+        self._flush()
+        if self.caption is not None:
+            said = [x for x in self.items[self.caption :] if x["kind"] == "text"]
+            self.items[self.caption :] = [x for x in self.items[self.caption :] if x["kind"] != "text"]
+            if said:
+                self.items.append({"kind": "caption", "text": " ".join(x["text"] for x in said), "ref": None, "caption": None})
+            self.caption = None
+
+    def _end_figure(self):
+        self._end_caption()
+        at = self.figures.pop()
+        said = " ".join(x["text"] for x in self.items[at:] if x["kind"] == "caption")
+        own = [x for x in self.items[at:] if x["kind"] != "caption"]
+        media = [x for x in own if x["kind"] == "media"]
+        for x in media:
+            x["caption"] = said or x["caption"]
+        if said and not media:  # a caption of nothing is text
+            own.append({"kind": "text", "text": said, "ref": None, "caption": None})
+        self.items[at:] = own
+
     def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skipping += 1
-        if tag in self.BREAK:
-            self._flush()
-        if tag == "figure":
-            self.open_figure = []
-        if tag == "figcaption":
+        if tag in self.BREAK or tag in self.HIDDEN:
             self._flush()
-            self.caption = []
-        if tag in ("img", "audio", "video", "source"):
+        if tag in self.RAW:
+            self.raw += 1
+        elif tag in self.HIDDEN:
+            self.hidden.append(len(self.items))
+        elif tag == "figure":
+            self.figures.append(len(self.items))
+        elif tag == "figcaption" and self.figures:
+            self._end_caption()
+            self.caption = len(self.items)
+        elif tag in ("img", "audio", "video", "source"):
             a = dict(attrs)
             if ref := (a.get("data-digest") or a.get("src")):
                 self._flush()
-                if self.open_figure is not None:
-                    self.open_figure.append(len(self.items))
                 self.items.append({"kind": "media", "text": None, "ref": ref, "caption": a.get("alt") or None})
 
     def handle_endtag(self, tag):
-        if tag in self.SKIP and self.skipping:
-            self.skipping -= 1
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for k in self.open_figure or []:
-                self.items[k]["caption"] = said or self.items[k]["caption"]
-            self.caption = None
-        if tag == "figure":
-            self.open_figure = None
         if tag in self.BREAK:
             self._flush()
+        if tag in self.RAW and self.raw:
+            self.raw -= 1
+        elif tag in self.HIDDEN and self.hidden:
+            self.parts = []
+            del self.items[self.hidden.pop() :]
+        elif tag == "figcaption":
+            self._end_caption()
+        elif tag == "figure" and self.figures:
+            self._end_figure()
 
     def handle_data(self, data):
-        if not self.skipping:
-            (self.parts if self.caption is None else self.caption).append(data)
+        if not self.raw:
+            self.parts.append(data)
 
     def result(self) -> list[dict]:
         self.close()
         self._flush()
+        if self.caption is not None:  # neither it nor its figure has an end
+            first = next((k for k in range(self.caption, len(self.items)) if self.items[k]["kind"] == "text"), None)
+            if first is not None:
+                self.items[first]["kind"] = "caption"
+            self.caption = None
+        while self.figures:
+            self._end_figure()
         return [{"position": k, **x} for k, x in enumerate(self.items)]
 
 
@@ -211,15 +248,27 @@ def read_media(store: DataFrame, digest_col: str = "media_digest", media_col: st
     return src.mapInArrow(common.tidy(run), "media_digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string, payload binary")
 
 
+def references(sequences: DataFrame) -> DataFrame:
+    """(id, position, caption, ref) of the media in sequences."""
+    refs = sequences.select("id", F.explode("sequence").alias("s")).where(F.col("s.kind") == "media")
+    return refs.select("id", F.col("s.position").alias("position"), F.col("s.caption").alias("caption"), F.col("s.ref").alias("ref"))
+
+
 def resolve(sequences: DataFrame, objects: DataFrame) -> DataFrame:
     """Joins media references to objects by digest: (id, position, caption, ref, object columns).
 
-    Only digests, positions and the object's columns that are used later are shuffled. A digest
-    that a third of the pages refer to is one row on the right; its left side can be split by
-    the adaptive skew join, since the join is an outer one from the left."""
-    refs = sequences.select("id", F.explode("sequence").alias("s")).where(F.col("s.kind") == "media")
-    refs = refs.select("id", F.col("s.position").alias("position"), F.col("s.caption").alias("caption"), F.col("s.ref").alias("ref"))
-    return refs.join(objects.withColumnRenamed("media_digest", "ref"), "ref", "left")
+    Only digests, positions and the object's columns are shuffled. Digests that hold a larger share
+    of the references than a quarter of a task's are few (four a task at most): their objects are
+    broadcast, and their references stay where they are."""
+    refs = common.materialize(references(sequences), "references")
+    found = objects.withColumnRenamed("media_digest", "ref")
+    counts = refs.groupBy("ref").count()
+    total = refs.count()
+    most = 4 * common.partitions(refs.sparkSession)
+    hot = common.materialize(counts.where(F.col("count") > max(8, total / most)).select("ref"), "hot-digests")  # fewer than `most` rows
+    near = F.broadcast(hot)
+    rest = refs.join(near, "ref", "left_anti").join(found, "ref", "left")
+    return rest.unionByName(refs.join(near, "ref", "left_semi").join(F.broadcast(hot.join(found, "ref", "left")), "ref", "left"))
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ are such that any 5 shared positions contain one of them, so no pair is lost.
 
 `near_groups` finds documents whose sets of word shingles are similar (0.8 by default), which
 one fingerprint of 64 bits can't separate: such pairs differ in about 10 bits. There a
-fingerprint has a byte for each of 256 positions: a shingle's hash picks a position and turns
+fingerprint has a byte for each of 256 positions or more: a shingle's hash picks a position and turns
 one bit of its byte, so that sets that differ in d shingles share at least 256 - d positional
 bytes and differ in d bits at most. Posting lists are keyed by each set's first shingles in one common
 order, rarest first (prefix filtering; similar sets of any size meet in one), since lists
@@ -245,13 +245,13 @@ class NearParams:
     heavy_count: int = 32  # documents at least that hold a common shingle
 
 
-#: Positions of a set's fingerprint.
+#: Positions of a set's fingerprint; those of a large set are a power of two from a quarter of its size.
 _POSITIONS = 256
 #: Shingle hashes counted at once to find common ones, and the count there from which it is passed on.
 _COUNTED, _SEVERAL = 2_000_000, 3
-#: Members of a posting list up to which all of its pairs are tallied at once; longer lists are
-#: linked by two partners a member first.
-_SHORT = 64
+#: Members of a posting list up to which all of its pairs are tallied at once, not many more than
+#: members; longer lists are linked by two partners a member first.
+_SHORT = 4
 _STEP = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
 
@@ -288,13 +288,24 @@ def word_shingles(column: pa.Array, width: int, limit: int = 1 << 19):
                 yield common.mix(x)
 
 
-def positional_bytes(hashes: np.ndarray) -> np.ndarray:
+def positional_bytes(hashes: np.ndarray, positions: int = _POSITIONS) -> np.ndarray:
     """The fingerprint of a set: each hash picks a position and turns one bit of its byte."""
-    out = np.zeros(_POSITIONS, np.uint8)
-    np.bitwise_xor.at(out, (hashes & U64(_POSITIONS - 1)).astype(np.int64), (U64(1) << (hashes >> U64(61))).astype(np.uint8))
+    out = np.zeros(positions, np.uint8)
+    np.bitwise_xor.at(out, (hashes & U64(positions - 1)).astype(np.int64), (U64(1) << (hashes >> U64(61))).astype(np.uint8))
     return out
 
 
+def long_bytes(hashes: np.ndarray) -> bytes | None:
+    """The longer fingerprint of a large set, or None."""
+    positions = 1 << (-(-len(hashes) // 4) - 1).bit_length() if len(hashes) else 1
+    return positional_bytes(hashes, positions).tobytes() if positions > _POSITIONS else None
+
+
+def folded(marks: np.ndarray, positions: int) -> np.ndarray:
+    """A fingerprint as it would be with fewer positions."""
+    return np.bitwise_xor.reduce(marks.reshape(-1, positions), axis=0)
+
+
 def set_name(hashes: np.ndarray) -> int:
     """A signed 64-bit hash of the whole set."""
     return int(np.bitwise_xor.reduce(common.mix(hashes.copy()), initial=U64(len(hashes))).view(np.int64))
@@ -315,32 +326,33 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, p: NearParams) -> DataFrame:
-    """(doc_id, node, n, bytes): of each document's set of shingles its name, size and positional
-    bytes. Rows without a doc_id are of shingles that several documents of a task hold: node is
+    """(doc_id, node, n, bytes, long): of each document's set of shingles its name, size and positional
+    bytes, of a large one with more positions too. Rows without a doc_id are of shingles that several documents of a task hold: node is
     the shingle, n their number."""
 
     def counted(seen):
         h, n = np.unique(np.concatenate(seen), return_counts=True)
         h, n = h[n >= _SEVERAL], n[n >= _SEVERAL]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary())], names=["doc_id", "node", "n", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names=["doc_id", "node", "n", "bytes", "long"])
 
     def run(batches):
         seen, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            found, sizes, marks = [], [], []
+            found, sizes, marks, more = [], [], [], []
             for h in word_shingles(batch.column(1), p.width):
                 found.append(set_name(h))
                 sizes.append(len(h))
                 marks.append(positional_bytes(h).tobytes())
+                more.append(long_bytes(h))
                 seen.append(h)
                 held += len(h)
                 if held > _COUNTED:
                     yield counted(seen)
                     seen, held = [np.zeros(0, np.uint64)], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), common.binary_array(marks)], names=["doc_id", "node", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), common.binary_array(marks), common.binary_array(more)], names=["doc_id", "node", "n", "bytes", "long"])
         yield counted(seen)
 
-    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, node long, n long, bytes binary")
+    return _source(docs).mapInArrow(common.tidy(run), "doc_id long, node long, n long, bytes binary, long binary")
 
 
 def _heavy(rows: DataFrame, p: NearParams) -> np.ndarray:
@@ -485,7 +497,7 @@ def _near(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray, p: NearP
     mixed = x ^ y
     shared = (mixed == 0).sum(-1, dtype=np.int64)
     spare = _spare(na, nb, p)
-    return shared, (spare >= 0) & (shared >= _POSITIONS - spare) & (popcount(mixed).sum(-1, dtype=np.int64) <= spare)
+    return shared, (spare >= 0) & (shared >= x.shape[-1] - spare) & (popcount(mixed).sum(-1, dtype=np.int64) <= spare)
 
 
 def _byte_rows(column: pa.Array) -> np.ndarray:
@@ -505,13 +517,19 @@ def tallied(pairs: DataFrame, known: DataFrame, p: NearParams) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            shared, ok = _near(_byte_rows(batch.column(4)), _byte_rows(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy(), p)
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            shared, ok = _near(_byte_rows(batch.column(4)), _byte_rows(batch.column(5)), na, nb, p)
+            large = ok & batch.column(6).is_valid().to_numpy(zero_copy_only=False) & batch.column(7).is_valid().to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(large).tolist():
+                x, y = (np.frombuffer(batch.column(c)[k].as_py(), np.uint8) for c in (6, 7))
+                n = min(len(x), len(y))
+                ok[k] = _near(folded(x, n), folded(y, n), na[k], nb[k], p)[1]
             ok = pa.array(ok)
             yield pa.RecordBatch.from_arrays([x.filter(ok) for x in (batch.column(0), batch.column(1), pa.array(shared))], names=["a", "b", "shared"])
 
     share = p.similarity / (1 + p.similarity)
     sized = _beside(pairs, known, "n").where(f"abs(n_a - n_b) <= n_a + n_b - 2 * ceil({share!r}D * (n_a + n_b) - 1e-9D)").select("a", "b")
-    return _beside(sized, known, "n", "bytes").mapInArrow(common.tidy(run), "a long, b long, shared long")
+    return _beside(sized, known, "n", "bytes", "long").mapInArrow(common.tidy(run), "a long, b long, shared long")
 
 
 def _cross(node: np.ndarray, comp: np.ndarray, size: np.ndarray, marks: np.ndarray, nearest: bool, p: NearParams, block: int = 128):
@@ -651,7 +669,7 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
     with common.scratch(docs.sparkSession) as keep:
         rows = common.materialize(sketches(docs, p), "sketches")
         placed = rows.where("doc_id is not null")
-        known = common.materialize(placed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bytes").alias("bytes")), "nodes")
+        known = common.materialize(placed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("long").alias("long")), "nodes")
         lists = common.materialize(list_pairs(postings(docs, _heavy(rows, p), p)), "lists")
         members = lists.where("key is not null").select("key", F.col("a").alias("node"))
         marked = known.select("node", "n", "bytes")
@@ -664,7 +682,8 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
         for nearest in (True, False):
             # pairs whose ends are still apart: first with the nearest of each long list, then all
             apart = _placed(_placed(found.select("a", "b"), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
-            more = apart.union(_across(members, comp, marked, nearest, p)).distinct().join(tried, ["a", "b"], "left_anti")
+            across = _across(members, comp, marked, nearest, p).join(tried.union(found.select("a", "b")), ["a", "b"], "left_anti")
+            more = apart.union(tallied(across, known, p).select("a", "b")).join(tried, ["a", "b"], "left_anti")
             more = common.materialize(more.select("a", "b"), "more")
             if more.isEmpty():
                 continue

@@ -8,7 +8,8 @@ chosen by a hash of doc_id); every text is scored whole.
 Defined cases: null and empty texts have no features and get the score of the intercept;
 null labels are not learnt from; several labels of one document count as their maximum;
 without any label, or with labels of one class only, every score is the smoothed share of
-toxic labels. Repeated rows are scored alike. Extra columns are not read.
+toxic labels. Repeated rows are scored alike. Extra columns are kept and not read, but for one named
+as the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -97,8 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     p = params
     spark = docs.sparkSession
     rows = _sample(docs, labels, id_col, label_col, p).repartition(12)
-    sample = common.materialize(rows, "toxicity-sample")
-    spark_sample = sample.repartition(12)  # a fixed number of count vectors reaches the driver
+    with common.scratch(spark):
+        return _fit(common.materialize(rows, "toxicity-sample").repartition(12), p)  # a fixed number of count vectors reaches the driver
+
+
+def _fit(spark_sample: DataFrame, p: Params) -> Model:
     seen, total = _counts(spark_sample, p)
     prior = (total[1] + 1.0) / (total.sum() + 2.0)
     empty = Model(p, np.zeros(1 << p.bits, np.float32), float(np.log(prior / (1 - prior))))
@@ -168,6 +172,7 @@ def _logistic(cols: np.ndarray, lens: np.ndarray, y: np.ndarray, r: np.ndarray,
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Every column of docs and the score of its whole text; nothing is shuffled."""
     p = model.params
+    docs = docs.drop(score_col)
     schema = docs.schema
     keep = np.abs(model.weights) > 1e-7
     names = docs.columns

@@ -7,9 +7,19 @@ Of records with equal payloads one is the response and the others are revisits t
 it. Archives are rows of gzip members in a table of the shared folder, so that executors can
 write and read them on any storage Spark can.
 
+Each archive is parsed where it lies: only a row for each digest of each archive is shuffled to find
+the originals, and each archive is sent its answers.
+
+Archives may be plain or compressed (gzip members or one zstd frame). A URL may hold spaces;
+records that aren't HTTP (such as `text/dns`) become resources with their own content type;
+HTTP headers may end lines with bare newlines, and header lines without a colon are kept
+but not read. Declared lengths that the file doesn't hold are an error.
+
 Defined cases: null html is an empty payload; a null url is `-`; payloads smaller than
 `min_bytes` are all responses; of repeated rows that hold the largest page_id of a payload
-each is a response; a null page_id stays null and never wins. Extra columns are ignored.
+each is a response; a null page_id stays null and never wins. Record ids are unique, whatever the
+page_ids. A revisit whose HTTP header doesn't tell the length has null payload_bytes. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +28,14 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,19 +72,40 @@ def write_arc(records: list[tuple[str, bytes]], version: int = 1, when: datetime
     return out.getvalue()
 
 
+def inflate(data: bytes) -> bytes:
+    """The plain bytes of an archive that may be compressed."""
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompress(data)
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        d = zlib.decompressobj(31)
+        out.append(d.decompress(data) + d.flush())
+        data = d.unused_data.lstrip(b"\0\r\n")
+    return b"".join(out)
+
+
 def read_arc(data: bytes) -> Iterator[dict]:
     """Records of an ARC file by its declared fields and lengths."""
-    at, fields = 0, ARC_FIELDS[1].split()
+    data = inflate(data)
+    at, fields = 0, None
     while at < len(data):
-        end = data.index(b"\n", at)
-        values = data[at:end].decode("utf-8", "replace").split(" ")
-        if at and len(values) != len(fields):
+        end = data.find(b"\n", at)
+        if end < 0:
+            raise ValueError(f"the header line at {at} has no end")
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+        if not line:  # between records
+            at = end + 1
+            continue
+        values = line.rsplit(" ", len(fields) - 1) if fields else line.rsplit(" ", 1)
+        if fields and len(values) != len(fields):
             raise ValueError(f"the header line at {at} has {len(values)} fields, {len(fields)} are declared")
         n = int(values[-1])
         body = data[end + 1 : end + 1 + n]
         if len(body) != n:
             raise ValueError(f"the record at {at} is shorter than the declared {n} bytes")
-        if not at:
+        if fields is None:
             said = body.split(b"\n")
             version = int(said[0].split()[0])
             fields = said[1].decode().split()
@@ -84,11 +117,12 @@ def read_arc(data: bytes) -> Iterator[dict]:
         at += data[at : at + 1] == b"\n"
 
 
-def record_id(page_id: int | None) -> str:
-    """A stable URN (UUID version 8) that carries the page's id in its lowest 64 bits."""
-    low = 0 if page_id is None else page_id & (1 << 64) - 1
-    high = int.from_bytes(hashlib.sha1(f"page {page_id}".encode()).digest()[:6], "big")
-    return uuid.UUID(int=high << 80 | 8 << 76 | low >> 62 << 64 | 2 << 62 | low & (1 << 62) - 1).urn
+def record_id(page_id: int | None, place: str) -> str:
+    """A stable URN (UUID version 8): 58 bits are a hash of the record's place, so that records that
+    share a page_id differ; the lowest 64 bits carry the page_id, or more of the hash without one."""
+    own = int.from_bytes(hashlib.sha1(place.encode()).digest()[:16], "big")
+    low = own & (1 << 64) - 1 if page_id is None else page_id & (1 << 64) - 1
+    return uuid.UUID(int=(own >> 80) << 80 | 8 << 76 | (own >> 64 & 0x3FF) << 66 | low >> 62 << 64 | 2 << 62 | low & (1 << 62) - 1).urn
 
 
 def page_of(urn: str) -> int:
@@ -101,25 +135,51 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
 def split_http(body: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """Header fields (lower-case names), header bytes, payload of an HTTP response."""
-    cut = body.index(b"\r\n\r\n") + 4
-    fields = dict(x.split(": ", 1) for x in body[: cut - 4].decode("utf-8", "replace").split("\r\n")[1:])
-    return {k.lower(): v for k, v in fields.items()}, body[:cut], body[cut:]
+    """Header fields (lower-case names), header bytes, payload of an HTTP response; of anything else
+    no fields, no header and all of it."""
+    if not body.startswith(b"HTTP/"):
+        return {}, b"", body
+    end = _HEAD_END.search(body)
+    cut = end.end() if end else len(body)
+    fields = (x.partition(":") for x in body[:cut].decode("utf-8", "replace").splitlines()[1:])
+    return {k.strip().lower(): v.strip() for k, colon, v in fields if colon}, body[:cut], body[cut:]
+
+
+def warc_date(stamp: str) -> str:
+    """The ISO form of an ARC date of 14 digits; shorter ones lack seconds or more, others are 1970."""
+    digits = re.sub(r"\D", "", stamp)
+    try:
+        return datetime.strptime((digits + "0101000000"[len(digits) - 4 :] if 4 <= len(digits) < 14 else digits)[:14], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    except ValueError:
+        return "1970-01-01T00:00:00Z"
+
+
+def _member(lines: list[str], block: bytes) -> bytes:
+    raw = "\r\n".join(["WARC/1.1", *lines, f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress(raw, 1, mtime=0)
+
 
+def warcinfo(place: str) -> bytes:
+    """The first record of an archive."""
+    return _member(["WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id(None, f'info {place}')}>", f"WARC-Date: {warc_date(CRAWL_TIME.strftime('%Y%m%d%H%M%S'))}", "Content-Type: application/warc-fields"], b"software: tidemark\r\nformat: WARC File Format 1.1\r\n")
 
-def warc_record(page_id, url, stamp: str, head: bytes, payload: bytes, digest: str, refers_to) -> bytes:
-    """One gzip member: a response, or a revisit without the payload."""
-    when = datetime.strptime(stamp, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
-    block = head + (payload if refers_to is None else b"")
+
+def warc_record(record: dict, urn: str, refers_urn: str | None = None) -> bytes:
+    """One gzip member of an ARC record: a response, a revisit without the payload, or a resource."""
+    _, head, payload = split_http(record["body"])
+    block = head + (payload if refers_urn is None else b"")
+    kind = "revisit" if refers_urn else "response" if head else "resource"
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {when}", f"WARC-Target-URI: {url}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", "Content-Type: application/http; msgtype=response",
+        f"WARC-Type: {kind}", f"WARC-Record-ID: <{urn}>", f"WARC-Date: {warc_date(record['Archive-date'])}", f"WARC-Target-URI: {record['URL']}", f"WARC-IP-Address: {record['IP-address']}",
+        f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"Content-Type: {'application/http; msgtype=response' if head else record['Content-type']}",
     ]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(refers_to)}>"]
-    raw = "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-    return gzip.compress(raw, 1, mtime=0)
+    if refers_urn:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_urn}>"]
+    return _member(lines, block)
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -137,105 +197,103 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def to_arc(pages: DataFrame, version: int = 1) -> DataFrame:
-    """(arc): legacy archives of a few MB each, made of page_id, url and html."""
+    """(arc, data): legacy archives of a few MB each (in one zstd frame), made of page_id, url and
+    html, and their numbers."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, k, part = [], 0, 0, 0
+        zip_ = zstandard.ZstdCompressor(level=3)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), common.binary_array([zip_.compress(write_arc(held, version))])], names=["arc", "data"])
+
         for batch in batches:
-            for page_id, url, html in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for page_id, url, html, at in zip(*(batch.column(k) for k in range(4)), strict=True):
+                part = at.as_py()
                 body = http_response(page_id.as_py(), (html.as_py() or "").encode())
                 held.append((url.as_py() or "-", body))
                 size += len(body)
                 if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([common.binary_array([write_arc(held, version)])], names=["arc"])
-                    held, size = [], 0
+                    yield out()
+                    held, size, k = [], 0, k + 1
         if held:
-            yield pa.RecordBatch.from_arrays([common.binary_array([write_arc(held, version)])], names=["arc"])
-
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return src.mapInArrow(common.tidy(run), "arc binary")
-
+            yield out()
 
-_RECORD = "page_id long, url string, stamp string, digest string, body binary"
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.spark_partition_id().alias("part"))
+    return src.mapInArrow(common.tidy(run), "arc long, data binary")
 
 
-def arc_records(arcs: DataFrame) -> DataFrame:
-    """(page_id, url, stamp, digest, body): parsed ARC records; the body is deflated."""
-
-    def run(batches):
-        for batch in batches:
-            for arc in batch.column(0):
-                rows: list[list] = [[] for _ in range(5)]
-                for r in read_arc(arc.as_py()):
-                    fields, _, payload = split_http(r["body"])
-                    said = fields[_PAGE_ID.lower()]
-                    for c, v in zip(rows, (None if said == "-" else int(said), r["URL"], r["Archive-date"], base32_sha1(payload), zlib.compress(r["body"], 1)), strict=True):
-                        c.append(v)
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["page_id", "url", "stamp", "digest", "body"])
-
-    return arcs.mapInArrow(common.tidy(run), _RECORD)
+def _page_id(fields: dict[str, str]) -> int | None:
+    said = fields.get(_PAGE_ID.lower(), "-")
+    return int(said) if re.fullmatch(r"-?\d+", said) else None
 
 
-def originals(arcs: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(digest, refers_to): the largest page_id of each payload that several records hold. Only
-    digests and ids are shuffled, after partial sums."""
+def arc_digests(arcs: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(digest, arc, page, k, n): of the records of each archive that share a payload the largest
+    page_id, the place of the first that has it, and their number."""
 
     def run(batches):
         for batch in batches:
-            for arc in batch.column(0):
-                ids, digests = [], []
-                for r in read_arc(arc.as_py()):
+            for arc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                best: dict[bytes, list] = {}
+                for k, r in enumerate(read_arc(data.as_py())):
                     fields, _, payload = split_http(r["body"])
-                    if (said := fields[_PAGE_ID.lower()]) != "-" and len(payload) >= min_bytes:
-                        ids.append(int(said))
-                        digests.append(base32_sha1(payload))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string())], names=["page_id", "digest"])
+                    page = _page_id(fields)
+                    if page is not None and len(payload) >= min_bytes:
+                        old = best.setdefault(hashlib.sha1(payload).digest(), [page, k, 0])
+                        if page > old[0]:
+                            old[:2] = page, k
+                        old[2] += 1
+                cols = [pa.array([x[c] for x in best.values()], pa.int64()) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([common.binary_array(list(best)), pa.array([arc] * len(best), pa.int64()), *cols], names=["digest", "arc", "page", "k", "n"])
 
-    ids = arcs.mapInArrow(common.tidy(run), "page_id long, digest string")
-    return ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").select("digest", "refers_to")
+    return arcs.select("arc", "data").mapInArrow(common.tidy(run), "digest binary, arc long, page long, k long, n long")
 
 
 def convert(arcs: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(archive): WARC archives (gzip members) of all records of the ARC archives.
+    """(archive): a WARC archive (gzip members) for each ARC archive (arc, data).
 
-    Records meet the originals by digest in a left join, whose left side the adaptive skew join
-    may split where one payload holds a large share of the records."""
-    found = originals(arcs, min_bytes)
-    joined = arc_records(arcs).join(found, "digest", "left").select("page_id", "url", "stamp", "digest", "body", F.expr("CASE WHEN page_id < refers_to THEN refers_to END").alias("refers_to"))
+    The originals of payloads that several records hold are found from one row for each digest of
+    each archive, so a payload that a large share of the records hold is one row an archive;
+    then each archive is sent the originals of its own payloads."""
+    rows = common.materialize(arc_digests(arcs, min_bytes), "digests")
+    best = rows.groupBy("digest").agg(F.max(F.struct("page", "arc", "k")).alias("best"), F.sum("n").alias("n")).where("n > 1").select("digest", "best")
+    answers = rows.join(best, "digest").groupBy("arc").agg(F.collect_list(F.struct("digest", "best.page", F.col("best.arc").alias("at"), "best.k")).alias("answers"))
 
     def run(batches):
-        held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(k) for k in range(6)), strict=True):
-                page_id, url, stamp, digest, body, refers_to = (v.as_py() for v in row)
-                _, head, payload = split_http(zlib.decompress(body))
-                held.append(warc_record(page_id, url, stamp, head, payload, digest, refers_to))
-                size += len(held[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([common.binary_array([b"".join(held)])], names=["archive"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([common.binary_array([b"".join(held)])], names=["archive"])
+            for arc, data, found in zip(*(batch.column(k) for k in range(3)), strict=True):
+                arc, best = arc.as_py(), {x["digest"]: x for x in found.as_py() or []}
+                out = [warcinfo(str(arc))]
+                for k, r in enumerate(read_arc(data.as_py())):
+                    fields, _, payload = split_http(r["body"])
+                    page, refers = _page_id(fields), best.get(hashlib.sha1(payload).digest())
+                    again = refers is not None and page is not None and page < refers["page"]
+                    out.append(warc_record(r, record_id(page, f"{arc}/{k}"), record_id(refers["page"], f"{refers['at']}/{refers['k']}") if again else None))
+                yield pa.RecordBatch.from_arrays([common.binary_array([b"".join(out)])], names=["archive"])
 
-    return joined.mapInArrow(common.tidy(run), "archive binary")
+    return arcs.join(answers, "arc", "left").select("arc", "data", "answers").mapInArrow(common.tidy(run), "archive binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """One row per WARC record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """One row per WARC record but the archives' own: page_id, payload_bytes, payload_digest,
+    record_type, refers_to, record_id."""
 
     def run(batches):
         for batch in batches:
             for archive in batch.column(0):
                 rows: list[list] = [[] for _ in range(6)]
                 for fields, block in read_warc(archive.as_py()):
+                    kind = fields["WARC-Type"]
+                    if kind == "warcinfo":
+                        continue
                     http, _, payload = split_http(block)
-                    kind, digest, n = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["content-length"])
-                    if kind == "response" and (len(payload) != n or base32_sha1(payload) != digest):
+                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if kind != "revisit" and base32_sha1(payload) != digest:
                         raise ValueError(f"damaged payload in {fields['WARC-Record-ID']}")
+                    n = len(payload) if kind != "revisit" else int(http["content-length"]) if http.get("content-length", "").isdigit() else None
                     refers = page_of(fields["WARC-Refers-To"][1:-1]) if kind == "revisit" else None
-                    said = http[_PAGE_ID.lower()]
-                    for c, v in zip(rows, (None if said == "-" else int(said), n, digest, kind, refers, fields["WARC-Record-ID"][1:-1]), strict=True):
+                    for c, v in zip(rows, (_page_id(http), n, digest, kind, refers, fields["WARC-Record-ID"][1:-1]), strict=True):
                         c.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"])
@@ -245,7 +303,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def pages_to_warc(pages: DataFrame, version: int = 1, min_bytes: int = 0) -> DataFrame:
     """pages -> ARC -> WARC archives in the shared folder -> records read back."""
-    return read_archives(common.materialize(convert(to_arc(pages, version), min_bytes), "warc", "uncompressed"))
+    with common.scratch(pages.sparkSession) as keep:
+        return read_archives(keep(convert(common.materialize(to_arc(pages, version), "arc", "uncompressed"), min_bytes), "warc", "uncompressed"))
 
 
 #: Base32 of a digest's bits, five at a time.
