@@ -109,3 +109,28 @@ def test_every_alignment_is_found(spark):
     assert len(want) > 200
     for p in (p, decontaminate.Params(min_seeds=1)):
         assert {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(df, bench, params=p).collect()} == want
+
+
+def test_query_against_all_pairs(spark, sf_dir):
+    """Every document of the table against every item, aligned in whole."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()
+    p = decontaminate.Params()
+    q, s = decontaminate._item_words([r.text for r in items]), decontaminate._item_words([r.text for r in docs])
+    want = {}
+    for item, x in zip(items, q):
+        for d, score in zip(docs, decontaminate.align([x] * len(s), s, p).tolist()):
+            if len(x) and score >= p.threshold * p.match * len(x):
+                want[d.doc_id, item.item_id] = score
+    got = {(r.doc_id, r.item_id): r.score for r in queries.op8_decontaminate(spark, sf_dir).collect()}
+    assert got == want and want
+
+
+def test_repeated_items_and_documents(spark):
+    rng = np.random.default_rng(4)
+    a, b = prose(rng, 20), prose(rng, 30)
+    docs = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(a)), (2, " ".join(prose(rng, 200_000) + b + prose(rng, 10)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(a)), (8, " ".join(a)), (None, " ".join(a)), (9, " ".join(b)), (9, " ".join(b))], "item_id long, text string")
+    for p in (decontaminate.Params(), decontaminate.Params(block_chars=10)):
+        got = sorted(((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench, params=p).collect()), key=str)
+        assert got == sorted([(1, 7), (1, 8), (1, None)] * 2 + [(2, 9)] * 2, key=str)

@@ -13,8 +13,8 @@ at most one error, and each is a hit at another position of the item (default sc
 the general bound). A passage needs hits at so many positions, less those passed over.
 
 Defined cases: null and empty texts or items match nothing; an item of fewer than n words is
-its own seed; equal items are reported each; repeated documents each match; an empty
-benchmark gives no rows. Seeds too common to help are passed over only at so many positions of
+its own seed; equal items are aligned once and reported each; repeated and very long documents
+each match, as often as they have rows; an empty benchmark gives no rows; null ids stay null. Seeds too common to help are passed over only at so many positions of
 an item that half of the needed ones, and at least `min_seeds`, are left. Extra columns are ignored.
 """
 
@@ -182,8 +182,10 @@ def _item_words(texts: list[str | None]) -> list[np.ndarray]:
 
 def document_frequency(docs: DataFrame, seeds: Seeds) -> tuple[np.ndarray, int]:
     """In how many documents each seed occurs, over all documents, and their number."""
+    shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches):
+        seeds = shared.value
         df, n = np.zeros(len(seeds.key), np.int64), 0
         for batch in batches:
             n += batch.num_rows
@@ -274,23 +276,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     """(doc_id, item_id, n_seeds, score, similarity) of every document and item whose best
     alignment reaches the threshold. Nothing of the documents is shuffled."""
     p = params
-    total = benchmark.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+    total = benchmark.select("text").distinct().agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-total // p.block_chars))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return reduce(DataFrame.unionByName, (_block(src, benchmark, item_col, b, blocks, p) for b in range(blocks)))
 
 
 def _block(src: DataFrame, benchmark: DataFrame, item_col: str, b: int, blocks: int, p: Params) -> DataFrame:
-    chosen = benchmark.where(F.pmod(F.coalesce(F.xxhash64(item_col, "text"), F.lit(0)), F.lit(blocks)) == b)
-    rows = chosen.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).collect()  # about block_chars
-    ids = [r.item_id for r in rows]
+    """The matches of the items whose texts are dealt to block b: different texts of about block_chars
+    in all, each with the ids that have it."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    chosen = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).groupBy("text").agg(F.sort_array(F.collect_list(F.struct("item_id"))).alias("ids"))
+    rows = sorted(chosen.collect(), key=lambda r: r.text)
+    ids = [[x.item_id for x in r.ids] for r in rows]
     seeds = Seeds(_item_words([r.text for r in rows]), p.n, p)
     schema = "doc_id long, item_id long, n_seeds int, score int, similarity double"
     if not len(seeds.key):
         return src.sparkSession.createDataFrame([], schema)
     seeds = rare(seeds, *document_frequency(src, seeds), p)
+    shared = src.sparkSession.sparkContext.broadcast((seeds, ids))  # about block_chars
 
     def run(batches):
+        seeds, ids = shared.value
         for batch in batches:
             out: dict[tuple[int, int], tuple[int, int]] = {}
             for i, j, h, own in word_stream(batch.column(1)):
@@ -300,7 +307,7 @@ def _block(src: DataFrame, benchmark: DataFrame, item_col: str, b: int, blocks:
                     if s >= p.threshold * p.match * len(seeds.items[item]):
                         key = (i + d, item)
                         out[key] = max(out.get(key, (0, 0)), (s, n))
-            rows = [(batch.column(0)[d].as_py(), ids[k], n, s, round(s / (p.match * len(seeds.items[k])), 6)) for (d, k), (s, n) in sorted(out.items())]
+            rows = [(batch.column(0)[d].as_py(), item, n, s, round(s / (p.match * len(seeds.items[k])), 6)) for (d, k), (s, n) in sorted(out.items()) for item in ids[k]]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_seeds", "score", "similarity"])
