@@ -20,7 +20,9 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score reaches 0.7. The classifier learns from the labels of
-    all folds but one, as its own query does; labels are not used to decide."""
+    all folds but one, as its own query does; labels are not used to decide. Null and empty texts get
+    the classifier's intercept and stay, unless most labelled documents are toxic; without labels
+    every document gets the same middling score and stays; rows with a null id stay if their text does."""
     common.ship(spark)
     labels = common.table(spark, sf_dir, "labels").where(common.crc_mod("doc_id", 3) != 1)
     p = toxicity.Params()
@@ -30,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of copies and near copies (five-word
-    shingles, similarity 0.8). Documents without an id are kept."""
+    shingles, similarity 0.8). Documents without an id are kept; those without a word are copies of
+    one another; rows that share an id stay or go together."""
     common.ship(spark)
     with common.scratch(spark) as keep:
         # written first, so that its size decides whether the join below broadcasts it
@@ -40,7 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 50 bytes or more that a document of a smaller id holds, and then
-    documents of which nothing is left. n_chars is that of the text that is left."""
+    documents of which nothing is left. n_chars is that of the text that is left. Null texts and texts
+    that were empty before stay, and so do rows without an id."""
     common.ship(spark)
     known = _documents(docs).withColumn("had", F.length("text") > 0)
     kept = suffix.repeats(known, output="text", extra=("lang", "source", "n_chars", "had"))
@@ -49,14 +53,16 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item or an edited copy of one."""
+    """Drops documents that hold a benchmark item or an edited copy of one. Null and empty texts hold
+    none; rows without an id are kept."""
     common.ship(spark)
     found = common.materialize(decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return _documents(docs.join(found, "doc_id", "left_anti"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens: one row per piece."""
+    """Packs what is left into sequences of 4096 tokens: one row per piece. A null or empty text is the
+    end token alone; repeated rows are packed each; a null id stays null."""
     common.ship(spark)
     return packing.pack(docs)
 
