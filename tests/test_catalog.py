@@ -13,15 +13,6 @@ def test_matches_sql(name, spark, sf_dir):
     assert check(catalog.QUERIES[name], catalog.ORACLE_SQL[name], spark, sf_dir) is None
 
 
-def test_rows_only(spark, sf_dir):
-    split = catalog.QUERIES["shuffled_split"](spark, sf_dir).groupBy("split").count().collect()
-    assert {r.split for r in split} == {"train", "test"}
-    rounds = catalog.QUERIES["balanced_rounds"](spark, sf_dir).groupBy("round").count().collect()
-    assert len({r["count"] for r in rounds}) == 1
-    path = catalog.QUERIES["viterbi_path"](spark, sf_dir).collect()
-    assert path and {r.state for r in path} <= {0, 1, 2, 3}
-
-
 def test_letters_balanced(spark, sf_dir):
     rows = catalog.QUERIES["letter_sequences"](spark, sf_dir).collect()
     n = [sum(r.label == k for r in rows) for k in (0, 1)]

@@ -346,3 +346,119 @@ def test_label_file(spark, tmp_path):
     p = tmp_path / "d.csv"
     p.write_text("timestamp,usdjpy_price\n" + "".join(f"{(T0 + k * HOUR).isoformat()},{0.1 if k % 2 else -0.1}\n" for k in range(100)))
     assert flows.label_file(spark, str(p)).where("label >= 0").count() == 100 - 20 - 72
+
+
+def _graph_samples(n, seed=0):
+    """Two layers, three vertices, 32 features: class 1 has bit 3 at some vertex and bit 9 in its message."""
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, 2, 3, 32)) < 0.2
+    y = np.arange(n) % 2
+    v = rng.integers(0, 3, n)
+    x[:, 0, :, 3], x[:, 1, :, 9] = False, rng.random((n, 3)) < 0.5
+    x[np.arange(n), 0, v, 3] = y == 1
+    x[np.arange(n), 1, v, 9] |= y == 1
+    return x, y
+
+
+@pytest.mark.parametrize("focused", [False, True])
+def test_graph_automata_for_each_class(focused):
+    x, y = _graph_samples(300)
+    lit = learner.literals(x)
+    m = learner.GraphClasses(2, learner.Layout(32, 3, 2), learner.Config(clauses=20, threshold=10, specificity=5.0, epochs=6), focused).fit(lit[:200], y[:200])
+    assert np.mean(m.predict(lit[200:]) == y[200:]) > 0.9
+    assert m.shares().sum() == pytest.approx(1) and all((k.weight >= 1).all() for k in m.models)
+
+
+def test_an_empty_clause_scores_nothing():
+    m = learner.VertexClauses(learner.Layout(32, 3, 1), learner.Config(clauses=4))
+    x = learner.literals(np.zeros((1, 3, 32), bool))
+    assert m.score(x) == 0
+    m.state[0, 0, 40] = learner.INCLUDE  # the negation of feature 8
+    assert m.score(x) == 1
+    m.state[0, 1, 1] = learner.INCLUDE  # feature 1, which no vertex has
+    assert m.score(x) == 1
+
+
+def test_focused_negatives_follow_the_weights():
+    rng = np.random.default_rng(0)
+    shares = np.array([0.1, 0.2, 0.7])
+    drawn = np.bincount([learner.other_class(0, shares, 3, rng) for _ in range(900)], minlength=3)
+    assert drawn[0] == 0 and 550 < drawn[2] < 800
+    assert np.bincount([learner.other_class(1, None, 3, rng) for _ in range(900)], minlength=3)[[0, 2]].min() > 350
+    assert learner.other_class(0, shares[:1], 1, rng) is None and learner.other_class(0, np.array([1.0, 0.0]), 2, rng) == 1
+
+
+def test_focused_fuzzy_classes():
+    rng = np.random.default_rng(1)
+    x = rng.random((240, 32)) < 0.5
+    y = np.where(x[:, 4], 0, np.where(x[:, 7], 1, 2))
+    lit = learner.literals(x)
+    m = learner.FuzzyClasses(3, 32, learner.Config(clauses=20, threshold=10, epochs=12), focused=True).fit(lit[:180], y[:180])
+    assert np.mean(m.predict(lit[180:]) == y[180:]) > np.mean(y == 0) + 0.1
+
+
+def _table(spark, x, y, train):
+    rows = [(k, int(y[k]), "train" if k < train else "test", x[k].astype(int).ravel().tolist()) for k in range(len(y))]
+    return spark.createDataFrame(rows, "key long, label int, split string, bits array<int>").repartition(3)
+
+
+def test_search_with_other_learners(spark):
+    x, y = _graph_samples(240)
+    layout = learner.Layout(32, 3, 2)
+    build = lambda classes, shape, config: learner.GraphClasses(classes, shape, config, True)
+    configs = learner.grid(clauses=[20], threshold=[10], specificity=[5.0], epochs=[4], seed=[1, 2])
+    got = learner.search(spark, _table(spark, x, y, 180), configs, 2, layout, build=build).collect()
+    assert {r.config for r in got} == {0, 1} and all(r.n_test == 60 for r in got) and max(r.accuracy for r in got) > 0.8
+    with pytest.raises(ValueError):
+        learner.search(spark, _table(spark, x, y, 180), configs, 2, layout, max_bytes=100)
+
+
+def test_ensemble_takes_any_number(spark):
+    x, y = _graph_samples(600)
+    got = learner.ensemble(_table(spark, x, y, 450), learner.Config(clauses=20, threshold=10, specificity=5.0, epochs=6), 2, learner.Layout(32, 3, 2), 3).collect()
+    assert len(got) == 150 and np.mean([r.label == r.predicted for r in got]) > 0.8
+
+
+def test_dropout_and_random_configurations():
+    x, y = _graph_samples(200)
+    lit = learner.literals(x)
+    m = learner.SharedClauses(2, learner.Layout(32, 3, 2), learner.Config(clauses=40, threshold=15, epochs=5, dropout=0.3)).fit(lit, y)
+    assert m.on.all() and np.mean(m.predict(lit) == y) > 0.8
+    a, b = learner.random_configs(20), learner.random_configs(20)
+    assert a == b and len({c.seed for c in a}) == 20 and all(c.clauses % 2 == 0 and 1.5 <= c.specificity <= 15 for c in a)
+
+
+def test_model_search_tries_three_families(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (120, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)  # no line divides it
+    df = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "f array<double>, label int").select(array_to_vector("f").alias("features"), "label")
+    name, score, model = baselines.model_search(df, folds=2, depths=(3,))
+    assert name in ("forest", "boosted") and score > 0.6 and model.transform(df).select("prediction").count() == 120
+
+
+@pytest.mark.parametrize("shift", [0, 1, 31, 32, 33, 63, -1, -40, 1000])
+def test_permute_moves_every_bit(spark, shift):
+    for shape in (hv.SMALL, hv.Shape(3, 64, 8)):
+        rng = np.random.default_rng(3)
+        bits = rng.random((4, shape.size)) < 0.5
+        rows = [(k, codebooks._words(b, shape)) for k, b in enumerate(bits)]
+        df = spark.createDataFrame([*rows, (9, None)], "k int, hv array<bigint>").withColumn("hv", hv.permute(F.col("hv"), shift, shape))
+        got = {r.k: r.hv for r in df.collect()}
+        assert got == {**{k: codebooks._words(np.roll(b, shift), shape) for k, b in enumerate(bits)}, 9: None}
+
+
+def test_half_bits_and_splits():
+    rng = np.random.default_rng(0)
+    top, low = codebooks.half_bits(rng, hv.PRODUCTION, True), codebooks.half_bits(rng, hv.PRODUCTION, False)
+    assert top.sum() == low.sum() == 160 and not top[: 12 * 64].any() and not low[12 * 64 :].any()
+
+
+def test_a_split_by_hash_is_even(spark):
+    got = {r.split: r["count"] for r in splits.shuffled(spark.range(20_000), "id", 0.8).groupBy("split").count().collect()}
+    assert 15_500 < got["train"] < 16_500
+    a, b = (splits.shuffled(spark.range(5000), "id", 0.5, seed=k) for k in (1, 2))
+    same = a.join(b.withColumnRenamed("split", "other"), "id").where("split = other").count()
+    assert 1500 < same < 3500

@@ -2,8 +2,8 @@
 
 A vector is `words` words of `bits` bits each, lowest word and lowest bit first. The width is a
 parameter: 25 words of 64 bits for production codebooks, two of 32 bits where a vector is
-compared with SQL engines that lack an unsigned 64-bit shift. Everything is built from
-higher-order functions, so it stays in the JVM and needs no shuffle.
+compared with SQL engines that lack an unsigned 64-bit shift. Functions of columns stay in the
+JVM and need no shuffle; only large codebooks go through Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,8 +124,19 @@ def from_indices(index_array: Column, shape: Shape = PRODUCTION) -> Column:
 
 
 def permute(a: Column, shift: int, shape: Shape = PRODUCTION) -> Column:
-    """Moves every bit `shift` places up, cyclically; a negative shift moves down."""
-    return from_indices(F.transform(indices(a, shape), lambda k: F.pmod(k + F.lit(shift), F.lit(shape.size)).cast("int")), shape)
+    """Moves every bit `shift` places up, cyclically; a negative shift moves down. Each word is put
+    together from two neighbours by shifts, without bit indices."""
+    q, r = divmod(shift % shape.size, shape.bits)
+
+    def word(w: int) -> Column:
+        own = a.getItem((w - q) % shape.words)
+        if not r:
+            return own
+        below = a.getItem((w - q - 1) % shape.words)
+        x = F.call_function("shiftleft", own, F.lit(r)).bitwiseOR(F.call_function("shiftrightunsigned", below, F.lit(shape.bits - r)))
+        return x if shape.bits == 64 else x.bitwiseAND(F.lit(shape.word_mask))
+
+    return F.when(a.isNotNull(), F.array(*map(word, range(shape.words))))
 
 
 def unpermute(a: Column, shift: int, shape: Shape = PRODUCTION) -> Column:
@@ -205,19 +218,66 @@ def bundle_majority(df: DataFrame, keys: list[str], hv: str = "hv", shape: Shape
     return votes(df, keys, hv, shape).join(n, keys).where(F.col("votes") > F.floor(F.col("_n") / 2)).drop("_n")
 
 
+def as_matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors as rows of words."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.int64, copy=False).reshape(len(column), -1)
+
+
+def in_batches(df: DataFrame, run, added: str) -> DataFrame:
+    """df with the columns that run(batch) gives for each Arrow batch: arrays, or rows to take and
+    arrays."""
+    names = df.columns
+
+    def batches(it):
+        for batch in it:
+            if batch.num_rows:
+                take, new = run(batch)
+                cols = batch.columns if take is None else [c.take(pa.array(take)) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*cols, *new], names=[*names, *(c.split()[0] for c in added.split(", "))])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(batches, f"{schema}, {added}")
+
+
+#: Codes or clauses that are written out in one expression; more are a matrix that batches of rows meet.
+MAX_IN_EXPRESSION = 64
+
+
+def word_distance(a: Column, words: Sequence[int]) -> Column:
+    """Hamming distance to a constant vector, word by word."""
+    return reduce(lambda x, y: x + y, [F.bit_count(a.getItem(k).bitwiseXOR(F.lit(int(w)).cast("long"))) for k, w in enumerate(words)]).cast("int")
+
+
 def nearest(df: DataFrame, codebook: DataFrame, hv: str = "hv", level: str = "level", code: str = "code", max_levels: int = 4096) -> DataFrame:
     """df with the level and distance of its nearest code, ties to the lowest level.
 
-    The codebook becomes one array value; it is refused beyond max_levels codes, so what goes
-    to every task is bounded and no cross join is made."""
-    n = codebook.limit(max_levels + 1).count()
-    if n > max_levels:
+    The codebook is refused beyond max_levels codes, so what goes to every task is bounded and no
+    cross join is made: a few codes are one expression, more are a matrix for Arrow batches."""
+    rows = sorted((r[0], list(r[1])) for r in codebook.select(level, code).limit(max_levels + 1).collect())
+    if len(rows) > max_levels:
         raise ValueError(f"a codebook has at most {max_levels} levels")
-    if n == 0:
+    df = df.drop(level, "distance")
+    if not rows:
         return df.withColumns({level: F.lit(None).cast("int"), "distance": F.lit(None).cast("int")})
-    rows = sorted((r[0], list(r[1])) for r in codebook.select(level, code).collect())
-    best = F.least(*[F.struct(hamming(F.col(hv), F.array(*[F.lit(int(x)).cast("long") for x in words])).alias("distance"), F.lit(int(k)).alias(level)) for k, words in rows])
-    return df.withColumn("_best", best).withColumns({level: F.col(f"_best.{level}"), "distance": F.col("_best.distance")}).drop("_best")
+    kind = dict(codebook.dtypes)[level]
+    if len(rows) <= MAX_IN_EXPRESSION:
+        best = F.least(*[F.struct(word_distance(F.col(hv), words).alias("distance"), F.lit(k).cast(kind).alias(level)) for k, words in rows])
+        return df.withColumn("_best", best).withColumns({level: F.col(f"_best.{level}"), "distance": F.col("_best.distance")}).drop("_best")
+    codes, at = np.array([w for _, w in rows], np.int64), df.columns.index(hv)
+    levels = pa.array([k for k, _ in rows])
+
+    def run(batch):
+        x, best, who = as_matrix(batch.column(at)), np.full(batch.num_rows, np.iinfo(np.int32).max, np.int32), np.zeros(batch.num_rows, np.int64)
+        for a in range(0, len(codes), 256):
+            d = np.zeros((len(x), min(256, len(codes) - a)), np.int32)
+            for w in range(x.shape[1]):
+                d += np.bitwise_count(x[:, w, None] ^ codes[None, a : a + 256, w])
+            low = d.min(1)
+            who, best = np.where(low < best, a + d.argmin(1), who), np.minimum(best, low)
+        return None, [levels.take(pa.array(who)), pa.array(best)]
+
+    return in_batches(df, run, f"{level} {kind}, distance int")
 
 
 def decode(df: DataFrame, codebook: DataFrame, role: Sequence[int], hv: str = "hv", level: str = "level", shape: Shape = PRODUCTION) -> DataFrame:

@@ -1,13 +1,14 @@
 """Conjunctive clauses over literal vectors: firing, votes, predictions, readings.
 
-A clause is a bit mask; it fires where all its bits are set in [v, not v]. The SQL form checks
-an array of clauses inside one expression and makes no cross join; beyond about a hundred
-clauses use `fire_numpy`, which tests a batch of rows against a matrix of clauses.
+A clause is a bit mask; it fires where all its bits are set in [v, not v]. A few clauses are
+checked inside one expression, larger tables by testing batches of rows against a matrix of
+clauses; neither makes a cross join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +28,48 @@ def clause_rows(clauses: DataFrame, limit: int = MAX_CLAUSES) -> list[tuple[int,
     return sorted((r[0], list(r[1])) for r in rows)
 
 
+def _met(words: Sequence[int], x: Column) -> Column:
+    """Whether a constant include mask is met; only its words that aren't zero are looked at."""
+    tests = [x.getItem(w).bitwiseAND(F.lit(v).cast("long")) == F.lit(v).cast("long") for w, v in enumerate(words) if v]
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+
+
 def fire(df: DataFrame, clauses: DataFrame, literal: str = "literals", empty_fires: bool = True) -> DataFrame:
-    """One row for each row and clause that fires in it (column clause)."""
-    lit = lambda words: F.array(*[F.lit(int(w)).cast("long") for w in words])
-    tests = [F.when(hv.contains(lit(inc), F.col(literal)) if any(inc) or empty_fires else F.lit(False), F.lit(k)) for k, inc in clause_rows(clauses)]
+    """One row for each row and clause that fires in it (column clause). A few clauses are one
+    expression; more are a matrix that Arrow batches of rows meet."""
+    rows = clause_rows(clauses)
+    if len(rows) > hv.MAX_IN_EXPRESSION:
+        return fire_numpy(df, clauses, literal, empty_fires)
+    tests = [F.when(_met(inc, F.col(literal)) if any(inc) or empty_fires else F.lit(False), F.lit(k)) for k, inc in rows]
     if not tests:
         return df.withColumn("clause", F.lit(None).cast("int")).limit(0)
-    return df.withColumn("clause", F.explode(F.filter(F.array(*tests), lambda k: k.isNotNull())))
+    return df.withColumn("clause", F.explode(F.array(*tests))).where("clause IS NOT NULL")
+
+
+def _matrix(rows: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.int64)
 
 
 def fire_numpy(df: DataFrame, clauses: DataFrame, literal: str = "literals", empty_fires: bool = True) -> DataFrame:
     """As fire(), on Arrow batches; the clause matrix is of checked size."""
-    rows = clause_rows(clauses)
-    ids = np.array([r[0] for r in rows], np.int32)
-    inc = np.array([r[1] for r in rows], np.int64)
-    names = df.columns
-    at = names.index(literal)
-
-    def run(batches):
-        for batch in batches:
-            x = np.array(batch.column(at).to_pylist(), np.int64).reshape(batch.num_rows, -1)
-            hit = np.ones((len(x), len(ids)), bool)
-            for w in range(x.shape[1] if len(x) else 0):
-                hit &= (x[:, w, None] & inc[None, :, w]) == inc[None, :, w]
+    ids, inc = _matrix(clause_rows(clauses))
+    at = df.columns.index(literal)
+
+    def run(batch):
+        x, found = hv.as_matrix(batch.column(at)), []
+        for a in range(0, len(ids), 512):
+            part = inc[a : a + 512]
+            hit = np.ones((len(x), len(part)), bool)
+            for w in range(x.shape[1]):
+                hit &= (x[:, w, None] & part[None, :, w]) == part[None, :, w]
             if not empty_fires:
-                hit &= (inc != 0).any(1)[None]
+                hit &= (part != 0).any(1)[None]
             r, c = np.nonzero(hit)
-            take = pa.array(r)
-            yield pa.RecordBatch.from_arrays([*(col.take(take) for col in batch.columns), pa.array(ids[c])], names=[*names, "clause"])
+            found.append((r, c + a))
+        r, c = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return r, [pa.array(ids[c])]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", clause int"
-    return df.mapInArrow(run, schema)
+    return hv.in_batches(df, run, "clause int")
 
 
 def class_sums(fired: DataFrame, weights: DataFrame, keys: Sequence[str] = ("sample",), clamp: int | None = None) -> DataFrame:
@@ -113,12 +125,33 @@ def residual(include: Column, literals: Column, limit: int) -> Column:
 
 def fuzzy_score(df: DataFrame, clauses: DataFrame, limit: int, clamp: int, literal: str = "literals") -> DataFrame:
     """Adds score: residuals of even clauses less those of odd ones, times their weights, clamped.
-    The clause table (clause, include, weight) is of checked size."""
-    weight = {r[0]: r[1] for r in clauses.select("clause", "weight").limit(MAX_CLAUSES).collect()}
-    total = F.lit(0).cast("long")
-    for k, inc in clause_rows(clauses):
-        r = residual(F.array(*[F.lit(int(w)).cast("long") for w in inc]), F.col(literal), limit)
-        total = total + r * int(weight[k]) * (1 if k % 2 == 0 else -1)
+    The clause table (clause, include, weight) is of checked size; a few clauses are one expression,
+    more are a matrix that Arrow batches of rows meet."""
+    got = clauses.select("clause", "include", "weight").limit(MAX_CLAUSES + 1).collect()
+    if len(got) > MAX_CLAUSES:
+        raise ValueError(f"more than {MAX_CLAUSES} clauses")
+    rows = sorted((r[0], list(r[1]), int(r[2]) * (1 if r[0] % 2 == 0 else -1)) for r in got)
+    df = df.drop("score")
+    if len(rows) > hv.MAX_IN_EXPRESSION:
+        at = df.columns.index(literal)
+        _, inc = _matrix([r[:2] for r in rows])
+        weight, full = np.array([r[2] for r in rows], np.int64), np.minimum(np.bitwise_count(inc).sum(1, dtype=np.int64), limit)
+
+        def run(batch):
+            x, total = hv.as_matrix(batch.column(at)), np.zeros(batch.num_rows, np.int64)
+            for a in range(0, len(inc), 512):
+                unmet = np.zeros((len(x), len(inc[a : a + 512])), np.int64)
+                for w in range(x.shape[1]):
+                    unmet += np.bitwise_count(inc[None, a : a + 512, w] & ~x[:, w, None])
+                total += np.maximum(0, full[None, a : a + 512] - unmet) @ weight[a : a + 512]
+            return None, [pa.array(np.clip(total, -clamp, clamp))]
+
+        return hv.in_batches(df, run, "score long")
+    x, total = F.col(literal), F.lit(0).cast("long")
+    for _, inc, weight in rows:
+        unmet = [F.bit_count(F.bitwise_not(x.getItem(w)).bitwiseAND(F.lit(v).cast("long"))) for w, v in enumerate(inc) if v]
+        full = min(limit, sum((v & (1 << 64) - 1).bit_count() for v in inc))
+        total = total + F.greatest(F.lit(0), F.lit(full) - (reduce(lambda a, b: a + b, unmet) if unmet else F.lit(0))) * weight
     return df.withColumn("score", F.greatest(F.lit(-clamp), F.least(F.lit(clamp), total)).cast("long"))
 
 

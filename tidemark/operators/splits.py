@@ -48,10 +48,16 @@ def hash_percent(key: Column) -> Column:
     return F.pmod(key * 7919 + 13, F.lit(100))
 
 
+def hash_place(key: Column, seed: int = 42) -> Column:
+    """A whole number below a prime of about a million that any engine can compute from an integer
+    key; it orders keys without a pattern that splits care about."""
+    prime = F.lit(1_000_003)
+    return F.pmod(F.pmod(key, prime) * (7919 * 7919 + 2 * 104_729 * seed) + 13, prime)
+
+
 def shuffled(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 42) -> DataFrame:
-    """A split by a seeded hash of the key: unbiased, repeatable, and without a shuffle."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return df.withColumn("split", F.when(u < ratio, "train").otherwise("test"))
+    """A split by a seeded hash of an integer key: repeatable, and without a shuffle."""
+    return df.withColumn("split", F.when(hash_place(F.col(key), seed) < F.lit(ratio * 1_000_003), "train").otherwise("test"))
 
 
 def downsample(df: DataFrame, key: str, label: str, keep_percent: Mapping[int, int]) -> DataFrame:
@@ -75,7 +81,7 @@ def update_probability(df: DataFrame, label: str = "label", classes: int = 4) ->
 def balanced_rounds(df: DataFrame, label: str, key: str, seed: int = 42, rounds: int | None = None) -> DataFrame:
     """Adds round: in each, every class has one example, in hashed order. Stops with the rarest
     class unless `rounds` is given."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    w = Window.partitionBy(label).orderBy(hash_place(F.col(key), seed), F.col(key))
     df = df.withColumn("round", F.row_number().over(w) - 1)
     if rounds is None:
         sizes = df.groupBy(label).agg(F.count("*").alias("n"))

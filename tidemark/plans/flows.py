@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,19 +63,15 @@ def fx_search(spark: SparkSession, df: DataFrame, configs: list[learner.Config],
         bits = np.zeros(SHAPE_BITS, bool)
         bits[rng.choice(SHAPE_BITS, SHAPE_BITS // 10, replace=False)] = True
         edges.append((at[s], at[d], bits))
-    keys = [f.name for f in fields(learner.Config)]
-    table = spark.createDataFrame([(k, *(getattr(c, n) for n in keys)) for k, c in enumerate(configs)], "config int, clauses int, threshold int, specificity double, max_literals int, epochs int, dropout double, boost boolean, seed int")
-    both = table.select("config").join(F.broadcast(rows))  # checked above
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        k = int(pdf["config"].iloc[0])
-        levels, y = np.stack(pdf["levels"].to_numpy()), pdf["label"].to_numpy(np.int64)
-        train = (pdf["split"] == "train").to_numpy()
+    sent = spark.sparkContext.broadcast(rows.toArrow().sort_by("ts"))  # checked above; eleven numbers a row
+
+    def train(k: int) -> tuple[int, float]:
+        t = sent.value
+        levels = np.array(t.column("levels").to_pylist(), np.int64).reshape(t.num_rows, len(names))
+        y, own = t.column("label").to_numpy().astype(np.int64), np.array(t.column("split").to_pylist()) == "train"
         model = learner.SharedClauses(4, learner.Layout(SHAPE_BITS, len(names), 2), configs[k])
-        model.fit(_Samples(levels[train], codes, edges), y[train])
-        guess = model.predict(_Samples(levels[~train], codes, edges))
-        return pd.DataFrame([{"config": k, "n_test": len(guess), "accuracy": float((guess == y[~train]).mean()) if len(guess) else 0.0}])
+        model.fit(_Samples(levels[own], codes, edges), y[own])
+        guess = model.predict(_Samples(levels[~own], codes, edges))
+        return len(guess), float((guess == y[~own]).mean()) if len(guess) else 0.0
 
-    scores = both.groupBy("config").applyInPandas(run, "config int, n_test long, accuracy double")
-    return table.join(scores, "config")
+    return learner.each_config(spark, configs, train)

@@ -141,3 +141,59 @@ def default_class_join(spark, sf_dir):
     left = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id")).distinct()
     right = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return graph.with_default_class(left, right, "doc_id")
+
+
+# Looking and editing ---------------------------------------------------------------------------
+
+
+def _important(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") + NATION).alias("vertex"), (F.col("n_nationkey") % 7).cast("double").alias("importance"))
+
+
+_IMP = f"i AS (SELECT CAST(n_nationkey AS BIGINT) + {NATION} AS vertex, CAST(n_nationkey % 7 AS DOUBLE) AS importance FROM nation)"
+
+
+@_R.add(f"WITH {_IMP} SELECT vertex, importance FROM i ORDER BY importance DESC, vertex LIMIT 9")
+def most_important(spark, sf_dir):
+    return graph.by_importance(_important(spark, sf_dir)).limit(9)
+
+
+@_R.add(f"WITH {_IMP}, {_L} SELECT vertex, importance, w0, w1 FROM l JOIN i USING (vertex)")
+def sample_vectors(spark, sf_dir):
+    layers = _layer(spark, sf_dir).withColumn("layer", F.lit(0))
+    both = layers.unionByName(layers.withColumn("sample", F.lit(1))).unionByName(layers.withColumn("layer", F.lit(1)))
+    return graph.sample_vectors(both, _important(spark, sf_dir), 0).select("vertex", "importance", F.col("hv").getItem(0).alias("w0"), F.col("hv").getItem(1).alias("w1"))
+
+
+@_R.add(f"WITH {_E} SELECT src, dst FROM e WHERE dst % 5 = 0")
+def edges_into(spark, sf_dir):
+    return graph.in_edges(_edges(spark, sf_dir), _layer(spark, sf_dir).where("vertex % 5 = 0")).select("src", "dst")
+
+
+@_R.add(f"WITH {_E} SELECT src, dst FROM e WHERE src % 5 = 0")
+def edges_out_of(spark, sf_dir):
+    return graph.out_edges(_edges(spark, sf_dir), _layer(spark, sf_dir).where("vertex % 5 = 0")).select("src", "dst")
+
+
+@_R.add(f"WITH {_E} SELECT src, dst, 1 AS old FROM e UNION ALL SELECT DISTINCT dst, src, 0 FROM e")
+def inserted_edges(spark, sf_dir):
+    """Every edge and its reverse, which isn't there yet; edges that are there are not added again."""
+    e = _edges(spark, sf_dir).select("src", "dst", F.lit(1).alias("old"))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("old"))
+    return graph.insert_edges(e, back.unionByName(e.withColumn("old", F.lit(0))))
+
+
+@_R.add(f"WITH {_E} SELECT CASE WHEN src = {NATION} THEN -1 ELSE src END AS src, CASE WHEN dst = {NATION} THEN -1 ELSE dst END AS dst FROM e")
+def replaced_vertex(spark, sf_dir):
+    return graph.replace_vertex(_layer(spark, sf_dir), _edges(spark, sf_dir).select("src", "dst"), NATION, -1)[1]
+
+
+@_R.add(f"WITH {_IMP} SELECT CAST(importance AS INTEGER) AS key, min(vertex) AS vertex FROM i GROUP BY 1")
+def unique_by_key(spark, sf_dir):
+    """Vertices added by key one at a time, from the smallest: of equal keys the first stays."""
+    v = _important(spark, sf_dir).select(F.col("importance").cast("int").alias("key"), "vertex")
+    out = v.limit(0)
+    for k in range(4):  # nations in four runs of names
+        part = v.where(F.floor((F.col("vertex") - NATION) / 7) == k)
+        out = graph.insert_vertices(out, part, "key")
+    return out

@@ -195,12 +195,16 @@ def downsample_hash(spark, sf_dir):
     return splits.downsample(df, "vec_id", "label", {0: 9, 1: 95, 2: 95})
 
 
-@_R.add()
+_PLACE = "((vec_id % 1000003) * (7919 * 7919 + 2 * 104729 * 42) + 13) % 1000003"
+
+
+@_R.add(f"SELECT vec_id, label, CASE WHEN {_PLACE} < 0.8 * 1000003 THEN 'train' ELSE 'test' END AS split FROM embeddings")
 def shuffled_split(spark, sf_dir):
     return splits.shuffled(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
 
 
-@_R.add()
+@_R.add(f"""WITH k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_PLACE}, vec_id) - 1 AS rn FROM embeddings)
+SELECT vec_id, label, CAST(rn AS INTEGER) AS round FROM k WHERE rn < (SELECT min(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label))""")
 def balanced_rounds(spark, sf_dir):
     return splits.balanced_rounds(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id")
 
@@ -271,7 +275,28 @@ def hmm_emissions(spark, sf_dir):
     return hmm.emissions(_tokens(spark, sf_dir))
 
 
-@_R.add()
+#: The decoder as a recursion over rows in order; a state's best path is carried as a list.
+_VITERBI = f"""WITH RECURSIVE {_TOK}, o AS MATERIALIZED (SELECT ts, label, token, row_number() OVER (ORDER BY ts) AS i FROM tok),
+sid AS (SELECT unnest([0, 1, 2, 3]) AS s), tid AS (SELECT unnest(range(0, 27)) AS x),
+tc AS (SELECT f, t, count(*) AS n FROM (SELECT lag(label) OVER (ORDER BY ts) AS f, label AS t FROM o) WHERE f BETWEEN 0 AND 3 AND t BETWEEN 0 AND 3 GROUP BY 1, 2),
+ec AS (SELECT label AS s, token AS x, count(*) AS n FROM o WHERE label BETWEEN 0 AND 3 GROUP BY 1, 2),
+ta AS (SELECT a.s AS f, b.s AS t, 1.0::DOUBLE + coalesce(n, 0) AS n FROM sid a CROSS JOIN sid b LEFT JOIN tc ON tc.f = a.s AND tc.t = b.s),
+ea AS (SELECT sid.s, tid.x, 1.0::DOUBLE + coalesce(n, 0) AS n FROM sid CROSS JOIN tid LEFT JOIN ec ON ec.s = sid.s AND ec.x = tid.x),
+tl AS MATERIALIZED (SELECT t, list(ln(n / total) ORDER BY f) AS l FROM (SELECT *, sum(n) OVER (PARTITION BY f) AS total FROM ta) GROUP BY 1),
+trans AS MATERIALIZED (SELECT list(l ORDER BY t) AS m FROM tl),
+emit AS MATERIALIZED (SELECT x, list(ln(n / total) ORDER BY s) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY s) AS total FROM ea) GROUP BY 1),
+start AS (SELECT list(ln(n / total) ORDER BY s) AS p FROM (SELECT s, sum(n) AS n, (SELECT sum(n) FROM ea) AS total FROM ea GROUP BY 1)),
+rec AS (
+  SELECT o.i, [p[1] + e[1], p[2] + e[2], p[3] + e[3], p[4] + e[4]] AS v, [[0], [1], [2], [3]] AS paths FROM o JOIN emit ON x = token, start WHERE o.i = 1
+  UNION ALL
+  SELECT o.i, list_transform(range(1, 5), lambda j: list_max(list_transform(range(1, 5), lambda k: v[k] + m[j][k])) + e[j]),
+    list_transform(range(1, 5), lambda j: list_append(paths[list_position(list_transform(range(1, 5), lambda k: v[k] + m[j][k]), list_max(list_transform(range(1, 5), lambda k: v[k] + m[j][k])))], CAST(j - 1 AS INTEGER)))
+  FROM rec JOIN o ON o.i = rec.i + 1 JOIN emit ON x = token, trans),
+fin AS (SELECT paths[list_position(v, list_max(v))] AS path FROM rec ORDER BY i DESC LIMIT 1)
+SELECT o.ts, o.token, path[o.i] AS state FROM o, fin"""
+
+
+@_R.add(_VITERBI)
 def viterbi_path(spark, sf_dir):
     t = _tokens(spark, sf_dir)
     return hmm.decode(t, hmm.fit(t))

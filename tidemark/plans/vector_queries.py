@@ -248,6 +248,107 @@ def composite_clauses(spark, sf_dir):
     return clauses.composite(f, f.withColumn("sample", F.col("sample") - 1), ["sample"])
 
 
+@_R.add(f"""WITH {_PRED}, {_BITS}, t AS (SELECT f.sample, literal, CAST(sum(weight) AS BIGINT) AS total FROM f JOIN pr USING (sample) JOIN w ON w.clause = f.clause AND w.class = pr.predicted JOIN b ON b.clause = f.clause GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY total DESC, literal) AS rn FROM t) SELECT sample, literal, total FROM k WHERE rn <= 5""")
+def top_literals(spark, sf_dir):
+    fired = _fired(spark, sf_dir)
+    top = clauses.predict(clauses.class_sums(fired, _weights(spark)))
+    return clauses.top_literals(clauses.literal_counts(fired, _weights(spark), _clauses(spark), top, LITERALS), 5)
+
+
+@_R.add(f"WITH {_FIRE} SELECT sample, round(sum(abs(cw)) / (SELECT sum(abs(cw)) FROM c), 6) + 0.0 AS share FROM f JOIN c USING (clause) GROUP BY 1")
+def clause_weight_share(spark, sf_dir):
+    return clauses.weight_sum(_fired(spark, sf_dir), _clauses(spark)).select("sample", r(F.col("share")).alias("share"))
+
+
+@_R.add(f"""WITH {_SUMS}, p AS (SELECT sample, sum(CASE class WHEN 0 THEN class_sum END) / 20.0 AS pos, sum(CASE class WHEN 1 THEN class_sum END) / 20.0 AS neg FROM s GROUP BY 1)
+SELECT sample, round(least(1.0, 0.5 + pos - neg), 6) + 0.0 AS probability FROM p""")
+def clause_probability(spark, sf_dir):
+    s = clauses.class_sums(_fired(spark, sf_dir), _weights(spark)).groupBy("sample").agg(*[(F.sum(F.when(F.col("class") == k, F.col("class_sum"))) / 20.0).alias(n) for k, n in ((0, "pos"), (1, "neg"))])
+    return s.select("sample", r(clauses.probability(F.col("pos"), F.col("neg"))).alias("probability"))
+
+
+_MANY = 300
+
+
+def _many(spark) -> DataFrame:
+    """Clause k of 300 includes three literals of words that depend on k."""
+    return spark.createDataFrame([(k, [1 << (k * 7 + j * 11) % 32 if (k + j) % 4 else 0 for j in range(4)], k % 5 + 1) for k in range(_MANY)], "clause int, include array<bigint>, weight int")
+
+
+_MANY_SQL = f"m AS (SELECT k, " + ", ".join(f"CASE WHEN (k + {j}) % 4 <> 0 THEN CAST(1 AS BIGINT) << CAST((k * 7 + {j} * 11) % 32 AS INTEGER) ELSE 0 END AS i{j}" for j in range(4)) + f" FROM range(0, {_MANY}) t(k))"
+
+
+@_R.add(f"WITH {_LIT}, {_MANY_SQL} SELECT sample, CAST(k AS INTEGER) AS clause FROM l, m WHERE " + " AND ".join(f"(i{j} & x{j}) = i{j}" for j in range(4)))
+def clause_fire_many(spark, sf_dir):
+    """More clauses than one expression takes: batches of rows meet a matrix."""
+    return clauses.fire(_samples(spark, sf_dir).select("sample", "literals"), _many(spark)).select("sample", "clause")
+
+
+@_R.add(f"WITH {_LIT}, {_MANY_SQL} SELECT sample, CAST(greatest(-40, least(40, sum(greatest(0, 2 - (" + " + ".join(f"bit_count(i{j} & xor(x{j}, 4294967295))" for j in range(4)) + ")) * (k % 5 + 1) * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END))) AS BIGINT) AS score FROM l, m GROUP BY 1")
+def fuzzy_score_many(spark, sf_dir):
+    return clauses.fuzzy_score(_samples(spark, sf_dir), _many(spark), 2, 40).select("sample", "score")
+
+
+@_R.add(f"""WITH {_V}, d AS (SELECT v.vec_id, CAST(c.vec_id AS BIGINT) AS level, CAST(bit_count(xor(v.w0, c.w0)) + bit_count(xor(v.w1, c.w1)) AS INTEGER) AS distance FROM v, v c WHERE c.vec_id < 100),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, level) AS rn FROM d) SELECT vec_id, level, distance FROM k WHERE rn = 1""")
+def nearest_of_many(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return hv.nearest(v, v.where("vec_id < 100").select(F.col("vec_id").alias("level"), F.col("hv").alias("code"))).select("vec_id", "level", "distance")
+
+
+@_R.add(f"WITH {_V} SELECT vec_id, CAST((w1 - CASE WHEN w1 >= 2147483648 THEN 4294967296 ELSE 0 END) * 4294967296 + w0 AS BIGINT) AS word FROM v")
+def join_words(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("vec_id", hv.join_words(F.col("hv")).getItem(0).alias("word"))
+
+
+@_R.add(f"WITH {_V} " + _both_words("w#", "v"))
+def split_words(spark, sf_dir):
+    return _words(_vectors(spark, sf_dir).select("vec_id", hv.split_words(hv.join_words(F.col("hv"))).alias("hv")), "vec_id")
+
+
+@_R.add(f"WITH {_AB} SELECT vec_id, CAST(a0 & b0 AS BIGINT) AS both0, CAST(a1 & b1 AS BIGINT) AS both1, (a0 & b0) = 0 AND (a1 & b1) = 0 AS is_empty FROM ab")
+def hv_both(spark, sf_dir):
+    both = hv.both(F.col("a"), F.col("b"))
+    return _pairs(spark, sf_dir).select("vec_id", both.getItem(0).alias("both0"), both.getItem(1).alias("both1"), hv.is_zero(both).alias("is_empty"))
+
+
+# Codebooks: seeded vectors, of which any engine can state the sizes and distances
+
+
+@_R.add(f"""WITH b AS (SELECT CAST(greatest(0, least({LEVELS - 1}, floor((greatest({LOW}, least({HIGH}, l_extendedprice)) - {LOW - 0.001}) / {((HIGH + 0.001) - (LOW - 0.001)) / LEVELS!r}))) AS INTEGER) AS level FROM lineitem)
+SELECT level, count(*) AS n, round(CAST({LOW - 0.001} AS DOUBLE) + level * CAST({((HIGH + 0.001) - (LOW - 0.001)) / LEVELS!r} AS DOUBLE), 6) + 0.0 AS lower_edge, CAST({1600 // LEVELS} * level AS INTEGER) AS from_base, 160 AS n_bits FROM b GROUP BY 1""")
+def codebook_lookup(spark, sf_dir):
+    """Levels of prices looked up in codebooks: in the fixed one each level flips a share of all bits,
+    in the independent one each has as many as a bundle."""
+    fixed = codebooks.table(spark, codebooks.fixed_levels(LEVELS)).withColumnRenamed("code", "fixed")
+    own = codebooks.table(spark, codebooks.interval_levels(LEVELS)).withColumnRenamed("code", "own")
+    base = fixed.where("level = 0").select(F.col("fixed").alias("base"))
+    found = bucket_level(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
+    books = fixed.join(own, "level").join(F.broadcast(base))  # one row
+    edge = codebooks.bucket_value(F.col("level"), LOW, HIGH, LEVELS)
+    return found.join(F.broadcast(books), "level").select("level", "n", r(edge).alias("lower_edge"), hv.hamming(F.col("fixed"), F.col("base")).alias("from_base"), hv.popcount(F.col("own")).alias("n_bits"))
+
+
+@_R.add("""WITH e AS (SELECT event_type, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS level FROM events WHERE event_type IS NOT NULL)
+SELECT event_type AS value, level, count(*) AS n, 160 AS n_bits FROM e GROUP BY 1, 2""")
+def category_codes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    codes = codebooks.categories(e, "event_type")
+    n = e.groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(codes), "value").select("value", "level", "n", hv.popcount(F.col("code")).alias("n_bits"))
+
+
+@_R.add("""SELECT CAST(r_regionkey AS INTEGER) AS level, 160 AS n_bits, TRUE AS far FROM region""")
+def role_codes(spark, sf_dir):
+    """A role vector for each region; those of two regions share few of their bits."""
+    roles = codebooks.table(spark, codebooks.roles(5))
+    pairs = roles.crossJoin(roles.select(F.col("level").alias("other"), F.col("code").alias("other_code"))).where("level <> other")  # five rows with five
+    far = pairs.groupBy("level").agg((F.min(hv.hamming(F.col("code"), F.col("other_code"))) > 260).alias("far"))
+    found = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("level"))
+    return found.join(F.broadcast(roles.join(far, "level")), "level").select("level", hv.popcount(F.col("code")).alias("n_bits"), "far")
+
+
 # Learners: results are checked by properties -------------------------------------------------
 
 
