@@ -242,14 +242,14 @@ def binary_array(values: list) -> pa.Array:
 
 
 #: Rows of whole texts in one Arrow batch: bounds the buffers on both sides of a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def ship(spark: SparkSession) -> None:
     """Bounds Arrow batches (a setting that stays, as plans read it when they run), and on a cluster
     sends this package to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if local(spark):  # workers inherit the driver's path
         seen = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]]
