@@ -57,8 +57,8 @@ class Params:
     bits: int = 17  # rows of the hashed weight table
     rate: float = 0.5
     l2: float = 1e-5
-    batch: int = 2048  # tokens of one gradient step
-    passes: int = 2
+    batch: int = 4096  # tokens of one gradient step
+    passes: int = 1
     smooth: float = 0.1
     block: int = 4 << 20  # bytes of text that ask for counts together
 
@@ -112,13 +112,13 @@ def table_rows(features: list[np.ndarray], node: np.ndarray, p: Params) -> list[
     return [*(((f ^ salt) * U64(0x9E3779B97F4A7C15) >> U64(64 - p.bits)).astype(np.int64) for f in features), (1 << p.bits) + node]
 
 
-def log_softmax(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = w[rows[0]]
+def exp_scores(w: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each outcome's score and their sums."""
+    z = w.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += w[r]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+        z += w.take(r, axis=0)
+    np.exp(np.clip(z, -40, 40, out=z), out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 def log_paths(w: np.ndarray, h: np.ndarray, c: np.ndarray, own: np.ndarray, p: Params) -> np.ndarray:
@@ -127,8 +127,8 @@ def log_paths(w: np.ndarray, h: np.ndarray, c: np.ndarray, own: np.ndarray, p: P
     for a in range(0, len(h), p.batch):
         part = slice(a, a + p.batch)
         for at, node, outcome in choices(leaf[part]):
-            z = log_softmax(w, table_rows([f[part][at] for f in feats], node, p))
-            out[a + at] += z[np.arange(len(at)), outcome]
+            z, total = exp_scores(w, table_rows([f[part][at] for f in feats], node, p))
+            out[a + at] += np.log(z[np.arange(len(at)), outcome] / total)
     return out
 
 
@@ -142,16 +142,27 @@ def train_pass(w: np.ndarray, heat: np.ndarray, h: np.ndarray, c: np.ndarray, ow
             if not len(at):
                 continue
             rows = table_rows([f[part][at] for f in feats], node, p)
-            g = np.exp(log_softmax(w, rows))
+            g, total = exp_scores(w, rows)
+            g /= total[:, None]
             g[np.arange(len(at)), outcome] -= 1
             for r in rows:
                 order = np.argsort(r)
                 r = r[order]
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                 idx = r[first]
-                s = np.add.reduceat(g[order], first, axis=0) + p.l2 * w[idx]
-                heat[idx] += (s * s).sum(1) / WAYS
-                w[idx] -= (p.rate / np.sqrt(heat[idx] + 1))[:, None] * s
+                s = g.take(order[first], axis=0)
+                size = np.diff(first, append=len(r))
+                if (many := np.flatnonzero(size > 1)).size:  # rows that several tokens select
+                    n = size[many]
+                    begin = np.cumsum(n) - n
+                    s[many] = np.add.reduceat(g.take(order[np.repeat(first[many] - begin, n) + np.arange(n.sum())], axis=0), begin, axis=0)
+                own = w.take(idx, axis=0)
+                s += p.l2 * own
+                hot = heat[idx] + np.einsum("ij,ij->i", s, s) / WAYS
+                heat[idx] = hot
+                s *= (p.rate / np.sqrt(hot + 1))[:, None]
+                own -= s
+                w[idx] = own
 
 
 def _pack_rows(change: np.ndarray, heat: np.ndarray, squares: np.ndarray) -> bytes:
@@ -300,8 +311,8 @@ def asked(packed: DataFrame, shards: int, p: Params) -> DataFrame:
 
 
 def answered(questions: DataFrame, p: Params) -> DataFrame:
-    """(shard, block, n, class_n, class_v): the counts in all training texts for each question, in
-    its order; with block -1 the shard's tokens and distinct tokens by class."""
+    """(shard, block, n): the counts in all training texts for each question, in its order; with block
+    -1 the shard's tokens and distinct tokens by last class."""
 
     def run(t: pa.Table) -> pa.Table:
         hs = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
@@ -313,14 +324,28 @@ def answered(questions: DataFrame, p: Params) -> DataFrame:
         at, rows = 0, []
         shard = t.column("shard")[0].as_py()
         for block, h in zip(t.column("block").to_pylist(), hs, strict=True):
-            rows.append((shard, block, total[inv[at : at + len(h)]].astype(np.uint32 if total.max(initial=0) < 1 << 32 else np.uint64).tobytes(), None, None))
+            rows.append((shard, block, total[inv[at : at + len(h)]].astype(np.uint32 if total.max(initial=0) < 1 << 32 else np.uint64).tobytes()))
             at += len(h)
-        rows.append((shard, -1, b"", np.bincount(kind, total, minlength=LEAVES).astype(np.int64).tolist(), np.bincount(kind[total > 0], minlength=LEAVES).tolist()))
+        rows.append((shard, -1, np.stack([np.bincount(kind, total, minlength=LEAVES), np.bincount(kind[total > 0], minlength=LEAVES)]).astype(np.int64).tobytes()))
         cols = list(zip(*rows, strict=True))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["shard", "block", "n", "class_n", "class_v"])
+        return pa.table([pa.array(x, k) for x, k in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "block", "n"])
 
-    return questions.groupBy("shard").applyInArrow(common.tidy_group(run), "shard int, block long, n binary, class_n array<long>, class_v array<long>")
+    return questions.groupBy("shard").applyInArrow(common.tidy_group(run), "shard int, block long, n binary")
+
+
+def leaf_sums(answers: DataFrame) -> np.ndarray:
+    """Tokens and distinct tokens by last class, of all shards; they are added in two steps, so that no
+    task reads the sums of all shards."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("n"))
+        return pa.table({"part": t.column("part").slice(0, 1), "n": common.binary_array([total.tobytes()])})
+
+    own = answers.where("block = -1")
+    for part in (F.floor(F.sqrt("shard")), F.lit(0)):
+        own = own.select(part.cast("int").alias("part"), "n").groupBy("part").applyInArrow(common.tidy_group(add), "part int, n binary")
+    got = own.toArrow().column("n").to_pylist()  # one row
+    return np.frombuffer(got[0], np.int64).reshape(2, LEAVES).astype(np.float64) if got else np.zeros((2, LEAVES))
 
 
 def score(docs: DataFrame, weights: np.ndarray, held_out: Column, params: Params = Params()) -> DataFrame:
@@ -330,10 +355,7 @@ def score(docs: DataFrame, weights: np.ndarray, held_out: Column, params: Params
     shards = common.partitions(spark)
     packed = blocks(docs, held_out, p)
     answers = common.materialize(answered(asked(packed, shards, p), p), "counts")
-    sums = answers.where("block = -1").select(F.posexplode(F.arrays_zip("class_n", "class_v"))).groupBy("pos").agg(F.sum("col.class_n").alias("n"), F.sum("col.class_v").alias("v")).collect()  # LEAVES rows
-    class_n, class_v = np.zeros(LEAVES), np.zeros(LEAVES)
-    for r in sums:
-        class_n[r.pos], class_v[r.pos] = r.n, r.v
+    class_n, class_v = leaf_sums(answers)
     total, distinct = class_n.sum(), class_v.sum()
     replies = answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("replies"))
     w = spark.sparkContext.broadcast(weights)  # of fixed size
