@@ -104,3 +104,14 @@ def test_the_end_is_free():
     assert final(7) == [] and packing.best_cuts(np.array([3, 10, 19]), np.zeros(3, int), 11) == [10, 19] and final(3, 10, 19) == [10]
     assert final(3, 10, 21) == [10, 21]  # a full sequence is as good as a free end
     assert final() == []
+
+
+def test_forgotten_words_change_no_ids(monkeypatch, tokenizer):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(packing, "_MAX_WORDS", 40)
+    words = packing.WordIds(packing.tokenizer_path(), 2)
+    for _ in range(20):
+        texts = [" ".join([*(f"Often{k % 7}." for k in range(20)), *("w" + "".join(rng.choice(list("abcé!'"), 5)) for _ in range(15))]) for _ in range(3)]
+        ids, ends, _ = words.encode([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(words) < 150

@@ -39,7 +39,8 @@ STRIDE = 16  # tokens between cut points inside a sentence
 FLUSH = 1 << 20  # tokens of a stretch, which bounds what is held
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the tokenizer's own pattern
 _SIMPLE = regex.compile(r"[\x21-\x7e¡-ɏ]+")
-_MAX_WORDS = 350_000  # words that a worker remembers; then it starts again
+_STOPS = b".,;:!?"
+_MAX_WORDS = 350_000  # words that a worker remembers; then it keeps the most frequent
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -79,26 +80,44 @@ class WordIds(dict):
         self.flat = np.array([self.end_id], np.uint32)
         self.starts, self.lens = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.stops = np.zeros(1, bool)
+        self.hits = np.zeros(1, np.int64)
         self[None] = 0
 
+    def shrink(self):
+        """Forgets all but the quarter of the words that occurred most often; ids don't change by it."""
+        keep = 1 + np.sort(np.argsort(-self.hits[1:], kind="stable")[: _MAX_WORDS // 4])
+        keep = np.r_[0, keep[self.hits[keep] > 1]]
+        names, lens = list(self), self.lens[keep]
+        ends = np.cumsum(lens)
+        self.flat = self.flat[np.repeat(self.starts[keep] - ends + lens, lens) + np.arange(ends[-1])]
+        self.starts, self.lens, self.stops, self.hits = ends - lens, lens, self.stops[keep], self.hits[keep] // 2
+        self.clear()
+        self.pieces.clear()
+        self.update((names[k], row) for row, k in enumerate(keep.tolist()))
+
     def __missing__(self, word):
         k = self[word] = len(self.lens) + len(self.fresh)
         self.fresh.append(word)
         return k
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one lower-case piece as 32-bit numbers."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            form = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        return ids
+
     def _ids(self, word: bytes) -> bytes:
         """The word's ids as 32-bit numbers."""
+        if word.isalpha():  # ASCII letters are one piece
+            return self._piece(word.lower().decode())
+        if word[:-1].isalpha() and word[-1] in _STOPS:
+            return self._piece(word[:-1].lower().decode()) + self._piece(chr(word[-1]))
         s = word.decode()
         if not _SIMPLE.fullmatch(s) or "<|" in s:
             return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
-        out = []
-        for piece in _PIECE.findall(s.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-                ids = self.pieces[piece] = array("I", [t.id for t in found]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._piece, _PIECE.findall(s.lower())))
 
     def learn(self):
         """Tokenises the words met since the last call."""
@@ -110,13 +129,14 @@ class WordIds(dict):
             stops = np.array([w.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?") for w in self.fresh], bool)
             self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
             self.starts, self.stops = np.concatenate([self.starts, starts]), np.concatenate([self.stops, stops])
+            self.hits = np.concatenate([self.hits, np.zeros(len(ids), np.int64)])
             self.fresh = []
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the texts laid end to end, each with the end token; where texts end; where
         sentences end."""
         if len(self) > _MAX_WORDS:
-            self.reset()
+            self.shrink()
         words: list = []
         counts = np.empty(len(texts), np.int64)
         for k, t in enumerate(texts):
@@ -126,6 +146,7 @@ class WordIds(dict):
             words.append(None)
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         self.learn()
+        self.hits += np.bincount(at, minlength=len(self.lens))
         lens = self.lens[at]
         ends = np.cumsum(lens)
         ids = self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
@@ -166,24 +187,29 @@ class Cuts:
         self._begin(0)
 
     def _begin(self, at: int):
-        self.pos, self.pen, self.g, self.back = array("q", [at]), array("q", [0]), array("q", [at]), array("q", [0])
+        self.pos, self.pen, self.g, self.back = [at], [0], [at], [0]
         self.queue = deque([0])
 
     def extend(self, pos: np.ndarray, pen: np.ndarray):
         """Positions, in order and after those before, where a sequence may end, and their penalties."""
         p, g, back, queue, capacity = self.pos, self.g, self.back, self.queue, self.capacity
-        self.pen.extend(pen.tolist())
-        for i, (at, c) in enumerate(zip(pos.tolist(), pen.tolist(), strict=True), len(p)):
-            while at - p[queue[0]] > capacity:
+        i, first = len(p), queue[0]
+        p += pos.tolist()
+        costs = pen.tolist()
+        self.pen += costs
+        for c in costs:
+            at = p[i]
+            while at - p[first] > capacity:
                 queue.popleft()
-            j = queue[0]
-            v = g[j] + c + capacity
-            p.append(at)
+                first = queue[0]
+            v = g[first] + c + capacity
             g.append(v)
-            back.append(j)
+            back.append(first)
             while queue and g[queue[-1]] >= v:
                 queue.pop()
             queue.append(i)
+            first = queue[0]
+            i += 1
 
     def path(self, i: int) -> list[int]:
         """The positions of cut i and those before it."""
