@@ -23,6 +23,7 @@ import os
 from array import array
 from bisect import bisect_left
 from collections import deque
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,15 @@ FLUSH = 1 << 20  # tokens of a stretch, which bounds what is held
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the tokenizer's own pattern
 _SIMPLE = regex.compile(r"[\x21-\x7e¡-ɏ]+")
 _STOPS = b".,;:!?"
+_ID = attrgetter("id")
 _MAX_WORDS = 350_000  # words that a worker remembers; then it keeps the most frequent
 
 
+def _stops(word: bytes) -> bool:
+    """Whether a sentence ends with this word."""
+    return word[-1] in b".!?" or word[-1] in b"\"')]}" and word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -69,6 +76,8 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # each piece is asked for once
         self.letters = _byte_letters()
         self.end_id = end_id
         self.reset()
@@ -105,7 +114,7 @@ class WordIds(dict):
         ids = self.pieces.get(piece)
         if ids is None:
             form = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+            ids = self.pieces[piece] = array("I", map(_ID, self.model.tokenize(form))).tobytes()
         return ids
 
     def _ids(self, word: bytes) -> bytes:
@@ -126,7 +135,7 @@ class WordIds(dict):
             lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat = np.frombuffer(b"".join(ids), np.uint32)
             starts = len(self.flat) + np.cumsum(lens) - lens
-            stops = np.array([w.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?") for w in self.fresh], bool)
+            stops = np.fromiter(map(_stops, self.fresh), bool, len(ids))
             self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
             self.starts, self.stops = np.concatenate([self.starts, starts]), np.concatenate([self.stops, stops])
             self.hits = np.concatenate([self.hits, np.zeros(len(ids), np.int64)])
@@ -168,11 +177,13 @@ def cut_points(ends: np.ndarray, sentences: np.ndarray, stride: int = STRIDE) ->
     known = np.union1d(ends, sentences)
     gaps = np.diff(known, prepend=0)
     wide = np.flatnonzero(gaps > stride)
-    extra = [np.arange(known[k] - gaps[k] + stride, known[k], stride) for k in wide.tolist()]
-    pos = np.union1d(known, np.concatenate(extra)) if extra else known
+    n = (gaps[wide] - 1) // stride  # further cuts in each wide gap
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+    pos = np.concatenate([known, np.repeat((known - gaps)[wide], n) + step * stride])
+    pos.sort(kind="stable")
     pen = np.full(len(pos), BREAK_PENALTY, np.int64)
-    pen[np.isin(pos, sentences, assume_unique=True)] = SENTENCE_PENALTY
-    pen[np.isin(pos, ends, assume_unique=True)] = 0
+    pen[np.searchsorted(pos, sentences)] = SENTENCE_PENALTY
+    pen[np.searchsorted(pos, ends)] = 0
     return pos, pen
 
 
