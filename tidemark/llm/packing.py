@@ -23,6 +23,7 @@ import os
 from array import array
 from bisect import bisect_left
 from collections import deque
+from itertools import repeat
 from operator import attrgetter
 
 import numpy as np
@@ -40,7 +41,7 @@ STRIDE = 16  # tokens between cut points inside a sentence
 FLUSH = 1 << 20  # tokens of a stretch, which bounds what is held
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the tokenizer's own pattern
 _SIMPLE = regex.compile(r"[\x21-\x7e¡-ɏ]+")
-_STOPS = b".,;:!?"
+_MARKS = b".,;:!?"
 _ID = attrgetter("id")
 _MAX_WORDS = 350_000  # words that a worker remembers; then it keeps the most frequent
 
@@ -84,8 +85,7 @@ class WordIds(dict):
 
     def reset(self):
         self.clear()
-        self.pieces: dict[str, bytes] = {}
-        self.fresh: list[bytes] = []
+        self.pieces: dict[bytes, bytes] = {}
         self.flat = np.array([self.end_id], np.uint32)
         self.starts, self.lens = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.stops = np.zeros(1, bool)
@@ -104,42 +104,54 @@ class WordIds(dict):
         self.pieces.clear()
         self.update((names[k], row) for row, k in enumerate(keep.tolist()))
 
-    def __missing__(self, word):
-        k = self[word] = len(self.lens) + len(self.fresh)
-        self.fresh.append(word)
-        return k
-
     def _piece(self, piece: str) -> bytes:
         """The ids of one lower-case piece as 32-bit numbers."""
-        ids = self.pieces.get(piece)
+        key = piece.encode()
+        ids = self.pieces.get(key)
         if ids is None:
-            form = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = array("I", map(_ID, self.model.tokenize(form))).tobytes()
+            ids = self.pieces[key] = array("I", map(_ID, self.model.tokenize(key.decode("latin-1").translate(self.letters)))).tobytes()
         return ids
 
     def _ids(self, word: bytes) -> bytes:
         """The word's ids as 32-bit numbers."""
-        if word.isalpha():  # ASCII letters are one piece
-            return self._piece(word.lower().decode())
-        if word[:-1].isalpha() and word[-1] in _STOPS:
-            return self._piece(word[:-1].lower().decode()) + self._piece(chr(word[-1]))
         s = word.decode()
         if not _SIMPLE.fullmatch(s) or "<|" in s:
             return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self._piece, _PIECE.findall(s.lower())))
 
-    def learn(self):
-        """Tokenises the words met since the last call."""
-        if self.fresh:
-            ids = [self._ids(w) for w in self.fresh]
+    def _all_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. ASCII letters, and such with a mark at the end, take a short way, since
+        they are most of what a large corpus adds."""
+        pieces, tokenize, out = self.pieces, self.model.tokenize, []
+        marks = {m: self._piece(chr(m)) for m in _MARKS}
+        for word in words:
+            mark = b""
+            if word.isalpha():
+                key = word.lower()
+            else:
+                mark = marks.get(word[-1])
+                key = word[:-1].lower()
+                if mark is None or not key.isalpha():
+                    out.append(self._ids(word))
+                    continue
+            ids = pieces.get(key)
+            if ids is None:
+                ids = pieces[key] = array("I", map(_ID, tokenize(key.decode()))).tobytes()
+            out.append(ids + mark)
+        return out
+
+    def learn(self, words: list[bytes]):
+        """Tokenises new words, which follow the known ones."""
+        if words:
+            self.update(zip(words, range(len(self.lens), len(self.lens) + len(words)), strict=True))
+            ids = self._all_ids(words)
             lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat = np.frombuffer(b"".join(ids), np.uint32)
             starts = len(self.flat) + np.cumsum(lens) - lens
-            stops = np.fromiter(map(_stops, self.fresh), bool, len(ids))
+            stops = np.fromiter(map(_stops, words), bool, len(ids))
             self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
             self.starts, self.stops = np.concatenate([self.starts, starts]), np.concatenate([self.stops, stops])
             self.hits = np.concatenate([self.hits, np.zeros(len(ids), np.int64)])
-            self.fresh = []
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the texts laid end to end, each with the end token; where texts end; where
@@ -153,8 +165,11 @@ class WordIds(dict):
             counts[k] = len(w) + 1
             words += w
             words.append(None)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        self.learn()
+        at = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        if (new := np.flatnonzero(at < 0)).size:
+            met = [words[k] for k in new.tolist()]
+            self.learn(list(dict.fromkeys(met)))
+            at[new] = np.fromiter(map(self.__getitem__, met), np.int64, len(met))
         self.hits += np.bincount(at, minlength=len(self.lens))
         lens = self.lens[at]
         ends = np.cumsum(lens)
