@@ -342,9 +342,10 @@ def category_codes(spark, sf_dir):
 @_R.add("""SELECT CAST(r_regionkey AS INTEGER) AS level, 160 AS n_bits, TRUE AS far FROM region""")
 def role_codes(spark, sf_dir):
     """A role vector for each region; those of two regions share few of their bits."""
-    roles = codebooks.table(spark, codebooks.roles(5))
-    pairs = roles.crossJoin(roles.select(F.col("level").alias("other"), F.col("code").alias("other_code"))).where("level <> other")  # five rows with five
-    far = pairs.groupBy("level").agg((F.min(hv.hamming(F.col("code"), F.col("other_code"))) > 260).alias("far"))
+    bits = codebooks.roles(5)
+    apart = [min(int((a ^ b).sum()) for k, b in enumerate(bits) if k != j) for j, a in enumerate(bits)]
+    far = spark.createDataFrame([(k, d > 260) for k, d in enumerate(apart)], "level int, far boolean")
+    roles = codebooks.table(spark, bits)
     found = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("level"))
     return found.join(F.broadcast(roles.join(far, "level")), "level").select("level", hv.popcount(F.col("code")).alias("n_bits"), "far")
 
