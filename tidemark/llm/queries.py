@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, langid, langmodel, media, packing, simhash, suffix, toxicity, warc
+from . import audit, chat, common, decontaminate, langid, langmodel, media, packing, simhash, suffix, toxicity, warc
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(common.table(spark, sf_dir, "conversations"))
 
 
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_suffix": op2_suffix,
@@ -78,5 +82,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
+    "op12_audit": op12_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op2_suffix": suffix.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix": suffix.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op12_audit": audit.ORACLE_SQL}
