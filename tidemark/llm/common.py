@@ -9,9 +9,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import shutil
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,6 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local, shared_dir  # noqa: F401
+from ..session import ship as ship_code
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -37,24 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def local(spark: SparkSession) -> bool:
-    """Whether driver and executors are one process, which shares every folder with itself."""
-    return spark.sparkContext.master.split("[")[0] == "local"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
-    temporary folder is made and set on a local master (tests); on a cluster, whose machines
-    don't share such a folder, it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not local(spark):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 _OPEN: list[list[str]] = []  # tables made within the scratch() blocks that are open
 
 
@@ -250,13 +232,4 @@ def ship(spark: SparkSession) -> None:
     sends this package to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if local(spark):  # workers inherit the driver's path
-        seen = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]]
-        if os.path.realpath(root) in seen:
-            return
-    if getattr(spark.sparkContext, "_tidemark_shipped", False):
-        return
-    # executors fetch the file from the driver, which keeps it
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tidemark", "zip", root, "tidemark"))
-    spark.sparkContext._tidemark_shipped = True  # noqa: SLF001
+    ship_code(spark)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, common, decontaminate, langid, langmodel, media, packing, simhash, suffix, toxicity, warc
+from . import audit, chat, common, decontaminate, langid, langmodel, media, packing, resample, secrets, simhash, suffix, toxicity, warc
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +67,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(common.table(spark, sf_dir, "conversations"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return resample.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_suffix": op2_suffix,
@@ -82,6 +91,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
+    "op11_secrets": op11_secrets,
     "op12_audit": op12_audit,
+    "op13_resample": op13_resample,
 }
-ORACLE_SQL: dict[str, str] = {"op2_suffix": suffix.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op12_audit": audit.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix": suffix.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op11_secrets": secrets.ORACLE_SQL, "op12_audit": audit.ORACLE_SQL}
