@@ -1,7 +1,8 @@
 """Features of synchronised series: alignment, filling, volatility, efficiency, deltas.
 
-Rows are ordered by time within optional partition columns (`by`): pass the instrument group
-there, so that each group is a task of its own. One global series of hours is small.
+Rows are ordered by time within optional partition columns (`by`). The column functions take a window;
+`series.Series` gives windows over chunks, so that neither a long group nor a series without groups is
+one task. `assemble` works on chunks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import Series
+
 
 @dataclass(frozen=True)
 class Params:
@@ -68,8 +71,9 @@ def efficiency_ratio(raw: str, w, period: int = 10) -> Column:
     return F.when((path == 0) | path.isNull(), 0.0).otherwise(F.coalesce(net, F.lit(0.0)) / path)
 
 
-def with_efficiency(df: DataFrame, raw: str, out: str, by: Sequence[str] = (), ts: str = "ts", period: int = 10) -> DataFrame:
-    w = ordered(by, ts)
+def with_efficiency(df: DataFrame, raw: str, out: str, by: Sequence[str] = (), ts: str = "ts", period: int = 10, w=None) -> DataFrame:
+    """Adds the ratio, in windows of w or of whole groups; it looks `period` rows behind."""
+    w = ordered(by, ts) if w is None else w
     df = df.withColumn(f"_raw_{raw}", F.coalesce(F.col(raw), F.lit(0.0)))
     df = df.withColumn(f"_step_{raw}", F.coalesce(F.abs(F.col(f"_raw_{raw}") - F.lag(f"_raw_{raw}").over(w)), F.lit(0.0)))
     return df.withColumn(out, efficiency_ratio(raw, w, period)).drop(f"_raw_{raw}", f"_step_{raw}")
@@ -104,21 +108,24 @@ class Roles:
     wti: str = "WTI"
 
 
-def assemble(wide: DataFrame, roles: Roles, params: Params = Params(), ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
+def assemble(wide: DataFrame | Series, roles: Roles, params: Params = Params(), ts: str = "ts", by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """Assembled rows: from row `first` on, where the main pair has traded. Changes refer to the
     row before on the whole timeline, whether it is emitted or not."""
-    p, w = params, ordered(by, ts)
+    p, series = params, Series.of(wide, ts, by, chunks)
     used = sorted({roles.main, roles.eur, roles.eurjpy, roles.audjpy, roles.ief, roles.jgb})
-    df = wide.withColumns({f"_f_{s}": forward_fill(s, w) for s in used})
-    df = df.withColumns({
-        "_i": F.row_number().over(w) - 1, "usdjpy_price": log_return(f"_f_{roles.main}", w), "usdjpy_atr": normalized_atr(f"_f_{roles.main}", w, p.atr_period),
-        "eurusd_atr": normalized_atr(f"_f_{roles.eur}", w, p.atr_period), "eurjpy_atr": normalized_atr(f"_f_{roles.eurjpy}", w, p.atr_period), "audjpy_atr": normalized_atr(f"_f_{roles.audjpy}", w, p.atr_period),
-        "us_bond_level": delayed_fill(roles.ief, w, p.first), "jp_bond_level": delayed_fill(roles.jgb, w, p.first), "wti_oil": delayed_fill(roles.wti, w, p.first),
-    })
-    df = with_efficiency(df, roles.main, "usdjpy_er", by, ts, p.er_period)
-    df = df.withColumns({"atr_delta": delta("usdjpy_atr", w), "er_delta": delta("usdjpy_er", w), "yield_spread_delta": spread_delta("us_bond_level", "jp_bond_level", f"_f_{roles.ief}", f"_f_{roles.jgb}", w)})
+    late = {"us_bond_level": roles.ief, "jp_bond_level": roles.jgb, "wti_oil": roles.wti}  # don't see the first rows
+    series = series.filled({f"_f_{s}": F.col(s) for s in used} | {name: F.when(F.col("_i") >= p.first, F.col(s)) for name, s in late.items()}, 0.0)
+
+    def add(df: DataFrame, w) -> DataFrame:
+        atr = {"usdjpy_atr": roles.main, "eurusd_atr": roles.eur, "eurjpy_atr": roles.eurjpy, "audjpy_atr": roles.audjpy}
+        df = df.withColumns({"usdjpy_price": log_return(f"_f_{roles.main}", w)} | {name: normalized_atr(f"_f_{s}", w, p.atr_period) for name, s in atr.items()})
+        df = with_efficiency(df, roles.main, "usdjpy_er", period=p.er_period, w=w)
+        return df.withColumns({"atr_delta": delta("usdjpy_atr", w), "er_delta": delta("usdjpy_er", w), "yield_spread_delta": spread_delta("us_bond_level", "jp_bond_level", f"_f_{roles.ief}", f"_f_{roles.jgb}", w)})
+
+    # a change looks at the row before, whose mean looks back over a period of steps
+    df = series.windowed(add, behind=max(p.atr_period, p.er_period) + 1).rows
     df = df.where((F.col("_i") >= p.first) & F.col(roles.main).isNotNull())
-    return df.select(*by, ts, "usdjpy_price", "usdjpy_atr", "usdjpy_er", "us_bond_level", "jp_bond_level", "wti_oil", "atr_delta", "er_delta", "yield_spread_delta", "eurusd_atr", "audjpy_atr", "eurjpy_atr")
+    return df.select(*series.by, series.ts, "usdjpy_price", "usdjpy_atr", "usdjpy_er", "us_bond_level", "jp_bond_level", "wti_oil", "atr_delta", "er_delta", "yield_spread_delta", "eurusd_atr", "audjpy_atr", "eurjpy_atr")
 
 
 FEATURES = ("usdjpy_price", "usdjpy_atr", "usdjpy_er", "eurusd_atr", "audjpy_atr", "eurjpy_atr", "us_bond_level", "jp_bond_level", "wti_oil", "yield_spread_delta", "atr_delta", "er_delta")

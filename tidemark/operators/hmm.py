@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import Series
+
 
 def token(atr: Column, er_delta: Column, mean_atr: Column, low: float = 0.7, high: float = 1.3, er: float = 0.05, shock: Column | int = 1) -> Column:
     """9 a + 3 e + s: volatility against its mean, change of efficiency, and the shock class."""
@@ -24,10 +26,10 @@ def with_tokens(df: DataFrame, atr: str, er_delta: str, fit_on: Column | None =
     return df.join(F.broadcast(mean)).withColumn("token", token(F.col(atr), F.col(er_delta), F.col("_mean"), **limits)).drop("_mean")
 
 
-def transitions(df: DataFrame, state: str = "label", ts: str = "ts", by: Sequence[str] = (), states: int = 4) -> DataFrame:
+def transitions(df: DataFrame | Series, state: str = "label", ts: str = "ts", by: Sequence[str] = (), states: int = 4, chunks: int | None = None) -> DataFrame:
     """(from_state, to_state, n) of successive rows whose states are both known."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    pairs = df.select(F.lag(state).over(w).alias("from_state"), F.col(state).alias("to_state"))
+    series = Series.of(df, ts, by, chunks).windowed(lambda rows, w: rows.withColumn("from_state", F.lag(state).over(w)), behind=1)
+    pairs = series.select("from_state", F.col(state).alias("to_state"))
     known = F.col("from_state").between(0, states - 1) & F.col("to_state").between(0, states - 1)
     return pairs.where(known).groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
 

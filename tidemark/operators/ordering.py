@@ -38,6 +38,11 @@ def ranged(df: DataFrame, order: Sequence[str | Column], ranges: int | None = No
 def numbered(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), place: str = "_i", size: str = "_n", ranges: int | None = None) -> DataFrame:
     """Adds each row's place (from 0) in the order, and how many rows there are; within groups of equal
     `by` where that is given. Rows that tie throughout stand in any order, which stays as it is."""
+    return placed(df, order, by, place, size, ranges)[0]
+
+
+def placed(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), place: str = "_i", size: str = "_n", ranges: int | None = None) -> tuple[DataFrame, int]:
+    """numbered() and the number of all rows."""
     table = ranged(df, [*by, *_columns(order)], ranges)
     runs = table.groupBy("_p", *by).agg(F.min("_r").alias("lo"), F.max("_r").alias("hi"))
     edge = F.struct("lo", "hi", *by)
@@ -72,4 +77,4 @@ def numbered(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (
     else:
         lo, hi = F.lit(0), F.lit(total - 1)
     table = table.withColumns({place: F.col("_start") + F.col("_r") - lo, size: (hi - lo + 1).cast("long")})
-    return table.drop("_p", "_r", "_start", "_fh", "_ll", "_began", "_ended", "_lo", "_hi")
+    return table.drop("_p", "_r", "_start", "_fh", "_ll", "_began", "_ended", "_lo", "_hi"), total

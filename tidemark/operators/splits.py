@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
+from .series import Series
+
 
 @dataclass(frozen=True)
 class Params:
@@ -18,27 +21,32 @@ class Params:
     validation: float = 0.8
 
 
-def indexed(df: DataFrame, ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(ts)
-    return df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+def indexed(df: DataFrame | Series, ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
+    """Adds `_i`, a row's place in its group, and `_n`, the group's rows; a series has them already."""
+    return df.rows if isinstance(df, Series) else ordering.numbered(df, [ts], by)
 
 
-def chronological(df: DataFrame, label: str = "label", params: Params = Params(), ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
+def chronological(df: DataFrame | Series, label: str = "label", params: Params = Params(), ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     """Adds split: train, validation, test or null. What looks ahead across a border is purged, the
     rows after it are embargoed, and the test part ends at the last labelled row."""
-    p, df = params, indexed(df, ts, by)
+    p, by, df = params, df.by if isinstance(df, Series) else tuple(by), indexed(df, ts, by)
     i, n = F.col("_i"), F.col("_n")
+    last = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.max(F.when(F.col(label) != -1, i)).alias("_last"))
+    if by:
+        same = [df[c].eqNullSafe(last[f"_by_{c}"]) for c in by]
+        df = df.join(last, same, "left").drop(*[f"_by_{c}" for c in by])
+    else:
+        df = df.join(F.broadcast(last))  # one row
     end_train, end_val = F.floor(n * p.train), F.floor(n * p.validation)
-    last = F.max(F.when(F.col(label) != -1, i)).over(Window.partitionBy(*by))
     split = (
         F.when((i >= p.warm_up) & (i < end_train - p.purge), "train")
         .when((i >= end_train + p.embargo) & (i < end_val - p.purge), "validation")
-        .when((i >= end_val + p.embargo) & (i <= last), "test")
+        .when((i >= end_val + p.embargo) & (i <= F.col("_last")), "test")
     )
-    return df.withColumn("split", split).drop("_i", "_n")
+    return df.withColumn("split", split).drop("_i", "_n", "_last")
 
 
-def sequential(df: DataFrame, ratio: float = 0.8, ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
+def sequential(df: DataFrame | Series, ratio: float = 0.8, ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     df = indexed(df, ts, by)
     return df.withColumn("split", F.when(F.col("_i") < F.floor(F.col("_n") * ratio), "train").otherwise("test")).drop("_i", "_n")
 
@@ -80,10 +88,8 @@ def update_probability(df: DataFrame, label: str = "label", classes: int = 4) ->
 
 def balanced_rounds(df: DataFrame, label: str, key: str, seed: int = 42, rounds: int | None = None) -> DataFrame:
     """Adds round: in each, every class has one example, in hashed order. Stops with the rarest
-    class unless `rounds` is given."""
-    w = Window.partitionBy(label).orderBy(hash_place(F.col(key), seed), F.col(key))
-    df = df.withColumn("round", F.row_number().over(w) - 1)
+    class unless `rounds` is given. A class of any size is dealt over many tasks."""
+    df = ordering.numbered(df, [hash_place(F.col(key), seed), F.col(key)], [label], place="round")
     if rounds is None:
-        sizes = df.groupBy(label).agg(F.count("*").alias("n"))
-        rounds = sizes.agg(F.min("n").alias("n")).first().n or 0
-    return df.where(F.col("round") < rounds)
+        rounds = df.agg(F.min("_n").alias("n")).first().n or 0
+    return df.where(F.col("round") < rounds).withColumn("round", F.col("round").cast("int")).drop("_n")

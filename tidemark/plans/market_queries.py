@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events, features, hmm, labels, metrics, regression, splits, strategy
+from ..operators.series import Series
 from .base import Registry, r, rounded, table
 
 _R = Registry()
@@ -22,13 +23,12 @@ def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.hourly(table(spark, sf_dir, "events"))
 
 
-def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = features.ordered()
-    return _hourly(spark, sf_dir).withColumn("ret_pct", r(features.log_return("price", w)))
+def _returns(spark: SparkSession, sf_dir: str) -> Series:
+    return Series.of(_hourly(spark, sf_dir)).windowed(lambda df, w: df.withColumn("ret_pct", r(features.log_return("price", w))), behind=1)
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.look_ahead(_returns(spark, sf_dir), params=LABELS)
+def _labelled(spark: SparkSession, sf_dir: str) -> Series:
+    return labels.labelled(_returns(spark, sf_dir), params=LABELS)
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +36,16 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.align(by_type, SYMBOLS, symbol="event_type")
 
 
-def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = features.ordered()
-    return _wide(spark, sf_dir).withColumns({f"f_{s}": features.forward_fill(s, w) for s in SYMBOLS})
+def _filled(spark: SparkSession, sf_dir: str) -> Series:
+    return Series.of(_wide(spark, sf_dir)).filled({f"f_{s}": F.col(s) for s in SYMBOLS}, 0.0)
+
+
+BEHIND = features.Params().atr_period + 1  # what changes of means of steps look back
+
+
+def _measured(spark: SparkSession, sf_dir: str, add) -> Series:
+    """The filled series with columns of windows over chunks."""
+    return _filled(spark, sf_dir).windowed(add, behind=BEHIND)
 
 
 _H = "h AS (SELECT date_trunc('hour', ts) AS ts, round(sum(value) / count(value), 6) AS price FROM events GROUP BY 1)"
@@ -93,17 +100,19 @@ def forward_fill(spark, sf_dir):
 
 @_R.add(f"WITH {_FILL} SELECT ts, coalesce(last_value(CASE WHEN i >= 25 THEN error END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS filled FROM f")
 def delayed_fill(spark, sf_dir):
-    return _wide(spark, sf_dir).select("ts", features.delayed_fill("error", features.ordered()).alias("filled"))
+    first = features.Params().first
+    return Series.of(_wide(spark, sf_dir)).filled({"filled": F.when(F.col("_i") >= first, F.col("error"))}, 0.0).select("ts", "filled")
 
 
 @_R.add(f"WITH {_PREV} SELECT ts, round({_atr_sql('purchase')}, 6) + 0.0 AS atr FROM g")
 def normalized_atr(spark, sf_dir):
-    return _filled(spark, sf_dir).select("ts", r(features.normalized_atr(f"f_{MAIN}", features.ordered())).alias("atr"))
+    return _measured(spark, sf_dir, lambda df, w: df.withColumn("atr", r(features.normalized_atr(f"f_{MAIN}", w)))).select("ts", "atr")
 
 
 @_R.add(f"WITH {_ER} SELECT ts, round(er, 6) + 0.0 AS er FROM k")
 def efficiency_ratio(spark, sf_dir):
-    return features.with_efficiency(_wide(spark, sf_dir), MAIN, "er").select("ts", r(F.col("er")).alias("er"))
+    series = Series.of(_wide(spark, sf_dir)).windowed(lambda df, w: features.with_efficiency(df, MAIN, "er", w=w), behind=BEHIND)
+    return series.select("ts", r(F.col("er")).alias("er"))
 
 
 @_R.add(f"WITH {_RET} SELECT ts, ret_pct FROM t")
@@ -113,16 +122,17 @@ def log_return(spark, sf_dir):
 
 @_R.add(f"WITH {_ER} SELECT ts, round(atr - coalesce(lag(atr) OVER (ORDER BY ts), 0.0), 6) + 0.0 AS atr_delta, round(er - coalesce(lag(er) OVER (ORDER BY ts), 0.0), 6) + 0.0 AS er_delta FROM k")
 def feature_deltas(spark, sf_dir):
-    w = features.ordered()
-    df = features.with_efficiency(_filled(spark, sf_dir), MAIN, "er").withColumn("atr", features.normalized_atr(f"f_{MAIN}", w))
-    return df.select("ts", r(features.delta("atr", w)).alias("atr_delta"), r(features.delta("er", w)).alias("er_delta"))
+    def add(df, w):
+        df = features.with_efficiency(df, MAIN, "er", w=w).withColumn("atr", features.normalized_atr(f"f_{MAIN}", w))
+        return df.withColumns({"atr_delta": r(features.delta("atr", w)), "er_delta": r(features.delta("er", w))})
+
+    return _measured(spark, sf_dir, add).select("ts", "atr_delta", "er_delta")
 
 
 @_R.add(f"""WITH {_PREV} SELECT ts, CASE WHEN coalesce(p_error, 0) = 0 OR coalesce(p_click, 0) = 0 THEN 0.0
 ELSE round(f_error - f_click - (p_error - p_click), 6) + 0.0 END AS spread_delta FROM g""")
 def spread_delta(spark, sf_dir):
-    w = features.ordered()
-    return _filled(spark, sf_dir).select("ts", r(features.spread_delta("f_error", "f_click", "f_error", "f_click", w)).alias("spread_delta"))
+    return _measured(spark, sf_dir, lambda df, w: df.withColumn("spread_delta", r(features.spread_delta("f_error", "f_click", "f_error", "f_click", w)))).select("ts", "spread_delta")
 
 
 def _delayed(s: str, name: str) -> str:
@@ -149,12 +159,12 @@ def regime_labels(spark, sf_dir):
 
 @_R.add(f"WITH {_LAB} SELECT label, count(*) AS n FROM lab GROUP BY label")
 def label_distribution(spark, sf_dir):
-    return labels.distribution(_labelled(spark, sf_dir))
+    return labels.distribution(_labelled(spark, sf_dir).frame())
 
 
 @_R.add(f"WITH {_LAB} SELECT ts, label FROM lab WHERE label BETWEEN 0 AND 3")
 def valid_labels(spark, sf_dir):
-    return labels.valid(_labelled(spark, sf_dir)).select("ts", "label")
+    return labels.valid(_labelled(spark, sf_dir).frame()).select("ts", "label")
 
 
 @_R.add(f"WITH {_LAB} SELECT ts, CAST(greatest(0, coalesce(lag(label, 72) OVER (ORDER BY ts), first_value(label) OVER (ORDER BY ts))) AS INTEGER) AS news_level FROM lab")
@@ -165,7 +175,7 @@ def lagged_label(spark, sf_dir):
 @_R.add(f"""WITH {_LAB}, c AS (SELECT k.class_id, count(lab.label) AS n FROM (SELECT unnest([0, 1, 2, 3]) AS class_id) k LEFT JOIN lab ON lab.label = k.class_id GROUP BY 1)
 SELECT CAST(class_id AS INTEGER) AS class_id, n, CASE WHEN n = 0 THEN CAST('inf' AS DOUBLE) ELSE round((SELECT min(n) FROM c WHERE n > 0) / n, 6) END AS probability FROM c""")
 def class_update_probability(spark, sf_dir):
-    df = splits.update_probability(_labelled(spark, sf_dir))
+    df = splits.update_probability(_labelled(spark, sf_dir).frame())
     return df.select("class_id", "n", F.when(F.isnan("probability") | (F.col("probability") == float("inf")), F.col("probability")).otherwise(F.round("probability", 6)).alias("probability"))
 
 
@@ -246,11 +256,12 @@ def strategy_sortino(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
-    w = features.ordered()
-    df = features.with_efficiency(_filled(spark, sf_dir), MAIN, "er").withColumn("atr", r(features.normalized_atr(f"f_{MAIN}", w))).withColumn("er", r(F.col("er")))
-    df = df.withColumn("er_delta", r(features.delta("er", w)))
-    lab = _labelled(spark, sf_dir).select("ts", "label")
-    return hmm.with_tokens(df.select("ts", "atr", "er_delta"), "atr", "er_delta", digits=6).join(lab, "ts")
+    def add(df, w):
+        df = features.with_efficiency(df, MAIN, "er", w=w).withColumns({"atr": r(features.normalized_atr(f"f_{MAIN}", w)), "er": r(F.col("er"))})
+        return df.withColumn("er_delta", r(features.delta("er", w)))
+
+    df, lab = _measured(spark, sf_dir, add).select("ts", "atr", "er_delta"), _labelled(spark, sf_dir).select("ts", "label")
+    return hmm.with_tokens(df, "atr", "er_delta", digits=6).join(lab, "ts")
 
 
 _TOK = _ER + "," + _LAB + """, k1 AS (SELECT ts, round(atr, 6) + 0.0 AS atr, round(er, 6) + 0.0 AS er FROM k),
