@@ -14,8 +14,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .. import session
 
 
 @dataclass(frozen=True)
@@ -125,18 +129,21 @@ def from_indices(index_array: Column, shape: Shape = PRODUCTION) -> Column:
 
 def permute(a: Column, shift: int, shape: Shape = PRODUCTION) -> Column:
     """Moves every bit `shift` places up, cyclically; a negative shift moves down. Each word is put
-    together from two neighbours by shifts, without bit indices."""
+    together from two neighbours by shifts, without bit indices. The input is evaluated once."""
     q, r = divmod(shift % shape.size, shape.bits)
 
-    def word(w: int) -> Column:
-        own = a.getItem((w - q) % shape.words)
-        if not r:
-            return own
-        below = a.getItem((w - q - 1) % shape.words)
-        x = F.call_function("shiftleft", own, F.lit(r)).bitwiseOR(F.call_function("shiftrightunsigned", below, F.lit(shape.bits - r)))
-        return x if shape.bits == 64 else x.bitwiseAND(F.lit(shape.word_mask))
+    def moved(v: Column) -> Column:
+        def word(w: int) -> Column:
+            own = F.get(v, F.lit((w - q) % shape.words))
+            if not r:
+                return own
+            below = F.get(v, F.lit((w - q - 1) % shape.words))
+            x = F.call_function("shiftleft", own, F.lit(r)).bitwiseOR(F.call_function("shiftrightunsigned", below, F.lit(shape.bits - r)))
+            return x if shape.bits == 64 else x.bitwiseAND(F.lit(shape.word_mask))
+
+        return F.when(v.isNotNull(), F.array(*map(word, range(shape.words))))
 
-    return F.when(a.isNotNull(), F.array(*map(word, range(shape.words))))
+    return F.transform(F.array(a), moved)[0]
 
 
 def unpermute(a: Column, shift: int, shape: Shape = PRODUCTION) -> Column:
@@ -218,15 +225,28 @@ def bundle_majority(df: DataFrame, keys: list[str], hv: str = "hv", shape: Shape
     return votes(df, keys, hv, shape).join(n, keys).where(F.col("votes") > F.floor(F.col("_n") / 2)).drop("_n")
 
 
-def as_matrix(column: pa.Array) -> np.ndarray:
-    """A column of vectors as rows of words."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.int64, copy=False).reshape(len(column), -1)
+def whole(a: Column, width: int) -> Column:
+    """Whether a vector is there, with so many words and no null among them."""
+    return F.coalesce((F.size(a) == width) & F.forall(a, lambda x: x.isNotNull()), F.lit(False))
+
+
+def as_matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A column of vectors as rows of unsigned words (bits of negative numbers would be counted by their
+    absolute value), and which rows hold a whole() vector; others are zeros."""
+    ok = pc.equal(pc.fill_null(pc.list_value_length(column), -1), width).to_numpy(zero_copy_only=False)
+    kept = column.filter(pa.array(ok)).flatten()
+    known = kept.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width).all(1)
+    out = np.zeros((len(column), width), np.int64)
+    out[ok] = pc.fill_null(kept, 0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(-1, width)
+    ok[np.flatnonzero(ok)[~known]] = False
+    out[~ok] = 0
+    return out.view(np.uint64), ok
 
 
 def in_batches(df: DataFrame, run, added: str) -> DataFrame:
     """df with the columns that run(batch) gives for each Arrow batch: arrays, or rows to take and
     arrays."""
+    session.ship(df.sparkSession)
     names = df.columns
 
     def batches(it):
@@ -246,36 +266,45 @@ MAX_IN_EXPRESSION = 64
 
 def word_distance(a: Column, words: Sequence[int]) -> Column:
     """Hamming distance to a constant vector, word by word."""
-    return reduce(lambda x, y: x + y, [F.bit_count(a.getItem(k).bitwiseXOR(F.lit(int(w)).cast("long"))) for k, w in enumerate(words)]).cast("int")
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.lit(int(w)).cast("long"))) for k, w in enumerate(words)]).cast("int")
 
 
 def nearest(df: DataFrame, codebook: DataFrame, hv: str = "hv", level: str = "level", code: str = "code", max_levels: int = 4096) -> DataFrame:
     """df with the level and distance of its nearest code, ties to the lowest level.
 
-    The codebook is refused beyond max_levels codes, so what goes to every task is bounded and no
-    cross join is made: a few codes are one expression, more are a matrix for Arrow batches."""
+    A few codes are one expression, more are a matrix for Arrow batches, and a codebook of more than
+    max_levels codes is searched by an index (search.nearest_indexed); in none of these a cross join is
+    made. Null codes are passed over; a vector that is null, has another number of words than the codes
+    or a null among them gets a null level and distance."""
+    codebook = codebook.where(F.col(code).isNotNull() & F.col(level).isNotNull())
     rows = sorted((r[0], list(r[1])) for r in codebook.select(level, code).limit(max_levels + 1).collect())
-    if len(rows) > max_levels:
-        raise ValueError(f"a codebook has at most {max_levels} levels")
     df = df.drop(level, "distance")
-    if not rows:
-        return df.withColumns({level: F.lit(None).cast("int"), "distance": F.lit(None).cast("int")})
     kind = dict(codebook.dtypes)[level]
+    if not rows:
+        return df.withColumns({level: F.lit(None).cast(kind), "distance": F.lit(None).cast("int")})
+    if len({len(w) for _, w in rows}) > 1:
+        raise ValueError("the codes of a codebook have one width")
+    width = len(rows[0][1])
+    if len(rows) > max_levels:
+        from ..operators import search
+
+        return search.nearest_indexed(df, codebook, hv, level, code, width)
     if len(rows) <= MAX_IN_EXPRESSION:
         best = F.least(*[F.struct(word_distance(F.col(hv), words).alias("distance"), F.lit(k).cast(kind).alias(level)) for k, words in rows])
-        return df.withColumn("_best", best).withColumns({level: F.col(f"_best.{level}"), "distance": F.col("_best.distance")}).drop("_best")
-    codes, at = np.array([w for _, w in rows], np.int64), df.columns.index(hv)
-    levels = pa.array([k for k, _ in rows])
+        df = df.withColumn("_best", F.when(whole(F.col(hv), width), best))
+        return df.withColumns({level: F.col(f"_best.{level}"), "distance": F.col("_best.distance")}).drop("_best")
+    codes, at = np.array([w for _, w in rows], np.int64).view(np.uint64), df.columns.index(hv)
+    levels = pa.array([k for k, _ in rows], to_arrow_type(codebook.schema[level].dataType))
 
     def run(batch):
-        x, best, who = as_matrix(batch.column(at)), np.full(batch.num_rows, np.iinfo(np.int32).max, np.int32), np.zeros(batch.num_rows, np.int64)
+        (x, ok), best, who = as_matrix(batch.column(at), width), np.full(batch.num_rows, np.iinfo(np.int32).max, np.int32), np.zeros(batch.num_rows, np.int64)
         for a in range(0, len(codes), 256):
             d = np.zeros((len(x), min(256, len(codes) - a)), np.int32)
-            for w in range(x.shape[1]):
+            for w in range(width):
                 d += np.bitwise_count(x[:, w, None] ^ codes[None, a : a + 256, w])
             low = d.min(1)
             who, best = np.where(low < best, a + d.argmin(1), who), np.minimum(best, low)
-        return None, [levels.take(pa.array(who)), pa.array(best)]
+        return None, [levels.take(pa.array(who, mask=~ok)), pa.array(best, mask=~ok)]
 
     return in_batches(df, run, f"{level} {kind}, distance int")
 

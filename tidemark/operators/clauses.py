@@ -1,8 +1,10 @@
 """Conjunctive clauses over literal vectors: firing, votes, predictions, readings.
 
 A clause is a bit mask; it fires where all its bits are set in [v, not v]. A few clauses are
-checked inside one expression, larger tables by testing batches of rows against a matrix of
-clauses; neither makes a cross join.
+checked inside one expression; tables of any size are an index by rarest literal that rows are joined
+with (`search`). No way makes a cross join, and all give the same rows: a vector that is null, has
+another number of words than a clause or a null among them fires nothing and has no score, not even by
+an empty clause; clauses whose mask is null are passed over.
 """
 
 from __future__ import annotations
@@ -16,50 +18,59 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hv
+from . import ordering, search
 
 MAX_CLAUSES = 10_000
 
 
+def _few(clauses: DataFrame, columns: Sequence[str], limit: int) -> list | None:
+    """The rows of a clause table in order, or None if there are more than `limit`."""
+    rows = clauses.where("include IS NOT NULL AND clause IS NOT NULL").select(*columns).limit(limit + 1).collect()
+    return None if len(rows) > limit else sorted((r[0], list(r[1]), *r[2:]) for r in rows)
+
+
 def clause_rows(clauses: DataFrame, limit: int = MAX_CLAUSES) -> list[tuple[int, list[int]]]:
     """(clause, include words) of a clause table, of checked size."""
-    rows = clauses.select("clause", "include").limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = _few(clauses, ["clause", "include"], limit)
+    if rows is None:
         raise ValueError(f"more than {limit} clauses")
-    return sorted((r[0], list(r[1])) for r in rows)
+    return rows
 
 
 def _met(words: Sequence[int], x: Column) -> Column:
     """Whether a constant include mask is met; only its words that aren't zero are looked at."""
-    tests = [x.getItem(w).bitwiseAND(F.lit(v).cast("long")) == F.lit(v).cast("long") for w, v in enumerate(words) if v]
-    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+    tests = [F.get(x, F.lit(w)).bitwiseAND(F.lit(v).cast("long")) == F.lit(v).cast("long") for w, v in enumerate(words) if v]
+    return reduce(lambda a, b: a & b, tests, hv.whole(x, len(words)))
 
 
 def fire(df: DataFrame, clauses: DataFrame, literal: str = "literals", empty_fires: bool = True) -> DataFrame:
     """One row for each row and clause that fires in it (column clause). A few clauses are one
-    expression; more are a matrix that Arrow batches of rows meet."""
-    rows = clause_rows(clauses)
-    if len(rows) > hv.MAX_IN_EXPRESSION:
-        return fire_numpy(df, clauses, literal, empty_fires)
+    expression; more are an index."""
+    rows = _few(clauses, ["clause", "include"], hv.MAX_IN_EXPRESSION)
+    if rows is None:
+        return search.containing(df, clauses, literal, empty_fires)
     tests = [F.when(_met(inc, F.col(literal)) if any(inc) or empty_fires else F.lit(False), F.lit(k)) for k, inc in rows]
     if not tests:
         return df.withColumn("clause", F.lit(None).cast("int")).limit(0)
     return df.withColumn("clause", F.explode(F.array(*tests))).where("clause IS NOT NULL")
 
 
-def _matrix(rows: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.int64)
+def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    if len({len(r[1]) for r in rows}) > 1:
+        raise ValueError("a matrix needs clauses of one width")
+    return np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.int64).reshape(len(rows), -1).view(np.uint64)
 
 
 def fire_numpy(df: DataFrame, clauses: DataFrame, literal: str = "literals", empty_fires: bool = True) -> DataFrame:
-    """As fire(), on Arrow batches; the clause matrix is of checked size."""
+    """As fire(), on Arrow batches that meet a matrix of checked size."""
     ids, inc = _matrix(clause_rows(clauses))
     at = df.columns.index(literal)
 
     def run(batch):
-        x, found = hv.as_matrix(batch.column(at)), []
+        (x, ok), found = hv.as_matrix(batch.column(at), inc.shape[1]), []
         for a in range(0, len(ids), 512):
             part = inc[a : a + 512]
-            hit = np.ones((len(x), len(part)), bool)
+            hit = np.repeat(ok[:, None], len(part), 1)
             for w in range(x.shape[1]):
                 hit &= (x[:, w, None] & part[None, :, w]) == part[None, :, w]
             if not empty_fires:
@@ -124,40 +135,55 @@ def residual(include: Column, literals: Column, limit: int) -> Column:
 
 
 def fuzzy_score(df: DataFrame, clauses: DataFrame, limit: int, clamp: int, literal: str = "literals") -> DataFrame:
-    """Adds score: residuals of even clauses less those of odd ones, times their weights, clamped.
-    The clause table (clause, include, weight) is of checked size; a few clauses are one expression,
-    more are a matrix that Arrow batches of rows meet."""
-    got = clauses.select("clause", "include", "weight").limit(MAX_CLAUSES + 1).collect()
-    if len(got) > MAX_CLAUSES:
-        raise ValueError(f"more than {MAX_CLAUSES} clauses")
-    rows = sorted((r[0], list(r[1]), int(r[2]) * (1 if r[0] % 2 == 0 else -1)) for r in got)
+    """Adds score: residuals of even clauses less those of odd ones, times their weights, clamped; null
+    without a whole vector. A few clauses (clause, include, weight) are one expression, more are a matrix
+    that Arrow batches of rows meet, and a table beyond the matrix's limit meets the rows in blocks of
+    that size, whose sums are added."""
     df = df.drop("score")
+    table = clauses.where("include IS NOT NULL AND clause IS NOT NULL").select("clause", "include", "weight")
+    got = _few(table, ["clause", "include", "weight"], MAX_CLAUSES)
+    if got is None:
+        placed, total = ordering.placed(table, ["clause"], place="_at", size="_of")
+        df = df.withColumn("_sum", F.lit(0).cast("long"))
+        for a in range(0, total, MAX_CLAUSES):  # each block is of checked size
+            block = placed.where(F.col("_at").between(a, a + MAX_CLAUSES - 1))
+            df = _scored(df, _few(block, ["clause", "include", "weight"], MAX_CLAUSES), limit, literal, "_block")
+            df = df.withColumn("_sum", F.col("_sum") + F.col("_block")).drop("_block")
+    else:
+        df = _scored(df, got, limit, literal, "_sum")
+    return df.withColumn("score", F.when(F.col("_sum").isNotNull(), F.greatest(F.lit(-clamp), F.least(F.lit(clamp), F.col("_sum")))).cast("long")).drop("_sum")
+
+
+def _scored(df: DataFrame, got: list, limit: int, literal: str, out: str) -> DataFrame:
+    """df with the sum of the residuals of some clauses, times their signed weights."""
+    rows = [(k, inc, int(w) * (1 if k % 2 == 0 else -1)) for k, inc, w in got]
     if len(rows) > hv.MAX_IN_EXPRESSION:
         at = df.columns.index(literal)
-        _, inc = _matrix([r[:2] for r in rows])
+        _, inc = _matrix(rows)
         weight, full = np.array([r[2] for r in rows], np.int64), np.minimum(np.bitwise_count(inc).sum(1, dtype=np.int64), limit)
 
         def run(batch):
-            x, total = hv.as_matrix(batch.column(at)), np.zeros(batch.num_rows, np.int64)
+            (x, ok), total = hv.as_matrix(batch.column(at), inc.shape[1]), np.zeros(batch.num_rows, np.int64)
             for a in range(0, len(inc), 512):
                 unmet = np.zeros((len(x), len(inc[a : a + 512])), np.int64)
                 for w in range(x.shape[1]):
                     unmet += np.bitwise_count(inc[None, a : a + 512, w] & ~x[:, w, None])
                 total += np.maximum(0, full[None, a : a + 512] - unmet) @ weight[a : a + 512]
-            return None, [pa.array(np.clip(total, -clamp, clamp))]
+            return None, [pa.array(total, mask=~ok)]
 
-        return hv.in_batches(df, run, "score long")
+        return hv.in_batches(df, run, f"{out} long")
     x, total = F.col(literal), F.lit(0).cast("long")
     for _, inc, weight in rows:
-        unmet = [F.bit_count(F.bitwise_not(x.getItem(w)).bitwiseAND(F.lit(v).cast("long"))) for w, v in enumerate(inc) if v]
+        unmet = [F.bit_count(F.bitwise_not(F.get(x, F.lit(w))).bitwiseAND(F.lit(v).cast("long"))) for w, v in enumerate(inc) if v]
         full = min(limit, sum((v & (1 << 64) - 1).bit_count() for v in inc))
         total = total + F.greatest(F.lit(0), F.lit(full) - (reduce(lambda a, b: a + b, unmet) if unmet else F.lit(0))) * weight
-    return df.withColumn("score", F.greatest(F.lit(-clamp), F.least(F.lit(clamp), total)).cast("long"))
+    ok = reduce(lambda a, b: a & b, [hv.whole(x, w) for w in sorted({len(inc) for _, inc, _ in rows})], x.isNotNull())
+    return df.withColumn(out, F.when(ok, total))
 
 
 def ranked(clauses: DataFrame, weight: str = "weight") -> DataFrame:
     """Adds rank: clauses by weight from the largest down; ties by id."""
-    return clauses.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(weight), "clause")))
+    return ordering.numbered(clauses, [F.desc(weight), F.col("clause")], place="rank", size="_n").withColumn("rank", (F.col("rank") + 1).cast("int")).drop("_n")
 
 
 def coverage(fired: DataFrame, vertices: int, keys: Sequence[str] = ("sample",)) -> DataFrame:

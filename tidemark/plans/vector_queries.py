@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codebooks, hv
-from ..operators import clauses, learner
+from ..operators import clauses, learner, search
 from ..sources import synthetic
 from .base import Registry, r, table
 
@@ -177,6 +179,29 @@ _PRED = _SUMS + ", pr AS (SELECT sample, class AS predicted FROM (SELECT *, row_
 _BITS = "b AS (SELECT clause, CAST(i AS INTEGER) AS literal FROM (SELECT *, unnest(range(0, 128)) AS i FROM c) WHERE ((CASE i // 32 WHEN 0 THEN i0 WHEN 1 THEN i1 WHEN 2 THEN i2 ELSE i3 END >> CAST(i % 32 AS INTEGER)) & 1) = 1)"
 
 
+# Clauses of parts: 25 for each, each including six of the 128 literals ------------------------
+
+PER_PART, INCLUDED = 25, 6
+
+
+def _part_clauses(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(PER_PART - 1))).alias("j"))
+    bits = [F.pmod(F.col("p_partkey") * (7 + 2 * t) + F.col("j") * (11 + 6 * t) + F.col("p_size") * (t + 1) + 21 * t, F.lit(128)) for t in range(INCLUDED)]
+    word = lambda w: [F.when(F.floor(b / 32) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(32)).cast("int"))).otherwise(F.lit(0).cast("long")) for b in bits]
+    words = [reduce(lambda a, b: a.bitwiseOR(b), word(w)) for w in range(4)]
+    return p.select((F.col("p_partkey") * PER_PART + F.col("j")).cast("int").alias("clause"), F.array(*words).alias("include"), (F.col("p_size") % 5 + 1).cast("int").alias("weight"))
+
+
+def _part_bit(t: int) -> str:
+    return f"((p_partkey * {7 + 2 * t} + j * {11 + 6 * t} + p_size * {t + 1} + {21 * t}) % 128)"
+
+
+_PART = "pc AS (SELECT CAST(p_partkey * 25 + j AS INTEGER) AS clause, CAST(p_size % 5 + 1 AS INTEGER) AS cw, " + ", ".join(
+    " | ".join(f"CASE WHEN {_part_bit(t)} // 32 = {w} THEN CAST(1 AS BIGINT) << CAST({_part_bit(t)} % 32 AS INTEGER) ELSE CAST(0 AS BIGINT) END" for t in range(INCLUDED)) + f" AS i{w}" for w in range(4)
+) + " FROM (SELECT *, unnest(range(0, 25)) AS j FROM part))"
+_PART_BITS = "pb AS (SELECT clause, cw, CAST(i AS INTEGER) AS literal FROM (SELECT *, unnest(range(0, 128)) AS i FROM pc) WHERE ((CASE i // 32 WHEN 0 THEN i0 WHEN 1 THEN i1 WHEN 2 THEN i2 ELSE i3 END >> CAST(i % 32 AS INTEGER)) & 1) = 1)"
+
+
 def _fired(spark, sf_dir) -> DataFrame:
     return clauses.fire(_samples(spark, sf_dir), _clauses(spark)).select("sample", "clause")
 
@@ -213,14 +238,24 @@ def included_literals(spark, sf_dir):
     return clauses.literal_counts(fired, _weights(spark), _clauses(spark), top, LITERALS)
 
 
-@_R.add(f"WITH {_CL} SELECT CAST(clause AS INTEGER) AS clause, CAST(bit_count(i0) + bit_count(i1) + bit_count(i2) + bit_count(i3) AS INTEGER) AS n_includes FROM c")
+@_R.add(f"WITH {_PART} SELECT clause, CAST(bit_count(i0) + bit_count(i1) + bit_count(i2) + bit_count(i3) AS INTEGER) AS n_includes FROM pc")
 def include_counts(spark, sf_dir):
-    return clauses.include_counts(_clauses(spark))
+    return clauses.include_counts(_part_clauses(spark, sf_dir))
 
 
-@_R.add(f"WITH {_CL}, {_W}, {_BITS} SELECT literal, CAST(sum(weight) AS BIGINT) AS strength FROM b JOIN w USING (clause) WHERE class = 2 GROUP BY 1")
+@_R.add(f"WITH {_PART}, {_PART_BITS} SELECT literal, CAST(sum(CASE WHEN clause % 3 = 1 THEN -cw ELSE cw END) AS BIGINT) AS strength FROM pb WHERE clause % 4 <> 0 GROUP BY 1")
 def feature_strength(spark, sf_dir):
-    return clauses.feature_strength(_clauses(spark), _weights(spark), 2, LITERALS)
+    """Weights of class 2: negative for every third clause, none for every fourth."""
+    c = _part_clauses(spark, sf_dir)
+    w = c.where("clause % 4 <> 0").select(F.lit(2).alias("class"), "clause", F.when(F.col("clause") % 3 == 1, -F.col("weight")).otherwise(F.col("weight")).alias("weight"))
+    return clauses.feature_strength(c, w, 2, LITERALS)
+
+
+@_R.add(f"WITH {_LIT}, {_PART} SELECT sample, count(*) AS n_fired, CAST(sum(clause) AS BIGINT) AS clause_sum FROM l, pc WHERE " + " AND ".join(f"(i{j} & x{j}) = i{j}" for j in range(4)) + " GROUP BY 1")
+def clause_fire_indexed(spark, sf_dir):
+    """Clauses of parts (50,000 at scale 0.01) that fire, by the index of rarest literals."""
+    fired = clauses.fire(_samples(spark, sf_dir).select("sample", "literals"), _part_clauses(spark, sf_dir))
+    return fired.groupBy("sample").agg(F.count("*").alias("n_fired"), F.sum("clause").alias("clause_sum"))
 
 
 _RESIDUAL = "greatest(0, least(CAST(bit_count(i0) + bit_count(i1) + bit_count(i2) + bit_count(i3) AS INTEGER), 3) - (" + " + ".join(f"bit_count(i{j} & xor(x{j}, 4294967295))" for j in range(4)) + "))"
@@ -231,9 +266,9 @@ def fuzzy_score(spark, sf_dir):
     return clauses.fuzzy_score(_samples(spark, sf_dir), _clauses(spark), 3, 8).select("sample", "score")
 
 
-@_R.add(f"WITH {_CL} SELECT CAST(clause AS INTEGER) AS clause, CAST(row_number() OVER (ORDER BY cw DESC, clause) AS INTEGER) AS rank FROM c")
+@_R.add(f"WITH {_PART} SELECT clause, CAST(row_number() OVER (ORDER BY cw DESC, clause) AS INTEGER) AS rank FROM pc")
 def clause_ranking(spark, sf_dir):
-    return clauses.ranked(_clauses(spark)).select("clause", "rank")
+    return clauses.ranked(_part_clauses(spark, sf_dir)).select("clause", "rank")
 
 
 @_R.add(f"WITH {_FIRE} SELECT CAST(sample // 8 AS BIGINT) AS grp, CAST(clause AS INTEGER) AS clause, count(DISTINCT sample % 8) / 8 AS coverage FROM f GROUP BY 1, 2")
@@ -297,6 +332,15 @@ def nearest_of_many(spark, sf_dir):
     return hv.nearest(v, v.where("vec_id < 100").select(F.col("vec_id").alias("level"), F.col("hv").alias("code"))).select("vec_id", "level", "distance")
 
 
+@_R.add(f"""WITH {_V}, d AS (SELECT v.vec_id, CAST(c.vec_id AS BIGINT) AS level, CAST(bit_count(xor(v.w0, c.w0)) + bit_count(xor(v.w1, c.w1)) AS INTEGER) AS distance FROM v, v c WHERE c.vec_id <> v.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, level) AS rn FROM d) SELECT vec_id, level, distance FROM k WHERE rn = 1""")
+def nearest_other(spark, sf_dir):
+    """Each vector's nearest other one, by multi-index hashing over all of them."""
+    v = _vectors(spark, sf_dir)
+    book = v.select(F.col("vec_id").alias("level"), F.col("hv").alias("code"))
+    return search.nearest_indexed(v, book, width=SHAPE.words, bits=SHAPE.bits, other_than="vec_id").select("vec_id", "level", "distance")
+
+
 @_R.add(f"WITH {_V} SELECT vec_id, CAST((w1 - CASE WHEN w1 >= 2147483648 THEN 4294967296 ELSE 0 END) * 4294967296 + w0 AS BIGINT) AS word FROM v")
 def join_words(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", hv.join_words(F.col("hv")).getItem(0).alias("word"))
