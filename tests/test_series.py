@@ -109,3 +109,97 @@ def test_rounds_equal_a_window_for_each_class(spark):
     want = sortable(df.withColumn("round", F.row_number().over(w) - 1).where("round < 90").collect())
     got = splits.balanced_rounds(df, "label", "id")
     assert sortable(got.select("id", "label", "round").collect()) == want
+
+
+# As-of with hot keys, and sequences in blocks ------------------------------------------------
+
+
+@pytest.mark.parametrize("chunks", [None, 1, 16])
+def test_as_of_with_a_hot_key_equals_asof(spark, chunks):
+    import duckdb
+    import pandas as pd
+
+    from tidemark.operators import graph
+
+    rng = np.random.default_rng(4)
+    key = lambda n: [None if x < 0.03 else "hot" if x < 0.9 else f"k{int(x * 1000) % 7}" for x in rng.random(n)]
+    lhs = pd.DataFrame({"id": range(900), "k": key(900), "t": rng.integers(0, 3000, 900)})
+    rhs = pd.DataFrame({"k": key(700), "t": rng.integers(0, 3000, 700), "v": rng.normal(size=700).round(3)}).drop_duplicates(["k", "t"])
+    want = sorted((a, None if b is None or b != b else b) for a, b in duckdb.sql("SELECT id, v FROM lhs ASOF LEFT JOIN rhs USING (k, t)").fetchall())
+    a, b = (spark.createDataFrame(x.astype(object).where(x.notna(), None), s).repartition(3) for x, s in ((lhs, "id long, k string, t long"), (rhs, "k string, t long, v double")))
+    out = graph.as_of(a, b, ["k"], "t", "v", chunks)
+    assert sorted((r.id, r.v) for r in out.collect()) == want
+    assert graph.as_of(a.limit(0), b, ["k"], "t", "v", chunks).count() == 0
+    assert {r.v for r in graph.as_of(a, b.limit(0), ["k"], "t", "v", chunks).collect()} == {None}
+
+
+def plain_viterbi(tokens, model):
+    ls, lt, le = (hmm.whole_logs(x).tolist() for x in model)
+    n, v, back = len(ls), [ls[k] + le[k][tokens[0]] for k in range(len(ls))], []
+    for x in tokens[1:]:
+        back.append([max(range(n), key=lambda i: (v[i] + lt[i][j], -i)) for j in range(n)])
+        v = [max(v[i] + lt[i][j] for i in range(n)) + le[j][x] for j in range(n)]
+    path = [max(range(n), key=lambda k: (v[k], -k))]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return path[::-1]
+
+
+def models():
+    rng = np.random.default_rng(2)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    rare = norm(rng.random((4, 27)) ** 4 + 1e-6)
+    tied = (np.full(4, 0.25), norm(np.eye(4) + 1), norm(np.ones((4, 27))))  # every step ties
+    never = (np.array([0.5, 0.5, 0.0, 0.0]), norm(np.triu(np.ones((4, 4)))), norm(rng.random((4, 27))))
+    return {0: (norm(rng.random(4)), norm(rng.random((4, 4)) + 3 * np.eye(4)), rare), 1: tied, 2: never}
+
+
+@pytest.mark.parametrize("chunks", [1, 7, 100, 300])
+@pytest.mark.parametrize("which", [0, 1, 2])
+def test_blocks_decode_as_one_sequence(spark, chunks, which):
+    tokens = np.random.default_rng(which).integers(0, 27, 300).tolist()
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(tokens)], "ts int, token int").repartition(3)
+    got = [r.state for r in hmm.decode(df, models()[which], chunks=chunks).orderBy("ts").collect()]
+    assert got == plain_viterbi(tokens, models()[which]) == hmm.viterbi(np.array(tokens), *models()[which]).tolist()
+
+
+def test_groups_and_configurations_decode_alone(spark):
+    rng, rows = np.random.default_rng(9), []
+    for g, n in (("a", 150), ("b", 1), (None, 40)):
+        for c in (0, 1, 2):
+            rows += [(g, c, k, int(x)) for k, x in enumerate(rng.integers(0, 27, n))]
+    df = spark.createDataFrame(rows, "g string, c int, ts int, token int")
+    got = hmm.decode(df, models(), by=["g", "c"], chunks=20, config="c").collect()
+    for g in ("a", "b", None):
+        for c in (0, 1, 2):
+            mine = sorted((r.ts, r.token, r.state) for r in got if r.g == g and r.c == c)
+            assert [m[2] for m in mine] == plain_viterbi([m[1] for m in mine], models()[c])
+    assert hmm.decode(df.limit(0), models(), by=["g", "c"], config="c").count() == 0
+
+
+def test_sweep_against_a_loop(spark):
+    rng = np.random.default_rng(6)
+    rows, state = [], 0
+    for k in range(260):
+        state = int(rng.choice(4)) if rng.random() < 0.1 else state
+        rows.append((k, round(float(rng.gamma(2 + state, 0.2)), 4), round(float(rng.normal(0.02 * (state - 1.5), 0.06)), 4), state if rng.random() < 0.95 else -1, "train" if k < 160 else "test" if k >= 180 else None))
+    df = spark.createDataFrame(rows, "ts int, atr double, er_delta double, label int, split string").repartition(4)
+    train = [r for r in rows if r[4] == "train"]
+    test = [r for r in rows if r[4] == "test"]
+    mean = round(sum(r[1] for r in train) / len(train), 6)
+    quant = lambda r, c: (0 if r[1] < mean * c[0] else 2 if r[1] > mean * c[1] else 1) * 9 + (0 if r[2] < -c[2] else 2 if r[2] > c[2] else 1) * 3 + 1
+    a = np.zeros((4, 4))
+    for x, y in zip(train, train[1:]):
+        if x[3] >= 0 and y[3] >= 0:
+            a[x[3], y[3]] += 1
+    got = {r.config: r for r in hmm.sweep(df, chunks=5).collect()}
+    assert len(got) == 27
+    for k, c in enumerate(hmm.SWEEP):
+        b = np.zeros((4, 27))
+        for r in train:
+            if r[3] >= 0:
+                b[r[3], quant(r, c)] += 1
+        path = plain_viterbi([quant(r, c) for r in test], hmm.from_counts(a, b))
+        hits = [p == r[3] for p, r in zip(path, test) if r[3] >= 0]
+        assert got[k].n_test == len(hits) and got[k].accuracy == pytest.approx(sum(hits) / len(hits)) and (got[k].low, got[k].high, got[k].er) == c
+    assert hmm.sweep(df.limit(0)).count() == 0

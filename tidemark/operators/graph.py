@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codebooks, hv
+from .series import Series
 
 # Editing -----------------------------------------------------------------------------------
 
@@ -166,15 +167,32 @@ def importance_vectors(vertices: DataFrame, edges: DataFrame, low: float = 0.0,
 # Time --------------------------------------------------------------------------------------
 
 
-def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, value: str) -> DataFrame:
-    """Adds the right side's latest value at or before each left time. One union and one ordered
-    pass by key: both sides are shuffled once and no pairs are made. Ties of time on the right
-    take the largest value; a key that is very frequent is one ordered run."""
-    cols = left.columns
-    a = left.withColumn("_s", F.struct(*cols)).select(*key, time, "_s", F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), F.lit(1).alias("_o"))
-    b = right.groupBy(*key, time).agg(F.max(value).alias("_v")).select(*key, time, F.lit(None).cast(a.schema["_s"].dataType).alias("_s"), "_v", F.lit(0).alias("_o"))
-    w = Window.partitionBy(*key).orderBy(time, "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_o = 1").select("_s.*", value)
+#: Rows of one key that are one ordered run; longer time lines are cut into chunks.
+ONE_RUN = 1_000_000
+
+
+def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, value: str, chunks: int | None = None) -> DataFrame:
+    """Adds the right side's latest non-null value at or before each left time. Both sides are one union,
+    ordered by key and time; no pairs are made. Ties of time on the right take the largest value. A null
+    key or time meets nothing. Where no key has many rows, an ordered run by key gives it in one
+    shuffle; else (or with `chunks`) time lines are cut into chunks, and the last value of a chunk is
+    carried over its border, so that a key with most of the rows is as many tasks as its share."""
+    known = F.lit(True)
+    for c in (*key, time):
+        known = known & F.col(c).isNotNull()
+    kind = dict(right.dtypes)[value]
+    a = left.withColumn("_s", F.struct(*left.columns))
+    b = right.where(known).groupBy(*key, time).agg(F.max(value).alias("_v"))
+    b = b.select(*key, time, F.lit(None).cast(a.schema["_s"].dataType).alias("_s"), "_v", F.lit(0).alias("_o"))
+    both = a.where(known).select(*key, time, "_s", F.lit(None).cast(kind).alias("_v"), F.lit(1).alias("_o")).unionByName(b)
+    longest = (both.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0) if chunks is None else None
+    if longest is not None and longest <= ONE_RUN:
+        w = Window.partitionBy(*key).orderBy(time, "_o").rowsBetween(Window.unboundedPreceding, 0)
+        out = both.withColumn("_found", F.last("_v", ignorenulls=True).over(w))
+    else:
+        out = Series.of(both, time, key, chunks, ties=["_o"]).filled({"_found": F.col("_v")}).rows
+    out = out.where("_o = 1").select("_s.*", F.col("_found").alias(value))
+    return out.unionByName(a.where(~known).select("_s.*", F.lit(None).cast(kind).alias(value)))
 
 
 def snapshot_edges(edges: DataFrame, max_time: int, available: str = "available_at") -> DataFrame:

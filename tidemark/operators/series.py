@@ -27,12 +27,13 @@ class Series:
         self.rows, self.by, self.ts, self.size, self.total = rows, tuple(by), ts, size, total
 
     @classmethod
-    def of(cls, df: DataFrame | Series, ts: str = "ts", by: Sequence[str] = (), chunks: int | None = None) -> Series:
-        """The series of a table, ordered by ts within groups; a series is given back as it is. `chunks` is
-        how many a table is cut into about; by default as many as there are shuffle partitions."""
+    def of(cls, df: DataFrame | Series, ts: str = "ts", by: Sequence[str] = (), chunks: int | None = None, ties: Sequence[str | Column] = ()) -> Series:
+        """The series of a table, ordered by ts (and what orders ties) within groups; a series is given back
+        as it is. `chunks` is how many a table is cut into about; by default as many as there are shuffle
+        partitions."""
         if isinstance(df, Series):
             return df
-        rows, total = ordering.placed(df, [ts], by, "_i", "_n")
+        rows, total = ordering.placed(df, [ts, *ties], by, "_i", "_n")
         size = -(-total // (chunks or ordering.partitions(df)))
         return cls(rows, by, ts, max(1 if chunks else LEAST, size), total)
 
@@ -42,6 +43,10 @@ class Series:
     def _own(self) -> Column:
         return F.floor(F.col("_i") / self.size)
 
+    def chunked(self) -> DataFrame:
+        """The rows with `_chunk`, the chunk of their group that they are in."""
+        return self.rows.withColumn("_chunk", self._own())
+
     def frame(self) -> DataFrame:
         return self.rows.drop("_i", "_n")
 
@@ -63,7 +68,7 @@ class Series:
 
     def filled(self, columns: Mapping[str, Column], default: float | None = None) -> Series:
         """Adds columns: the latest non-null value of each expression so far, else the default."""
-        rows = self.rows.withColumn("_chunk", self._own())
+        rows = self.chunked()
         w = Window.partitionBy(*self.by, "_chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumns({name: F.last(x, ignorenulls=True).over(w) for name, x in columns.items()})
         carried = self._carries(columns) if self.size < self.total else None

@@ -293,10 +293,10 @@ tc AS (SELECT f, t, count(*) AS n FROM (SELECT lag(label) OVER (ORDER BY ts) AS
 ec AS (SELECT label AS s, token AS x, count(*) AS n FROM o WHERE label BETWEEN 0 AND 3 GROUP BY 1, 2),
 ta AS (SELECT a.s AS f, b.s AS t, 1.0::DOUBLE + coalesce(n, 0) AS n FROM sid a CROSS JOIN sid b LEFT JOIN tc ON tc.f = a.s AND tc.t = b.s),
 ea AS (SELECT sid.s, tid.x, 1.0::DOUBLE + coalesce(n, 0) AS n FROM sid CROSS JOIN tid LEFT JOIN ec ON ec.s = sid.s AND ec.x = tid.x),
-tl AS MATERIALIZED (SELECT t, list(ln(n / total) ORDER BY f) AS l FROM (SELECT *, sum(n) OVER (PARTITION BY f) AS total FROM ta) GROUP BY 1),
+tl AS MATERIALIZED (SELECT t, list(CAST(round(ln(n / total) * 4294967296) AS BIGINT) ORDER BY f) AS l FROM (SELECT *, sum(n) OVER (PARTITION BY f) AS total FROM ta) GROUP BY 1),
 trans AS MATERIALIZED (SELECT list(l ORDER BY t) AS m FROM tl),
-emit AS MATERIALIZED (SELECT x, list(ln(n / total) ORDER BY s) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY s) AS total FROM ea) GROUP BY 1),
-start AS (SELECT list(ln(n / total) ORDER BY s) AS p FROM (SELECT s, sum(n) AS n, (SELECT sum(n) FROM ea) AS total FROM ea GROUP BY 1)),
+emit AS MATERIALIZED (SELECT x, list(CAST(round(ln(n / total) * 4294967296) AS BIGINT) ORDER BY s) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY s) AS total FROM ea) GROUP BY 1),
+start AS (SELECT list(CAST(round(ln(n / total) * 4294967296) AS BIGINT) ORDER BY s) AS p FROM (SELECT s, sum(n) AS n, (SELECT sum(n) FROM ea) AS total FROM ea GROUP BY 1)),
 rec AS (
   SELECT o.i, [p[1] + e[1], p[2] + e[2], p[3] + e[3], p[4] + e[4]] AS v, [[0], [1], [2], [3]] AS paths FROM o JOIN emit ON x = token, start WHERE o.i = 1
   UNION ALL
@@ -313,6 +313,31 @@ def viterbi_path(spark, sf_dir):
     return hmm.decode(t, hmm.fit(t))
 
 
+_HALF = "z AS (SELECT ts, label, i, floor(n * 0.6) AS a, floor(n * 0.8) AS b, max(CASE WHEN label <> -1 THEN i END) OVER () AS last FROM lab), part AS (SELECT ts, label, CASE WHEN i >= 50 AND i < a - 72 THEN 'train' WHEN i >= b + 24 AND i <= last THEN 'test' END AS split FROM z)"
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    """(ts, atr, er_delta, label, split) for the search of thresholds."""
+    return _tokens(spark, sf_dir).drop("token", "label").join(splits.chronological(_labelled(spark, sf_dir), params=SPLIT).select("ts", "label", "split"), "ts")
+
+
+@_R.add(f"""WITH {_TOK}, {_HALF}, tr AS (SELECT k2.ts, k2.atr, k2.ed, part.label FROM k2 JOIN part USING (ts) WHERE split = 'train'), mean AS (SELECT round(avg(atr), 6) AS m FROM tr),
+cf AS (SELECT CAST((a * 9 + b * 3 + c) AS INTEGER) AS config, [0.6, 0.7, 0.8][a + 1] AS low, [1.2, 1.3, 1.4][b + 1] AS high, [0.03, 0.05, 0.07][c + 1] AS er FROM range(0, 3) x(a), range(0, 3) y(b), range(0, 3) w(c))
+SELECT config, label AS state, CAST(CASE WHEN atr < m * CAST(low AS DOUBLE) THEN 0 WHEN atr > m * CAST(high AS DOUBLE) THEN 2 ELSE 1 END * 9 + CASE WHEN ed < -CAST(er AS DOUBLE) THEN 0 WHEN ed > CAST(er AS DOUBLE) THEN 2 ELSE 1 END * 3 + 1 AS INTEGER) AS token, count(*) AS n
+FROM tr, mean, cf WHERE label >= 0 GROUP BY 1, 2, 3""")
+def hmm_sweep_counts(spark, sf_dir):
+    """Emissions of the training rows under each of 27 sets of thresholds."""
+    train = _parts(spark, sf_dir).where("split = 'train'")
+    mean = train.agg(F.round(F.avg("atr"), 6).alias("m")).first().m
+    return hmm.sweep_counts(train, mean or 0.0)
+
+
+@_R.add()
+def hmm_sweep(spark, sf_dir):
+    """Accuracy on later rows for each of 27 sets of thresholds."""
+    return hmm.sweep(_parts(spark, sf_dir))
+
+
 def _scored(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 4).alias("actual"), (F.col("vec_id") % 4).cast("int").alias("predicted"))
 
