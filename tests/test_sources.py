@@ -79,3 +79,27 @@ def test_graph_collection(spark, tmp_path):
     (tmp_path / "t.txt").write_text("0,1,3,2\n5,4,9\n")
     line = {(r.node_id, r.time): r.label for r in graphs.node_timeline(spark, str(tmp_path / "t.txt")).collect()}
     assert line == {(1, 0): 1, (1, 3): 2, (2, 5): 4}
+
+
+def test_lines_of_files_in_several_splits(spark, tmp_path):
+    """Numbers follow the files' names and the splits within them, without Python in the plan."""
+    from tidemark.sources import graphs
+
+    want = []
+    for name, n in (("b", 700), ("a", 5000), ("c", 0), ("d", 1)):
+        text = [f"{name}{k} é{'x' * (k % 37)}" for k in range(n)]
+        (tmp_path / "t").mkdir(exist_ok=True)
+        (tmp_path / "t" / f"{name}.txt").write_text("".join(x + "\n" for x in text), encoding="utf-8")
+        want.append((name, text))
+    want = [x for _, text in sorted(want) for x in text]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions() > 20
+        df = graphs.lines(spark, str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.line_no, r.value) for r in df.orderBy("line_no").collect()] == [(k + 1, x) for k, x in enumerate(want)]
+    (tmp_path / "none.txt").write_text("")
+    assert graphs.lines(spark, str(tmp_path / "none.txt")).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import events, features
+from ..operators import events, features, ordering
 from ..operators import graph as graphs_
 from ..sources import calendar, graphs, market
 from .base import Registry, r, scratch, table
@@ -89,18 +89,20 @@ def calendar_bodies(spark, sf_dir):
     return calendar.parse(spark, got).select("event", "actual", "estimate")
 
 
-_NODE = "g AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS node_id, CAST(n_regionkey + 1 AS INTEGER) AS graph_id, CAST(length(n_name) AS INTEGER) AS label, n_nationkey AS k FROM nation)"
+_NODE = "g AS (SELECT CAST(k + 1 AS INTEGER) AS node_id, CAST(c_nationkey + 1 AS INTEGER) AS graph_id, CAST(length(c_mktsegment) AS INTEGER) AS label, k, n FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer))"
 
 
 def _collection(spark, sf_dir) -> dict[str, DataFrame]:
-    n = table(spark, sf_dir, "nation").orderBy("n_nationkey").coalesce(1)  # a line's number is its place in the file: 25 lines
-    path, k = scratch(spark), F.col("n_nationkey").cast("long")
+    """Customers as nodes of graphs by nation, in text files of several parts; node k links to node k + 5."""
+    c = ordering.numbered(table(spark, sf_dir, "customer"), ["c_custkey"], place="k", size="n")
+    rows = c.repartitionByRange(6, "k").sortWithinPartitions("k")  # part files are named in the order of k
+    path, k, n = scratch(spark), F.col("k"), F.col("n")
     for name, line in (
-        ("graph_indicator", (F.col("n_regionkey") + 1).cast("string")), ("A", F.concat_ws(", ", k + 1, (k + 5) % 25 + 1)), ("node_labels", F.length("n_name").cast("string")),
-        ("edge_attributes", F.concat_ws(",", (k + 0.5).cast("string"), F.lit("9"))), ("node_attributes", F.concat_ws(", ", k, F.lit("-5"), (25 - k))),
+        ("graph_indicator", (F.col("c_nationkey") + 1).cast("string")), ("A", F.concat_ws(", ", k + 1, (k + 5) % n + 1)), ("node_labels", F.length("c_mktsegment").cast("string")),
+        ("edge_attributes", F.concat_ws(",", (k + 0.5).cast("string"), F.lit("9"))), ("node_attributes", F.concat_ws(", ", k, F.lit("-5"), n - k)),
     ):
-        n.select(line.alias("value")).write.text(f"{path}/N_{name}.txt")
-    n.select(F.concat_ws(",", F.lit(0), k % 3, k + 1, k % 5, F.lit(99)).alias("value")).write.text(f"{path}/N_timeline.txt")
+        rows.select(line.alias("value")).write.text(f"{path}/N_{name}.txt")
+    rows.select(F.concat_ws(",", F.lit(0), k % 3, k + 1, k % 5, F.lit(99)).alias("value")).write.text(f"{path}/N_timeline.txt")
     return graphs.load(spark, path, "N") | {"timeline": graphs.node_timeline(spark, f"{path}/N_timeline.txt")}
 
 
@@ -109,12 +111,12 @@ def graph_file_nodes(spark, sf_dir):
     return _collection(spark, sf_dir)["nodes"].select("node_id", "graph_id", "label")
 
 
-@_R.add(f"WITH {_NODE} SELECT node_id AS edge_idx, node_id AS src, CAST((k + 5) % 25 + 1 AS INTEGER) AS dst, 0 AS label, CAST(k + 0.5 AS DOUBLE) AS attr, CAST(k AS INTEGER) AS available_at FROM g")
+@_R.add(f"WITH {_NODE} SELECT node_id AS edge_idx, node_id AS src, CAST((k + 5) % n + 1 AS INTEGER) AS dst, 0 AS label, CAST(k + 0.5 AS DOUBLE) AS attr, CAST(k AS INTEGER) AS available_at FROM g")
 def graph_file_edges(spark, sf_dir):
     return _collection(spark, sf_dir)["edges"].select("edge_idx", "src", "dst", "label", "attr", "available_at")
 
 
-@_R.add(f"WITH {_NODE} SELECT a.node_id AS src, b.node_id AS dst, a.graph_id FROM g a JOIN g b ON b.node_id = (a.k + 5) % 25 + 1 WHERE a.graph_id = b.graph_id")
+@_R.add(f"WITH {_NODE} SELECT a.node_id AS src, b.node_id AS dst, a.graph_id FROM g a JOIN g b ON b.node_id = (a.k + 5) % a.n + 1 WHERE a.graph_id = b.graph_id")
 def graph_file_inner_edges(spark, sf_dir):
     c = _collection(spark, sf_dir)
     return graphs_.same_graph_edges(c["edges"].select("src", "dst"), c["nodes"]).select("src", "dst", "graph_id")
@@ -125,7 +127,7 @@ def graph_file_labels(spark, sf_dir):
     return _collection(spark, sf_dir)["graph_labels"].select("graph_id", "label")
 
 
-@_R.add(f"WITH {_NODE} SELECT node_id, CAST(j AS INTEGER) AS k, CAST(round(CASE j WHEN 0 THEN k / 24.0 WHEN 1 THEN 0.0 ELSE (25 - k - 1) / 24.0 END, 6) AS DOUBLE) AS x FROM (SELECT *, unnest([0, 1, 2]) AS j FROM g)")
+@_R.add(f"WITH {_NODE} SELECT node_id, CAST(j AS INTEGER) AS k, CAST(round(CASE j WHEN 0 THEN k / (n - 1.0) WHEN 1 THEN 0.0 ELSE (n - k - 1) / (n - 1.0) END, 6) AS DOUBLE) AS x FROM (SELECT *, unnest([0, 1, 2]) AS j FROM g)")
 def graph_file_attributes(spark, sf_dir):
     return graphs.normalized_attributes(_collection(spark, sf_dir)["nodes"]).select("node_id", "k", r(F.col("x")).alias("x"))
 
@@ -135,6 +137,23 @@ def graph_file_timeline(spark, sf_dir):
     return _collection(spark, sf_dir)["timeline"]
 
 
+#: Each customer has a state from its number modulo 7 on, and another one four steps later.
+_STEPS = 8
+_TL = f"tl AS (SELECT node_id, graph_id, CAST(k % 7 AS INTEGER) AS first, CAST(k % 3 AS INTEGER) AS one, CAST(k % 5 AS INTEGER) AS two FROM g)"
+
+
+@_R.add(f"WITH {_NODE}, {_TL} SELECT node_id, graph_id, CAST(t AS INTEGER) AS time, CASE WHEN t >= first + 4 THEN two ELSE one END AS label FROM tl, range(0, {_STEPS + 1}) x(t) WHERE t >= first")
+def temporal_snapshot_nodes(spark, sf_dir):
+    """Nodes of each snapshot: those that have a state by then, with the latest one."""
+    c = ordering.numbered(table(spark, sf_dir, "customer"), ["c_custkey"], place="k", size="n")
+    nodes = c.select((F.col("k") + 1).cast("int").alias("node_id"), (F.col("c_nationkey") + 1).cast("int").alias("graph_id"), "k", "n")
+    first = F.col("k") % 7
+    timeline = nodes.select("node_id", F.inline(F.array(F.struct(first.cast("int").alias("time"), (F.col("k") % 3).cast("int").alias("label")), F.struct((first + 4).cast("int").alias("time"), (F.col("k") % 5).cast("int").alias("label")))))
+    edges = nodes.select(F.col("node_id").alias("src"), ((F.col("k") + 5) % F.col("n") + 1).cast("int").alias("dst"), F.lit(0).alias("available_at"))
+    states, _ = graphs_.snapshots(nodes.select("node_id", "graph_id"), edges, timeline, _STEPS)
+    return states.select("node_id", "graph_id", "time", "label")
+
+
 @_R.add("""SELECT n_name AS model_id, CAST(n_regionkey AS INTEGER) AS class_id, CAST(round(n_nationkey / 7.0, 5) AS DOUBLE) AS precision, CAST(round(n_nationkey / 11.0, 5) AS DOUBLE) AS recall, CAST(0.5 AS DOUBLE) AS f1, CAST(round(n_regionkey / 3.0, 5) AS DOUBLE) AS accuracy FROM nation""")
 def metrics_files(spark, sf_dir):
     n = table(spark, sf_dir, "nation")

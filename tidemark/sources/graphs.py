@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from .. import session
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no from 1, value) of one text file. Line numbers need an order over the whole file:
-    only counts per partition are gathered, the lines stay where they are."""
-    df = spark.read.text(path)
-    schema = StructType([StructField("line_no", LongType()), StructField("value", StringType())])
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0])), schema)
+    """(line_no from 1, value) of a text file, or of a folder's files in the order of their names. Lines stay
+    in the splits that they are read in and are numbered there; the sizes of the splits, one row each,
+    give what to add. The table is kept first, as splits follow the number of cores of the moment."""
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    df = session.kept(spark.read.text(path).select("value", where.alias("_split"), F.monotonically_increasing_id().alias("_at")), "lines")
+    splits = sorted(df.groupBy("_split").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect(), key=lambda r: tuple(r["_split"]))
+    before, offsets = 0, []
+    for r in splits:
+        offsets.append((r["_split"], before - r["first"]))
+        before += r["n"]
+    add = spark.createDataFrame(offsets, df.select("_split", "_at").schema).withColumnRenamed("_at", "_add")
+    return df.join(F.broadcast(add), "_split").select((F.col("_at") + F.col("_add") + 1).alias("line_no"), "value")  # a row a split
 
 
 def _optional(spark: SparkSession, path: str) -> DataFrame | None:
@@ -57,6 +65,6 @@ def node_timeline(spark: SparkSession, path: str) -> DataFrame:
 def normalized_attributes(nodes: DataFrame) -> DataFrame:
     """Attributes scaled to 0..1 by position over all nodes, 0 where one is constant."""
     long = nodes.select("node_id", F.posexplode("attrs").alias("k", "x"))
-    w = Window.partitionBy("k")
-    lo, hi = F.min("x").over(w), F.max("x").over(w)
-    return long.select("node_id", "k", F.when(hi == lo, 0.0).otherwise((F.col("x") - lo) / (hi - lo)).alias("x"))
+    ends = long.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    scaled = F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return long.join(ends, "k").select("node_id", "k", scaled.alias("x"))
