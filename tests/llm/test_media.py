@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -63,11 +64,32 @@ def test_unclosed_elements_lose_nothing():
     assert simple("<figure><figcaption><p>A</p><p>B</p></figcaption><img src=x><img src=y alt=z></figure>t") == [("media", "x", "A B"), ("media", "y", "A B"), ("text", "t", None)]
     assert simple("a<template>b<p>c</p>") == [("text", "a", None), ("text", "b", None), ("text", "c", None)]
     assert simple("a<noscript><img src=x>b</noscript>c<template>d</template>") == [("text", "a", None), ("text", "c", None)]
-    assert simple("<figure><figure><img src=i><figcaption>in</figcaption></figure><img src=o><figcaption>out</figcaption></figure>") == [("media", "i", "out"), ("media", "o", "out")]
+    assert simple("<figure><figure><img src=i><figcaption>in</figcaption></figure><img src=o><figcaption>out</figcaption></figure>") == [("media", "i", "in"), ("media", "o", "out")]
     assert simple("<figure><figcaption>no media</figcaption></figure><figcaption>stray</figcaption>x</figure></template>") == [("text", "no media", None), ("text", "stray", None), ("text", "x", None)]
     assert simple("<p>a<script>b") == [("text", "a", None)]
 
 
+def test_captions_of_nested_figures():
+    assert simple("<figure><figure><img src=i></figure><img src=o><figcaption>out</figcaption></figure>") == [("media", "i", "out"), ("media", "o", "out")]
+    assert simple("<figure><figure><img src=i><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>") == [("media", "i", "in"), ("text", "out", None)]
+    assert simple("<figure><figcaption>a <figure><img src=i></figure> b</figcaption></figure>c") == [("media", "i", "a b"), ("text", "c", None)]
+    assert simple("<figure><img src=a alt=x><template><figcaption>no<img src=t></figcaption></template></figure>") == [("media", "a", "x")]
+    assert simple("<figure><img src=a><figcaption>1</figcaption>text<figcaption>2</figcaption></figure>") == [("media", "a", "1 2"), ("text", "text", None)]
+
+
+def test_long_broken_pages_are_linear():
+    """Each takes minutes if every open tag is looked for to the end again, or items are moved about."""
+    n = 100_000
+    began = time.monotonic()
+    for html in ("<a " * n, "</a " * n, "<!-- " * n, "<![CDATA[" * n, "<? " * n, "<a x=\"" * n, "<" * n, "<figure><figcaption>x" * n, "<figure><img src=a>" * n + "</figure>" * n, "<figcaption>x" * n, "<template>x" * n):
+        media.interleave(html)
+    assert time.monotonic() - began < 60
+    assert simple("a < b <i") == [("text", "a < b <i", None)]
+    assert simple("<p>x</p>" + "<b " + "y" * media.TAG + "> z") == [("text", "x", None), ("text", "<b " + "y" * media.TAG + "> z", None)]
+    deep = simple("<figure><img src=a>" * 2000 + "<figcaption>last</figcaption>" + "</figure>" * 2000)
+    assert deep[-1] == ("media", "a", "last") and deep[0] == ("media", "a", None) and len(deep) == 2000
+
+
 def test_hot_digests_are_not_shuffled(spark):
     pages = spark.createDataFrame([(k, f"<img src={'hot' if k % 3 else 'gone' if k % 2 else k}>") for k in range(300)], "id long, html string")
     objects = spark.createDataFrame([("hot", 1), *((str(k), k) for k in range(300))], "media_digest string, n int")

@@ -103,3 +103,16 @@ def test_warc_is_checked():
 
 def test_matches_sql(spark, sf_dir):
     assert check(queries.QUERIES["op9_warc"], queries.ORACLE_SQL["op9_warc"], spark, sf_dir) is None
+
+
+def test_header_lines_are_anchored_on_address_and_date():
+    """Content types and URLs with spaces, other addresses; what can't be read is named with its place."""
+    for v in (1, 2):
+        data = warc.write_arc([("http://a/b", b"one"), ("http://c/d", b"two")], v)
+        odd = data.replace(b"http://a/b 0.0.0.0", b"http://a/b c d 2001:db8::1").replace(b"text/html", b"text/html; charset=utf-8")
+        got = list(warc.read_arc(odd))
+        assert [(r["URL"], r["Content-type"], r["body"]) for r in got] == [("http://a/b c d", "text/html; charset=utf-8", b"one"), ("http://c/d", "text/html; charset=utf-8", b"two")]
+        assert got[0]["IP-address"] == "2001:db8::1" and len(got[0]["Archive-date"]) == 14
+        for wrong in (data.replace(b" 3\none", b" x3\none"), data.replace(b" 3\none", b" -3\none"), data.replace(b"http://a/b 0.0.0.0", b"http://a/b nowhere"), b"no header\n", b"x 5\nabcde", data[:-9], b"\x00"):
+            with pytest.raises(warc.ArcError, match="ARC record at byte"):
+                list(warc.read_arc(wrong))

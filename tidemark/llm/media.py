@@ -8,13 +8,16 @@ Payloads are stored as 8-bit grey images, whose samples are exactly the payload'
 Defined cases: a null or empty text is an empty payload, padded to one block; repeated
 payloads are stored once each time but resolve to one object; references without an object
 keep null payload columns; null html yields an empty sequence; elements that are never closed
-lose no text (scripts and styles do); extra columns of the input are ignored by the parser.
+lose no text (scripts and styles do), and a tag that isn't closed within 64 K characters is text;
+references are `data-digest` and `src` of img, audio, video and source only (not srcset, data-src,
+poster or an object's data); extra columns of the input are ignored by the parser.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as htmllib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,12 +36,41 @@ SEQUENCE = "array<struct<position:int,kind:string,text:string,ref:string,caption
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
+#: A tag is closed within so many characters, or its `<` is text.
+TAG = 1 << 16
+
+
+def _closed(text: str) -> str:
+    """The text with each `<` that no `>` follows soon made plain text: looking for the end of every such
+    tag again and again would take the square of a broken page's length."""
+    out, end, until = [], None, len(text)
+    for m in reversed(list(re.finditer("[<>]", text))):
+        at = m.start()
+        if text[at] == ">":
+            end = at
+        elif end is None or end - at > TAG:
+            out += [text[at + 1 : until], "&lt;"]
+            until = at
+    out.append(text[:until])
+    return "".join(reversed(out))
+
+
+class _Figure:
+    """An open figure: its captions, and the media in it that no inner figure has captioned."""
+
+    def __init__(self):
+        self.captions: list[dict] = []
+        self.media: list[dict] = []
+
+
 class _Interleaver(HTMLParser):
     """Collects text and media references in document order.
 
-    A caption belongs to all media of its figure, whether it stands before or after them. A caption
-    that is never closed ends with its figure; without an end of that either it is its first block, and
-    what follows is text. Hidden elements (template, noscript) that are never closed hide nothing."""
+    A caption belongs to all media of its figure that have no caption of an inner figure, whether it
+    stands before or after them; where there are none it is text. A caption that is never closed ends with
+    its figure; without an end of that either it is its first block, and what follows is text. Hidden
+    elements (template, noscript) that are never closed hide nothing. Items are added and marked, never
+    moved, so the work is linear in the text."""
 
     HIDDEN = frozenset({"noscript", "template"})
     RAW = frozenset({"script", "style"})
@@ -50,35 +82,45 @@ class _Interleaver(HTMLParser):
         self.parts: list[str] = []
         self.raw = 0
         self.hidden: list[int] = []  # items before each open hidden element
-        self.figures: list[int] = []  # items before each open figure
-        self.caption: int | None = None  # items before the open caption
+        self.figures: list[_Figure] = []
+        self.caption: tuple[_Figure, list[dict]] | None = None  # the open caption's figure and texts
+
+    def _add(self, kind: str, **more) -> dict:
+        self.items.append({"kind": kind, "text": None, "ref": None, "caption": None} | more)
+        return self.items[-1]
 
     def _flush(self):
         if text := " ".join("".join(self.parts).split()):
-            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+            x = self._add("text", text=text)
+            if self.caption is not None:
+                self.caption[1].append(x)
         self.parts = []
 
     def _end_caption(self):
-        """Turns the texts since the caption began into the caption of the figure."""
+        """The texts since the caption began are captions of its figure."""
         self._flush()
         if self.caption is not None:
-            said = [x for x in self.items[self.caption :] if x["kind"] == "text"]
-            self.items[self.caption :] = [x for x in self.items[self.caption :] if x["kind"] != "text"]
-            if said:
-                self.items.append({"kind": "caption", "text": " ".join(x["text"] for x in said), "ref": None, "caption": None})
+            figure, said = self.caption
+            for x in said:
+                if x["kind"] == "text":
+                    x["kind"] = "caption"
+                    figure.captions.append(x)
             self.caption = None
 
     def _end_figure(self):
-        self._end_caption()
-        at = self.figures.pop()
-        said = " ".join(x["text"] for x in self.items[at:] if x["kind"] == "caption")
-        own = [x for x in self.items[at:] if x["kind"] != "caption"]
-        media = [x for x in own if x["kind"] == "media"]
-        for x in media:
-            x["caption"] = said or x["caption"]
+        figure = self.figures.pop()
+        if self.caption is not None and self.caption[0] is figure:
+            self._end_caption()
+        said = " ".join(x["text"] for x in figure.captions if x["kind"] == "caption")
+        media = [x for x in figure.media if x["kind"] == "media"] if said else figure.media
+        for x in media if said else ():
+            x["caption"] = said
         if said and not media:  # a caption of nothing is text
-            own.append({"kind": "text", "text": said, "ref": None, "caption": None})
-        self.items[at:] = own
+            self._add("text", text=said)
+        if not said and self.figures:
+            more, less = sorted((self.figures[-1].media, media), key=len, reverse=True)
+            more += less
+            self.figures[-1].media = more
 
     def handle_starttag(self, tag, attrs):
         if tag in self.BREAK or tag in self.HIDDEN:
@@ -88,15 +130,17 @@ class _Interleaver(HTMLParser):
         elif tag in self.HIDDEN:
             self.hidden.append(len(self.items))
         elif tag == "figure":
-            self.figures.append(len(self.items))
+            self.figures.append(_Figure())
         elif tag == "figcaption" and self.figures:
             self._end_caption()
-            self.caption = len(self.items)
+            self.caption = self.figures[-1], []
         elif tag in ("img", "audio", "video", "source"):
             a = dict(attrs)
             if ref := (a.get("data-digest") or a.get("src")):
                 self._flush()
-                self.items.append({"kind": "media", "text": None, "ref": ref, "caption": a.get("alt") or None})
+                x = self._add("media", ref=ref, caption=a.get("alt") or None)
+                if self.figures:
+                    self.figures[-1].media.append(x)
 
     def handle_endtag(self, tag):
         if tag in self.BREAK:
@@ -105,7 +149,10 @@ class _Interleaver(HTMLParser):
             self.raw -= 1
         elif tag in self.HIDDEN and self.hidden:
             self.parts = []
-            del self.items[self.hidden.pop() :]
+            at = self.hidden.pop()
+            for x in self.items[at:]:  # figures may still know of them
+                x["kind"] = "hidden"
+            del self.items[at:]
         elif tag == "figcaption":
             self._end_caption()
         elif tag == "figure" and self.figures:
@@ -119,13 +166,15 @@ class _Interleaver(HTMLParser):
         self.close()
         self._flush()
         if self.caption is not None:  # neither it nor its figure has an end
-            first = next((k for k in range(self.caption, len(self.items)) if self.items[k]["kind"] == "text"), None)
-            if first is not None:
-                self.items[first]["kind"] = "caption"
+            figure, said = self.caption
+            said = [x for x in said if x["kind"] == "text"]
+            for x in said[:1]:
+                x["kind"] = "caption"
+                figure.captions.append(x)
             self.caption = None
         while self.figures:
             self._end_figure()
-        return [{"position": k, **x} for k, x in enumerate(self.items)]
+        return [{"position": k, **x} for k, x in enumerate(x for x in self.items if x["kind"] != "caption")]
 
 
 def interleave(text: str | None) -> list[dict]:
@@ -133,7 +182,7 @@ def interleave(text: str | None) -> list[dict]:
     if not text:
         return []
     p = _Interleaver()
-    p.feed(text)
+    p.feed(_closed(text))
     return p.result()
 
 

@@ -86,33 +86,51 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
+class ArcError(ValueError):
+    """What is wrong with an ARC file, and where."""
+
+    def __init__(self, at: int, what: str):
+        super().__init__(f"ARC record at byte {at}: {what}")
+
+
+#: A header line is anchored on the address and the 14 digits of the date: URLs and content types may hold
+#: spaces (`text/html; charset=utf-8`). Version 2 has five more fields before the length.
+_ARC_LINE = {v: re.compile(r"(.*) ([0-9A-Fa-f.:]+|-) ([0-9]{14}) (.*?)" + r" (\S+)" * n + r" (\S+)") for v, n in ((1, 0), (2, 5))}
+
+
 def read_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file by its declared fields and lengths."""
+    """Records of an ARC file by its declared fields and lengths; ArcError where it can't be read."""
     data = inflate(data)
-    at, fields = 0, None
+    at, version = 0, None
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
-            raise ValueError(f"the header line at {at} has no end")
+            raise ArcError(at, "the header line has no end")
         line = data[at:end].decode("utf-8", "replace").rstrip("\r")
         if not line:  # between records
             at = end + 1
             continue
-        values = line.rsplit(" ", len(fields) - 1) if fields else line.rsplit(" ", 1)
-        if fields and len(values) != len(fields):
-            raise ValueError(f"the header line at {at} has {len(values)} fields, {len(fields)} are declared")
+        if version is None:
+            values = line.rsplit(" ", 1)
+        else:
+            found = _ARC_LINE[version].fullmatch(line)
+            if not found:
+                raise ArcError(at, f"the header line isn't one of version {version}: {line[:200]!r}")
+            values = found.groups()
+        if not re.fullmatch("[0-9]+", values[-1]):
+            raise ArcError(at, f"the declared length is {values[-1][:40]!r}")
         n = int(values[-1])
         body = data[end + 1 : end + 1 + n]
         if len(body) != n:
-            raise ValueError(f"the record at {at} is shorter than the declared {n} bytes")
-        if fields is None:
+            raise ArcError(at, f"it is shorter than the declared {n} bytes")
+        if version is None:
             said = body.split(b"\n")
-            version = int(said[0].split()[0])
-            fields = said[1].decode().split()
-            if fields != ARC_FIELDS.get(version, "").split():
-                raise ValueError(f"unknown header of version {version}")
+            first = said[0].split()
+            version = int(first[0]) if first and first[0].isdigit() else None
+            if len(said) < 2 or version not in ARC_FIELDS or said[1].decode("utf-8", "replace").split() != ARC_FIELDS[version].split():
+                raise ArcError(at, "the archive's own header is of no known version")
         else:
-            yield dict(zip(fields, values, strict=True)) | {"body": body}
+            yield dict(zip(ARC_FIELDS[version].split(), values, strict=True)) | {"body": body}
         at = end + 1 + n
         at += data[at : at + 1] == b"\n"
 
