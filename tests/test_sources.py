@@ -103,3 +103,37 @@ def test_lines_of_files_in_several_splits(spark, tmp_path):
     assert [(r.line_no, r.value) for r in df.orderBy("line_no").collect()] == [(k + 1, x) for k, x in enumerate(want)]
     (tmp_path / "none.txt").write_text("")
     assert graphs.lines(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_calendar_source(spark, tmp_path):
+    """A task a range, pruned by dates; ranges that fail are rows that say why."""
+    from tidemark.sources import calendar
+
+    for k, (a, b) in enumerate(calendar.chunks(2019, 2020)):
+        body = {0: "[]", 1: "not json", 2: "", 3: '[1, null, {"date": 5, "actual": "x", "estimate": 2}]'}.get(k, json.dumps([{"date": f"{a} 08:30:00", "event": f"e{k}", "actual": k}]))
+        if k != 7:
+            (tmp_path / f"{a}_{b}").write_text(body)
+    url = f"file://{tmp_path}/{{from}}_{{to}}"
+    df = calendar.ranges(spark, url, 2019, 2020, tries=1)
+    assert df.rdd.getNumPartitions() == 8
+    rows = df.collect()
+    assert sorted(r.chunk for r in rows if r.error) == ["2019-04-01", "2020-10-01"]
+    assert sorted((r.date, r.event, r.actual, r.estimate) for r in rows if not r.error) == [("2020-01-01 08:30:00", "e4", 4.0, None), ("2020-04-01 08:30:00", "e5", 5.0, None), ("2020-07-01 08:30:00", "e6", 6.0, None), ("5", None, None, 2.0)]
+    some = calendar.ranges(spark, url, 2019, 2020).where("date >= '2020-02-15' AND date < '2020-07-02'")
+    assert some.rdd.getNumPartitions() == 3 and sorted(r.event for r in calendar.received(some).collect()) == ["e5", "e6"]
+    assert calendar.ranges(spark, url, 2019, 2020).where("date > '2031'").count() == 0
+    assert calendar.failures(df).count() == 2
+
+
+def test_recovered_vectors(spark):
+    from tidemark.functions import hv
+    from tidemark.operators import clauses
+
+    shape = hv.Shape(2, 8, 4)
+    counts = spark.createDataFrame([("a", 3, 5), ("a", 19, 4), ("a", 9, 7), ("a", 0, -2), ("b", 15, 1), (None, 2, 1)], "sample string, literal int, total long")
+    got = {r.sample: list(r.hv) for r in clauses.recovered(counts, 3, shape).collect()}
+    assert got == {"a": [1 << 3 | 1 << 1, 1 << 1], "b": [0b11, 1 << 7], None: [0b111, 0]}
+    book = spark.createDataFrame([(4, [0b1010, 0b10]), (2, [0b1010, 0b11]), (1, [0b1010, 0b10]), (9, [0, 0])], "level int, code array<bigint>")
+    assert clauses.mean_bits(book) == 2 and clauses.mean_bits(book.limit(0)) == 1
+    found = {r.sample: (r.level, r.distance) for r in clauses.telling(counts, book, shape).collect()}
+    assert found["a"] == (1, 1)

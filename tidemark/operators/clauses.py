@@ -123,6 +123,40 @@ def top_literals(counts: DataFrame, top: int = 160, keys: Sequence[str] = ("samp
     return counts.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).drop("_k")
 
 
+def mean_bits(codes: DataFrame, code: str = "code") -> int:
+    """The mean number of bits of the codes of a book, 1 at least."""
+    n = codes.agg(F.avg(hv.popcount(F.col(code))).alias("n")).first().n
+    return max(1, int(n or 0))
+
+
+def recovered(counts: DataFrame, bits: int, shape: hv.Shape = hv.PRODUCTION, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """(keys, hv): the vector that literal counts (keys, literal, total) speak of. A feature's counts as it is
+    and negated are added, and the `bits` features with the most are its bits; features without a count
+    stand at 0, above negative ones, and ties go to the lowest."""
+    folded = counts.groupBy(*keys, F.pmod("literal", F.lit(shape.size)).cast("int").alias("bit")).agg(F.sum("total").alias("total"))
+    every = counts.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(shape.size - 1))).alias("bit"))
+    same = [every[k].eqNullSafe(folded[k]) for k in keys]
+    full = every.join(folded, [*same, every["bit"] == folded["bit"]], "left").select(*[every[k] for k in keys], every["bit"], F.coalesce(folded["total"], F.lit(0)).alias("total"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("total"), "bit")  # a vector's bits
+    top = full.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= bits)
+    return top.groupBy(*keys).agg(hv.from_indices(F.collect_list("bit"), shape).alias("hv"))
+
+
+def telling(counts: DataFrame, book: DataFrame, shape: hv.Shape = hv.PRODUCTION, keys: Sequence[str] = ("sample",), level: str = "level", code: str = "code") -> DataFrame:
+    """(keys, level, distance): the code (an edge's, say) that is nearest to what each key's literal counts
+    speak of, with as many bits as codes have in the mean; ties to the lowest level."""
+    found = hv.nearest(recovered(counts, mean_bits(book, code), shape, keys), book, "hv", level, code)
+    return found.select(*keys, level, "distance")
+
+
+def telling_vertex(counts: DataFrame, layer: DataFrame, bits: int, shape: hv.Shape = hv.PRODUCTION, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """(keys, vertex, distance): the vertex of the same sample (layer: keys, vertex, hv) whose vector is
+    nearest to what its literal counts speak of; ties to the lowest vertex."""
+    x = recovered(counts, bits, shape, keys).withColumnRenamed("hv", "_r").join(layer.where("hv IS NOT NULL"), list(keys))
+    best = F.min(F.struct(hv.hamming(F.col("_r"), F.col("hv")).alias("distance"), "vertex"))
+    return x.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.vertex", "_b.distance")
+
+
 def feature_strength(clauses: DataFrame, weights: DataFrame, class_id: int, shape: hv.Shape) -> DataFrame:
     """(literal, strength) of one class: negated literals have indices of their own."""
     return included_literals(clauses, shape).join(weights.where(F.col("class") == class_id), "clause").groupBy("literal").agg(F.sum("weight").alias("strength"))

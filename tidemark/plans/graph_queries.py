@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hv
+from ..functions import codebooks, hv
 from ..operators import graph
+from . import fx_graph, market_queries
 from .base import Registry, rounded, table
 
 _R = Registry()
@@ -197,3 +198,37 @@ def unique_by_key(spark, sf_dir):
         part = v.where(F.floor((F.col("vertex") - NATION) / 7) == k)
         out = graph.insert_vertices(out, part, "key")
     return out
+
+
+@_R.add("""WITH i AS (SELECT s_suppkey AS src, CAST(s_nationkey AS BIGINT) + 1000000 AS dst, (s_suppkey % 20) / 10.0 AS x FROM supplier)
+SELECT src, dst, CAST(160 + least(9, floor((x + 0.001) / (2.002 / 10))) AS INTEGER) AS n_bits, 160 AS src_bits, CAST(least(39, floor((x + 0.001) / (2.002 / 40))) AS BIGINT) AS src_level FROM i""")
+def importance_codes(spark, sf_dir):
+    """Vectors of importances: linear codes of edges have a bit more each level, codes of vertices are
+    independent; suppliers of equal importance share theirs, so the code tells the level."""
+    s = table(spark, sf_dir, "supplier").withColumn("importance", (F.col("s_suppkey") % 20) / 10.0)
+    edges = s.select(F.col("s_suppkey").alias("src"), (F.col("s_nationkey").cast("long") + NATION).alias("dst"), "importance")
+    v, e = graph.importance_vectors(s.select(F.col("s_suppkey").alias("vertex"), "importance"), edges)
+    book = codebooks.table(spark, codebooks.interval_levels(40)).select(F.col("level").cast("long").alias("src_level"), "code")
+    v = v.join(F.broadcast(book), v["hv"] == book["code"]).select(F.col("vertex").alias("src"), "src_level", hv.popcount(F.col("hv")).alias("src_bits"))  # forty rows
+    return e.join(v, "src").select("src", "dst", hv.popcount(F.col("edge_hv")).alias("n_bits"), "src_bits", "src_level")
+
+
+def _fx_sql() -> str:
+    """Each vertex's level of the assembled rows, by its own bounds."""
+    out = []
+    for v, _, (kind, low, high, n), column in fx_graph.VERTICES:
+        x = f"CAST({column} AS DOUBLE)"
+        if kind == "fixed":
+            level = f"greatest(0, least({n - 1}, {x}))"
+        else:
+            lo, hi = low - 0.001, high + 0.001
+            inside = f"CASE WHEN {x} < {lo!r} THEN CAST({lo + 0.001!r} AS DOUBLE) WHEN {x} > {hi!r} THEN CAST({hi - 0.001!r} AS DOUBLE) ELSE {x} END"
+            level = f"greatest(0, least({n - 1}, floor(({inside} - CAST({lo!r} AS DOUBLE)) / CAST({(hi - lo) / n!r} AS DOUBLE))))"
+        out.append(f"SELECT ts AS sample, '{v}' AS vertex, CAST({level} AS INTEGER) AS level FROM asm")
+    return f"WITH asm AS (SELECT *, extract('hour' FROM ts) % 4 AS news_level FROM ({market_queries.ORACLE_SQL['assemble']})) " + " UNION ALL ".join(out)
+
+
+@_R.add(_fx_sql())
+def fx_levels(spark, sf_dir):
+    """The FX graph's vertices at each assembled row, as levels of their codebooks."""
+    return fx_graph.levels(market_queries.assemble(spark, sf_dir).withColumn("news_level", F.hour("ts") % 4))

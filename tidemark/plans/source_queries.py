@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import events, features, ordering
 from ..operators import graph as graphs_
+from ..operators.series import Series
 from ..sources import calendar, graphs, market
+from . import flows
 from .base import Registry, r, scratch, table
-from .market_queries import _H, _hourly
+from .market_queries import _H, _LAB, _hourly
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.sql
@@ -43,6 +45,18 @@ def dataset_files(spark, sf_dir):
     return market.dataset(spark, path).select("ts", "usdjpy_price", "wti_oil", "usdjpy_er", "eurusd_atr")
 
 
+_FILE_LAB = _LAB.replace("* 100, 6)", ", 6)").replace(">= 20.0", ">= 0.08").replace(">= 0.05", ">= 0.35")
+
+
+@_R.add(f"WITH {_FILE_LAB} SELECT ts, regime, label, CAST(greatest(0, coalesce(lag(label, 72) OVER (ORDER BY ts), first_value(label) OVER (ORDER BY ts))) AS INTEGER) AS news_level FROM lab")
+def label_file(spark, sf_dir):
+    """A dataset file of hourly changes, labelled by its own thresholds."""
+    h = Series.of(_hourly(spark, sf_dir)).windowed(lambda df, w: df.withColumn("x", r(features.log_return("price", w) / 100)), behind=1)
+    path = scratch(spark)
+    h.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("timestamp"), F.col("x").alias("usdjpy_price")).write.csv(path, header=True)
+    return flows.label_file(spark, path).select("ts", "regime", "label", "news_level")
+
+
 @_R.add(f"""WITH {_H} SELECT strftime(ts, '%Y-%m-%dT%H:%M') AS stamp, price AS usdjpy_price, round(price + 11, 6) AS er_delta, CAST(extract('hour' FROM ts) % 4 - 1 AS INTEGER) AS label
 FROM h WHERE extract('hour' FROM ts) % 4 - 1 <> -1""")
 def labelled_export(spark, sf_dir):
@@ -79,6 +93,33 @@ def calendar_files(spark, sf_dir):
     return events.inflation_releases(calendar.releases(spark, path, array=False))
 
 
+def _landed(spark, sf_dir) -> str:
+    """Events as bodies of a service, a folder for each quarter of 2024; the last quarter is missing."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.date_format(F.col("ts") + F.make_ym_interval(F.lit(0), (F.col("event_id") % 12).cast("int")), "yyyy-MM-dd HH:mm:ss").alias("date"), "event_id", "value")
+    rows = rows.select("date", F.lit("US").alias("country"), F.concat(F.lit("e"), F.col("event_id")).alias("event"), F.lit("USD").alias("currency"), F.col("value").alias("actual"), (F.col("event_id") % 7 + 0.5).cast("double").alias("estimate"))
+    start = F.trunc(F.to_date("date"), "quarter")
+    rows = rows.withColumn("chunk", F.concat_ws("_", start, F.date_sub(F.add_months(start, 3), 1))).where("date < '2024-10-01'")
+    path = scratch(spark)
+    rows.write.partitionBy("chunk").json(path)
+    return (path if path.startswith("file:") else f"file://{path}") + "/chunk={from}_{to}"
+
+
+_LAND = "c AS (SELECT strftime(ts + to_months(CAST(event_id % 12 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS date, 'e' || event_id AS event, value AS actual, CAST(event_id % 7 + 0.5 AS DOUBLE) AS estimate FROM events WHERE event_type = 'error')"
+
+
+@_R.add(f"WITH {_LAND} SELECT date, event, actual, estimate FROM c WHERE date >= '2024-03-10' AND date < '2024-08-05'")
+def calendar_ranges(spark, sf_dir):
+    """The calendar source over landed bodies: one task a quarter, only quarters within the asked dates."""
+    got = calendar.received(calendar.ranges(spark, _landed(spark, sf_dir), 2023, 2024))
+    return got.where("date >= '2024-03-10' AND date < '2024-08-05'").select("date", "event", "actual", "estimate")
+
+
+@_R.add("SELECT strftime(d, '%Y-%m-%d') AS chunk FROM (SELECT unnest([DATE '2023-01-01', DATE '2023-04-01', DATE '2023-07-01', DATE '2023-10-01', DATE '2024-10-01']) AS d), (SELECT count(*) AS n FROM events WHERE event_type = 'error') WHERE n > 0")
+def calendar_failures(spark, sf_dir):
+    """Ranges that can't be had are passed over and counted."""
+    return calendar.failures(calendar.ranges(spark, _landed(spark, sf_dir), 2023, 2024)).select("chunk")
+
+
 @_R.add("SELECT n_name AS event, CAST(n_nationkey AS DOUBLE) AS actual, CAST(NULL AS DOUBLE) AS estimate FROM nation")
 def calendar_bodies(spark, sf_dir):
     """JSON array texts, as a service returns them: one body for each region, fetched by a stand-in."""

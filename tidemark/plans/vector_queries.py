@@ -238,6 +238,38 @@ def included_literals(spark, sf_dir):
     return clauses.literal_counts(fired, _weights(spark), _clauses(spark), top, LITERALS)
 
 
+_COUNTED = f"""{_PRED}, {_BITS}, lc AS (SELECT f.sample, literal, sum(weight) AS total FROM f JOIN pr USING (sample) JOIN w ON w.clause = f.clause AND w.class = pr.predicted JOIN b ON b.clause = f.clause GROUP BY 1, 2),
+fo AS (SELECT sample, literal % 64 AS bit, sum(total) AS total FROM lc GROUP BY 1, 2), gr AS (SELECT sample, bit, coalesce(total, 0) AS total FROM (SELECT s.sample, g.bit FROM (SELECT DISTINCT sample FROM lc) s, range(0, 64) g(bit)) LEFT JOIN fo USING (sample, bit)),
+bk AS (SELECT vec_id AS level, w0 AS c0, w1 AS c1 FROM v WHERE vec_id < 200), mb AS (SELECT CAST(greatest(1, floor(avg(CAST(bit_count(c0) AS INTEGER) + bit_count(c1)))) AS INTEGER) AS n FROM bk),
+rk AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY total DESC, bit) AS rn FROM gr),
+rv AS (SELECT sample, CAST(sum(CASE WHEN bit < 32 THEN CAST(1 AS BIGINT) << bit ELSE 0 END) AS BIGINT) AS r0, CAST(sum(CASE WHEN bit >= 32 THEN CAST(1 AS BIGINT) << (bit - 32) ELSE 0 END) AS BIGINT) AS r1 FROM rk, mb WHERE rn <= n GROUP BY 1)"""
+
+
+def _counted(spark, sf_dir) -> DataFrame:
+    fired = _fired(spark, sf_dir)
+    top = clauses.predict(clauses.class_sums(fired, _weights(spark)))
+    return clauses.literal_counts(fired, _weights(spark), _clauses(spark), top, LITERALS)
+
+
+@_R.add(f"""WITH {_COUNTED}, d AS (SELECT sample, level, CAST(bit_count(xor(r0, c0)) + bit_count(xor(r1, c1)) AS INTEGER) AS distance FROM rv, bk),
+k AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY distance, level) AS rn FROM d) SELECT sample, level, distance FROM k WHERE rn = 1""")
+def telling_code(spark, sf_dir):
+    """The code of an edge that each sample's literal counts speak of."""
+    book = _vectors(spark, sf_dir).where("vec_id < 200").select(F.col("vec_id").alias("level"), F.col("hv").alias("code"))
+    return clauses.telling(_counted(spark, sf_dir), book, SHAPE)
+
+
+@_R.add(f"""WITH {_COUNTED}, d AS (SELECT sample, v.vec_id AS vertex, CAST(bit_count(xor(r0, w0)) + bit_count(xor(r1, w1)) AS INTEGER) AS distance FROM rv JOIN v ON v.vec_id // 4 = rv.sample // 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY distance, vertex) AS rn FROM d) SELECT sample, vertex, distance FROM k WHERE rn = 1""")
+def telling_vertex(spark, sf_dir):
+    """Of the four vertices of each sample's group, the one that its literal counts speak of."""
+    v = _vectors(spark, sf_dir)
+    group = lambda c: F.floor(F.col(c) / 4)
+    layer = v.select(F.col("vec_id").alias("sample"), group("vec_id").alias("_g")).join(v.select(F.col("vec_id").alias("vertex"), "hv", group("vec_id").alias("_g")), "_g").drop("_g")
+    bits = clauses.mean_bits(v.where("vec_id < 200"), "hv")
+    return clauses.telling_vertex(_counted(spark, sf_dir), layer, bits, SHAPE)
+
+
 @_R.add(f"WITH {_PART} SELECT clause, CAST(bit_count(i0) + bit_count(i1) + bit_count(i2) + bit_count(i3) AS INTEGER) AS n_includes FROM pc")
 def include_counts(spark, sf_dir):
     return clauses.include_counts(_part_clauses(spark, sf_dir))
@@ -374,6 +406,20 @@ def codebook_lookup(spark, sf_dir):
     return found.join(F.broadcast(books), "level").select("level", "n", r(edge).alias("lower_edge"), hv.hamming(F.col("fixed"), F.col("base")).alias("from_base"), hv.popcount(F.col("own")).alias("n_bits"))
 
 
+_TENTH = "CAST(greatest(0, least(9, floor((l_tax + 0.001) / ((0.08 + 0.002) / 10)))) AS INTEGER)"
+
+
+@_R.add(f"""WITH b AS (SELECT {_TENTH} AS level, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT level, n, 160 + level AS n_bits, TRUE AS near FROM b""")
+def linear_codes(spark, sf_dir):
+    """Levels of taxes in a linear codebook: a tenth of the bits at most moves at each level, and one is new."""
+    book = codebooks.table(spark, codebooks.linear_levels(10))
+    before = book.select((F.col("level") + 1).alias("level"), F.col("code").alias("last"))
+    book = book.join(before, "level", "left").select("level", hv.popcount(F.col("code")).alias("n_bits"), F.coalesce(hv.hamming(F.col("code"), F.col("last")) <= F.floor((F.lit(159) + F.col("level")) / 10) * 2 + 1, F.lit(True)).alias("near"))
+    n = table(spark, sf_dir, "lineitem").groupBy(codebooks.bucket(F.col("l_tax"), 0.0, 0.08, 10).alias("level")).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(book), "level")  # ten rows
+
+
 @_R.add("""WITH e AS (SELECT event_type, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS level FROM events WHERE event_type IS NOT NULL)
 SELECT event_type AS value, level, count(*) AS n, 160 AS n_bits FROM e GROUP BY 1, 2""")
 def category_codes(spark, sf_dir):
