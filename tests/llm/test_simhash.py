@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import time
 from itertools import combinations
 
@@ -279,3 +280,35 @@ def test_near_groups_of_long_lists(spark):
         texts[len(texts)] = " ".join(w)
     want = brute_groups(texts)
     assert near(spark, texts) == want
+
+
+@pytest.mark.parametrize("seed", [13, 15])
+def test_near_groups_under_common_headers(spark, seed):
+    """Headers of 70 to 95 %, whole or with words left out, before tails that are the documents' own or few
+    documents': pairs that share common shingles only, of one common part and of different ones."""
+    rng = np.random.default_rng(seed)
+    head = [f"h{k}" for k in range(104)]
+    texts = {}
+    for _ in range(420):
+        cut = int(rng.choice([0, 0, 0, 3, 6, 10, 14]))
+        own = int(rng.choice([2, 6, 10, 14, 18, 20, 22, 24, 26, 30, 40]))
+        tail = [f"t{rng.integers(0, 6)}x{k}" for k in range(own)] if rng.random() < 0.15 else [f"w{x}" for x in rng.integers(0, 1 << 40, own)]
+        texts[len(texts)] = " ".join(head[cut:] + tail if rng.random() < 0.8 else tail + head[: len(head) - cut])
+    want = brute_groups(texts)
+    assert 60 < len(set(want.values())) < 400
+    assert near(spark, texts) == want
+
+
+def test_one_header_of_many_documents_is_one_pass(spark):
+    """30,000 documents under a header of 85 %: comparing all pairs of the header's list takes minutes."""
+    n, p = 30_000, simhash.NearParams()
+    rng = np.random.default_rng(14)
+    node, size = np.arange(n), rng.integers(98, 104, n)
+    marks = rng.integers(0, 256, (n, 256), dtype=np.uint8)
+    for nearest in (True, False):
+        began = time.monotonic()
+        found = np.concatenate(list(simhash._through_parts(node, node, size, marks, np.full(n, 5), np.full(n, 85), nearest, p)))  # noqa: SLF001
+        assert not len(found) and time.monotonic() - began < 10
+    size[7] = 85
+    found = np.concatenate(list(simhash._through_parts(node, node, size, marks, np.full(n, 5), np.full(n, 85), False, p)))  # noqa: SLF001
+    assert {tuple(x) for x in found.tolist()} == {(k, 7) for k in range(n) if k != 7}

@@ -557,14 +557,73 @@ def _cross(node: np.ndarray, comp: np.ndarray, size: np.ndarray, marks: np.ndarr
             yield np.stack([node[x], node[who]], 1)[best >= 0]
 
 
+def _over(x: np.ndarray, total: np.ndarray, p: NearParams) -> np.ndarray:
+    """Whether so many shared elements make sets of that total size similar."""
+    return _at_least(p.similarity / (1 + p.similarity) * total) <= x
+
+
+def _through_parts(node: np.ndarray, comp: np.ndarray, size: np.ndarray, marks: np.ndarray, part: np.ndarray, common: np.ndarray, nearest: bool, p: NearParams, block: int = 128):
+    """(a, b) for a list whose key is a common shingle, where members differ in
+    component. Members have all of their other shingles in lists of their own, so what is
+    left are pairs that share common shingles only. Members with one common part (`part`, of `common`
+    shingles) are similar by their sizes alone, and then to the smallest of them too; of two parts the
+    smallest are compared, and what is too large for the smallest of its own part is compared with
+    smaller ones of others. So a header that all members have costs one pass over them."""
+    order = np.lexsort((node, size, part))
+    node, comp, size, marks, part, common = (x[order] for x in (node, comp, size, marks, part, common))
+    first = np.r_[True, part[1:] != part[:-1]]
+    reps = np.flatnonzero(first)
+    own = reps[np.cumsum(first) - 1]
+    linked = _over(common, size + size[own], p)
+    star = linked & (comp != comp[own])
+    yield np.stack([node[star], node[own[star]]], 1)
+    if len(reps) > 1:
+        yield from _cross(node[reps], comp[reps], size[reps], marks[reps], nearest, p, block)
+    y = reps[np.argsort(size[reps], kind="stable")]
+    least = size[y[0]]
+    x = np.flatnonzero(~linked & ~first & (size[own] > least) & _over(common, size + least, p))
+    for i in range(0, len(x), block):
+        a = x[i : i + block]
+        for j in range(0, len(y), block):
+            b = y[j : j + block]
+            if size[b[0]] >= size[own[a]].max():
+                break
+            ok = (size[b][None] < size[own[a]][:, None]) & (comp[a][:, None] != comp[b][None]) & _over(np.minimum(common[a][:, None], common[b][None]), size[a][:, None] + size[b][None], p)
+            r, c = np.nonzero(ok)
+            near = _near(marks[a[r]], marks[b[c]], size[a[r]], size[b[c]], p)[1]
+            yield np.stack([node[a[r[near]]], node[b[c[near]]]], 1)
+
+
+def common_parts(docs: DataFrame, heavy: np.ndarray, p: NearParams) -> DataFrame:
+    """(node, part, common) of sets that consist of common shingles as far as a similar set has to share: the
+    name and size of the part that is common. Only these are in lists of common shingles."""
+
+    def run(batches):
+        known: set[int] = set()
+        for batch in batches:
+            rows = []
+            for h in word_shingles(batch.column(1), p.width):
+                mine = h[np.isin(h, heavy, assume_unique=True)]
+                if len(mine) and len(mine) >= _at_least(p.similarity * len(h)) and (node := set_name(h)) not in known:
+                    if len(known) >= _REMEMBERED:
+                        known.clear()
+                    known.add(node)
+                    rows.append((node, set_name(mine), len(mine)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["node", "part", "common"])
+
+    return _source(docs).mapInArrow(common.tidy(run), "node long, part long, common long").dropDuplicates(["node"])
+
+
 def _whole_lists(batches):
-    """The columns of each posting list (key, node, component, n, bytes) of batches sorted by key."""
+    """The columns of each posting list (key, node, component, n, bytes, part, common) of batches sorted by
+    key; common is 0 without a part."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(k).to_numpy() for k in range(4)]
         cols.append(_byte_rows(batch.column(4)))
+        cols += [batch.column(k).fill_null(0).to_numpy() for k in (5, 6)]
         if held and held[0][0][0] == cols[0][-1]:
             held.append(cols)
             continue
@@ -583,8 +642,9 @@ def _placed(rows: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
     return rows.join(found, col, "left").withColumn(name, F.coalesce(name, col))
 
 
-def _across(members: DataFrame, comp: DataFrame, known: DataFrame, nearest: bool, p: NearParams) -> DataFrame:
-    """(a, b) of members of one long posting list whose components differ; see _cross()."""
+def _across(members: DataFrame, comp: DataFrame, known: DataFrame, parts: DataFrame, heavy: np.ndarray, nearest: bool, p: NearParams) -> DataFrame:
+    """(a, b) of members of one long posting list whose components differ: see _through_parts() where the
+    list's key is a common shingle, else _cross()."""
     placed = _placed(members, comp, "node", "component")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
 
@@ -595,8 +655,10 @@ def _across(members: DataFrame, comp: DataFrame, known: DataFrame, nearest: bool
             v = np.unique(np.concatenate(rows), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(v.max(1, initial=-(1 << 63))), pa.array(v.min(1, initial=(1 << 63) - 1))], names=["a", "b"])
 
-        for _, *cols in _whole_lists(batches):
-            for v in _cross(*cols, nearest, p):
+        for key, *cols, part, shared in _whole_lists(batches):
+            k = np.searchsorted(heavy, key[:1].view(np.uint64))[0]
+            is_common = k < len(heavy) and heavy[k] == key[:1].view(np.uint64)[0] and shared.all()
+            for v in _through_parts(*cols, part, shared, nearest, p) if is_common else _cross(*cols, nearest, p):
                 rows.append(v)
                 n += len(v)
                 if n > 200_000:
@@ -604,8 +666,8 @@ def _across(members: DataFrame, comp: DataFrame, known: DataFrame, nearest: bool
                     rows, n = [np.zeros((0, 2), np.int64)], 0
         yield out()
 
-    dealt = placed.join(mixed, "key", "left_semi").join(known, "node").repartition(common.partitions(members.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.select("key", "node", "component", "n", "bytes").mapInArrow(common.tidy(run), "a long, b long").where("a <> b").distinct()
+    dealt = placed.join(mixed, "key", "left_semi").join(known, "node").join(parts, "node", "left").repartition(common.partitions(members.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.select("key", "node", "component", "n", "bytes", "part", "common").mapInArrow(common.tidy(run), "a long, b long").where("a <> b").distinct()
 
 
 def _similar(a: np.ndarray, b: np.ndarray, p: NearParams) -> bool:
@@ -670,7 +732,9 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
         rows = common.materialize(sketches(docs, p), "sketches")
         placed = rows.where("doc_id is not null")
         known = common.materialize(placed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("long").alias("long")), "nodes")
-        lists = common.materialize(list_pairs(postings(docs, _heavy(rows, p), p)), "lists")
+        heavy = _heavy(rows, p)
+        lists = common.materialize(list_pairs(postings(docs, heavy, p)), "lists")
+        parts = common.materialize(common_parts(docs, heavy, p), "parts")
         members = lists.where("key is not null").select("key", F.col("a").alias("node"))
         marked = known.select("node", "n", "bytes")
         found = common.materialize(tallied(lists.where("key is null").select("a", "b").distinct(), known, p), "candidates")
@@ -682,7 +746,7 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
         for nearest in (True, False):
             # pairs whose ends are still apart: first with the nearest of each long list, then all
             apart = _placed(_placed(found.select("a", "b"), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
-            across = _across(members, comp, marked, nearest, p).join(tried.union(found.select("a", "b")), ["a", "b"], "left_anti")
+            across = _across(members, comp, marked, parts, heavy, nearest, p).join(tried.union(found.select("a", "b")), ["a", "b"], "left_anti")
             more = apart.union(tallied(across, known, p).select("a", "b")).join(tried, ["a", "b"], "left_anti")
             more = common.materialize(more.select("a", "b"), "more")
             if more.isEmpty():
