@@ -142,3 +142,19 @@ def test_cases(spark):
     assert empty.count() == 0
     none = langmodel.score(df, langmodel.train(df.limit(0)), F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in none)
+
+
+def test_shards_follow_the_bytes(spark):
+    """Many shards give the counts and scores of few."""
+    rows = [(k, f"w{k % 7} w{k % 5} common " * (1 + k % 3)) for k in range(60)] + [(61, "x " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held, w = F.col("doc_id") % 4 == 0, np.zeros((P.rows, langmodel.WAYS), np.float32)
+    few = sorted(map(tuple, langmodel.score(df, w, held, langmodel.Params(block=500)).collect()))
+    many = sorted(map(tuple, langmodel.score(df, w, held, langmodel.Params(block=500, shard=100)).collect()))
+    assert many == few
+
+
+def test_null_ids_are_held_out_in_the_query(spark, tmp_path):
+    spark.createDataFrame([(None, "only here")] + [(k, "a b c") for k in range(1, 9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in queries.op3_langmodel(spark, str(tmp_path)).collect() if r.doc_id is None]
+    assert len(got) == 1 and got[0].held_out and got[0].n_known == 1  # the end

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import check
 from tidemark.llm import queries, suffix
@@ -125,3 +126,15 @@ def test_shards_follow_the_bytes(spark):
 
 def test_matches_sql(spark, sf_dir):
     assert check(queries.QUERIES["op2_suffix"], queries.ORACLE_SQL["op2_suffix"], spark, sf_dir) is None
+
+
+def test_many_null_ids_match_nothing_and_stay(spark):
+    """A third of all rows and more without an id; their texts go through no join."""
+    text = "a passage that many rows hold and that is longer than fifty bytes "
+    df = spark.createDataFrame([(None if k % 3 else k, text * 2) for k in range(60)] + [(None, None)], "doc_id long, text string")
+    got = suffix.repeats(df).collect()
+    none = [r for r in got if r.doc_id is None]
+    assert len(got) == 61 and len(none) == 41 and all(r.n_removed == 0 and r.n_spans == 0 for r in none)
+    assert sorted(r.n_removed for r in got if r.doc_id is not None)[:2] == [0, 132]
+    texts = suffix.repeats(df.withColumn("lang", F.lit("x")), output="text", extra=("lang",)).collect()
+    assert sorted(str(r.text) for r in texts if r.doc_id is None) == sorted([text * 2] * 40 + ["None"])

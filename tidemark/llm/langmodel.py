@@ -23,7 +23,7 @@ The counts grow with the input; the weight table, which is broadcast, has a fixe
 
 Defined cases: null and empty texts hold the end token alone; without training texts every
 count is zero and probabilities are uniform over classes; repeated rows count each; a null
-doc_id is scored and counts as training. Extra columns are ignored.
+doc_id is scored, and held out or not as the caller says (by crc_mod, as in the query, it is held out). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,6 +61,7 @@ class Params:
     passes: int = 1
     smooth: float = 0.1
     block: int = 4 << 20  # bytes of text that ask for counts together
+    shard: int = 128 << 20  # bytes of text at most for each shard of the counts, which one group holds
 
     @property
     def rows(self) -> int:
@@ -352,7 +353,8 @@ def score(docs: DataFrame, weights: np.ndarray, held_out: Column, params: Params
     """One row per document with the counts and both scores of its whole text."""
     p = params
     spark = docs.sparkSession
-    shards = common.partitions(spark)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first().n
+    shards = max(common.partitions(spark), -(-size // p.shard))
     packed = blocks(docs, held_out, p)
     answers = common.materialize(answered(asked(packed, shards, p), p), "counts")
     class_n, class_v = leaf_sums(answers)

@@ -476,10 +476,13 @@ def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest",
 
     kinds = dict(src.dtypes)
     more = "".join(f", `{c}` {kinds[c]}" for c in extra)
-    packed = src.select("doc_id", "text", "base", *extra).mapInArrow(common.tidy(squeeze), f"doc_id long, z binary, present boolean, base long{more}")
-    joined = packed.join(marks, "doc_id", "left")
+    packed = lambda rows: rows.select("doc_id", "text", "base", *extra).mapInArrow(common.tidy(squeeze), f"doc_id long, z binary, present boolean, base long{more}")
+    joined = packed(src.where("doc_id is not null")).join(marks, "doc_id", "left")
     masks = window_verdicts(open_contexts(joined, shards, p), p).groupBy("doc_id").agg(F.collect_list("mask").alias("masks"))
     full = joined.join(masks, "doc_id", "left").select("doc_id", "z", "present", "base", "marks", "masks", *extra)
+    # rows without an id match nothing: they stay where they are, however many there are
+    none = packed(src.where("doc_id is null")).select("doc_id", "z", "present", "base", F.lit(None).cast("array<bigint>").alias("marks"), F.lit(None).cast("array<bigint>").alias("masks"), *extra)
+    full = full.unionByName(none)
 
     def finish(batches):
         unzip = zstandard.ZstdDecompressor()

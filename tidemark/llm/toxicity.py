@@ -7,6 +7,7 @@ chosen by a hash of doc_id); every text is scored whole.
 
 Defined cases: null and empty texts have no features and get the score of the intercept;
 null labels are not learnt from; several labels of one document count as their maximum;
+of rows that repeat a labelled doc_id the first text in order is learnt from, so the bound holds;
 without any label, or with labels of one class only, every score is the smoothed share of
 toxic labels. Repeated rows are scored alike. Extra columns are kept and not read, but for one named
 as the result, which is replaced.
@@ -28,7 +29,7 @@ from . import common, grams
 class Params:
     orders: tuple[int, ...] = (4, 5, 6)
     bits: int = 18
-    max_rows: int = 20_000  # bound of the labelled rows that the fit reads
+    max_rows: int = 20_000  # bound of the labelled documents that the fit reads
     features: int = 2048
     min_docs: int = 5
     l2: float = 1e-4
@@ -70,7 +71,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, p:
     )
     src = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
     # the labelled side has at most max_rows rows of two numbers: its broadcast is bounded
-    return src.join(F.broadcast(few), "id").select("label", "text")
+    return src.join(F.broadcast(few), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def _counts(sample: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
