@@ -402,6 +402,12 @@ def _table(spark, x, y, train):
     return spark.createDataFrame(rows, "key long, label int, split string, bits array<int>").repartition(3)
 
 
+def test_search_of_no_samples(spark):
+    none = spark.createDataFrame([], "key int, label int, split string, bits array<int>")
+    rows = learner.search(spark, none, learner.grid(clauses=[10], seed=[1, 2]), 3, learner.Layout(32)).collect()
+    assert [(r.n_test, r.accuracy) for r in rows] == [(0, 0.0)] * 2
+
+
 def test_search_with_other_learners(spark):
     x, y = _graph_samples(240)
     layout = learner.Layout(32, 3, 2)

@@ -88,11 +88,17 @@ def table(spark: SparkSession, vectors: np.ndarray, shape: Shape = PRODUCTION, *
     return df.withColumns({c: F.lit(v) for c, v in columns.items()}) if columns else df
 
 
+#: Bytes of a table of categories with their codes.
+MAX_BYTES = 64 << 20
+
+
 def categories(df: DataFrame, column: str, seed: int = 34, shape: Shape = PRODUCTION, max_values: int = 100_000) -> DataFrame:
     """(value, level, code): one independent vector for each distinct value, in their order."""
     values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(max_values + 1).collect()]
     if len(values) > max_values:
         raise ValueError(f"more than {max_values} categories")
+    if (size := len(values) * shape.words * 8 + sum(len(str(v)) for v in values)) > MAX_BYTES:  # callers broadcast the table
+        raise ValueError(f"a table of categories takes {size} bytes, more than {MAX_BYTES}")
     codes = interval_levels(len(values), seed, shape) if values else []
     return df.sparkSession.createDataFrame([(v, k, _words(b, shape)) for k, (v, b) in enumerate(zip(values, codes, strict=True))], f"value {dict(df.dtypes)[column]}, level int, code array<bigint>")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import codebooks, hv
 from ..operators import clauses, learner, search
 from ..sources import synthetic
@@ -231,13 +232,18 @@ def argmax_predict(spark, sf_dir):
     return clauses.predict(clauses.class_sums(_fired(spark, sf_dir), _weights(spark)))
 
 
-@_R.add(f"WITH {_PRED}, {_BITS} SELECT f.sample, literal, CAST(sum(weight) AS BIGINT) AS total FROM f JOIN pr USING (sample) JOIN w ON w.clause = f.clause AND w.class = pr.predicted JOIN b ON b.clause = f.clause GROUP BY 1, 2")
-def included_literals(spark, sf_dir):
-    fired = _fired(spark, sf_dir)
+def _counted(spark, sf_dir) -> DataFrame:
+    """Literal counts by sample; what fires is kept, as the prediction and the counts read it."""
+    fired = session.kept(_fired(spark, sf_dir), "fired")
     top = clauses.predict(clauses.class_sums(fired, _weights(spark)))
     return clauses.literal_counts(fired, _weights(spark), _clauses(spark), top, LITERALS)
 
 
+@_R.add(f"WITH {_PRED}, {_BITS} SELECT f.sample, literal, CAST(sum(weight) AS BIGINT) AS total FROM f JOIN pr USING (sample) JOIN w ON w.clause = f.clause AND w.class = pr.predicted JOIN b ON b.clause = f.clause GROUP BY 1, 2")
+def included_literals(spark, sf_dir):
+    return _counted(spark, sf_dir)
+
+
 _COUNTED = f"""{_PRED}, {_BITS}, lc AS (SELECT f.sample, literal, sum(weight) AS total FROM f JOIN pr USING (sample) JOIN w ON w.clause = f.clause AND w.class = pr.predicted JOIN b ON b.clause = f.clause GROUP BY 1, 2),
 fo AS (SELECT sample, literal % 64 AS bit, sum(total) AS total FROM lc GROUP BY 1, 2), gr AS (SELECT sample, bit, coalesce(total, 0) AS total FROM (SELECT s.sample, g.bit FROM (SELECT DISTINCT sample FROM lc) s, range(0, 64) g(bit)) LEFT JOIN fo USING (sample, bit)),
 bk AS (SELECT vec_id AS level, w0 AS c0, w1 AS c1 FROM v WHERE vec_id < 200), mb AS (SELECT CAST(greatest(1, floor(avg(CAST(bit_count(c0) AS INTEGER) + bit_count(c1)))) AS INTEGER) AS n FROM bk),
@@ -245,12 +251,6 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY total DESC, bit
 rv AS (SELECT sample, CAST(sum(CASE WHEN bit < 32 THEN CAST(1 AS BIGINT) << bit ELSE 0 END) AS BIGINT) AS r0, CAST(sum(CASE WHEN bit >= 32 THEN CAST(1 AS BIGINT) << (bit - 32) ELSE 0 END) AS BIGINT) AS r1 FROM rk, mb WHERE rn <= n GROUP BY 1)"""
 
 
-def _counted(spark, sf_dir) -> DataFrame:
-    fired = _fired(spark, sf_dir)
-    top = clauses.predict(clauses.class_sums(fired, _weights(spark)))
-    return clauses.literal_counts(fired, _weights(spark), _clauses(spark), top, LITERALS)
-
-
 @_R.add(f"""WITH {_COUNTED}, d AS (SELECT sample, level, CAST(bit_count(xor(r0, c0)) + bit_count(xor(r1, c1)) AS INTEGER) AS distance FROM rv, bk),
 k AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY distance, level) AS rn FROM d) SELECT sample, level, distance FROM k WHERE rn = 1""")
 def telling_code(spark, sf_dir):
@@ -318,9 +318,7 @@ def composite_clauses(spark, sf_dir):
 @_R.add(f"""WITH {_PRED}, {_BITS}, t AS (SELECT f.sample, literal, CAST(sum(weight) AS BIGINT) AS total FROM f JOIN pr USING (sample) JOIN w ON w.clause = f.clause AND w.class = pr.predicted JOIN b ON b.clause = f.clause GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY total DESC, literal) AS rn FROM t) SELECT sample, literal, total FROM k WHERE rn <= 5""")
 def top_literals(spark, sf_dir):
-    fired = _fired(spark, sf_dir)
-    top = clauses.predict(clauses.class_sums(fired, _weights(spark)))
-    return clauses.top_literals(clauses.literal_counts(fired, _weights(spark), _clauses(spark), top, LITERALS), 5)
+    return clauses.top_literals(_counted(spark, sf_dir), 5)
 
 
 @_R.add(f"WITH {_FIRE} SELECT sample, round(sum(abs(cw)) / (SELECT sum(abs(cw)) FROM c), 6) + 0.0 AS share FROM f JOIN c USING (clause) GROUP BY 1")

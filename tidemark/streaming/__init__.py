@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .. import session
+
 
 def hourly_stream(events: DataFrame, lateness: str = "2 hours", ts: str = "ts", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
     """(by, ts, price) of each whole hour once the watermark has passed it. Event times without a
@@ -54,6 +56,7 @@ def sortino(returns, window: int) -> float:
 
 def strategy_stream(returns: DataFrame, lookback: int = 6, window: int = 24) -> DataFrame:
     """(instrument, ts, position, sortino) of a stream of (instrument, ts, ret_pct) in order."""
+    session.ship(returns.sparkSession)
     return returns.groupBy("instrument").transformWithStateInPandas(
         RollingStrategy(lookback, window), outputStructType="instrument string, ts timestamp, position int, sortino double", outputMode="Append", timeMode="None"
     )
