@@ -203,3 +203,15 @@ def test_sweep_against_a_loop(spark):
         hits = [p == r[3] for p, r in zip(path, test) if r[3] >= 0]
         assert got[k].n_test == len(hits) and got[k].accuracy == pytest.approx(sum(hits) / len(hits)) and (got[k].low, got[k].high, got[k].er) == c
     assert hmm.sweep(df.limit(0)).count() == 0
+
+
+def test_what_was_kept_can_be_cleared(spark):
+    import os
+
+    from tidemark import session
+
+    kept = session.kept(spark.range(5), "cleared")
+    folder = session.shared_dir(spark).removeprefix("file://")
+    assert kept.count() == 5 and any(x.startswith("cleared-") for x in os.listdir(folder))
+    session.clear(spark)
+    assert not any(x.startswith(("cleared-", "ordered-", "files-")) for x in os.listdir(folder))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 DIGITS = 6
 
 
@@ -17,15 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share (spark.checkpoint.dir); without that, a
-    temporary folder on a local master, and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return session.made(f"{session.shared_dir(spark)}/files-{uuid.uuid4().hex}")
 
 
 def rounded(df: DataFrame, columns: Sequence[str]) -> DataFrame:

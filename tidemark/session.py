@@ -29,10 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []  # folders in the shared one that this process has written
+
+
+def made(path: str) -> str:
+    """Remembers a folder in the shared one, for clear()."""
+    _MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this process has written to the shared folder. Call it when no result is read any
+    more: tables that are kept are what later plans read."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())  # noqa: SLF001
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it again. What a plan draws
     anew each time that it runs (samples for range borders, ids by partition) is settled by this."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = made(f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -25,10 +25,14 @@ def releases(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
 
 def parse(spark: SparkSession, texts: list[str]) -> DataFrame:
     """Raw calendar rows of JSON array texts."""
+    return parsed(spark.createDataFrame([(t,) for t in texts], "body string"))
+
+
+def parsed(bodies: DataFrame) -> DataFrame:
+    """Raw calendar rows of a table of JSON array texts (body)."""
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([(t,) for t in texts], "body string")
-    return rows.select(F.explode(F.from_json("body", f"array<struct<{EVENT_SCHEMA.replace(' string', ':string').replace(' double', ':double')}>>")).alias("e")).select("e.*")
+    return bodies.select(F.explode(F.from_json("body", f"array<struct<{EVENT_SCHEMA.replace(' string', ':string').replace(' double', ':double')}>>")).alias("e")).select("e.*")
 
 
 def chunks(first_year: int, last_year: int, months: int = 3) -> Iterator[tuple[dt.date, dt.date]]:
