@@ -476,13 +476,12 @@ def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest",
 
     kinds = dict(src.dtypes)
     more = "".join(f", `{c}` {kinds[c]}" for c in extra)
-    packed = lambda rows: rows.select("doc_id", "text", "base", *extra).mapInArrow(common.tidy(squeeze), f"doc_id long, z binary, present boolean, base long{more}")
-    joined = packed(src.where("doc_id is not null")).join(marks, "doc_id", "left")
+    # rows without an id match nothing: they pass no join and no worker, however many there are
+    known, none = src.where("doc_id is not null"), src.where("doc_id is null")
+    packed = known.select("doc_id", "text", "base", *extra).mapInArrow(common.tidy(squeeze), f"doc_id long, z binary, present boolean, base long{more}")
+    joined = packed.join(marks, "doc_id", "left")
     masks = window_verdicts(open_contexts(joined, shards, p), p).groupBy("doc_id").agg(F.collect_list("mask").alias("masks"))
     full = joined.join(masks, "doc_id", "left").select("doc_id", "z", "present", "base", "marks", "masks", *extra)
-    # rows without an id match nothing: they stay where they are, however many there are
-    none = packed(src.where("doc_id is null")).select("doc_id", "z", "present", "base", F.lit(None).cast("array<bigint>").alias("marks"), F.lit(None).cast("array<bigint>").alias("masks"), *extra)
-    full = full.unionByName(none)
 
     def finish(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -506,8 +505,11 @@ def repeats(docs: DataFrame, params: Params = Params(), output: str = "digest",
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     if output == "text":
-        return full.mapInArrow(common.tidy(finish), f"doc_id long, text string{more}")
-    return full.mapInArrow(common.tidy(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+        return full.mapInArrow(common.tidy(finish), f"doc_id long, text string{more}").unionByName(none.select("doc_id", "text", *extra))
+    spans = "array<struct<start:bigint,end:bigint>>"
+    whole, zero = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    whole = none.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), F.array().cast(spans).alias("spans"))
+    return full.mapInArrow(common.tidy(finish), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}").unionByName(whole)
 
 
 #: All strings of 50 bytes as hexadecimal digits, cut from pieces so that each cut is short.
