@@ -35,13 +35,14 @@ def _bits(v: Column) -> Column:
     return F.flatten(F.transform(v, lambda w, k: F.transform(own(w), lambda b: k * 64 + b)))
 
 
-def _joined(rows: DataFrame, index: DataFrame, keys: list[str], where: Column, index_bytes: int, n_rows: int) -> DataFrame:
-    """Rows with the index's rows of the same keys that pass a test. n_rows: at most so many rows share a key."""
+def _joined(rows: DataFrame, index: DataFrame, keys: list[str], where: Column, index_bytes: int, n_rows: int, spread: Column) -> DataFrame:
+    """Rows with the index's rows of the same keys that pass a test. n_rows: at most so many rows share a key;
+    spread: a hash that tells them apart, the same one when a task is run again."""
     if index_bytes <= BROADCAST:
         return rows.join(F.broadcast(index), keys).where(where)  # size checked
     salts = max(1, math.ceil(n_rows / ROWS))
     index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     return rows.join(index, [*keys, "_salt"]).drop("_salt").where(where)
 
 
@@ -68,7 +69,8 @@ def containing(df: DataFrame, clauses: DataFrame, literal: str = "literals", emp
     probes = df.withColumn("_literal", F.explode(F.array_intersect(_bits(F.col(literal)), keys)))
     size = index.agg(F.sum(F.size("include") * 8 + 24).alias("n")).first().n or 0
     fits = vectors.whole(F.col(literal), F.size("include")) & vectors.contains(F.col("include"), F.col(literal))
-    out = _joined(probes, index, ["_literal"], fits, size, max((n for _, n in used), default=0)).select(*names, "clause")
+    spread = F.xxhash64(*[F.col(c) for c, t in df.dtypes if "map<" not in t])
+    out = _joined(probes, index, ["_literal"], fits, size, max((n for _, n in used), default=0), spread).select(*names, "clause")
     if empty_fires:  # each fires in every whole row, which is that many results
         empty = clauses.where(vectors.is_zero(F.col("include"))).groupBy(F.size("include").alias("_width")).agg(F.collect_list("clause").alias("_ids"))
         for width, ids in empty.collect():
@@ -151,7 +153,7 @@ def nearest_indexed(df: DataFrame, codebook: DataFrame, hv: str = "hv", level: s
         masks = F.array(*[F.lit(sum(1 << b for b in c)).cast("long") for c in itertools.combinations(range(of), r)])
         probes = left.select("_row", "_v", "_not", F.inline(_chunks(F.col("_v"), width, bits, of)))
         probes = probes.select("_row", "_v", "_not", "place", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
-        found = _joined(probes, index, ["place", "value"], F.col("_not").isNull() | (F.col("_level") != F.col("_not")), n * many * (8 * width + 48), n_left)
+        found = _joined(probes, index, ["place", "value"], F.col("_not").isNull() | (F.col("_level") != F.col("_not")), n * many * (8 * width + 48), n_left, F.xxhash64("_row"))
         distance = vectors.hamming(F.col("_v"), F.col("_code"))
         found = found.groupBy("_row").agg(F.min(F.struct(distance.alias("distance"), F.col("_level").alias("level"))).alias("_now"))
         left = left.join(found, "_row", "left").withColumn("_best", F.least("_best", "_now")).drop("_now")
