@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -105,5 +106,13 @@ def test_empty_tables(spark):
 
 
 def test_matches_sql(spark, sf_dir):
-    if "op13_resample" in queries.ORACLE_SQL:
-        assert check(queries.op13_resample, queries.ORACLE_SQL["op13_resample"], spark, sf_dir) is None
+    assert check(queries.op13_resample, queries.ORACLE_SQL["op13_resample"], spark, sf_dir) is None
+
+
+def test_odd_rows_match_sql(spark, tmp_path):
+    docs, target = frames(spark, ODD, TARGET)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    target.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for t in "region nation customer supplier part orders lineitem events embeddings pages labels conversations".split():
+        os.symlink(f"/root/testdata/sf0.001/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    assert check(queries.op13_resample, queries.ORACLE_SQL["op13_resample"], spark, str(tmp_path)) is None

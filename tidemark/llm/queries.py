@@ -95,4 +95,4 @@ QUERIES = {
     "op12_audit": op12_audit,
     "op13_resample": op13_resample,
 }
-ORACLE_SQL: dict[str, str] = {"op2_suffix": suffix.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op11_secrets": secrets.ORACLE_SQL, "op12_audit": audit.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix": suffix.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op11_secrets": secrets.ORACLE_SQL, "op12_audit": audit.ORACLE_SQL, "op13_resample": resample.ORACLE_SQL}

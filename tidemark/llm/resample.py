@@ -225,3 +225,28 @@ def resample(documents: DataFrame, target: DataFrame, params: Params = Params())
     drawn = F.col("_i") < F.floor(F.col("_n") * params.percent / 100)
     out = ["doc_id", "n_features", "weight", "score"]
     return placed.select(*out, F.when(drawn, F.col("_i") + 1).alias("rank")).unionByName(scored.where(~able).select(*out, F.lit(None).cast("long").alias("rank")))
+
+
+#: CRC-32 byte by byte, with its table made from the polynomial.
+ORACLE_SQL = r"""
+WITH tbl AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+src AS (SELECT 0 AS kind, row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT 1, -row_number() OVER (), NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+wl AS (SELECT kind, row, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM src),
+u AS (SELECT row, kind, i, w[i] AS a, CASE WHEN i < len(w) THEN w[i + 1] END AS b FROM (SELECT row, kind, w, unnest(range(1, len(w) + 1)) AS i FROM wl)),
+f AS (SELECT row, kind, a AS f FROM u UNION ALL SELECT row, kind, a || ' ' || b FROM u WHERE b IS NOT NULL),
+n AS (SELECT row, kind, f, count(*) AS n FROM f GROUP BY 1, 2, 3),
+d AS (SELECT DISTINCT f FROM n),
+h AS (SELECT f, hex(encode(f)) AS x FROM d),
+k AS (SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8))) % 10000 AS bucket FROM h, tbl),
+c AS (SELECT n.row, n.kind, k.bucket, sum(n.n) AS n FROM n JOIN k USING (f) GROUP BY 1, 2, 3),
+bk AS (SELECT bucket, sum(n) FILTER (kind = 0) AS s, sum(n) FILTER (kind = 1) AS t FROM c GROUP BY 1),
+tot AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM bk),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(bk.t, 0) + 1 AS DOUBLE) * CAST(tot.s + 10000 AS DOUBLE)) / (CAST(coalesce(bk.s, 0) + 1 AS DOUBLE) * CAST(tot.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM bk, tot),
+w AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM c JOIN g USING (bucket) WHERE kind = 0 GROUP BY 1),
+sc AS (SELECT wl.row, wl.doc_id, len(wl.w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  CAST('0x' || substr(sha256('7:' || coalesce(CAST(wl.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM wl LEFT JOIN w USING (row) WHERE kind = 0),
+sd AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM sc),
+rk AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id, n_features, weight) AS rank, count(*) OVER () AS n FROM sd WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN rk.rank <= floor(25 * rk.n / 100) THEN rk.rank END AS BIGINT) AS rank FROM sd LEFT JOIN rk USING (row)
+""".strip()
