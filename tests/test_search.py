@@ -138,3 +138,33 @@ def test_workers_without_the_path_get_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "DONE" in out.stdout, out.stderr[-2000:]
+
+
+def test_strengths_send_no_table_whole(spark, tmp_path):
+    """Weights of few bytes on disk may be many rows; they are sorted and met, not broadcast."""
+    rng = np.random.default_rng(5)
+    rows = [(k, [int(x) & 0xFFFFFFFF for x in rng.integers(0, 1 << 62, 4)]) for k in range(60)] + [(60, None), (61, [0, 0, 0, 0]), (62, [-1, None, 3, 1 << 31])]
+    c = spark.createDataFrame(rows, "clause int, include array<bigint>")
+    w = spark.createDataFrame([(k % 2, k, k % 7 - 3) for k in range(63)], "class int, clause int, weight int")
+    w.write.parquet(f"{tmp_path}/w")
+    w = spark.read.parquet(f"{tmp_path}/w")
+    for shape in (hv.Shape(4, 32, 12), hv.Shape(4, 64, 12), hv.Shape(4, 12, 12)):
+        got = clauses.feature_strength(c, w, 0, shape)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        want: dict[int, int] = {}
+        for k, v in rows[::2]:
+            for i in range(len(v or []) * shape.bits):
+                if v[i // shape.bits] is not None and v[i // shape.bits] >> i % shape.bits & 1:
+                    want[i] = want.get(i, 0) + k % 7 - 3
+        assert {r.literal: r.strength for r in got.collect()} == want
+
+
+def test_clauses_of_parts_are_made_in_many_tasks(spark, sf_dir, monkeypatch):
+    """The table of parts is one small file, its clauses are not."""
+    from tidemark.plans import vector_queries
+
+    monkeypatch.setattr(vector_queries, "PARTS", 50, raising=False)
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    got = vector_queries._part_clauses(spark, sf_dir)
+    assert got.rdd.getNumPartitions() == -(-n // 50) > 1
+    assert got.count() == n * vector_queries.PER_PART

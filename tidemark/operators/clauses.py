@@ -158,8 +158,19 @@ def telling_vertex(counts: DataFrame, layer: DataFrame, bits: int, shape: hv.Sha
 
 
 def feature_strength(clauses: DataFrame, weights: DataFrame, class_id: int, shape: hv.Shape) -> DataFrame:
-    """(literal, strength) of one class: negated literals have indices of their own."""
-    return included_literals(clauses, shape).join(weights.where(F.col("class") == class_id), "clause").groupBy("literal").agg(F.sum("weight").alias("strength"))
+    """(literal, strength) of one class: negated literals have indices of their own. Masks meet their weights
+    as they are; weights are summed by place and value of the masks' bytes, and only these sums, as many at
+    most as bytes have values, are taken apart to bits."""
+    own = weights.where(F.col("class") == class_id).select("clause", "weight")
+    # sorted on both sides: by the size of its files a large table of weights would be taken for a small one and sent whole
+    met = clauses.select("clause", "include").join(own.hint("merge"), "clause")
+    n = -(-shape.bits // 8)
+    cut = lambda w, k: F.array(*[F.struct((k * n + b).alias("_at"), F.call_function("shiftrightunsigned", w, F.lit(8 * b)).bitwiseAND(F.lit(255)).alias("_byte")) for b in range(n)])
+    sums = met.select("weight", F.inline(F.flatten(F.transform("include", cut)))).where("_byte <> 0").groupBy("_at", "_byte").agg(F.sum("weight").alias("_sum"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.call_function("shiftright", F.col("_byte"), b).bitwiseAND(F.lit(1)) == 1)
+    each = sums.select("_at", "_sum", F.explode(bits).alias("_bit")).where(F.pmod("_at", F.lit(n)) * 8 + F.col("_bit") < shape.bits)
+    literal = (F.floor(F.col("_at") / n) * shape.bits + F.pmod("_at", F.lit(n)) * 8 + F.col("_bit")).cast("int")
+    return each.groupBy(literal.alias("literal")).agg(F.sum("_sum").alias("strength"))
 
 
 def residual(include: Column, literals: Column, limit: int) -> Column:
