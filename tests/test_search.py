@@ -179,3 +179,18 @@ def test_ranking_of_part_clauses_keeps_no_masks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(session, "kept", lambda df, label: (written.append(df.columns), kept(df, label))[1])
     vector_queries.clause_ranking(spark, sf_dir)
     assert written and not any("include" in c for c in written)
+
+
+@pytest.mark.parametrize(("probe", "broadcast"), [(0, 1 << 24), (0, 0), (1, 0), (64, 0)])
+def test_nearest_codes_send_no_table_whole(spark, monkeypatch, probe, broadcast):
+    """By look-ups alone, by both ways and by blocks alone; rows meet what was found without a broadcast."""
+    monkeypatch.setattr(search, "BROADCAST", broadcast)
+    monkeypatch.setattr(search, "PROBE", probe, raising=False)
+    monkeypatch.setattr(search, "SHARE", 40, raising=False)
+    rng = np.random.default_rng(probe)
+    rows = [(k, [int(x) for x in rng.integers(0, 1 << 16, 2)]) for k in range(150)]
+    book = spark.createDataFrame([*rows, (500, rows[3][1]), (501, None)], "level bigint, code array<bigint>")
+    got = search.nearest_indexed(frame(spark, rows), book, "literals", width=2, bits=16, other_than="id")
+    assert "BroadcastHashJoin [_row" not in got._jdf.queryExecution().executedPlan().toString()  # ranges of places are, a row each
+    codes = [*rows, (500, rows[3][1])]
+    assert {r.id: (r.distance, r.level) for r in got.collect()} == {i: min((distance(v, c), k) for k, c in codes if k != i) for i, v in rows}

@@ -35,6 +35,12 @@ def _bits(v: Column) -> Column:
     return F.flatten(F.transform(v, lambda w, k: F.transform(own(w), lambda b: k * 64 + b)))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that is never sent whole: the files of a kept table are far smaller than its rows, and
+    by their size it would be broadcast through the driver."""
+    return df.hint("merge")
+
+
 def _joined(rows: DataFrame, index: DataFrame, keys: list[str], where: Column, index_bytes: int, n_rows: int, spread: Column) -> DataFrame:
     """Rows with the index's rows of the same keys that pass a test. n_rows: at most so many rows share a key;
     spread: a hash that tells them apart, the same one when a task is run again."""
@@ -43,7 +49,7 @@ def _joined(rows: DataFrame, index: DataFrame, keys: list[str], where: Column, i
     salts = max(1, math.ceil(n_rows / ROWS))
     index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = rows.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    return rows.join(index, [*keys, "_salt"]).drop("_salt").where(where)
+    return rows.join(_dealt(index), [*keys, "_salt"]).drop("_salt").where(where)
 
 
 def literal_index(rows: DataFrame, clauses: DataFrame, literal: str) -> tuple[DataFrame, list[tuple[int, int]]]:
@@ -90,14 +96,17 @@ def _chunks(v: Column, width: int, bits: int, of: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width * each - 1)), chunk)
 
 
-#: Codes in one block of what is compared as a whole.
-BLOCK = 4096
+#: Codes in one block of what is compared as a whole, and rows that meet it in one task.
+BLOCK = 16_384
+SHARE = 20_000
+#: Comparisons in a block that cost as much as one look-up.
+PROBE = 512
 
 
 def _in_blocks(left: DataFrame, book: DataFrame, n_left: int) -> DataFrame:
     """(_row, _best) of rows against all codes, a block of codes and a share of the rows at a time."""
     placed, total = ordering.placed(book, ["_level"], place="_at", size="_of")
-    salts = max(1, math.ceil(n_left / ROWS))
+    salts = max(1, math.ceil(n_left / min(ROWS, SHARE)))
     blocks = placed.select("_level", "_code", F.floor(F.col("_at") / BLOCK).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     rows = left.select("_row", "_v", "_not", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((total - 1) // BLOCK).cast("long"))).alias("_block"), F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("_salt"))
     session.ship(left.sparkSession)
@@ -110,13 +119,15 @@ def _in_blocks(left: DataFrame, book: DataFrame, n_left: int) -> DataFrame:
         x, codes, levels = words(a, "_v"), words(b, "_code"), b.column("_level").to_numpy()
         own = a.column("_not").fill_null(-(1 << 63)).to_numpy()
         best, who = np.empty(len(x), np.int32), np.empty(len(x), np.int64)
-        for k in range(0, len(x), 512):
-            part = x[k : k + 512]
+        step = max(1, (1 << 18) // len(codes))
+        for k in range(0, len(x), step):
+            part = x[k : k + step]
             d = np.zeros((len(part), len(codes)), np.int32)
             for w in range(x.shape[1]):
                 d += np.bitwise_count(part[:, w, None] ^ codes[None, :, w])
-            d[own[k : k + 512, None] == levels[None]] = np.iinfo(np.int32).max
-            who[k : k + 512], best[k : k + 512] = levels[d.argmin(1)], d.min(1)
+            d[own[k : k + step, None] == levels[None]] = np.iinfo(np.int32).max
+            at = d.argmin(1)
+            who[k : k + step], best[k : k + step] = levels[at], d[np.arange(len(part)), at]
         seen = best < np.iinfo(np.int32).max
         return pa.table({"_row": a.column("_row").filter(pa.array(seen)), "_distance": best[seen], "_level": who[seen]})
 
@@ -131,9 +142,9 @@ def nearest_indexed(df: DataFrame, codebook: DataFrame, hv: str = "hv", level: s
 
     Codes are cut into chunks of about log2(codes) bits, so that few codes share a chunk's value. In round
     r rows look up the values that differ from their chunks in r bits: after it, every code that is nearer
-    than chunks * (r + 1) has been seen, so rows whose best is nearer are settled and leave. Before a round
-    would look up as much as there are codes, chunks no longer tell codes apart, and the rows that are left
-    are compared with all codes, in blocks."""
+    than chunks * (r + 1) has been seen, so rows whose best is nearer are settled and leave. Before a round's
+    look-ups would cost as much as comparisons with all codes do, the rows that are left are compared with all
+    codes, in blocks: these are as many comparisons as rows left times codes, but nothing is held whole."""
     kind = dict(codebook.dtypes)[level]
     if other_than in (level, "distance") or level == other_than:
         raise ValueError("the column to pass over needs a name of its own")
@@ -148,7 +159,7 @@ def nearest_indexed(df: DataFrame, codebook: DataFrame, hv: str = "hv", level: s
     index = session.kept(book.select("_level", "_code", F.inline(_chunks(F.col("_code"), width, bits, of))), "chunks")
     done, n_left = [], left.count() if n else 0
     for r in range(of + 1):
-        if not n_left or many * math.comb(of, r) >= 1 << of:
+        if not n_left or many * math.comb(of, r) * PROBE >= n:
             break
         masks = F.array(*[F.lit(sum(1 << b for b in c)).cast("long") for c in itertools.combinations(range(of), r)])
         probes = left.select("_row", "_v", "_not", F.inline(_chunks(F.col("_v"), width, bits, of)))
@@ -156,7 +167,7 @@ def nearest_indexed(df: DataFrame, codebook: DataFrame, hv: str = "hv", level: s
         found = _joined(probes, index, ["place", "value"], F.col("_not").isNull() | (F.col("_level") != F.col("_not")), n * many * (8 * width + 48), n_left, F.xxhash64("_row"))
         distance = vectors.hamming(F.col("_v"), F.col("_code"))
         found = found.groupBy("_row").agg(F.min(F.struct(distance.alias("distance"), F.col("_level").alias("level"))).alias("_now"))
-        left = left.join(found, "_row", "left").withColumn("_best", F.least("_best", "_now")).drop("_now")
+        left = left.join(_dealt(found), "_row", "left").withColumn("_best", F.least("_best", "_now")).drop("_now")
         left = session.kept(left, f"round{r}")
         settled = F.coalesce(F.col("_best.distance") < many * (r + 1), F.lit(False))
         done.append(left.where(settled).select("_row", "_best"))
@@ -169,7 +180,7 @@ def nearest_indexed(df: DataFrame, codebook: DataFrame, hv: str = "hv", level: s
         best = done[0]
         for more in done[1:]:
             best = best.unionByName(more)
-        out = rows.join(best, "_row", "left")
+        out = rows.join(_dealt(best), "_row", "left")
     else:
         out = rows.withColumn("_best", F.lit(None).cast("struct<distance:int,level:bigint>"))
     return out.withColumns({level: F.col("_best.level").cast(kind), "distance": F.col("_best.distance")}).drop("_row", "_best")
