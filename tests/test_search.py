@@ -194,3 +194,25 @@ def test_nearest_codes_send_no_table_whole(spark, monkeypatch, probe, broadcast)
     assert "BroadcastHashJoin [_row" not in got._jdf.queryExecution().executedPlan().toString()  # ranges of places are, a row each
     codes = [*rows, (500, rows[3][1])]
     assert {r.id: (r.distance, r.level) for r in got.collect()} == {i: min((distance(v, c), k) for k, c in codes if k != i) for i, v in rows}
+
+
+@pytest.mark.parametrize(("n", "masks", "empty"), [(10, 65_536, True), (300, 65_536, False), (300, 7, True)])
+def test_tally_counts_what_fires(spark, monkeypatch, n, masks, empty):
+    """As the fired pairs counted, with vectors and clauses that aren't whole, in one block of masks or several."""
+    monkeypatch.setattr(search, "MASKS", masks)
+    monkeypatch.setattr(search, "SHARE", 4)
+    odd = spark.createDataFrame([(900, [1, None, 0, 0], 1), (901, [0, 0, 0], 1), (902, [], 1), (None, [0, 0, 0, 0], 1)], "clause int, include array<bigint>, weight int")
+    got = search.tally(frame(spark), table(spark, n).unionByName(odd), empty_fires=empty)
+    want: dict[int, list[int]] = {}
+    for i, k in fires(n, empty) + ([(2, 902), (3, 901)] if empty else []):
+        want.setdefault(i, []).append(k)
+    assert sorted((r.id, r.n_fired, r.clause_sum) for r in got.collect()) == sorted((i, len(k), sum(k)) for i, k in want.items())
+    assert search.tally(frame(spark).limit(0), table(spark, n)).count() == 0 == search.tally(frame(spark), table(spark, n).limit(0)).count()
+
+
+def test_fired_clauses_of_parts_are_counted_by_mask(spark, sf_dir):
+    """No row for each pair, nor for each clause that meets a literal."""
+    from tidemark.plans import vector_queries
+
+    plan = vector_queries.clause_fire_indexed(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate explode(array_intersect" not in plan

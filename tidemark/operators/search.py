@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from . import ordering
 BROADCAST = 16 << 20
 #: Rows of one key that meet in one task of a dealt index.
 ROWS = 200_000
+#: Rows that meet one block of codes or masks in one task.
+SHARE = 20_000
 
 
 def _bits(v: Column) -> Column:
@@ -84,6 +87,52 @@ def containing(df: DataFrame, clauses: DataFrame, literal: str = "literals", emp
     return out
 
 
+#: Distinct masks in one block of a tally.
+MASKS = 65_536
+
+
+def tally(df: DataFrame, clauses: DataFrame, literal: str = "literals", empty_fires: bool = True) -> DataFrame:
+    """df with n_fired and clause_sum: how many of the clauses each row's vector contains, and the sum of their
+    ids; rows in which none fires are left out. The fired pairs are never rows.
+
+    Clauses are first counted by mask, as clauses of one mask fire together. Blocks of masks then meet shares of
+    the rows: a block has a bitmap of its masks for each bit, and a row passes over the masks in the bitmaps of
+    the bits that it lacks."""
+    masks = clauses.where("include IS NOT NULL AND clause IS NOT NULL").groupBy("include").agg(F.count("*").alias("_n"), F.sum(F.col("clause").cast("long")).alias("_s"))
+    if not empty_fires:
+        masks = masks.where(~vectors.is_zero(F.col("include")))
+    masks = session.kept(masks.where(F.forall("include", lambda w: w.isNotNull())), "masks")
+    blocks = max(1, -(-masks.count() // MASKS))
+    rows = session.kept(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    shares = max(1, -(-rows.count() // SHARE))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.where(vectors.whole(F.col(literal), F.size(literal))).select("_row", F.col(literal).alias("_v"), F.pmod(F.xxhash64("_row"), F.lit(shares)).cast("int").alias("_share"), every(blocks).alias("_block"))
+    right = masks.select("include", "_n", "_s", F.pmod(F.xxhash64("include"), F.lit(blocks)).cast("int").alias("_block"), every(shares).alias("_share"))
+    session.ship(df.sparkSession)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        size_a, size_b = (pc.list_value_length(t.column(c)).to_numpy() for t, c in ((a, "_v"), (b, "include")))
+        out = [(np.zeros(0, np.int64),) * 3]
+        for width in np.intersect1d(size_a, size_b):
+            x, m = a.filter(pa.array(size_a == width)), b.filter(pa.array(size_b == width))
+            bits = lambda t, c, w=width: np.unpackbits(t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(t.num_rows, 8 * w), axis=1, bitorder="little")
+            has = np.packbits(bits(m, "include").T, axis=1)  # a bitmap of the masks for each bit
+            met = np.flatnonzero(has.any(1))
+            has, lacks = has[met], bits(x, "_v")[:, met] == 0
+            number, total = (m.column(c).to_numpy() for c in ("_n", "_s"))
+            n, ids = np.zeros(x.num_rows, np.int64), np.zeros(x.num_rows, np.int64)
+            for k, gone in enumerate(lacks):
+                fired = np.flatnonzero(np.unpackbits(~np.bitwise_or.reduce(has[gone], axis=0, initial=0), count=m.num_rows)) if len(met) else slice(None)
+                n[k], ids[k] = number[fired].sum(), total[fired].sum()
+            out.append((x.column("_row").to_numpy(), n, ids))
+        row, n, ids = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"_row": row[n > 0], "_n": n[n > 0], "_s": ids[n > 0]})
+
+    met = left.groupBy("_block", "_share").cogroup(right.groupBy("_block", "_share")).applyInArrow(run, "_row long, _n long, _s long")
+    found = met.groupBy("_row").agg(F.sum("_n").alias("n_fired"), F.sum("_s").alias("clause_sum"))
+    return rows.join(_dealt(found), "_row").drop("_row")
+
+
 def _chunks(v: Column, width: int, bits: int, of: int) -> Column:
     """The chunks of a vector: structs of place and value. A word's `bits` bits are cut into chunks of `of`
     bits, the last one with the rest."""
@@ -96,9 +145,8 @@ def _chunks(v: Column, width: int, bits: int, of: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width * each - 1)), chunk)
 
 
-#: Codes in one block of what is compared as a whole, and rows that meet it in one task.
+#: Codes in one block of what is compared as a whole.
 BLOCK = 16_384
-SHARE = 20_000
 #: Comparisons in a block that cost as much as one look-up.
 PROBE = 512
 
