@@ -170,6 +170,22 @@ def test_clauses_of_parts_are_made_in_many_tasks(spark, sf_dir, monkeypatch):
     assert got.count() == n * vector_queries.PER_PART
 
 
+def test_include_counts_need_no_fold_for_masks_of_one_width(spark, sf_dir):
+    """Whole masks are counted word by word in generated code; other widths and nulls give what the fold gives."""
+    from tidemark.operators import clauses
+    from tidemark.plans import vector_queries
+
+    plan = vector_queries.include_counts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_count") == vector_queries.LITERALS.words + 1 and "CASE WHEN (size(include" in plan
+    rows = [(0, [1, 3, 7, -1]), (1, [0, 0, 0, 0]), (2, [-1, None, 0, 0]), (3, [5, 5]), (4, [1, 2, 4, 8, 15]), (5, []), (6, None), (7, [None, 1]), (None, [1, 1, 1, -(1 << 63)])]
+    c = spark.createDataFrame(rows, "clause int, include array<bigint>")
+    want = {k: None if v is None or None in v else sum((x & (1 << 64) - 1).bit_count() for x in v) for k, v in rows}
+    for words in (None, 4):
+        got = clauses.include_counts(c, words)
+        assert got.schema == clauses.include_counts(c).schema and got.dtypes == [("clause", "int"), ("n_includes", "int")]
+        assert {r.clause: r.n_includes for r in got.collect()} == want
+
+
 def test_ranking_of_part_clauses_keeps_no_masks(spark, sf_dir, monkeypatch):
     """What is sorted and written is what ranks are made of."""
     from tidemark import session

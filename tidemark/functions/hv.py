@@ -68,8 +68,13 @@ def literals(a: Column, shape: Shape = PRODUCTION) -> Column:
     return F.concat(a, complement(a, shape))
 
 
-def popcount(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda n, x: n + F.bit_count(x))
+def popcount(a: Column, words: int | None = None) -> Column:
+    """Number of set bits; null where a word is. Vectors of `words` words, if that is given, are counted in
+    generated code; a fold, which is interpreted word by word, is left to those of any other width."""
+    fold = F.aggregate(a, F.lit(0), lambda n, x: n + F.bit_count(x))
+    if not words:
+        return fold
+    return F.when(F.size(a) == words, reduce(lambda n, x: n + x, [F.bit_count(F.get(a, F.lit(w))) for w in range(words)])).otherwise(fold)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -100,8 +100,9 @@ def probability(pos: Column, neg: Column) -> Column:
     return F.least(F.lit(1.0), 0.5 + pos - neg)
 
 
-def include_counts(clauses: DataFrame) -> DataFrame:
-    return clauses.select("clause", hv.popcount(F.col("include")).alias("n_includes"))
+def include_counts(clauses: DataFrame, words: int | None = None) -> DataFrame:
+    """(clause, n_includes): masks of any width; those of `words` words are counted faster."""
+    return clauses.select("clause", hv.popcount(F.col("include"), words).alias("n_includes"))
 
 
 def included_literals(clauses: DataFrame, shape: hv.Shape) -> DataFrame:
